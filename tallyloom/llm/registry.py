@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontamination
 from .langid import op10_language_id
+from .packing import op1_packing
+from .pii import op5_pii
 
-QUERIES = {f.__name__: f for f in (op10_language_id,)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_pii, op8_decontamination, op10_language_id)}
 ORACLES: dict[str, str] = {}
