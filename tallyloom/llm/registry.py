@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontamination
 from .langid import op10_language_id
+from .mincut import op7_html
 from .packing import op1_packing
 from .pii import op5_pii
+from .quality import op2_quality
+from .secrets import op9_secrets
+from .warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_pii, op8_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op5_pii, op6_warc, op7_html, op8_decontamination, op9_secrets, op10_language_id)}
 ORACLES: dict[str, str] = {}
