@@ -11,6 +11,7 @@ within their length and placed on the executors.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -20,10 +21,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, arrow_map, raw, stored, table
+from .common import apart, arrow_map, stored, table, texts
 
 CAPACITY = 2048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+
+# The tokenizer's letters and numbers within Latin-1, lower case, and its cuts.
+_LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+EDGES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+VISIBLE = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
 
 
 @dataclass(frozen=True)
@@ -108,24 +114,76 @@ def _tokenizer(path: str):
 class WordTokens:
     """Ids of a text from the ids of its white-space parts, which are remembered.
 
-    Exact for tokenizers that cut at white space and drop it: no id, and nothing that
-    normalisation does, crosses such a cut.
+    Exact for tokenizers that lower case, cut at white space and at the edges of words as
+    word_bpe_49k does: no id, and nothing that normalisation does, crosses such a cut.
+    Texts within Latin-1, whose letters lower case and compose to themselves, are
+    lowered whole and their parts cut once more, so that a word is encoded once
+    whatever signs stand beside it; the tokenizer itself cuts other texts' parts.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
-
-    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = [t.split() if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for start in range(0, len(new), 8192):
-            part = new[start : start + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4") for words in split]
+        self.tokenizer = _tokenizer(path)
+        self.words: dict[str, bytes] = {}
+        self.parts = Parts(self)
+        self.others = Others(self)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        if not text:
+            return b""
+        for cache in (self.words, self.parts, self.others):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        try:
+            parts, cache = text.lower().encode("latin-1").split(), self.parts
+        except UnicodeEncodeError:
+            parts = None
+        if parts is None or "<|" in text:
+            parts, cache = text.encode().split(), self.others
+        return b"".join(map(cache.__getitem__, parts))
+
+
+class Parts(dict):
+    """Lower-case Latin-1 parts; those of visible signs only are cut into words, the others left to the tokenizer."""
+
+    def __init__(self, own: WordTokens):
+        self.own = own
+
+    def __missing__(self, key: bytes) -> bytes:
+        part = key.decode("latin-1")
+        if VISIBLE.fullmatch(part):
+            known, out = self.own.words, []
+            for w in EDGES.findall(part):
+                if (ids := known.get(w)) is None:
+                    ids = known[w] = self.own.encode(w)
+                out.append(ids)
+            found = b"".join(out)
+        else:
+            found = self.own.encode(part)
+        self[key] = found
+        return found
+
+
+class Others(dict):
+    def __init__(self, own: WordTokens):
+        self.own = own
+
+    def __missing__(self, key: bytes) -> bytes:
+        found = self[key] = self.own.encode(key.decode())
+        return found
+
+
+def worker_tokens(path: str) -> WordTokens:
+    """One per Python worker, so that what is remembered outlives a task."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_remembered", {})
+    if path not in held:
+        held[path] = WordTokens(path)
+    return held[path]
 
 
 def pieces(docs: DataFrame, path: str, *, text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -138,19 +196,17 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", capacity: int = CA
     kind = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
     def make():
-        tokens = WordTokens(path)
+        tokens = worker_tokens(path)
 
         def work(batch):
             out = []
-            rows = raw(batch, text)
-            for at in range(0, len(rows), 64):
-                for ids in tokens.ids(rows[at : at + 64]):
-                    data = ids.tobytes() + end_id.to_bytes(4, "little")
-                    n, own = len(data) // 4, []
-                    for i, start in enumerate(range(0, n, capacity)):
-                        stop = min(n, start + capacity)
-                        own.append({"piece": i, "start": start, "length": stop - start, "ids_crc32": zlib.crc32(data[4 * start : 4 * stop])})
-                    out.append(own)
+            for t in texts(batch, text):
+                data = tokens.ids(t) + end_id.to_bytes(4, "little")
+                n, own = len(data) // 4, []
+                for i, start in enumerate(range(0, n, capacity)):
+                    stop = min(n, start + capacity)
+                    own.append({"piece": i, "start": start, "length": stop - start, "ids_crc32": zlib.crc32(data[4 * start : 4 * stop])})
+                out.append(own)
             return [out]
 
         return work
