@@ -15,8 +15,9 @@ from .common import stored, table
 
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Ratios, and the least distance from the median at which a fence stands.
-RATIOS = {"symbol_ratio": 0.2, "other_ratio": 0.1, "capital_ratio": 0.15, "repeat_ratio": 0.25, "dup_line_ratio": 0.5, "word_length": 2.5}
+RATIOS = {"symbol_ratio": 0.2, "sign_ratio": 0.1, "capital_ratio": 0.15, "repeat_ratio": 0.25, "dup_line_ratio": 0.5, "word_length": 2.5}
 QUANTILES = (0.25, 0.5, 0.75)
+POSITION_BITS = 20
 
 
 def let(value: Column, body) -> Column:
@@ -27,42 +28,51 @@ def let(value: Column, body) -> Column:
 def repeat_words(words: Column) -> Column:
     """How many words lie in 3-word windows that occur twice or more.
 
-    Windows are compared by 64-bit hashes. Sorting (hash, position) brings equal
-    ones together, in n log n steps for a text of n words.
+    Windows are compared by 64-bit hashes; sorting brings equal ones together, in
+    n log n steps for a text of n words. A first sort by 44 bits leaves few of them.
     """
     zero = F.lit(0).cast("long")
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-    )
-
-    def shared(s: Column) -> Column:
-        return F.filter(s, lambda x, k: F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False)))
+    n = F.size(words) - 2
+    window = F.arrays_zip(F.slice(words, 1, n).alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c"))
+    few = 1 << POSITION_BITS
+
+    def packed() -> Column:
+        """Plain numbers sort fast: the upper bits of the hash, then the position."""
+        numbers = F.sort_array(F.transform(window, lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(-few)).bitwiseOR(i.cast("long"))))
+        upper = lambda x: F.shiftrightunsigned(x, POSITION_BITS)
+        near = lambda s: F.filter(s, lambda x, k: F.coalesce(upper(x) == upper(F.get(s, k - 1)), F.lit(False)) | F.coalesce(upper(x) == upper(F.get(s, k + 1)), F.lit(False)))
+        return F.transform(let(numbers, near), lambda x: x.bitwiseAND(F.lit(few - 1)).cast("int"))
+
+    def shared(positions: Column) -> Column:
+        """Those of the positions whose windows, compared by their whole hashes, occur twice."""
+        own = F.transform(positions, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+        same = lambda s, x, k: F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
+        return let(F.sort_array(own), lambda s: F.array_sort(F.transform(F.filter(s, lambda x, k: same(s, x, k - 1) | same(s, x, k + 1)), lambda x: x["i"])))
 
     def covered(positions: Column) -> Column:
         start = F.struct(zero.alias("n"), F.lit(-3).alias("last"))
         step = lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last"))
         return F.aggregate(positions, start, step, lambda a: a["n"])
 
-    flagged = let(F.sort_array(windows), lambda s: F.array_sort(F.transform(shared(s), lambda x: x["i"])))
-    return F.when(F.size(words) < 4, zero).otherwise(covered(flagged))
+    maybe = F.when(n <= few, packed()).otherwise(F.sequence(F.lit(0), n - 1))
+    return F.when(n < 2, zero).otherwise(let(maybe, lambda m: F.when(F.size(m) == 0, zero).otherwise(covered(shared(m)))))
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letters, n_capitals; drop the text.
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_signs, n_capitals; drop the text.
 
     A null or empty text has zero of each.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_signs", "n_capitals")
     kept = [c for c in docs.columns if c != text and c not in names]
     split = docs.select(
         *kept,
         F.array_remove(F.split(t, f"{SPACE}+"), "").alias("_words"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"),
         F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count(t, F.lit("\\p{L}")).cast("long").alias("n_letters"),
-        F.regexp_count(t, F.lit("\\p{Lu}")).cast("long").alias("n_capitals"),
+        F.regexp_count(t, F.lit("[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]")).cast("long").alias("n_signs"),
+        F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
     )
     return split.select(
         *kept,
@@ -72,7 +82,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_words")).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        "n_letters", "n_capitals",
+        "n_signs", "n_capitals",
     )
 
 
@@ -84,8 +94,8 @@ def with_ratios(counts: DataFrame) -> DataFrame:
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return counts.withColumns({
         "symbol_ratio": per("n_symbols", "n_words"),
-        "other_ratio": 1 - F.least(F.lit(1.0), per("n_letters", "word_chars")),
-        "capital_ratio": per("n_capitals", "n_letters"),
+        "sign_ratio": per("n_signs", "word_chars"),
+        "capital_ratio": per("n_capitals", "word_chars"),
         "repeat_ratio": per("n_repeat_words", "n_words"),
         "dup_line_ratio": per("n_dup_lines", "n_lines"),
         "word_length": per("word_chars", "n_words"),
