@@ -19,7 +19,8 @@ _own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a table; only these are read."""
+    """The named columns of a table; only these are read. Arrow batches are kept small, since texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 

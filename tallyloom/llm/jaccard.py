@@ -37,7 +37,7 @@ GROUP = 2048
 #: A shingle whose bucket holds this many, and four times the mean, is very frequent.
 FREQUENT = 20_000
 #: Sets of a bundle that one task joins, and edges that it remembers.
-BUNDLE = 4096
+BUNDLE, BUNDLE_BYTES = 4096, 64 << 20
 SEEN = 500_000
 #: Members sent to the workers as they are; of more, a bitmap of this many bits is sent and the join drops the rest.
 MEMBERS, BITMAP = 2_000_000, 1 << 28
@@ -152,12 +152,16 @@ def candidate_edges(docs: DataFrame, classes, percent: int, *, text: str = "text
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows in, edges out. A group is held up to GROUP rows; from then on only its last row is."""
-        seen: set[tuple[int, int]] = set()
-        token, group, chained = None, [], False
+        carry = [np.empty(0, dtype=np.int64) for _ in range(4)]
+        chained = False
 
-        def linked(group) -> Iterator[tuple[int, int]]:
-            n, place = (np.array([g[i] for g in group], dtype=np.int64) for i in (1, 2))
-            parent = list(range(len(group)))
+        def chain(node: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+            near = n[:-1] * 100 >= percent * n[1:]
+            return [node[:-1][near], node[1:][near]]
+
+        def linked(node: np.ndarray, n: np.ndarray, place: np.ndarray) -> list[list[int]]:
+            parent = list(range(len(n)))
+            out: list[list[int]] = [[], []]
 
             def top(x):
                 while parent[x] != x:
@@ -165,7 +169,7 @@ def candidate_edges(docs: DataFrame, classes, percent: int, *, text: str = "text
                     x = parent[x]
                 return x
 
-            for i in range(len(group) - 1):
+            for i in range(len(n) - 1):
                 end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
                 m = n[i + 1 : end]
                 reach = np.minimum(n[i] - place[i], m - place[i + 1 : end])
@@ -173,35 +177,56 @@ def candidate_edges(docs: DataFrame, classes, percent: int, *, text: str = "text
                     a, b = top(i), top(j)
                     if a != b:
                         parent[a] = b
-                        yield group[i][0], group[j][0]
-
-        def done() -> list[tuple[int, int]]:
-            return [] if chained or len(group) < 2 else list(linked(group))
-
-        for batch in batches:
+                        out[0].append(node[i])
+                        out[1].append(node[j])
+            return out
+
+        def groups(columns: list[np.ndarray], last: bool) -> list:
+            """Edges of all groups but, unless it is the last call, the one that may go on."""
+            nonlocal carry, chained
+            token, node, n, place = columns
+            if not len(token):
+                return []
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            sizes = np.diff(np.concatenate([first, [len(token)]]))
             out = []
-            for t, node, n, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not n:  # an edge to a hub, already
-                    out.append((t, node))
-                    continue
-                if t != token:
-                    out += done()
-                    token, group, chained = t, [], False
-                if group and group[-1][0] == node:
-                    continue
-                group.append((node, n, place))
-                if len(group) > GROUP or chained:
+            k = 0
+            if chained:  # the group that began before goes on
+                out.append(chain(node[: sizes[0]], n[: sizes[0]]))
+                k = 1
+            whole = len(first) if last else len(first) - 1
+            twos = first[k:whole][sizes[k:whole] == 2]
+            if len(twos):
+                a, b = n[twos], n[twos + 1]
+                reach = np.minimum(a - place[twos], b - place[twos + 1])
+                keep = twos[(a * 100 >= percent * b) & (reach * (100 + percent) >= percent * (a + b))]
+                out.append([node[keep], node[keep + 1]])
+            for i in (np.flatnonzero(sizes[k:whole] > 2) + k).tolist():
+                x, y = first[i], first[i] + sizes[i]
+                out.append(chain(node[x:y], n[x:y]) if sizes[i] > GROUP else linked(node[x:y], n[x:y], place[x:y]))
+            if not last:
+                chained = chained and len(first) == 1
+                x = first[-1]
+                if chained or sizes[-1] > GROUP:
                     if not chained:
-                        out += [(a[0], b[0]) for a, b in zip(group, group[1:]) if a[1] * 100 >= percent * b[1]]
-                    elif group[0][1] * 100 >= percent * n:
-                        out.append((group[0][0], node))
-                    group, chained = group[-1:], True
-            yield edges_of(out)
-        yield edges_of(done())
+                        out.append(chain(node[x:], n[x:]))
+                    x, chained = len(token) - 1, True
+                carry = [c[x:].copy() for c in columns]
+            return out
 
-    def edges_of(pairs) -> pa.RecordBatch:
-        new = {(min(p), max(p)) for p in pairs}
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in new], pa.int64()) for i in range(2)], names=["a", "b"])
+        for batch in batches:
+            columns = [np.concatenate([old, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in zip(carry, batch.columns, strict=True)]
+            token, node, n, _ = columns
+            ready = n == 0  # an edge to a hub, already
+            fresh = ~ready & np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
+            out = [[token[ready], node[ready]]]
+            yield edges_of(out + groups([c[fresh] for c in columns], False))
+        yield edges_of(groups(carry, True))
+
+    def edges_of(pairs: list) -> pa.RecordBatch:
+        both = np.array([np.concatenate([np.asarray(p[i], dtype=np.int64) for p in pairs]) if pairs else np.empty(0, dtype=np.int64) for i in range(2)])
+        both = np.unique(np.sort(both, axis=0), axis=1) if both.size else both
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in both], names=["a", "b"])
 
     rows = docs.select(text).mapInArrow(prefixes, "token bigint, node bigint, n int, place int")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
@@ -355,13 +380,16 @@ def ranked(sets: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
 
 
 def member_sets(docs: DataFrame, bundles: DataFrame, *, text: str = "text", size: int = 5) -> DataFrame:
-    """(root, digest, set) of each class in a bundle, once."""
+    """(root, digest, shingles) of each class in a bundle; once, or once for each task that meets a copy.
+
+    Up to MEMBERS nodes are sent to the workers with their roots. Of more, a bitmap is
+    sent, and a join drops the sets that it lets through in error.
+    """
     spark = docs.sparkSession
     n = bundles.count()
-    if n <= MEMBERS:
-        nodes = np.sort(np.array([r.node for r in bundles.select("node").toLocalIterator()], dtype=np.int64))
-        sent = spark.sparkContext.broadcast(nodes)
-        test = lambda held, node: len(held) and held[min(int(np.searchsorted(held, node)), len(held) - 1)] == node
+    if few := n <= MEMBERS:
+        rows = [(r.node, r.root) for r in bundles.toLocalIterator()]
+        held = np.array(sorted(rows), dtype=np.int64).reshape(-1, 2).T.copy()
     else:
         bits = bundles.select(F.pmod("node", F.lit(BITMAP)).alias("bit")).groupBy((F.col("bit") / 65536).cast("int").alias("k")).agg(F.collect_set((F.col("bit") % 65536).cast("int")).alias("bits"))
         held = np.zeros(BITMAP // 8, dtype=np.uint8)
@@ -369,24 +397,31 @@ def member_sets(docs: DataFrame, bundles: DataFrame, *, text: str = "text", size
             block = np.zeros(65536, dtype=bool)
             block[r.bits] = True
             held[r.k * 8192 : (r.k + 1) * 8192] = np.packbits(block, bitorder="little")
-        sent = spark.sparkContext.broadcast(held)
-        test = lambda held, node: held[node % BITMAP >> 3] >> (node % BITMAP & 7) & 1
+    sent = spark.sparkContext.broadcast(held)
+
+    def root_of(held: np.ndarray, node: int) -> int | None:
+        if not few:
+            return node if held[node % BITMAP >> 3] >> (node % BITMAP & 7) & 1 else None
+        at = int(np.searchsorted(held[0], node))
+        return int(held[1][at]) if at < held.shape[1] and held[0][at] == node else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = sent.value, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 256):
                 out = []
-                for s in shingle_sets(raw(batch.slice(at, 512), text), size):
-                    if len(s) and test(held, node_of(d := digest_of(s))) and d not in seen:
+                for s in shingle_sets(raw(batch.slice(at, 256), text), size):
+                    if len(s) and (d := digest_of(s)) not in seen and (root := root_of(held, node_of(d))) is not None:
                         seen.add(d)
-                        out.append((node_of(d), d, s.tobytes()))
+                        out.append((root, d, s.tobytes()))
                         if len(seen) > SEEN:
                             seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["root", "digest", "shingles"])
 
-    found = docs.select(text).mapInArrow(run, "node bigint, digest binary, shingles binary")
-    return found.join(bundles, "node").dropDuplicates(["digest"]).select("root", "digest", "shingles")
+    found = docs.select(text).mapInArrow(run, "root bigint, digest binary, shingles binary")
+    if few:
+        return found
+    return found.withColumnRenamed("root", "node").join(bundles, "node").select("root", "digest", "shingles")
 
 
 def join_blocks(rows: DataFrame, keys: list[str], classes, percent: int) -> DataFrame:
@@ -489,18 +524,17 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     classes = spark.sparkContext.broadcast(frequency_classes(counts, mean))
     bundles = stored(components(candidate_edges(docs, classes, percent, text=text, size=size)), "bundles")
     members = stored(member_sets(docs, bundles, text=text, size=size), "members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
-    fits = (F.col("n") <= bundle) & (F.col("bytes") <= 256 << 20)
-    joined = members.join(sizes.where(F.col("n") > 1), "root")
-    labels = join_blocks(joined.where(fits).select("root", "digest", "shingles"), ["root"], classes, percent)
-    large = sizes.where(~fits)
-    if large.limit(1).count():
-        links = join_large(members.join(large.select("root"), "root"), classes, percent, bundle)
+    sizes = members.groupBy("root", "digest").agg(F.max(F.octet_length("shingles")).alias("bytes")).groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    large = stored(sizes.where((F.col("n") > bundle) | (F.col("bytes") > BUNDLE_BYTES)).select("root"), "large")
+    some = bool(large.limit(1).count())
+    labels = join_blocks(members.join(large, "root", "left_anti") if some else members, ["root"], classes, percent)
+    if some:
+        links = join_large(members.join(large, "root").dropDuplicates(["digest"]), classes, percent, bundle)
         number = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("bigint")
         names = links.select(number(F.col("digest")).alias("a"), number(F.col("label")).alias("b"))
-        far = components(names).select(F.col("node").alias("_n"), F.hex(F.col("root").cast("string").cast("binary")).alias("_r"))
+        far = components(names).select(F.col("node").alias("_n"), F.col("root").cast("string").cast("binary").alias("_r"))
         own = links.select("digest").distinct()
-        labels = labels.union(own.join(far, number(F.col("digest")) == F.col("_n")).select("digest", F.unhex("_r").alias("label")))
+        labels = labels.union(own.join(far, number(F.col("digest")) == F.col("_n")).select("digest", F.col("_r").alias("label")))
     labels = stored(labels.where("digest <> label"), "labels")
     named = rows.join(labels.select(F.col("digest").alias("_digest"), F.col("label").alias("_label")), "_digest", "left")
     named = named.withColumn("_label", F.coalesce("_label", "_digest"))
