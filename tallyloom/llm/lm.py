@@ -27,6 +27,7 @@ SEGMENTS = 4096
 #: What is sent to the workers at most; beyond it counts are joined instead.
 FILTER_BYTES, VOCABULARY = 128 << 20, 8_000_000
 FLUSH = 1 << 22
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def token_arrays(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -43,7 +44,7 @@ def token_arrays(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.nda
 
 @dataclass(frozen=True)
 class Counts:
-    """words: (h, c); bigrams: (h, v, c), v being the second word; tokens, distinct: N and V; texts: how many were learnt from."""
+    """words: (h, c); bigrams: (seg, h, c); tokens, distinct: N and V; texts: how many were learnt from."""
 
     words: DataFrame
     bigrams: DataFrame
@@ -65,10 +66,9 @@ def count(docs: DataFrame, *, text: str = "text") -> Counts:
 
         def flush() -> Iterator[pa.RecordBatch]:
             tokens, pairs = (np.concatenate([h[i] for h in held]) for i in range(2))
-            for kind, x, second in ((0, tokens, tokens), (1, pairs, tokens)):
-                h, first, c = np.unique(x, return_index=True, return_counts=True)
-                columns = [pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(second[first].view(np.int64)) if kind else pa.nulls(len(h), pa.int64()), pa.array(c)]
-                yield pa.RecordBatch.from_arrays(columns, names=["kind", "h", "v", "c"])
+            for kind, x in ((0, tokens), (1, pairs)):
+                h, c = np.unique(x, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(c)], names=["kind", "h", "c"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -83,13 +83,13 @@ def count(docs: DataFrame, *, text: str = "text") -> Counts:
 
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = docs.select(text).mapInArrow(run, "kind tinyint, h bigint, v bigint, c bigint")
+    rows = docs.select(text).mapInArrow(run, "kind tinyint, h bigint, c bigint")
     dealt = rows.withColumn("seg", F.shiftrightunsigned("h", 52).cast("int")).repartition(tasks, "seg")
-    both = stored(dealt.groupBy("seg", "kind", "h").agg(F.min("v").alias("v"), F.sum("c").alias("c")), "counts")
+    both = stored(dealt.groupBy("seg", "kind", "h").agg(F.sum("c").alias("c")), "counts")
     single = both.where("kind = 0")
     n = single.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = single.where(F.col("h") == int(END.view(np.int64))).select("c").first()
-    return Counts(single.select("h", "c"), both.where("kind = 1").select("seg", "h", "v", "c"), n.n, n.v, ends.c if ends else 0)
+    return Counts(single.select("h", "c"), both.where("kind = 1").select("seg", "h", "c"), n.n, n.v, ends.c if ends else 0)
 
 
 @dataclass(frozen=True)
@@ -100,22 +100,28 @@ class Filter:
     probes: int
     base: float
 
-    def place(self, h: np.ndarray, level: int, probe: int) -> np.ndarray:
-        """The bit that a probe sets for each bigram, counted through all segments."""
-        n = np.uint64(self.bits.shape[1] * 8)
+    def spread(self, h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of a level begin, and how far apart they are, modulo 2**32."""
         one = mixed(h + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
-        step = (one >> np.uint64(32)) | np.uint64(1)
-        return (h >> np.uint64(52)) * n + (one + np.uint64(probe) * step) % n
+        return one & LOW, (one >> np.uint64(32)) | np.uint64(1)
+
+    def within(self, at: np.ndarray) -> np.ndarray:
+        """Numbers below 2**32 to bits of a segment."""
+        return (at * np.uint64(self.bits.shape[1] * 8)) >> np.uint64(32)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level of each bigram, 0 if it isn't there: probed until a level is missing."""
         flat = self.bits.reshape(-1)
         out = np.zeros(len(h), dtype=np.int16)
-        left, level = np.arange(len(h)), 1
+        left, segment, level = np.arange(len(h)), (h >> np.uint64(52)) * np.uint64(self.bits.shape[1] * 8), 1
         while True:
-            for probe in range(self.probes):
-                at = self.place(h[left], level, probe)
-                left = left[(flat[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            at, step = self.spread(h, level)
+            for _ in range(self.probes):
+                bit = segment + self.within(at)
+                held = (flat[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                if not held.all():
+                    h, left, segment, at, step = h[held], left[held], segment[held], at[held], step[held]
+                at = (at + step) & LOW
             if not len(left):
                 return out
             out[left] = level
@@ -133,7 +139,7 @@ def value_of(levels: np.ndarray, base: float) -> np.ndarray:
     return np.where(levels > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
-def build_filter(counts: Counts, *, base: float = 1.5, bits_each: float = 12.0, probes: int = 8, most_bytes: int = FILTER_BYTES) -> Filter | None:
+def build_filter(counts: Counts, *, base: float = 1.5, bits_each: float = 10.0, probes: int = 5, most_bytes: int = FILTER_BYTES) -> Filter | None:
     """The filter, or None if it would be larger than `most_bytes`. Its size follows the number of levels to hold."""
     held = counts.bigrams.agg(F.coalesce(F.sum(level_of(F.col("c"), base).cast("long")), F.lit(0)).alias("n")).first().n
     width = max(8, math.ceil(held * bits_each / 8 / SEGMENTS))
@@ -152,8 +158,10 @@ def build_filter(counts: Counts, *, base: float = 1.5, bits_each: float = 12.0,
                 own = h[q >= level]
                 segment = (own >> np.uint64(52)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(segment, prepend=-1))
-                for probe in range(probes):
-                    inside = shape.place(own, level, probe).astype(np.int64) - segment * (width * 8)
+                at, step = shape.spread(own, level)
+                for _ in range(probes):
+                    inside = shape.within(at).astype(np.int64)
+                    at = (at + step) & LOW
                     for s, part in zip(segment[cuts].tolist(), np.split(inside, cuts[1:]), strict=True):
                         made.setdefault(s, np.zeros(width * 8, dtype=bool))[part] = True
         data = [np.packbits(b, bitorder="little").tobytes() for b in made.values()]
@@ -209,26 +217,23 @@ def score(docs: DataFrame, counts: Counts, *, text: str = "text", prior: float =
 
         def make():
             held, (h, c), texts = sent.value
-
-            def count_of(x: np.ndarray) -> np.ndarray:
-                u, back = np.unique(x, return_inverse=True)
-                if not len(h):
-                    return np.zeros(len(x))
-                at = np.minimum(np.searchsorted(h, u), len(h) - 1)
-                return np.where(u == START, texts, np.where(h[at] == u, c[at], 0))[back].astype(float)
+            values = value_of(np.arange(200), held.base)
 
             def work(batch):
                 out: list[list] = [[], [], [], []]
-                for tokens, before, pairs, ends in token_arrays(raw(batch, text)):
-                    own = count_of(tokens)
+                for tokens, _, pairs, ends in token_arrays(raw(batch, text)):
+                    unique, back = np.unique(tokens, return_inverse=True)
+                    at = np.minimum(np.searchsorted(h, unique), max(len(h) - 1, 0))
+                    seen = np.where(h[at] == unique, c[at], 0).astype(float) if len(h) else np.zeros(len(unique))
+                    log = np.log10((seen + 0.5) / total)
+                    own = seen[back]
                     first = np.concatenate([[0], ends[:-1]])
                     context = np.empty_like(own)
                     context[1:] = own[:-1]
                     context[first] = texts
-                    p = (own + 0.5) / total
-                    joint = np.log10((value_of(held.levels(pairs), held.base) + prior * p) / (context + prior))
+                    joint = np.log10((values[held.levels(pairs)] + (prior / total) * (own + 0.5)) / (context + prior))
                     out[0] += (ends - first).tolist()
-                    for k, x in enumerate((own > 0, np.log10(p), joint), 1):
+                    for k, x in enumerate((own > 0, log[back], joint), 1):
                         out[k] += np.add.reduceat(x, first, dtype=np.int64 if k == 1 else float).tolist()
                 return out
 
