@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tallyloom.plans import aggregation  # noqa: F401
+from tallyloom.plans.registry import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "a12_step_rollup"
