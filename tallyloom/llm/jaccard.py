@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, arrow_map, raw, stored, table
+from .common import apart, raw, release, stored, table
 from .wordhash import mixed, shingle_sets
 
 BUCKETS = 1 << 20
@@ -48,7 +48,12 @@ def digest_of(s: np.ndarray) -> bytes:
 
 
 def node_of(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def node_column(digest: Column | str) -> Column:
+    """node_of() as an expression."""
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("bigint")
 
 
 def classify(docs: DataFrame, *, text: str = "text", size: int = 5) -> tuple[DataFrame, np.ndarray, int]:
@@ -522,19 +527,21 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     rows, counts, mean = classify(docs, text=text, size=size)
     classes = spark.sparkContext.broadcast(frequency_classes(counts, mean))
-    bundles = stored(components(candidate_edges(docs, classes, percent, text=text, size=size)), "bundles")
-    members = stored(member_sets(docs, bundles, text=text, size=size), "members")
-    sizes = members.groupBy("root", "digest").agg(F.max(F.octet_length("shingles")).alias("bytes")).groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    edges = stored(candidate_edges(docs, classes, percent, text=text, size=size), "candidates")
+    release(spark)
+    bundles = stored(components(edges), "bundles")
+    distinct = rows.where("_digest is not null").select("_digest", "n_shingles").distinct().withColumn("node", node_column("_digest"))
+    sizes = distinct.join(bundles, "node").groupBy("root").agg(F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("bytes"))
     large = stored(sizes.where((F.col("n") > bundle) | (F.col("bytes") > BUNDLE_BYTES)).select("root"), "large")
     some = bool(large.limit(1).count())
+    members = member_sets(docs, bundles, text=text, size=size)
     labels = join_blocks(members.join(large, "root", "left_anti") if some else members, ["root"], classes, percent)
     if some:
         links = join_large(members.join(large, "root").dropDuplicates(["digest"]), classes, percent, bundle)
-        number = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("bigint")
-        names = links.select(number(F.col("digest")).alias("a"), number(F.col("label")).alias("b"))
+        names = links.select(node_column("digest").alias("a"), node_column("label").alias("b"))
         far = components(names).select(F.col("node").alias("_n"), F.col("root").cast("string").cast("binary").alias("_r"))
         own = links.select("digest").distinct()
-        labels = labels.union(own.join(far, number(F.col("digest")) == F.col("_n")).select("digest", F.col("_r").alias("label")))
+        labels = labels.union(own.join(far, node_column("digest") == F.col("_n")).select("digest", F.col("_r").alias("label")))
     labels = stored(labels.where("digest <> label"), "labels")
     named = rows.join(labels.select(F.col("digest").alias("_digest"), F.col("label").alias("_label")), "_digest", "left")
     named = named.withColumn("_label", F.coalesce("_label", "_digest"))
