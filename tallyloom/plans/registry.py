@@ -24,7 +24,8 @@ def query(name: str, sql: str | None = None):
             views = ", ".join(f"{v} AS ({SQL_VIEWS[v]})" for v in needed)
             body = sql.strip()
             if views:
-                body = f"WITH {views}, {body[5:].lstrip()}" if body.upper().startswith("WITH ") else f"WITH {views} {body}"
+                head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(h)), "")
+                body = f"{head or 'WITH '}{views}{', ' if head else ' '}{body[len(head) :]}"
             ORACLES[name] = body
         return f
 
