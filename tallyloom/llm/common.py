@@ -51,6 +51,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def remembered(kind: str, make: Callable):
+    """What a Python worker keeps from task to task: one thing at a time, so that workers stay small."""
+    held = pa.__dict__.setdefault("_remembered", {})
+    if kind not in held:
+        held.clear()
+        held[kind] = make()
+    return held[kind]
+
+
+def forget() -> None:
+    pa.__dict__.get("_remembered", {}).clear()
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a missing id counts as empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
@@ -69,6 +82,7 @@ def arrow_map(
     *,
     drop: tuple[str, ...] = (),
     rows: int = 1024,
+    remember: bool = False,
 ) -> DataFrame:
     """Add columns computed from slices of at most `rows` rows.
 
@@ -81,6 +95,8 @@ def arrow_map(
     arrow = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remember:
+            forget()
         work = make()
         for batch in batches:
             for start in range(0, batch.num_rows, rows):

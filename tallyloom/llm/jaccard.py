@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, raw, release, stored, table
+from .common import apart, forget, raw, release, stored, table
 from .wordhash import mixed, shingle_sets
 
 BUCKETS = 1 << 20
@@ -68,6 +68,7 @@ def classify(docs: DataFrame, *, text: str = "text", size: int = 5) -> tuple[Dat
     nullable = [T.StructField(c, docs.schema[c].dataType, True) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts = np.zeros(BUCKETS, dtype=np.int64)
         kinds = None
         for batch in batches:

@@ -21,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, arrow_map, stored, table, texts
+from .common import apart, arrow_map, remembered, stored, table, texts
 
 CAPACITY = 2048
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 # The tokenizer's letters and numbers within Latin-1, lower case, and its cuts.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -176,16 +176,6 @@ class Others(dict):
         return found
 
 
-def worker_tokens(path: str) -> WordTokens:
-    """One per Python worker, so that what is remembered outlives a task."""
-    import tokenizers
-
-    held = tokenizers.__dict__.setdefault("_remembered", {})
-    if path not in held:
-        held[path] = WordTokens(path)
-    return held[path]
-
-
 def pieces(docs: DataFrame, path: str, *, text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Rows to pieces: tokens plus `end_id`, cut only if longer than `capacity`; adds piece, start, length, ids_crc32.
 
@@ -196,7 +186,7 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", capacity: int = CA
     kind = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
     def make():
-        tokens = worker_tokens(path)
+        tokens = remembered(f"tokens {path}", lambda: WordTokens(path))
 
         def work(batch):
             out = []
@@ -211,7 +201,7 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", capacity: int = CA
 
         return work
 
-    cut = arrow_map(docs, [("_pieces", kind)], make, drop=(text,))
+    cut = arrow_map(docs, [("_pieces", kind)], make, drop=(text,), remember=True)
     kept = apart(cut, ["_pieces", "piece", "start", "length", "ids_crc32"])
     return cut.select(*kept, F.explode("_pieces").alias("_p")).select(*kept, "_p.*")
 
