@@ -9,11 +9,12 @@ Exact, in steps that each grow in proportion to the input:
    edges, only as many as span each group; a very frequent shingle gives edges to a
    hub for its length band instead, so that no task gathers its group.
 3. Connected candidates form a bundle. No link leaves a bundle, most are small, and
-   each set goes to one bundle only.
+   each set goes to one bundle only. Bundles too large for a task go through 2 and 3
+   again by themselves: among fewer sets the order is finer and splits them.
 4. A bundle's sets are stored in a prefix tree, frequent shingles first. Each set walks the
    tree, sharing partial overlaps; a subtree is left when the lengths that remain
    can't reach the threshold or when all its sets are already connected to the set.
-   Bundles beyond a bound are first split by their distances from pivots.
+   Bundles still too large are cut by their distances from pivots.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import apart, forget, raw, release, stored, table
 from .wordhash import mixed, shingle_sets
 
-BUCKETS = 1 << 20
-BLOCK = 1 << 12
+BUCKETS = 1 << 22
+BLOCK = 1 << 14
 #: Groups of a shingle up to this size are searched for candidate pairs; larger ones are chained by length.
 GROUP = 2048
 #: A shingle whose bucket holds this many, and four times the mean, is very frequent.
@@ -56,6 +57,33 @@ def node_column(digest: Column | str) -> Column:
     return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("bigint")
 
 
+class Kept:
+    """Nodes with their roots, sent to the workers; of more than MEMBERS a bitmap that lets some others pass."""
+
+    def __init__(self, bundles: DataFrame):
+        spark = bundles.sparkSession
+        self.few = bundles.count() <= MEMBERS
+        if self.few:
+            rows = [(r.node, r.root) for r in bundles.select("node", "root").toLocalIterator()]
+            held = np.array(sorted(rows), dtype=np.int64).reshape(-1, 2).T.copy()
+        else:
+            bit = F.pmod("node", F.lit(BITMAP))
+            bits = bundles.select(bit.alias("bit")).groupBy((F.col("bit") / 65536).cast("int").alias("k")).agg(F.collect_set((F.col("bit") % 65536).cast("int")).alias("bits"))
+            held = np.zeros(BITMAP // 8, dtype=np.uint8)
+            for r in bits.toLocalIterator():
+                block = np.zeros(65536, dtype=bool)
+                block[r.bits] = True
+                held[r.k * 8192 : (r.k + 1) * 8192] = np.packbits(block, bitorder="little")
+        self.sent = spark.sparkContext.broadcast(held)
+
+    def root_of(self, node: int) -> int | None:
+        held = self.sent.value
+        if not self.few:
+            return node if held[node % BITMAP >> 3] >> (node % BITMAP & 7) & 1 else None
+        at = int(np.searchsorted(held[0], node))
+        return int(held[1][at]) if at < held.shape[1] and held[0][at] == node else None
+
+
 def classify(docs: DataFrame, *, text: str = "text", size: int = 5) -> tuple[DataFrame, np.ndarray, int]:
     """Rows without the text but with n_shingles and _digest; counts of shingles by bucket; the mean count.
 
@@ -69,40 +97,65 @@ def classify(docs: DataFrame, *, text: str = "text", size: int = 5) -> tuple[Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+        counts = np.zeros(BUCKETS, dtype=np.int32)
         kinds = None
         for batch in batches:
             kinds = kinds or [batch.schema.field(c).type for c in kept]
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, digests, bins = [], [], []
+                n, digests = [], []
                 for s in shingle_sets(raw(part, text), size):
                     n.append(len(s))
                     digests.append(digest_of(s) if len(s) else None)
-                    bins.append(s & np.uint64(BUCKETS - 1))
-                counts += np.bincount(np.concatenate(bins).astype(np.int64), minlength=BUCKETS)
+                    counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
                 none = pa.nulls(len(n))
                 columns = [part.column(part.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=[*kept, *new.names])
-        blocks = [i for i in range(BUCKETS // BLOCK) if counts[i * BLOCK : (i + 1) * BLOCK].any()]
+        blocks, data = blocks_of(counts)
         if blocks:
-            data = [zlib.compress(counts[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in blocks]
             none = pa.nulls(len(blocks))
             yield pa.RecordBatch.from_arrays([*[none.cast(k) for k in kinds], none.cast(pa.int64()), none.cast(pa.binary()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=[*kept, *new.names])
 
     both = stored(docs.select(*kept, text).mapInArrow(run, T.StructType([*nullable, *new.fields])), "classes")
 
+    counts = summed(both.where("_block is not null").select("_block", "_counts"))
+    return both.where("_block is null").drop("_block", "_counts"), counts, int(counts.mean()) + 1
+
+
+def blocks_of(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    blocks = [i for i in range(BUCKETS // BLOCK) if counts[i * BLOCK : (i + 1) * BLOCK].any()]
+    return blocks, [zlib.compress(counts[i * BLOCK : (i + 1) * BLOCK].astype(np.int64).tobytes(), 1) for i in blocks]
+
+
+def summed(blocks: DataFrame) -> np.ndarray:
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(c), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["_block", "_counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], names=["_block", "_counts"])
 
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for r in both.where("_block is not null").select("_block", "_counts").repartition(32, "_block").mapInArrow(total, "_block int, _counts binary").collect():
-        counts[r["_block"] * BLOCK : (r["_block"] + 1) * BLOCK] = np.frombuffer(r["_counts"], dtype=np.int64)
-    return both.where("_block is null").drop("_block", "_counts"), counts, int(counts.mean()) + 1
+    for r in blocks.repartition(32, "_block").mapInArrow(total, "_block int, _counts binary").toLocalIterator():
+        counts[r["_block"] * BLOCK : (r["_block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["_counts"]), dtype=np.int64)
+    return counts
+
+
+def counts_among(docs: DataFrame, kept: Kept, *, text: str = "text", size: int = 5) -> np.ndarray:
+    """Counts by bucket over the sets of kept nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        counts = np.zeros(BUCKETS, dtype=np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for s in shingle_sets(raw(batch.slice(at, 512), text), size):
+                    if len(s) and kept.root_of(node_of(digest_of(s))) is not None:
+                        counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
+        blocks, data = blocks_of(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=["_block", "_counts"])
+
+    return summed(docs.select(text).mapInArrow(run, "_block int, _counts binary"))
 
 
 def frequency_classes(counts: np.ndarray, mean: int) -> np.ndarray:
@@ -119,8 +172,8 @@ def ordered(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return s[at], c[at]
 
 
-def candidate_edges(docs: DataFrame, classes, percent: int, *, text: str = "text", size: int = 5) -> DataFrame:
-    """Edges (a, b) between nodes that span all candidates; b may be the hub of a frequent shingle and length band."""
+def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None = None, *, text: str = "text", size: int = 5) -> DataFrame:
+    """Edges (a, b) between (kept) nodes that span all candidates; b may be the hub of a frequent shingle and length band."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = classes.value, set()
@@ -131,7 +184,7 @@ def candidate_edges(docs: DataFrame, classes, percent: int, *, text: str = "text
                 for s in shingle_sets(raw(batch.slice(at, 512), text), size):
                     node = node_of(digest_of(s))
                     n = len(s)
-                    if not n or node in seen:
+                    if not n or node in seen or (kept is not None and kept.root_of(node) is None):
                         continue
                     seen.add(node)
                     if len(seen) > SEEN:
@@ -386,38 +439,16 @@ def ranked(sets: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
 
 
 def member_sets(docs: DataFrame, bundles: DataFrame, *, text: str = "text", size: int = 5) -> DataFrame:
-    """(root, digest, shingles) of each class in a bundle; once, or once for each task that meets a copy.
-
-    Up to MEMBERS nodes are sent to the workers with their roots. Of more, a bitmap is
-    sent, and a join drops the sets that it lets through in error.
-    """
-    spark = docs.sparkSession
-    n = bundles.count()
-    if few := n <= MEMBERS:
-        rows = [(r.node, r.root) for r in bundles.toLocalIterator()]
-        held = np.array(sorted(rows), dtype=np.int64).reshape(-1, 2).T.copy()
-    else:
-        bits = bundles.select(F.pmod("node", F.lit(BITMAP)).alias("bit")).groupBy((F.col("bit") / 65536).cast("int").alias("k")).agg(F.collect_set((F.col("bit") % 65536).cast("int")).alias("bits"))
-        held = np.zeros(BITMAP // 8, dtype=np.uint8)
-        for r in bits.toLocalIterator():
-            block = np.zeros(65536, dtype=bool)
-            block[r.bits] = True
-            held[r.k * 8192 : (r.k + 1) * 8192] = np.packbits(block, bitorder="little")
-    sent = spark.sparkContext.broadcast(held)
-
-    def root_of(held: np.ndarray, node: int) -> int | None:
-        if not few:
-            return node if held[node % BITMAP >> 3] >> (node % BITMAP & 7) & 1 else None
-        at = int(np.searchsorted(held[0], node))
-        return int(held[1][at]) if at < held.shape[1] and held[0][at] == node else None
+    """(root, digest, shingles) of each class in a bundle; once, or once for each task that meets a copy."""
+    kept = Kept(bundles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = sent.value, set()
+        seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
                 for s in shingle_sets(raw(batch.slice(at, 256), text), size):
-                    if len(s) and (d := digest_of(s)) not in seen and (root := root_of(held, node_of(d))) is not None:
+                    if len(s) and (d := digest_of(s)) not in seen and (root := kept.root_of(node_of(d))) is not None:
                         seen.add(d)
                         out.append((root, d, s.tobytes()))
                         if len(seen) > SEEN:
@@ -425,7 +456,7 @@ def member_sets(docs: DataFrame, bundles: DataFrame, *, text: str = "text", size
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["root", "digest", "shingles"])
 
     found = docs.select(text).mapInArrow(run, "root bigint, digest binary, shingles binary")
-    if few:
+    if kept.few:
         return found
     return found.withColumnRenamed("root", "node").join(bundles, "node").select("root", "digest", "shingles")
 
@@ -517,7 +548,7 @@ def join_large(rows: DataFrame, classes, percent: int, bundle: int, pivots: int
     return links.union(state.where("ball is not null").select("digest", F.col("ball").alias("label")))
 
 
-def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bundle: int = BUNDLE) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bundle: int = BUNDLE, levels: int = 5) -> DataFrame:
     """Add n_shingles and component_id (the smallest key reachable by links); the text is dropped, other columns stay.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. A row
@@ -532,9 +563,22 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     release(spark)
     bundles = stored(components(edges), "bundles")
     distinct = rows.where("_digest is not null").select("_digest", "n_shingles").distinct().withColumn("node", node_column("_digest"))
-    sizes = distinct.join(bundles, "node").groupBy("root").agg(F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("bytes"))
-    large = stored(sizes.where((F.col("n") > bundle) | (F.col("bytes") > BUNDLE_BYTES)).select("root"), "large")
-    some = bool(large.limit(1).count())
+    large, before = None, None
+    for level in range(levels + 1):
+        sizes = distinct.join(bundles, "node").groupBy("root").agg(F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("bytes"))
+        large = stored(sizes.where((F.col("n") > bundle) | (F.col("bytes") > BUNDLE_BYTES)).select("root", "n"), "large")
+        now = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not now or before is not None and (level == levels or now > 0.9 * before):
+            break
+        before = now
+        own = stored(bundles.join(large.select("root"), "root").select("node", "root"), "too-large")
+        kept = Kept(own)
+        counts = counts_among(docs, kept, text=text, size=size)
+        finer = spark.sparkContext.broadcast(frequency_classes(counts, int(counts.mean()) + 1))
+        again = stored(candidate_edges(docs, finer, percent, kept, text=text, size=size), "candidates")
+        release(spark)
+        bundles = stored(bundles.join(large.select("root"), "root", "left_anti").select("node", "root").union(components(again)), "bundles")
+    some, large = bool(now), large.select("root")
     members = member_sets(docs, bundles, text=text, size=size)
     labels = join_blocks(members.join(large, "root", "left_anti") if some else members, ["root"], classes, percent)
     if some:
