@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def slice_rows(df: DataFrame, ordinal: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
@@ -26,14 +27,14 @@ def repeat(df: DataFrame, ordinal: str, times: int, *, interleave: bool = True)
     """Each row `times` times with a new ordinal: copies side by side, or whole batches one after the other."""
     n = F.count("*").over(Window.partitionBy())
     out = df.withColumn("_n", n) if not interleave else df.withColumn("_n", F.lit(0))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).cast("long"))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
     new = F.col(ordinal) * times + F.col("copy") if interleave else F.col("copy") * F.col("_n") + F.col(ordinal)
     return out.withColumn(ordinal, new).drop("_n")
 
 
 def repeat_by(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as its own column says; not at all for 0."""
-    return df.where(F.col(times) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))) - 1)
+    return df.where(F.col(times) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times).cast("long") - 1)))
 
 
 def pad_to_multiple(df: DataFrame, ordinal: str, divisor: int, total: int) -> DataFrame:
@@ -89,7 +90,7 @@ def largest_differencing(lengths: list[int], k: int) -> list[list[int]]:
 
 def balance(df: DataFrame, group: str, length: str, key: str, k: int) -> DataFrame:
     """Add `part`: within each group (a batch, which fits one task) rows in k parts of nearly equal length."""
-    schema = df.schema.add("part", "long")
+    schema = T.StructType([*df.schema.fields, T.StructField("part", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
         rows = batches.sort_values(key, ignore_index=True)
