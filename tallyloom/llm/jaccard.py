@@ -10,7 +10,8 @@ Exact, in steps that each grow in proportion to the input:
    hub for its length band instead, so that no task gathers its group.
 3. Connected candidates form a bundle. No link leaves a bundle, most are small, and
    each set goes to one bundle only. Bundles too large for a task go through 2 and 3
-   again by themselves: among fewer sets the order is finer and splits them.
+   again by themselves: among fewer sets the order is finer, and signatures that bound
+   how far two sets are apart can be sent along; both split them without losing a link.
 4. A bundle's sets are stored in a prefix tree, frequent shingles first. Each set walks the
    tree, sharing partial overlaps; a subtree is left when the lengths that remain
    can't reach the threshold or when all its sets are already connected to the set.
@@ -40,6 +41,8 @@ FREQUENT = 20_000
 #: Sets of a bundle that one task joins, and edges that it remembers.
 BUNDLE, BUNDLE_BYTES = 4096, 64 << 20
 SEEN = 500_000
+#: Bits of a set's signature, and how many sets' are sent to the workers at most.
+SIGNATURE_BITS, SIGNATURES = 1024, 300_000
 #: Members sent to the workers as they are; of more, a bitmap of this many bits is sent and the join drops the rest.
 MEMBERS, BITMAP = 2_000_000, 1 << 28
 
@@ -172,7 +175,34 @@ def ordered(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return s[at], c[at]
 
 
-def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None = None, *, text: str = "text", size: int = 5) -> DataFrame:
+class Signatures:
+    """Parities of SIGNATURE_BITS parts of each kept set. Two differ in at most as many bits as their sets have shingles apart."""
+
+    def __init__(self, docs: DataFrame, kept: Kept, text: str, size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    out = {}
+                    for s in shingle_sets(raw(batch.slice(at, 512), text), size):
+                        if len(s) and (node := node_of(digest_of(s))) not in seen and kept.root_of(node) is not None:
+                            seen.add(node)
+                            part = ((s >> np.uint64(32)) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)
+                            out[node] = np.packbits(np.bincount(part, minlength=SIGNATURE_BITS) & 1).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "bits"])
+
+        found = {r.node: r.bits for r in docs.select(text).mapInArrow(run, "node bigint, bits binary").toLocalIterator()}
+        nodes = np.array(sorted(found), dtype=np.int64)
+        bits = np.frombuffer(b"".join(found[n] for n in nodes.tolist()), dtype=np.uint64).reshape(len(nodes), -1)
+        self.sent = docs.sparkSession.sparkContext.broadcast((nodes, bits))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """At least this many shingles are in one set of each pair only."""
+        nodes, bits = self.sent.value
+        return np.bitwise_count(bits[np.searchsorted(nodes, a)] ^ bits[np.searchsorted(nodes, b)]).sum(1, dtype=np.int64)
+
+
+def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None = None, signatures: Signatures | None = None, *, text: str = "text", size: int = 5) -> DataFrame:
     """Edges (a, b) between (kept) nodes that span all candidates; b may be the hub of a frequent shingle and length band."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +262,11 @@ def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None =
                 end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
                 m = n[i + 1 : end]
                 reach = np.minimum(n[i] - place[i], m - place[i + 1 : end])
-                for j in (np.flatnonzero(reach * (100 + percent) >= percent * (n[i] + m)) + i + 1).tolist():
+                near = np.flatnonzero(reach * (100 + percent) >= percent * (n[i] + m))
+                if signatures is not None and len(near):
+                    apart = signatures.apart(np.full(len(near), node[i]), node[i + 1 + near])
+                    near = near[apart * (100 + percent) <= (100 - percent) * (n[i] + m[near])]
+                for j in (near + i + 1).tolist():
                     a, b = top(i), top(j)
                     if a != b:
                         parent[a] = b
@@ -258,7 +292,10 @@ def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None =
             if len(twos):
                 a, b = n[twos], n[twos + 1]
                 reach = np.minimum(a - place[twos], b - place[twos + 1])
-                keep = twos[(a * 100 >= percent * b) & (reach * (100 + percent) >= percent * (a + b))]
+                good = (a * 100 >= percent * b) & (reach * (100 + percent) >= percent * (a + b))
+                if signatures is not None:
+                    good &= signatures.apart(node[twos], node[twos + 1]) * (100 + percent) <= (100 - percent) * (a + b)
+                keep = twos[good]
                 out.append([node[keep], node[keep + 1]])
             for i in (np.flatnonzero(sizes[k:whole] > 2) + k).tolist():
                 x, y = first[i], first[i] + sizes[i]
@@ -575,7 +612,8 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         kept = Kept(own)
         counts = counts_among(docs, kept, text=text, size=size)
         finer = spark.sparkContext.broadcast(frequency_classes(counts, int(counts.mean()) + 1))
-        again = stored(candidate_edges(docs, finer, percent, kept, text=text, size=size), "candidates")
+        signatures = Signatures(docs, kept, text, size) if now <= SIGNATURES else None
+        again = stored(candidate_edges(docs, finer, percent, kept, signatures, text=text, size=size), "candidates")
         release(spark)
         bundles = stored(bundles.join(large.select("root"), "root", "left_anti").select("node", "root").union(components(again)), "bundles")
     some, large = bool(now), large.select("root")
