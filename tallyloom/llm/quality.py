@@ -129,14 +129,14 @@ def fences(rows: DataFrame, keys: list[str], *, width: float = 4.0, least_rows:
 
 
 def judge(counts: DataFrame, keys: list[str], **settings) -> DataFrame:
-    """Add base_failed, kept and failed_ratios to rows of text_counts().
+    """Add base_failed, kept and failed_ratios to rows of text_counts(), which are written to the shared folder once.
 
     Thresholds are learnt from rows that pass the base rules. A group without any
     such row has no fence, and all its rows have failed. An empty table gives an
     empty result. The join is on the keys, which the small side holds once; Spark
     broadcasts it only if it is small, and splits frequent keys otherwise.
     """
-    rows = with_ratios(counts).withColumn("base_failed", base_failed())
+    rows = with_ratios(stored(counts, "counts")).withColumn("base_failed", base_failed())
     limits = fences(rows.where(~F.col("base_failed")), keys, **settings)
     renamed = limits.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_fence")
     on = None
@@ -151,6 +151,5 @@ def judge(counts: DataFrame, keys: list[str], **settings) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    counts = stored(text_counts(docs), "counts")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_ratios"]
-    return judge(counts, ["lang", "source"]).select(*names)
+    return judge(text_counts(docs), ["lang", "source"]).select(*names)
