@@ -585,14 +585,8 @@ def join_large(rows: DataFrame, classes, percent: int, bundle: int, pivots: int
     return links.union(state.where("ball is not null").select("digest", F.col("ball").alias("label")))
 
 
-def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bundle: int = BUNDLE, levels: int = 5) -> DataFrame:
-    """Add n_shingles and component_id (the smallest key reachable by links); the text is dropped, other columns stay.
-
-    Two rows link when 100 * intersection >= percent * union of their shingle sets. A row
-    without words (a null or empty text) has no shingles and is alone; equal rows are
-    linked. A null key is passed over unless a component has no other. An empty
-    table gives an empty result; columns of the new names are replaced.
-    """
+def labelled(docs: DataFrame, *, text: str = "text", size: int = 5, percent: int = 75, bundle: int = BUNDLE, levels: int = 5) -> tuple[DataFrame, list[str]]:
+    """Rows with n_shingles, _digest and _label, which names the component and is null for a row without shingles; and the columns but these two."""
     spark = docs.sparkSession
     rows, counts, mean = classify(docs, text=text, size=size)
     classes = spark.sparkContext.broadcast(frequency_classes(counts, mean))
@@ -627,20 +621,34 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         labels = labels.union(own.join(far, node_column("digest") == F.col("_n")).select("digest", F.col("_r").alias("label")))
     labels = stored(labels.where("digest <> label"), "labels")
     named = rows.join(labels.select(F.col("digest").alias("_digest"), F.col("label").alias("_label")), "_digest", "left")
-    named = named.withColumn("_label", F.coalesce("_label", "_digest"))
+    return named.withColumn("_label", F.coalesce("_label", "_digest")), [c for c in rows.columns if c != "_digest"]
+
+
+def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bundle: int = BUNDLE, levels: int = 5) -> DataFrame:
+    """Add n_shingles and component_id (the smallest key reachable by links); the text is dropped, other columns stay.
+
+    Two rows link when 100 * intersection >= percent * union of their shingle sets. A row
+    without words (a null or empty text) has no shingles and is alone; equal rows are
+    linked. A null key is passed over unless a component has no other. An empty
+    table gives an empty result; columns of the new names are replaced.
+    """
+    named, columns = labelled(docs, text=text, size=size, percent=percent, bundle=bundle, levels=levels)
     least = named.where("_label is not null").groupBy("_label").agg(F.min(key).alias("_least"))
     out = named.join(least, "_label", "left").withColumn("_own", F.coalesce("_least", key))
-    return out.select(*[c for c in rows.columns if c != "_digest" and c.lower() != "component_id"], F.col("_own").alias("component_id"))
+    return out.select(*[c for c in columns if c.lower() != "component_id"], F.col("_own").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of the smallest key of each component; of rows that repeat a key, one."""
-    found = jaccard_components(docs.select(key, text), key=key, text=text, **settings)
-    kept = stored(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(kept, docs[key].eqNullSafe(kept["_key"]), "inner")
-    if kept.where("_n > 1").limit(1).count():
-        out = out.where("_n = 1").unionByName(out.where("_n > 1").dropDuplicates([key]))
-    return out.select(*docs.columns)
+    """One row of each component, that of the smallest key; of rows that share it, null keys included, one.
+
+    Rows are told apart by a number of their own, so a shared or null key neither loses nor saves a row.
+    """
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found, _ = labelled(numbered.select("_row", key, text), text=text, **settings)
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row"))["_row"]
+    chosen = found.where("_label is not null").groupBy("_label").agg(first.alias("_row")).select("_row")
+    kept = stored(chosen.union(found.where("_label is null").select("_row")), "kept")
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

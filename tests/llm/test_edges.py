@@ -60,6 +60,13 @@ def test_jaccard(docs):
     assert sorted((r.doc_id or 0) for r in kept) == ([0, 1, 2, 3, 4, 5] if got else [])
 
 
+def test_keep_one_tells_rows_apart(spark):
+    near = [" ".join(f"w{k}" for k in range(60)) + f" {end}" for end in "xyz"]
+    rows = [(None, "one clean text of its own here"), (None, "another clean text that stands alone"), (None, None), (None, None), (7, near[1]), (3, near[0]), (7, "not a copy of anything else at all"), (None, near[2]), (None, "null ids that hold equal texts"), (None, "null ids that hold equal texts")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, kept)) == sorted(f"Row(doc_id={k!r}, text={t!r})" for k, t in [*rows[:4], rows[5], rows[6], rows[8]])
+
+
 def test_pii(docs):
     got = pii.find_pii(docs, pii.fit(docs)).collect()
     assert len(got) == docs.count() and all(r.base_spans == [] and r.added_spans == [] for r in got)
