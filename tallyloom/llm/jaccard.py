@@ -43,7 +43,7 @@ BUNDLE, BUNDLE_BYTES = 4096, 64 << 20
 SEEN = 500_000
 #: Bits of a set's signature, and how many sets' are sent to the workers at most.
 SIGNATURE_BITS, SIGNATURES = 1024, 300_000
-#: Members sent to the workers as they are; of more, a bitmap of this many bits is sent and the join drops the rest.
+#: Members sent to the workers as they are; of more, a bitmap of this many bits is sent and a join drops the rest.
 MEMBERS, BITMAP = 2_000_000, 1 << 28
 
 
@@ -65,24 +65,26 @@ class Kept:
 
     def __init__(self, bundles: DataFrame):
         spark = bundles.sparkSession
+        self.bits = BITMAP
         self.few = bundles.count() <= MEMBERS
         if self.few:
             rows = [(r.node, r.root) for r in bundles.select("node", "root").toLocalIterator()]
             held = np.array(sorted(rows), dtype=np.int64).reshape(-1, 2).T.copy()
         else:
+            size = min(65536, BITMAP)
             bit = F.pmod("node", F.lit(BITMAP))
-            bits = bundles.select(bit.alias("bit")).groupBy((F.col("bit") / 65536).cast("int").alias("k")).agg(F.collect_set((F.col("bit") % 65536).cast("int")).alias("bits"))
+            bits = bundles.select(bit.alias("bit")).groupBy((F.col("bit") / size).cast("int").alias("k")).agg(F.collect_set((F.col("bit") % size).cast("int")).alias("bits"))
             held = np.zeros(BITMAP // 8, dtype=np.uint8)
             for r in bits.toLocalIterator():
-                block = np.zeros(65536, dtype=bool)
+                block = np.zeros(size, dtype=bool)
                 block[r.bits] = True
-                held[r.k * 8192 : (r.k + 1) * 8192] = np.packbits(block, bitorder="little")
+                held[r.k * size // 8 : (r.k + 1) * size // 8] = np.packbits(block, bitorder="little")
         self.sent = spark.sparkContext.broadcast(held)
 
     def root_of(self, node: int) -> int | None:
         held = self.sent.value
         if not self.few:
-            return node if held[node % BITMAP >> 3] >> (node % BITMAP & 7) & 1 else None
+            return node if held[node % self.bits >> 3] >> (node % self.bits & 7) & 1 else None
         at = int(np.searchsorted(held[0], node))
         return int(held[1][at]) if at < held.shape[1] and held[0][at] == node else None
 
@@ -202,15 +204,18 @@ class Signatures:
         return np.bitwise_count(bits[np.searchsorted(nodes, a)] ^ bits[np.searchsorted(nodes, b)]).sum(1, dtype=np.int64)
 
 
-def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None = None, signatures: Signatures | None = None, *, text: str = "text", size: int = 5) -> DataFrame:
-    """Edges (a, b) between (kept) nodes that span all candidates; b may be the hub of a frequent shingle and length band."""
+def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None = None, signatures: Signatures | None = None, own: DataFrame | None = None, *, text: str = "text", size: int = 5) -> DataFrame:
+    """Edges (a, b) between (kept) nodes that span all candidates; b may be the hub of a frequent shingle and length band.
+
+    If kept lets others pass, own has the nodes that are meant: rows of others go before groups are spanned, so that no chain leads through them.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = classes.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows: list[list[np.ndarray]] = [[], [], [], []]
-                hubs: set[tuple[int, int]] = set()
+                hubs: set[tuple[int, int, int]] = set()
                 for s in shingle_sets(raw(batch.slice(at, 512), text), size):
                     node = node_of(digest_of(s))
                     n = len(s)
@@ -232,11 +237,11 @@ def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None =
                         band = int(np.log(n) / np.log(100 / percent))
                         for t in tokens[~rare].tolist():
                             here, there = hub(t, band), hub(t, band + 1)
-                            hubs |= {(node, here), (here, there)}
+                            hubs |= {(node, here, 0), (here, there, -1)}
                 columns = [np.concatenate(r) if r else np.empty(0, k) for r, k in zip(rows, (np.int64, np.int64, np.int32, np.int32), strict=True)]
                 if hubs:
-                    a, b = np.array(sorted(hubs)).T
-                    columns = [np.concatenate([x, y]) for x, y in zip(columns, (a, b, np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)), strict=True)]
+                    a, b, kind = np.array(sorted(hubs)).T
+                    columns = [np.concatenate([x, y]) for x, y in zip(columns, (a, b, kind.astype(np.int32), np.zeros(len(a), np.int32)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "place"])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +318,7 @@ def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None =
         for batch in batches:
             columns = [np.concatenate([old, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in zip(carry, batch.columns, strict=True)]
             token, node, n, _ = columns
-            ready = n == 0  # an edge to a hub, already
+            ready = n <= 0  # an edge to a hub, already
             fresh = ~ready & np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
             out = [[token[ready], node[ready]]]
             yield edges_of(out + groups([c[fresh] for c in columns], False))
@@ -325,6 +330,10 @@ def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None =
         return pa.RecordBatch.from_arrays([pa.array(c) for c in both], names=["a", "b"])
 
     rows = docs.select(text).mapInArrow(prefixes, "token bigint, node bigint, n int, place int")
+    if own is not None:  # edges between hubs (n < 0) stay
+        member = F.when(F.col("n") == 0, F.col("token")).otherwise(F.col("node"))
+        meant = own.select(F.col("node").alias("_member"), F.lit(True).alias("_in"))
+        rows = rows.withColumn("_member", member).join(meant, "_member", "left").where("n < 0 OR _in").select("token", "node", "n", "place")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     grouped = rows.repartition(tasks, "token").sortWithinPartitions("token", "n", "node")
     return grouped.mapInArrow(spans, "a bigint, b bigint").distinct()
@@ -607,7 +616,7 @@ def labelled(docs: DataFrame, *, text: str = "text", size: int = 5, percent: int
         counts = counts_among(docs, kept, text=text, size=size)
         finer = spark.sparkContext.broadcast(frequency_classes(counts, int(counts.mean()) + 1))
         signatures = Signatures(docs, kept, text, size) if now <= SIGNATURES else None
-        again = stored(candidate_edges(docs, finer, percent, kept, signatures, text=text, size=size), "candidates")
+        again = stored(candidate_edges(docs, finer, percent, kept, signatures, None if kept.few else own, text=text, size=size), "candidates")
         release(spark)
         bundles = stored(bundles.join(large.select("root"), "root", "left_anti").select("node", "root").union(components(again)), "bundles")
     some, large = bool(now), large.select("root")

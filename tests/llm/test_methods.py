@@ -169,6 +169,20 @@ def test_jaccard_frequent_shingles(spark, copies, monkeypatch):
     assert got == brute_components(copies)
 
 
+def test_jaccard_bitmap_lets_parts_of_bundles_pass(spark, copies, monkeypatch):
+    """So few bits that of many small bundles some sets pass for members of large ones, and others don't."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+    monkeypatch.setattr(jaccard, "BITMAP", 16)
+    rng = random.Random(9)
+    docs = dict(copies)
+    for i in range(0, 180, 3):
+        w = [f"p{rng.randrange(9999)}" for _ in range(50)]
+        docs |= {20_000 + i + k: " ".join([*w, *["end"] * k]) for k in range(3)}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = jaccard.jaccard_components(rows, bundle=3).collect()
+    assert sorted((r.doc_id, (r.n_shingles, r.component_id)) for r in got) == sorted(brute_components(docs).items())
+
+
 def test_prefix_tree():
     rng = random.Random(5)
     for _ in range(150):
