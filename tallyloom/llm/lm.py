@@ -24,7 +24,7 @@ from .wordhash import grouped, mixed, words
 END, START = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 #: Filter segments: all probes of a bigram fall into one.
 SEGMENTS = 4096
-#: What is sent to the workers at most; beyond it counts are joined instead.
+#: What is sent to the workers at most; beyond it bigrams go to the filter's segments and words are joined.
 FILTER_BYTES, VOCABULARY = 128 << 20, 8_000_000
 FLUSH = 1 << 22
 LOW = np.uint64(0xFFFFFFFF)
@@ -94,7 +94,7 @@ def count(docs: DataFrame, *, text: str = "text") -> Counts:
 
 @dataclass(frozen=True)
 class Filter:
-    """bits: SEGMENTS rows of bytes; probes: bits set for each level; base: of the quantised counts."""
+    """bits: SEGMENTS rows of bytes, or one, if all that is put and probed falls into it; probes: bits set for each level; base: of the quantised counts."""
 
     bits: np.ndarray
     probes: int
@@ -113,7 +113,8 @@ class Filter:
         """The level of each bigram, 0 if it isn't there: probed until a level is missing."""
         flat = self.bits.reshape(-1)
         out = np.zeros(len(h), dtype=np.int16)
-        left, segment, level = np.arange(len(h)), (h >> np.uint64(52)) * np.uint64(self.bits.shape[1] * 8), 1
+        segment = (h >> np.uint64(52)) * np.uint64(self.bits.shape[1] * 8) if len(self.bits) > 1 else np.zeros_like(h)
+        left, level = np.arange(len(h)), 1
         while True:
             at, step = self.spread(h, level)
             for _ in range(self.probes):
@@ -139,10 +140,14 @@ def value_of(levels: np.ndarray, base: float) -> np.ndarray:
     return np.where(levels > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
-def build_filter(counts: Counts, *, base: float = 1.5, bits_each: float = 10.0, probes: int = 5, most_bytes: int = FILTER_BYTES) -> Filter | None:
-    """The filter, or None if it would be larger than `most_bytes`. Its size follows the number of levels to hold."""
+def width_of(counts: Counts, base: float, bits_each: float = 10.0) -> int:
+    """Bytes of a filter segment, from the number of levels to hold."""
     held = counts.bigrams.agg(F.coalesce(F.sum(level_of(F.col("c"), base).cast("long")), F.lit(0)).alias("n")).first().n
-    width = max(8, math.ceil(held * bits_each / 8 / SEGMENTS))
+    return max(8, math.ceil(held * bits_each / 8 / SEGMENTS))
+
+
+def build_filter(counts: Counts, width: int, *, base: float = 1.5, probes: int = 5, most_bytes: int = FILTER_BYTES) -> Filter | None:
+    """The whole filter, or None if it would be larger than `most_bytes`."""
     if width * SEGMENTS > most_bytes:
         return None
 
@@ -174,6 +179,42 @@ def build_filter(counts: Counts, *, base: float = 1.5, bits_each: float = 10.0,
     return Filter(bits, probes, base)
 
 
+def probed(counts: Counts, pairs: DataFrame, width: int, *, base: float = 1.5, probes: int = 5) -> DataFrame:
+    """(h, level) of the bigrams h, each given once, that the filter holds.
+
+    Bigrams go to where their segment is built; a task holds one segment at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = Filter(np.zeros((1, width), np.uint8), probes, base)
+        flags, now, ready = np.zeros(width * 8, dtype=bool), -1, False
+        for batch in batches:
+            seg, h, q = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            h = h.view(np.uint64)
+            cuts = np.flatnonzero(np.diff(seg, prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if seg[a] != now:
+                    now, ready = int(seg[a]), False
+                    flags[:] = False
+                own, asked = h[a:b][q[a:b] > 0], h[a:b][q[a:b] == 0]
+                levels = q[a:b][q[a:b] > 0]
+                for level in range(1, int(levels.max(initial=0)) + 1):
+                    at, step = part.spread(own[levels >= level], level)
+                    for _ in range(probes):
+                        flags[part.within(at).astype(np.int64)] = True
+                        at = (at + step) & LOW
+                if len(asked):
+                    if not ready:  # rows to put come before those that ask
+                        part.bits[0], ready = np.packbits(flags, bitorder="little"), True
+                    found = part.levels(asked)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[found > 0].view(np.int64)), pa.array(found[found > 0].astype(np.int32))], names=["h", "level"])
+
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    put = counts.bigrams.select("seg", "h", level_of(F.col("c"), base).alias("q"))
+    asked = pairs.select(F.shiftrightunsigned("h", 52).cast("int").alias("seg"), "h", F.lit(0).alias("q"))
+    return put.union(asked).repartition(tasks, "seg").sortWithinPartitions("seg", F.desc("q")).mapInArrow(run, "h bigint, level int")
+
+
 def vocabulary(counts: Counts, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray] | None:
     """Sorted hashes and counts of all words, or None if there are more than `most`."""
     if counts.distinct > most:
@@ -201,17 +242,17 @@ def score(docs: DataFrame, counts: Counts, *, text: str = "text", prior: float =
     """Add n_tokens, n_known, train_tokens, base_score and score; the text is dropped, other columns stay.
 
     base_score takes each token by itself, score takes it after the one before. If the filter and
-    the words are small enough they are sent to the workers; if not, the texts' bigrams are
-    joined with the quantised counts themselves, which gives the same scores but for the
-    filter's few false positives. A null or empty text is an end alone. With nothing learnt
+    the words are small enough they are sent to the workers; if not, the texts' bigrams go to
+    the filter's segments and their words are joined, which gives the same scores. A null or empty text is an end alone. With nothing learnt
     every token counts zero. Repeated rows get equal results; columns of the new names are replaced.
     """
     spark = docs.sparkSession
     total = max(counts.tokens + 0.5 * (counts.distinct + 1), 0.5)
-    held = build_filter(counts, base=base, most_bytes=filter_bytes)
+    width = width_of(counts, base)
+    held = build_filter(counts, width, base=base, most_bytes=filter_bytes)
     known = vocabulary(counts, words_sent) if held is not None else None
     if held is None or known is None:
-        out = score_by_join(docs, counts, total, text, prior, base)
+        out = score_by_join(docs, counts, total, text, prior, base, width)
     else:
         sent = spark.sparkContext.broadcast((held, known, counts.texts))
 
@@ -243,9 +284,10 @@ def score(docs: DataFrame, counts: Counts, *, text: str = "text", prior: float =
     return out.withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
 
 
-def score_by_join(docs: DataFrame, counts: Counts, total: float, text: str, prior: float, base: float) -> DataFrame:
+def score_by_join(docs: DataFrame, counts: Counts, total: float, text: str, prior: float, base: float, width: int) -> DataFrame:
     """The same sums, term by term, by joins: each text sends its distinct words, contexts and bigrams once.
 
+    The filter is probed once for each distinct bigram of all texts.
     A row is named by a hash of its columns; repeated rows send theirs once and get the same sums.
     """
     kept = [c for c in docs.columns if c != text and c.lower() not in {n for n, _ in FIELDS}]
@@ -269,9 +311,9 @@ def score_by_join(docs: DataFrame, counts: Counts, total: float, text: str, prio
     probes = named.select("_row", text).dropDuplicates(["_row"]).mapInArrow(run, "_row bigint, kind tinyint, h bigint, v bigint, n bigint")
     known = counts.words.select(F.col("h").alias("v"), F.col("c").cast("double").alias("cv"))
     met = probes.join(known, "v", "left").withColumn("cv", F.when(F.col("v") == int(START.view(np.int64)), F.lit(float(counts.texts))).otherwise(F.coalesce("cv", F.lit(0.0))))
-    level = level_of(F.col("c"), base)
+    level = F.col("level")
     low, high = F.ceil(F.pow(F.lit(base), level - 1.0) - 1e-9), F.ceil(F.pow(F.lit(base), level.cast("double")) - 1e-9) - 1
-    pairs = counts.bigrams.select("h", ((low + F.greatest(low, high)) / 2).alias("cq"))
+    pairs = probed(counts, probes.where("kind = 2").select("h").distinct(), width, base=base).select("h", ((low + F.greatest(low, high)) / 2).alias("cq"))
     single = met.where("kind < 2").withColumn("cq", F.lit(0.0))
     double = met.where("kind = 2").join(pairs, "h")
     p = (F.col("cv") + 0.5) / total

@@ -115,6 +115,17 @@ def test_language_model_by_join(spark):
     assert np.median([abs(a[i].score - b[i].score) / abs(a[i].score) for i in a]) < 0.02
 
 
+@pytest.mark.parametrize("limits", [{"filter_bytes": 1}, {"words_sent": 1}])
+def test_language_model_scores_do_not_depend_on_size(spark, limits):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    counts = lm.count(docs.where("doc_id % 5 > 0"))
+    a, b = ({r.doc_id: r for r in lm.score(docs, counts, **k).collect()} for k in ({}, limits))
+    assert a.keys() == b.keys()
+    for i in a:
+        assert (a[i].n_tokens, a[i].n_known) == (b[i].n_tokens, b[i].n_known)
+        assert (a[i].base_score, a[i].score) == pytest.approx((b[i].base_score, b[i].score), rel=1e-9)
+
+
 def brute_components(texts):
     sets = {}
     for d, t in texts.items():
