@@ -36,9 +36,23 @@ def listed(a: Arguments, name: str) -> Column:
     return F.coalesce(F.from_json(a(name), "array<string>"), F.array(a(name)))
 
 
+def given(a: Arguments, *names: str) -> Column:
+    """The first of these numbers that is there and isn't 0, else the last; null if there is none."""
+    every = [a(n).try_cast("int") for n in names]
+    return F.coalesce(*[F.nullif(n, F.lit(0)) for n in every], every[-1])
+
+
+def filled(a: Arguments, *names: str) -> Column:
+    """The first of these texts that is there and isn't empty, else null."""
+    return F.coalesce(*[F.nullif(a(n), F.lit("")) for n in names])
+
+
 def related(count: Column, n: Column, relation: Column) -> Column:
-    """At most for 'less than' and 'at most', equality for 'exactly', else at least."""
-    return F.when(relation.isin("less than", "at most", "<", "<="), F.when(relation.isin("less than", "<"), count < n).otherwise(count <= n)).when(relation.isin("exactly", "=="), count == n).otherwise(count >= n)
+    """At least if nothing is said; a relation that isn't known is equality. About is within a tenth, one at least."""
+    r = F.lower(F.trim(F.coalesce(F.nullif(relation, F.lit("")), F.lit("at least"))))
+    near = F.abs(count - n) <= F.greatest(F.lit(1), (n * F.lit(0.1)).cast("int"))
+    out = F.when(r.isin("at least", ">=", "more than", "not less than"), count >= n).when(r.isin("less than", "<"), count < n)
+    return out.when(r.isin("at most", "<=", "no more than"), count <= n).when(r.isin("around", "approximately"), near).otherwise(count == n)
 
 
 def occurrences(x: Column, part: Column) -> Column:
@@ -50,6 +64,11 @@ def whole_word(x: Column, word: Column) -> Column:
     return F.size(F.filter(words(F.lower(x)), lambda w: w == F.lower(word)))
 
 
+def bare(x: Column) -> Column:
+    """Words without the punctuation around them: of what a word can have, the underscore."""
+    return F.filter(F.transform(words(x), lambda w: F.regexp_replace(w, "^_+|_+$", "")), lambda w: w != "")
+
+
 def paragraphs(x: Column) -> Column:
     return F.filter(F.split(F.trim(x), r"\n\s*\n"), lambda p: F.trim(p) != "")
 
@@ -101,25 +120,36 @@ checker("detectable_format:sentence_hyphens")(lambda x, a: x.rlike(r"[.!?]-\S"))
 checker("keywords:no_adjacent_consecutive")(lambda x, a: ~F.lower(x).contains(F.concat(F.lower(a("keyword")), F.lit(" "), F.lower(a("keyword")))))
 checker("detectable_format:square_brackets")(lambda x, a: x.rlike(r"\[[^\[\]]+\]"))
 checker("keywords:word_once")(lambda x, a: whole_word(x, a("keyword")) == 1)
-checker("keywords:word_count_different_numbers")(lambda x, a: related(whole_word(x, a("keyword")), number(a, "frequency"), F.coalesce(a("relation"), F.lit("exactly"))))
+checker("keywords:word_count_different_numbers")(
+    lambda x, a: F.when(filled(a, "keyword").isNotNull() & a("frequency").isNotNull(), whole_word(x, a("keyword")) == a("frequency").try_cast("int")).otherwise(
+        F.forall(F.map_entries(F.from_json(a("keyword_count_map"), "map<string,int>")), lambda e: whole_word(x, e["key"]) == e["value"])
+    )
+)
 checker("keywords:exclude_word_harder")(lambda x, a: ~F.lower(x).contains(F.lower(a("keyword"))))
-checker("paragraphs:paragraphs", "paragraphs:paragraphs2")(lambda x, a: F.size(paragraphs(x)) == number(a, "num_paragraphs", 2))
+checker("paragraphs:paragraphs", "paragraphs:paragraphs2")(lambda x, a: F.size(paragraphs(x)) == F.coalesce(a("num_paragraphs"), a("N")).try_cast("int"))
 checker("first_word:first_word_sent")(lambda x, a: F.forall(sentences(x), lambda s: F.coalesce(F.lower(nth(words(s), 1)) == F.lower(a("first_word")), F.lit(False))))
 checker("first_word:first_word_answer")(lambda x, a: F.coalesce(F.lower(nth(words(x), 1)) == F.lower(a("first_word")), F.lit(False)))
 checker("last_word:last_word_sent")(lambda x, a: F.forall(sentences(x), lambda s: F.coalesce(F.lower(nth(words(s), -1)) == F.lower(a("last_word")), F.lit(False))))
 checker("last_word:last_word_answer")(lambda x, a: F.coalesce(F.lower(nth(words(x), -1)) == F.lower(a("last_word")), F.lit(False)))
-checker("detectable_format:bigram_wrapping")(lambda x, a: x.rlike(r"<<\w+ \w+>>"))
-checker("copy:copying_multiple")(lambda x, a: occurrences(x, a("prompt_to_repeat")) >= number(a, "N"))
+checker("detectable_format:bigram_wrapping")(
+    lambda x, a: F.when(filled(a, "bigram").isNull(), x.rlike(r"\[[^\]]+\s+[^\]]+\]")).otherwise(x.contains(F.concat(F.lit("["), a("bigram"), F.lit("]"))) | x.contains(F.concat(F.lit("("), a("bigram"), F.lit(")"))))
+)
+checker("copy:copying_multiple")(lambda x, a: occurrences(x, filled(a, "prompt_to_repeat")) >= F.coalesce(F.nullif(given(a, "N", "n"), F.lit(0)), F.lit(2)))
 checker("punctuation:punctuation_dot")(lambda x, a: F.forall(sentences(x), lambda s: s.endswith(".")))
 checker("punctuation:punctuation_exclamation")(lambda x, a: F.forall(sentences(x), lambda s: s.endswith("!")))
-checker("count:lowercase_counting")(lambda x, a: F.regexp_count(x, F.lit(r"\p{Ll}")) <= number(a, "N"))
-checker("letters:letter_counting", "letters:letter_counting2")(lambda x, a: related(F.regexp_count(x, F.lit(r"\p{L}")), number(a, "N"), F.coalesce(a("relation"), F.lit("at least"))))
-checker("count:counting_composition")(lambda x, a: F.size(words(x)) >= number(a, "n_words"))
-checker("count:count_unique")(lambda x, a: F.size(F.array_distinct(words(F.lower(x)))) == F.size(words(x)))
-checker("count:count_increment_word")(lambda x, a: (whole_word(x, a("keyword1")) >= 1) & (whole_word(x, a("keyword2")) >= 2))
-checker("keywords:palindrome")(lambda x, a: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "") == F.reverse(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "")))
-checker("keywords:keyword_specific_position")(lambda x, a: F.coalesce(nth(words(nth(sentences(x), number(a, "n"))), number(a, "m")) == a("keyword"), F.lit(False)))
-checker("keywords:start_end")(lambda x, a: F.coalesce(F.lower(nth(words(x), 1)) == F.lower(nth(words(x), -1)), F.lit(False)))
+checker("count:lowercase_counting")(lambda x, a: related(F.regexp_count(x, F.lit(r"\p{IsLowercase}")), given(a, "N", "num_lowercase"), a("relation")))
+# Without a letter all are counted, as the SQL of v01_checkers has it; the reference calls that false.
+checker("letters:letter_counting", "letters:letter_counting2")(
+    lambda x, a: related(F.when(filled(a, "letter").isNull(), F.regexp_count(x, F.lit(r"\p{L}"))).otherwise(occurrences(x, a("letter"))), given(a, "N", "let_frequency", "frequency"), filled(a, "relation", "let_relation"))
+)
+checker("count:counting_composition")(lambda x, a: related(F.size(words(x)), given(a, "N", "count"), a("relation")))
+checker("count:count_unique")(lambda x, a: related(F.size(F.array_distinct(words(F.lower(x)))), given(a, "N", "count"), a("relation")))
+checker("count:count_increment_word")(lambda x, a: whole_word(x, filled(a, "keyword", "word")) >= given(a, "N", "count"))
+checker("keywords:palindrome")(lambda x, a: (F.length(F.regexp_replace(F.lower(x), "[^a-z0-9]", "")) > 1) & (F.regexp_replace(F.lower(x), "[^a-z0-9]", "") == F.reverse(F.regexp_replace(F.lower(x), "[^a-z0-9]", ""))))
+checker("keywords:keyword_specific_position")(
+    lambda x, a: F.when((number(a, "n", 0) > 0) & (number(a, "m", 0) > 0), nth(bare(nth(sentences(x), F.greatest(number(a, "n"), F.lit(1)))), F.greatest(number(a, "m"), F.lit(1))) == filled(a, "keyword"))
+)
+checker("keywords:start_end")(lambda x, a: (F.size(words(x)) > 1) & (F.lower(nth(words(x), 1)) == F.lower(nth(words(x), -1))))
 checker("language:response_language")(
     lambda x, a: F.when(a("language").isin("zh", "ja", "ko"), F.regexp_count(x, F.lit(r"[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")) > 0.3 * F.length(x)).when(a("language").isin("ru", "bg"), F.regexp_count(x, F.lit(r"\p{IsCyrillic}")) > 0.5 * F.length(x)).otherwise(F.regexp_count(x, F.lit("[A-Za-z]")) > 0.5 * F.length(x))
 )
