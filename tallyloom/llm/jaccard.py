@@ -2,49 +2,50 @@
 
 Exact, in steps that each grow in proportion to the input:
 
-1. Texts become sets of shingles. Equal sets form a class, told by a digest.
+1. Texts become sets of shingles. Equal sets form a class, told by a digest; each class has
+   a signature, the parities of about twice as many parts as it has shingles. Two signatures
+   differ in at most as many bits as there are shingles in one set only.
 2. Shingles are ordered by how frequent their hash bucket is, rare ones first. Two
    sets that link share one of the first |set| - ceil(t |set|) + 1 of that order,
-   at places and with lengths that still allow the overlap. Such candidates give
-   edges, only as many as span each group; a very frequent shingle gives edges to a
-   hub for its length band instead, so that no task gathers its group.
-3. Connected candidates form a bundle. No link leaves a bundle, most are small, and
-   each set goes to one bundle only. Bundles too large for a task go through 2 and 3
-   again by themselves: among fewer sets the order is finer, and signatures that bound
-   how far two sets are apart can be sent along; both split them without losing a link.
+   at places and with lengths that still allow the overlap, and their signatures don't
+   rule the link out. Groups of up to PAIRS sets that share a shingle give such pairs; larger
+   groups get the signatures of their rows and give only the edges that span them; a group
+   over HOT rows is cut into salted blocks that share some leaders, and only rows that
+   no leader reaches meet the other blocks.
+3. Connected pairs form a bundle. No link leaves a bundle, nearly all are small, and
+   each set goes to one bundle only.
 4. A bundle's sets are stored in a prefix tree, frequent shingles first. Each set walks the
    tree, sharing partial overlaps; a subtree is left when the lengths that remain
    can't reach the threshold or when all its sets are already connected to the set.
-   Bundles still too large are cut by their distances from pivots.
+   Bundles too large for a task are cut by their distances from pivots.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import apart, forget, raw, release, stored, table
-from .wordhash import mixed, shingle_sets
+from .wordhash import shingle_sets
 
 BUCKETS = 1 << 22
 BLOCK = 1 << 14
-#: Groups of a shingle up to this size are searched for candidate pairs; larger ones are chained by length.
-GROUP = 2048
-#: A shingle whose bucket holds this many, and four times the mean, is very frequent.
-FREQUENT = 20_000
-#: Sets of a bundle that one task joins, and edges that it remembers.
-BUNDLE, BUNDLE_BYTES = 4096, 64 << 20
+#: Groups of a shingle up to this size give all pairs that the filters leave.
+PAIRS = 16
+#: Rows of a group that one task holds; leaders that the blocks of a larger group share.
+HOT, LEADERS = 4096, 16
+#: Sets of a bundle that one task joins, their bytes, and classes and edges that a task remembers.
+BUNDLE, BUNDLE_BYTES = 8192, 64 << 20
 SEEN = 500_000
-#: Bits of a set's signature, and how many sets' are sent to the workers at most.
-SIGNATURE_BITS, SIGNATURES = 1024, 300_000
-#: Members sent to the workers as they are; of more, a bitmap of this many bits is sent and a join drops the rest.
-MEMBERS, BITMAP = 2_000_000, 1 << 28
+#: Bits that say which classes are in a bundle; others pass by chance and go in a join.
+BITMAP = 1 << 27
 
 
 def digest_of(s: np.ndarray) -> bytes:
@@ -60,66 +61,72 @@ def node_column(digest: Column | str) -> Column:
     return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("bigint")
 
 
-class Kept:
-    """Nodes with their roots, sent to the workers; of more than MEMBERS a bitmap that lets some others pass."""
-
-    def __init__(self, bundles: DataFrame):
-        spark = bundles.sparkSession
-        self.bits = BITMAP
-        self.few = bundles.count() <= MEMBERS
-        if self.few:
-            rows = [(r.node, r.root) for r in bundles.select("node", "root").toLocalIterator()]
-            held = np.array(sorted(rows), dtype=np.int64).reshape(-1, 2).T.copy()
-        else:
-            size = min(65536, BITMAP)
-            bit = F.pmod("node", F.lit(BITMAP))
-            bits = bundles.select(bit.alias("bit")).groupBy((F.col("bit") / size).cast("int").alias("k")).agg(F.collect_set((F.col("bit") % size).cast("int")).alias("bits"))
-            held = np.zeros(BITMAP // 8, dtype=np.uint8)
-            for r in bits.toLocalIterator():
-                block = np.zeros(size, dtype=bool)
-                block[r.bits] = True
-                held[r.k * size // 8 : (r.k + 1) * size // 8] = np.packbits(block, bitorder="little")
-        self.sent = spark.sparkContext.broadcast(held)
-
-    def root_of(self, node: int) -> int | None:
-        held = self.sent.value
-        if not self.few:
-            return node if held[node % self.bits >> 3] >> (node % self.bits & 7) & 1 else None
-        at = int(np.searchsorted(held[0], node))
-        return int(held[1][at]) if at < held.shape[1] and held[0][at] == node else None
+def signature(s: np.ndarray) -> bytes:
+    """Parities of a power of two of parts, 64 and twice the set's size at least."""
+    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    part = ((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """At least this many shingles are in one of the two sets only; a longer signature is folded."""
+    x, y, p, q = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a), 8 * len(b)
+    while p > q:
+        p //= 2
+        x = (x >> p) ^ (x & ((1 << p) - 1))
+    while q > p:
+        q //= 2
+        y = (y >> q) ^ (y & ((1 << q) - 1))
+    return (x ^ y).bit_count()
+
+
+def near_test(percent: int) -> Callable[[tuple, tuple], bool]:
+    """Whether two rows (node, n, place, signature) that share a shingle may link."""
+
+    def near(x: tuple, y: tuple) -> bool:
+        n, m = x[1], y[1]
+        if n * 100 < percent * m or m * 100 < percent * n or min(n - x[2], m - y[2]) * (100 + percent) < percent * (n + m):
+            return False
+        return differ(x[3], y[3]) * (100 + percent) <= (100 - percent) * (n + m)
+
+    return near
 
 
 def classify(docs: DataFrame, *, text: str = "text", size: int = 5) -> tuple[DataFrame, np.ndarray, int]:
-    """Rows without the text but with n_shingles and _digest; counts of shingles by bucket; the mean count.
+    """Rows without the text but with n_shingles, _digest and _signature (null where the task has given it); counts of shingles by bucket; the mean count.
 
     Counts are summed in blocks by tasks, so what reaches the driver is BUCKETS numbers.
     """
-    from pyspark.sql import types as T
-
-    kept = [c for c in apart(docs, ["n_shingles", "_digest", "_block", "_counts"]) if c != text]
-    new = T._parse_datatype_string("n_shingles bigint, _digest binary, _block int, _counts binary")
+    kept = [c for c in apart(docs, ["n_shingles", "_digest", "_signature", "_block", "_counts"]) if c != text]
+    new = T._parse_datatype_string("n_shingles bigint, _digest binary, _signature binary, _block int, _counts binary")
     nullable = [T.StructField(c, docs.schema[c].dataType, True) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         counts = np.zeros(BUCKETS, dtype=np.int32)
-        kinds = None
+        kinds, seen = None, set()
         for batch in batches:
             kinds = kinds or [batch.schema.field(c).type for c in kept]
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, digests = [], []
+                n, digests, signatures = [], [], []
                 for s in shingle_sets(raw(part, text), size):
                     n.append(len(s))
                     digests.append(digest_of(s) if len(s) else None)
+                    signatures.append(signature(s) if len(s) and digests[-1] not in seen else None)
+                    seen.add(digests[-1])
+                    if len(seen) > SEEN:
+                        seen.clear()
                     counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
                 none = pa.nulls(len(n))
                 columns = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=[*kept, *new.names])
+                made = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*kept, *new.names])
         blocks, data = blocks_of(counts)
         if blocks:
             none = pa.nulls(len(blocks))
-            yield pa.RecordBatch.from_arrays([*[none.cast(k) for k in kinds], none.cast(pa.int64()), none.cast(pa.binary()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=[*kept, *new.names])
+            made = [none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[none.cast(k) for k in kinds], *made], names=[*kept, *new.names])
 
     both = stored(docs.select(*kept, text).mapInArrow(run, T.StructType([*nullable, *new.fields])), "classes")
 
@@ -141,206 +148,223 @@ def summed(blocks: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], names=["_block", "_counts"])
 
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for r in blocks.repartition(32, "_block").mapInArrow(total, "_block int, _counts binary").toLocalIterator():
+    for r in blocks.repartition(BUCKETS // BLOCK, "_block").mapInArrow(total, "_block int, _counts binary").collect():
         counts[r["_block"] * BLOCK : (r["_block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["_counts"]), dtype=np.int64)
     return counts
 
 
-def counts_among(docs: DataFrame, kept: Kept, *, text: str = "text", size: int = 5) -> np.ndarray:
-    """Counts by bucket over the sets of kept nodes."""
+def frequency_classes(counts: np.ndarray, mean: int) -> np.ndarray:
+    """Half powers of two above the mean: coarse, so that chance differences don't matter."""
+    return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / mean)), 0, 255).astype(np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        counts = np.zeros(BUCKETS, dtype=np.int32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for s in shingle_sets(raw(batch.slice(at, 512), text), size):
-                    if len(s) and kept.root_of(node_of(digest_of(s))) is not None:
-                        counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
-        blocks, data = blocks_of(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=["_block", "_counts"])
 
-    return summed(docs.select(text).mapInArrow(run, "_block int, _counts binary"))
+def ordered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The set with rare shingles first; ties by hash, which a sorted set brings along."""
+    return s[np.argsort(classes[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")]
 
 
-def frequency_classes(counts: np.ndarray, mean: int) -> np.ndarray:
-    """Half powers of two above the mean: coarse, so that chance differences don't matter. 255: very frequent."""
-    out = np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / mean)), 0, 254).astype(np.uint8)
-    out[counts >= max(FREQUENT, 4 * mean)] = 255
-    return out
-
-
-def ordered(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The set with rare shingles first, and the classes in that order; ties by hash, which a sorted set brings along."""
-    c = classes[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    at = np.argsort(c, kind="stable")
-    return s[at], c[at]
-
-
-class Signatures:
-    """Parities of SIGNATURE_BITS parts of each kept set. Two differ in at most as many bits as their sets have shingles apart."""
-
-    def __init__(self, docs: DataFrame, kept: Kept, text: str, size: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    out = {}
-                    for s in shingle_sets(raw(batch.slice(at, 512), text), size):
-                        if len(s) and (node := node_of(digest_of(s))) not in seen and kept.root_of(node) is not None:
-                            seen.add(node)
-                            part = ((s >> np.uint64(32)) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)
-                            out[node] = np.packbits(np.bincount(part, minlength=SIGNATURE_BITS) & 1).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "bits"])
-
-        found = {r.node: r.bits for r in docs.select(text).mapInArrow(run, "node bigint, bits binary").toLocalIterator()}
-        nodes = np.array(sorted(found), dtype=np.int64)
-        bits = np.frombuffer(b"".join(found[n] for n in nodes.tolist()), dtype=np.uint64).reshape(len(nodes), -1)
-        self.sent = docs.sparkSession.sparkContext.broadcast((nodes, bits))
-
-    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """At least this many shingles are in one set of each pair only."""
-        nodes, bits = self.sent.value
-        return np.bitwise_count(bits[np.searchsorted(nodes, a)] ^ bits[np.searchsorted(nodes, b)]).sum(1, dtype=np.int64)
-
-
-def candidate_edges(docs: DataFrame, classes, percent: int, kept: Kept | None = None, signatures: Signatures | None = None, own: DataFrame | None = None, *, text: str = "text", size: int = 5) -> DataFrame:
-    """Edges (a, b) between (kept) nodes that span all candidates; b may be the hub of a frequent shingle and length band.
-
-    If kept lets others pass, own has the nodes that are meant: rows of others go before groups are spanned, so that no chain leads through them.
-    """
+def prefix_groups(docs: DataFrame, classes, percent: int, *, text: str = "text", size: int = 5) -> DataFrame:
+    """Pairs (a, b) of classes from small groups, where token is null; rows (token, a, n, place) of larger groups, where b is null."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = classes.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows: list[list[np.ndarray]] = [[], [], [], []]
-                hubs: set[tuple[int, int, int]] = set()
                 for s in shingle_sets(raw(batch.slice(at, 512), text), size):
-                    node = node_of(digest_of(s))
                     n = len(s)
-                    if not n or node in seen or (kept is not None and kept.root_of(node) is None):
+                    if not n or (node := node_of(digest_of(s))) in seen:
                         continue
                     seen.add(node)
                     if len(seen) > SEEN:
                         seen.clear()
                     p = n - -(-percent * n // 100) + 1
-                    tokens, c = ordered(s, known)
-                    tokens, c = tokens[:p].view(np.int64), c[:p]
-                    rare = c < 255
-                    place = np.flatnonzero(rare)
-                    rows[0].append(tokens[rare])
-                    rows[1].append(np.full(len(place), node, dtype=np.int64))
-                    rows[2].append(np.full(len(place), n, dtype=np.int32))
-                    rows[3].append(place.astype(np.int32))
-                    if not rare.all():
-                        band = int(np.log(n) / np.log(100 / percent))
-                        for t in tokens[~rare].tolist():
-                            here, there = hub(t, band), hub(t, band + 1)
-                            hubs |= {(node, here, 0), (here, there, -1)}
+                    rows[0].append(ordered(s, known)[:p].view(np.int64))
+                    rows[1].append(np.full(p, node, dtype=np.int64))
+                    rows[2].append(np.full(p, n, dtype=np.int32))
+                    rows[3].append(np.arange(p, dtype=np.int32))
                 columns = [np.concatenate(r) if r else np.empty(0, k) for r, k in zip(rows, (np.int64, np.int64, np.int32, np.int32), strict=True)]
-                if hubs:
-                    a, b, kind = np.array(sorted(hubs)).T
-                    columns = [np.concatenate([x, y]) for x, y in zip(columns, (a, b, kind.astype(np.int32), np.zeros(len(a), np.int32)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "place"])
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows in, edges out. A group is held up to GROUP rows; from then on only its last row is."""
-        carry = [np.empty(0, dtype=np.int64) for _ in range(4)]
-        chained = False
-
-        def chain(node: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-            near = n[:-1] * 100 >= percent * n[1:]
-            return [node[:-1][near], node[1:][near]]
-
-        def linked(node: np.ndarray, n: np.ndarray, place: np.ndarray) -> list[list[int]]:
-            parent = list(range(len(n)))
-            out: list[list[int]] = [[], []]
-
-            def top(x):
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for i in range(len(n) - 1):
-                end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-                m = n[i + 1 : end]
-                reach = np.minimum(n[i] - place[i], m - place[i + 1 : end])
-                near = np.flatnonzero(reach * (100 + percent) >= percent * (n[i] + m))
-                if signatures is not None and len(near):
-                    apart = signatures.apart(np.full(len(near), node[i]), node[i + 1 + near])
-                    near = near[apart * (100 + percent) <= (100 - percent) * (n[i] + m[near])]
-                for j in (near + i + 1).tolist():
-                    a, b = top(i), top(j)
-                    if a != b:
-                        parent[a] = b
-                        out[0].append(node[i])
-                        out[1].append(node[j])
-            return out
+    def pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = [np.empty((2, 0), dtype=np.int64)]
+        for g in np.unique(sizes).tolist():
+            start = first[sizes == g]
+            for i in range(g):
+                for j in range(i + 1, g):
+                    x, y = start + i, start + j
+                    reach = np.minimum(n[x] - place[x], n[y] - place[y])
+                    good = (n[x] * 100 >= percent * n[y]) & (reach * (100 + percent) >= percent * (n[x] + n[y]))
+                    out.append(np.stack([node[x[good]], node[y[good]]]))
+        return np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
 
-        def groups(columns: list[np.ndarray], last: bool) -> list:
-            """Edges of all groups but, unless it is the last call, the one that may go on."""
-            nonlocal carry, chained
-            token, node, n, place = columns
-            if not len(token):
-                return []
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            sizes = np.diff(np.concatenate([first, [len(token)]]))
-            out = []
-            k = 0
-            if chained:  # the group that began before goes on
-                out.append(chain(node[: sizes[0]], n[: sizes[0]]))
-                k = 1
-            whole = len(first) if last else len(first) - 1
-            twos = first[k:whole][sizes[k:whole] == 2]
-            if len(twos):
-                a, b = n[twos], n[twos + 1]
-                reach = np.minimum(a - place[twos], b - place[twos + 1])
-                good = (a * 100 >= percent * b) & (reach * (100 + percent) >= percent * (a + b))
-                if signatures is not None:
-                    good &= signatures.apart(node[twos], node[twos + 1]) * (100 + percent) <= (100 - percent) * (a + b)
-                keep = twos[good]
-                out.append([node[keep], node[keep + 1]])
-            for i in (np.flatnonzero(sizes[k:whole] > 2) + k).tolist():
-                x, y = first[i], first[i] + sizes[i]
-                out.append(chain(node[x:y], n[x:y]) if sizes[i] > GROUP else linked(node[x:y], n[x:y], place[x:y]))
-            if not last:
-                chained = chained and len(first) == 1
-                x = first[-1]
-                if chained or sizes[-1] > GROUP:
-                    if not chained:
-                        out.append(chain(node[x:], n[x:]))
-                    x, chained = len(token) - 1, True
-                carry = [c[x:].copy() for c in columns]
-            return out
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows in; the last group waits while it is small, and the rows of a large one pass at once."""
+        carry, passing = [np.empty(0, dtype=np.int64)] * 4, None
+
+        def made(columns: list[np.ndarray], last: bool) -> pa.RecordBatch:
+            nonlocal carry, passing
+            token, node = columns[:2]
+            fresh = np.ones(len(token), dtype=bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            token, node, n, place = columns = [c[fresh] for c in columns]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, dtype=np.int64)
+            sizes = np.diff(np.append(first, len(token)))
+            large = (sizes > PAIRS) | (token[first] == passing if passing is not None else False)
+            carry = [c[:0] for c in columns]
+            waits = bool(len(first)) and not last and not large[-1]
+            if waits:
+                carry = [c[first[-1] :].copy() for c in columns]
+            passing = int(token[-1]) if len(first) and large[-1] else None
+            small = ~large & (sizes > 1)
+            if waits:
+                small[-1] = False
+            found = pairs(token, node, n, place, first[small], sizes[small])
+            out = np.repeat(large, sizes)
+            rows = int(out.sum())
+            none = pa.nulls(found.shape[1], pa.int64())
+            join = [
+                pa.concat_arrays([none, pa.array(token[out], pa.int64())]),
+                pa.array(np.concatenate([found[0], node[out]]), pa.int64()),
+                pa.concat_arrays([pa.array(found[1], pa.int64()), pa.nulls(rows, pa.int64())]),
+                pa.concat_arrays([none.cast(pa.int32()), pa.array(n[out].astype(np.int32))]),
+                pa.concat_arrays([none.cast(pa.int32()), pa.array(place[out].astype(np.int32))]),
+            ]
+            return pa.RecordBatch.from_arrays(join, names=["token", "a", "b", "n", "place"])
 
         for batch in batches:
-            columns = [np.concatenate([old, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in zip(carry, batch.columns, strict=True)]
-            token, node, n, _ = columns
-            ready = n <= 0  # an edge to a hub, already
-            fresh = ~ready & np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-            out = [[token[ready], node[ready]]]
-            yield edges_of(out + groups([c[fresh] for c in columns], False))
-        yield edges_of(groups(carry, True))
-
-    def edges_of(pairs: list) -> pa.RecordBatch:
-        both = np.array([np.concatenate([np.asarray(p[i], dtype=np.int64) for p in pairs]) if pairs else np.empty(0, dtype=np.int64) for i in range(2)])
-        both = np.unique(np.sort(both, axis=0), axis=1) if both.size else both
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in both], names=["a", "b"])
+            yield made([np.concatenate([old, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in zip(carry, batch.columns, strict=True)], False)
+        yield made(carry, True)
 
     rows = docs.select(text).mapInArrow(prefixes, "token bigint, node bigint, n int, place int")
-    if own is not None:  # edges between hubs (n < 0) stay
-        member = F.when(F.col("n") == 0, F.col("token")).otherwise(F.col("node"))
-        meant = own.select(F.col("node").alias("_member"), F.lit(True).alias("_in"))
-        rows = rows.withColumn("_member", member).join(meant, "_member", "left").where("n < 0 OR _in").select("token", "node", "n", "place")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     grouped = rows.repartition(tasks, "token").sortWithinPartitions("token", "n", "node")
-    return grouped.mapInArrow(spans, "a bigint, b bigint").distinct()
+    return stored(grouped.mapInArrow(spans, "token bigint, a bigint, b bigint, n int, place int"), "groups")
 
 
-def hub(token: int, band: int) -> int:
-    return int(mixed(np.array([token], dtype=np.int64).view(np.uint64) + np.uint64(1 + band))[0].view(np.int64))
+def signed_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(i).to_pylist() for i in range(2, 6))
+            good = [differ(p, q) * (100 + percent) <= (100 - percent) * (i + j) for p, q, i, j in zip(x, y, n, m, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x"), F.col("n").alias("n"))
+    two = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"), F.col("n").alias("m"))
+    both = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y", "n", "m")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+class Links:
+    """What a task knows to be connected; edges come out only when they connect something new."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.new: list[tuple[int, int]] = []
+
+    def top(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.top(a), self.top(b)
+        if x != y:
+            self.parent[x] = y
+            self.new.append((a, b))
+
+    def taken(self) -> pa.RecordBatch:
+        out, self.new = self.new, []
+        if len(self.parent) > SEEN:
+            self.parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
+def span(rows: list[tuple], links: Links, near: Callable[[tuple, tuple], bool]) -> None:
+    """Connect all rows (node, n, place, signature) that may link; rows that are connected already aren't compared."""
+    parts: dict[int, list[tuple]] = {}
+    for x in sorted(rows, key=lambda r: r[1]):
+        own = [x]
+        for k in list(parts):
+            if links.top(parts[k][0][0]) == links.top(x[0]) or any(near(x, y) for y in reversed(parts[k])):
+                links.join(x[0], parts[k][0][0])
+                own = parts.pop(k) + own
+        parts[x[0]] = own
+
+
+def large_groups(rows: DataFrame, signatures: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
+    """Edges that span the candidates of groups over PAIRS rows."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    rows = rows.select("token", F.col("a").alias("node"), "place").dropDuplicates(["token", "node"]).join(signatures, "node").select("token", "node", "n", "place", "signature")
+    counted = rows.groupBy("token").agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot)
+    rows = rows.join(stored(counted, "hot"), "token", "left").withColumn("salts", F.coalesce(F.ceil(F.col("_rows") / hot).cast("int"), F.lit(1)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
+    leads = F.expr(f"salts > 1 AND pmod(xxhash64(node, 1), _rows) < {LEADERS}")
+    held = stored(rows.withColumn("leads", F.coalesce(leads, F.lit(False))).drop("_rows"), "large-groups")
+    blocks = held.where("NOT leads").unionByName(held.where("leads").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
+
+    names = ("token", "node", "n", "place", "signature", "salts", "salt", "leads")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges of each block; of a group with several blocks also (node, null) for rows that its first leader doesn't reach, with token and salt."""
+        links, near, key, group = Links(), near_test(percent), None, []
+
+        def done() -> list[pa.RecordBatch]:
+            span([g[:4] for g in group], links, near)
+            rest = []
+            if group and group[0][4] > 1:
+                first = min((g[0] for g in group if g[5]), default=None)
+                rest = [g[0] for g in group if not g[5] and (first is None or links.top(g[0]) != links.top(first))]
+            edges = links.taken()
+            none, left = pa.nulls(edges.num_rows, pa.int64()), pa.array(rest, pa.int64())
+            nothing = pa.nulls(len(rest), pa.int64())
+            out = [pa.RecordBatch.from_arrays([edges.column(0), edges.column(1), none], names=["a", "b", "token"])]
+            if rest:
+                out.append(pa.RecordBatch.from_arrays([left, nothing, pa.array([key[0]] * len(rest), pa.int64())], names=["a", "b", "token"]))
+            return out
+
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+            for token, node, n, place, sign, salts, salt, lead in zip(*columns, strict=True):
+                if (token, salt) != key:
+                    yield from done()
+                    key, group = (token, salt), []
+                group.append((node, n, place, sign, salts, lead))
+        yield from done()
+
+    found = stored(blocks.repartition(tasks, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(within, "a bigint, b bigint, token bigint"), "spans")
+    edges = found.where("token is null").select("a", "b")
+    rest = found.where("token is not null").select("token", F.col("a").alias("node"))
+    if rest.isEmpty():
+        return edges
+    # rows that no block connected to the group's first leader meet all blocks, in chunks
+    chunks = rest.groupBy("token").agg(F.ceil(F.count("*") / hot).cast("int").alias("chunks"))
+    here = held.join(chunks, "token")
+    alone = here.join(rest, ["token", "node"], "left_semi").withColumns({"chunk": F.pmod(F.xxhash64("node", F.lit(2)), "chunks").cast("int"), "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "alone": F.lit(True)})
+    others = here.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "alone": F.lit(False)})
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, near, key, group = Links(), near_test(percent), None, []
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("token", "salt", "chunk", "alone", "node", "n", "place", "signature")]
+            for token, salt, chunk, alone_, *row in zip(*columns, strict=True):
+                if (token, salt, chunk) != key:
+                    key, group = (token, salt, chunk), []
+                if alone_:
+                    group.append(tuple(row))
+                    continue
+                for x in group:
+                    if x[0] != row[0] and links.top(x[0]) != links.top(row[0]) and near(x, row):
+                        links.join(x[0], row[0])
+            yield links.taken()
+
+    columns = ["token", "salt", "chunk", "alone", "node", "n", "place", "signature"]
+    work = alone.select(*columns).unionByName(others.select(*columns)).repartition(tasks, "token", "salt", "chunk")
+    return edges.union(work.sortWithinPartitions("token", "salt", "chunk", F.desc("alone")).mapInArrow(across, "a bigint, b bigint"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -484,9 +508,25 @@ def ranked(sets: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
     return [np.sort(rank[np.searchsorted(every, s)]) for s in sets]
 
 
+class Members:
+    """Says of a node whether it may be in a bundle: a bitmap of a fixed size, put together by the tasks, is sent to the workers."""
+
+    def __init__(self, bundles: DataFrame, bits: int = BITMAP):
+        at = F.pmod("node", F.lit(bits)) + 1
+        parts = bundles.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+        held = np.zeros(max(bits // 8, 4096), dtype=np.uint8)
+        for r in parts.collect():
+            held[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bitmap, dtype=np.uint8)
+        self.bits, self.sent = bits, bundles.sparkSession.sparkContext.broadcast(held)
+
+    def may_hold(self, node: int) -> bool:
+        at = node % self.bits
+        return bool(self.sent.value[at >> 3] >> (at & 7) & 1)
+
+
 def member_sets(docs: DataFrame, bundles: DataFrame, *, text: str = "text", size: int = 5) -> DataFrame:
     """(root, digest, shingles) of each class in a bundle; once, or once for each task that meets a copy."""
-    kept = Kept(bundles)
+    members = Members(bundles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -494,17 +534,15 @@ def member_sets(docs: DataFrame, bundles: DataFrame, *, text: str = "text", size
             for at in range(0, batch.num_rows, 256):
                 out = []
                 for s in shingle_sets(raw(batch.slice(at, 256), text), size):
-                    if len(s) and (d := digest_of(s)) not in seen and (root := kept.root_of(node_of(d))) is not None:
+                    if len(s) and (d := digest_of(s)) not in seen and members.may_hold(node := node_of(d)):
                         seen.add(d)
-                        out.append((root, d, s.tobytes()))
+                        out.append((node, d, s.tobytes()))
                         if len(seen) > SEEN:
                             seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["root", "digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "digest", "shingles"])
 
-    found = docs.select(text).mapInArrow(run, "root bigint, digest binary, shingles binary")
-    if kept.few:
-        return found
-    return found.withColumnRenamed("root", "node").join(bundles, "node").select("root", "digest", "shingles")
+    found = docs.select(text).mapInArrow(run, "node bigint, digest binary, shingles binary")
+    return found.join(bundles, "node").select("root", "digest", "shingles")
 
 
 def join_blocks(rows: DataFrame, keys: list[str], classes, percent: int) -> DataFrame:
@@ -568,8 +606,6 @@ def join_large(rows: DataFrame, classes, percent: int, bundle: int, pivots: int
                 out.append((len(x) + len(y) - 2 * o) / (len(x) + len(y) - o))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "_d"])
 
-    from pyspark.sql import types as T
-
     for k in range(pivots):
         left = state.where("ball is null")
         chosen = left.groupBy("root").agg(F.min_by(F.struct("digest", "shingles"), "digest").alias("p"), F.count("*").alias("n")).where((F.col("n") > bundle) | F.lit(k == 0))
@@ -594,36 +630,26 @@ def join_large(rows: DataFrame, classes, percent: int, bundle: int, pivots: int
     return links.union(state.where("ball is not null").select("digest", F.col("ball").alias("label")))
 
 
-def labelled(docs: DataFrame, *, text: str = "text", size: int = 5, percent: int = 75, bundle: int = BUNDLE, levels: int = 5) -> tuple[DataFrame, list[str]]:
+def labelled(docs: DataFrame, *, text: str = "text", size: int = 5, percent: int = 75, bundle: int = BUNDLE, hot: int = HOT) -> tuple[DataFrame, list[str]]:
     """Rows with n_shingles, _digest and _label, which names the component and is null for a row without shingles; and the columns but these two."""
     spark = docs.sparkSession
     rows, counts, mean = classify(docs, text=text, size=size)
     classes = spark.sparkContext.broadcast(frequency_classes(counts, mean))
-    edges = stored(candidate_edges(docs, classes, percent, text=text, size=size), "candidates")
+    groups = prefix_groups(docs, classes, percent, text=text, size=size)
     release(spark)
-    bundles = stored(components(edges), "bundles")
-    distinct = rows.where("_digest is not null").select("_digest", "n_shingles").distinct().withColumn("node", node_column("_digest"))
-    large, before = None, None
-    for level in range(levels + 1):
-        sizes = distinct.join(bundles, "node").groupBy("root").agg(F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("bytes"))
-        large = stored(sizes.where((F.col("n") > bundle) | (F.col("bytes") > BUNDLE_BYTES)).select("root", "n"), "large")
-        now = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if not now or before is not None and (level == levels or now > 0.9 * before):
-            break
-        before = now
-        own = stored(bundles.join(large.select("root"), "root").select("node", "root"), "too-large")
-        kept = Kept(own)
-        counts = counts_among(docs, kept, text=text, size=size)
-        finer = spark.sparkContext.broadcast(frequency_classes(counts, int(counts.mean()) + 1))
-        signatures = Signatures(docs, kept, text, size) if now <= SIGNATURES else None
-        again = stored(candidate_edges(docs, finer, percent, kept, signatures, None if kept.few else own, text=text, size=size), "candidates")
-        release(spark)
-        bundles = stored(bundles.join(large.select("root"), "root", "left_anti").select("node", "root").union(components(again)), "bundles")
-    some, large = bool(now), large.select("root")
+    signatures = rows.where("_signature is not null").select(node_column("_digest").alias("node"), F.col("n_shingles").alias("n"), F.col("_signature").alias("signature")).dropDuplicates(["node"])
+    rows = rows.drop("_signature")
+    edges = signed_pairs(groups.where("token is null"), signatures, percent).union(large_groups(groups.where("token is not null"), signatures, percent, hot))
+    bundles = components(edges)
+    sizes = bundles.join(signatures, "node").groupBy("root").agg(F.count("*").alias("n"), (8 * F.sum("n")).alias("bytes"))
+    large = stored(sizes.where((F.col("n") > bundle) | (F.col("bytes") > BUNDLE_BYTES)).select("root"), "large")
+    some = not large.isEmpty()
     members = member_sets(docs, bundles, text=text, size=size)
+    if some:
+        members = stored(members, "members")
     labels = join_blocks(members.join(large, "root", "left_anti") if some else members, ["root"], classes, percent)
     if some:
-        links = join_large(members.join(large, "root").dropDuplicates(["digest"]), classes, percent, bundle)
+        links = stored(join_large(members.join(large, "root").dropDuplicates(["digest"]), classes, percent, bundle), "links")
         names = links.select(node_column("digest").alias("a"), node_column("label").alias("b"))
         far = components(names).select(F.col("node").alias("_n"), F.col("root").cast("string").cast("binary").alias("_r"))
         own = links.select("digest").distinct()
@@ -633,7 +659,7 @@ def labelled(docs: DataFrame, *, text: str = "text", size: int = 5, percent: int
     return named.withColumn("_label", F.coalesce("_label", "_digest")), [c for c in rows.columns if c != "_digest"]
 
 
-def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bundle: int = BUNDLE, levels: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bundle: int = BUNDLE, hot: int = HOT) -> DataFrame:
     """Add n_shingles and component_id (the smallest key reachable by links); the text is dropped, other columns stay.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. A row
@@ -641,7 +667,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     linked. A null key is passed over unless a component has no other. An empty
     table gives an empty result; columns of the new names are replaced.
     """
-    named, columns = labelled(docs, text=text, size=size, percent=percent, bundle=bundle, levels=levels)
+    named, columns = labelled(docs, text=text, size=size, percent=percent, bundle=bundle, hot=hot)
     least = named.where("_label is not null").groupBy("_label").agg(F.min(key).alias("_least"))
     out = named.join(least, "_label", "left").withColumn("_own", F.coalesce("_least", key))
     return out.select(*[c for c in columns if c.lower() != "component_id"], F.col("_own").alias("component_id"))

@@ -164,25 +164,25 @@ def copies(texts):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"bundle": 3}, {"bundle": 3, "levels": 0}])
+@pytest.mark.parametrize("settings", [{}, {"bundle": 3}])
 def test_jaccard_components(spark, copies, settings):
     docs = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, **settings).collect()}
     assert got == brute_components(copies)
 
 
-def test_jaccard_frequent_shingles(spark, copies, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP", 3)
-    monkeypatch.setattr(jaccard, "FREQUENT", 4)
-    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+@pytest.mark.parametrize(("pairs", "hot", "leaders"), [(2, 4096, 16), (2, 7, 2), (2, 7, 0), (1, 3, 1)])
+def test_jaccard_large_groups(spark, copies, monkeypatch, pairs, hot, leaders):
+    """Groups that are spanned by signatures, in one block or in many that share leaders (or, by chance, none)."""
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
     docs = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, hot=hot).collect()}
     assert got == brute_components(copies)
 
 
-def test_jaccard_bitmap_lets_parts_of_bundles_pass(spark, copies, monkeypatch):
-    """So few bits that of many small bundles some sets pass for members of large ones, and others don't."""
-    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+def test_jaccard_bitmap_lets_others_pass(spark, copies, monkeypatch):
+    """So few bits that some sets pass for members of bundles; no row is lost or doubled."""
     monkeypatch.setattr(jaccard, "BITMAP", 16)
     rng = random.Random(9)
     docs = dict(copies)
@@ -194,6 +194,16 @@ def test_jaccard_bitmap_lets_parts_of_bundles_pass(spark, copies, monkeypatch):
     assert sorted((r.doc_id, (r.n_shingles, r.component_id)) for r in got) == sorted(brute_components(docs).items())
 
 
+def test_signatures_bound_differences():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, m, o = (int(x) for x in rng.integers(1, 400, 3))
+        both = rng.integers(0, 1 << 63, n + m + o).astype(np.uint64)
+        a, b = both[: n + o], both[n:]
+        assert jaccard.differ(jaccard.signature(a), jaccard.signature(b)) <= n + m
+    assert jaccard.differ(jaccard.signature(a), jaccard.signature(a)) == 0
+
+
 def test_prefix_tree():
     rng = random.Random(5)
     for _ in range(150):
