@@ -15,7 +15,6 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -45,15 +44,17 @@ class Interval:
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
-    """The combination with the largest sum up to `room`; of equal ones that which takes large lengths first.
+    """The combination with the largest sum up to `room`, of the largest lengths that reach it.
 
     Bit s of a layer is set if some choice among the lengths so far sums to s. A
-    count enters as binary multiples, so a length costs a logarithm of its count.
+    count enters as binary multiples, so a length costs a logarithm of its count. Lengths
+    enter from the largest on until the room is filled exactly, as nothing can be
+    fuller; so large pieces, which are hard to place, go before small ones.
     """
     reach, layers, mask = 1, [], (1 << (room + 1)) - 1
-    for n in lengths:  # ascending, so that tracing back meets the large ones first
+    for n in reversed(lengths):
         if n > room:
-            break
+            continue
         left, k = min(counts[n], room // n), 1
         while left:
             take = min(k, left)
@@ -65,7 +66,7 @@ def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int,
     sum_ = reach.bit_length() - 1
     chosen: Counter = Counter()
     for n, take, before in reversed(layers):
-        if sum_ >= n * take and before >> (sum_ - n * take) & 1:
+        if not before >> sum_ & 1:  # only this layer reached the sum
             chosen[n] += take
             sum_ -= n * take
     return chosen
@@ -104,13 +105,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Inte
     return out, sequence
 
 
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class WordTokens:
     """Ids of a text from the ids of its white-space parts, which are remembered.
 
@@ -122,7 +116,9 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.parts = Parts(self)
         self.others = Others(self)
@@ -206,19 +202,25 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", capacity: int = CA
     return cut.select(*kept, F.explode("_pieces").alias("_p")).select(*kept, "_p.*")
 
 
-def pack(cut: DataFrame, *, length: str = "length", capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
+def pack(cut: DataFrame, *, length: str = "length", capacity: int = CAPACITY, salt_rows: int = 20_000, most_salts: int = 100_000) -> DataFrame:
     """Add sequence_id and offset to rows with a length of 1 to `capacity`.
 
     The rows are written to the shared folder once, so that ranks and histogram see
-    the same rows even if executors are lost. Lengths are split over `buckets`
-    by a hash of the row, so that a frequent one isn't ranked by one task. Equal
-    rows are told apart by their place in that table. No rows, no sequences.
+    the same rows even if executors are lost. A length is split by a hash of the row into
+    salts of about `salt_rows` rows (more only where all together would pass `most_salts`),
+    so that a frequent one isn't ranked by one task and the driver sees at most
+    `capacity` + `most_salts` counts. Equal rows are told apart by their place in that
+    table. No rows, no sequences.
     """
     spark = cut.sparkSession
     kept = apart(cut, ["sequence_id", "offset"])
     numbered = stored(cut.select(*kept, F.monotonically_increasing_id().alias("_row")), "pieces")
-    salted = numbered.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
-    counts = salted.groupBy(F.col(length).alias("n"), "_salt").agg(F.count("*").alias("c")).collect()  # capacity x buckets rows at most
+    sizes = {r.n: r.c for r in numbered.groupBy(F.col(length).alias("n")).agg(F.count("*").alias("c")).collect()}  # capacity rows at most
+    each = max(salt_rows, sum(sizes.values()) // most_salts + 1)
+    several = [F.lit(x) for n, c in sizes.items() if c > each for x in (n, -(-c // each))]
+    salts = F.coalesce(F.create_map(*several)[F.col(length).cast("long")], F.lit(1)) if several else F.lit(1)
+    salted = numbered.withColumn("_salt", F.pmod(F.xxhash64("_row"), salts).cast("int"))
+    counts = salted.groupBy(F.col(length).alias("n"), "_salt").agg(F.count("*").alias("c")).collect()
     histogram: Counter = Counter()
     base: dict[tuple[int, int], int] = {}
     for r in sorted(counts, key=lambda r: (r.n, r["_salt"])):
@@ -230,7 +232,7 @@ def pack(cut: DataFrame, *, length: str = "length", capacity: int = CAPACITY, bu
         by_length.setdefault(i.length, []).append(i)
     places = {n: np.array([(i.first, i.each, i.sequence, i.offset) for i in own]).T for n, own in by_length.items()}
     sent = spark.sparkContext.broadcast((base, places))
-    tasks = max(1, min(buckets * 4, len(counts)))
+    tasks = max(1, min(len(counts), max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(sizes.values()) // (10 * salt_rows))))
 
     def run(batches):
         import pyarrow as pa
@@ -241,9 +243,12 @@ def pack(cut: DataFrame, *, length: str = "length", capacity: int = CAPACITY, bu
             n = batch.column(batch.schema.get_field_index(length)).to_numpy(zero_copy_only=False)
             salt = batch.column(batch.schema.get_field_index("_salt")).to_numpy(zero_copy_only=False)
             rank = np.empty(len(n), dtype=np.int64)
-            for i, key in enumerate(zip(n.tolist(), salt.tolist(), strict=True)):
-                rank[i] = base[key] + seen[key]
-                seen[key] += 1
+            order = np.lexsort((salt, n))
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(n[order]) != 0) | (np.diff(salt[order]) != 0)])) if len(n) else []
+            for x, y in zip(first, [*first[1:], len(n)], strict=True):
+                key = int(n[order[x]]), int(salt[order[x]])
+                rank[order[x:y]] = base[key] + seen[key] + np.arange(y - x)
+                seen[key] += int(y - x)
             sequence, offset = np.empty_like(rank), np.empty_like(rank)
             for x in np.unique(n).tolist():
                 own = np.flatnonzero(n == x)
