@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as a URI: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that all executors share, as a URI: spark.checkpoint.dir, or one of our own where the master is this machine."""
     if given := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
         return given if "://" in given or given.startswith("file:") else f"file://{given}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tallyloom-"))
     return f"file://{_own[0]}"
@@ -53,7 +57,7 @@ def release(spark: SparkSession) -> None:
 
 def remembered(kind: str, make: Callable):
     """What a Python worker keeps from task to task: one thing at a time, so that workers stay small."""
-    held = pa.__dict__.setdefault("_remembered", {})
+    held = holder().__dict__.setdefault("held", {})
     if kind not in held:
         held.clear()
         held[kind] = make()
@@ -61,7 +65,12 @@ def remembered(kind: str, make: Callable):
 
 
 def forget() -> None:
-    pa.__dict__.get("_remembered", {}).clear()
+    holder().__dict__.get("held", {}).clear()
+
+
+def holder():
+    """A module of our own that lives as long as the Python worker, also where this one came by value."""
+    return sys.modules.setdefault("_tallyloom_worker", types.ModuleType("_tallyloom_worker"))
 
 
 def remainder(column: str, n: int) -> Column:
@@ -75,6 +84,32 @@ def apart(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def drawn(rows: DataFrame, text: str, n: int, *, by: str | None = None, chars: int = 1 << 16, seed: int = 0) -> list:
+    """At most n (group, number, text) rows, or n for each value of `by`: those whose text has the smallest hashes, so the same ones at each run.
+
+    The bound is exact, whatever keys or texts repeat: a first pass counts, a second takes a slight surplus by
+    rate and keeps the n smallest. Of a text over `chars` long a stretch of that length at a hashed place is drawn.
+    Rows without text aren't drawn. What reaches the driver is at most n x chars characters a group.
+    """
+    group = F.col(by) if by else F.lit("")
+    h = F.xxhash64(F.col(text), F.lit(seed))
+    rows = rows.where(F.col(text).isNotNull() & group.isNotNull() & (F.length(text) > 0)).select(group.alias("g"), h.alias("h"), F.col(text).alias("t"))
+    # equal texts hash alike: they are counted once, so that copies neither crowd a sample nor pass its bound
+    distinct = rows.groupBy("g").agg(F.approx_count_distinct("h", 0.02).alias("c"))
+    rate = F.least(F.lit(1.0), F.lit(1.5 * n + 50) / F.col("c"))
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - chars, F.lit(0)) + 1).cast("int") + 1
+    near = rows.join(F.broadcast(distinct), "g").where(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30))
+    once = near.select("g", "h", F.substring(F.col("t"), place, F.lit(chars)).alias("t")).groupBy("g", "h").agg(F.first("t").alias("t"))
+    first = once.withColumn("_i", F.row_number().over(Window.partitionBy("g").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("_i") <= n)
+    return sorted(first.select("g", "h", "t").collect(), key=lambda r: (r.g, r.h % (1 << 30), r.h))
+
+
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns of these names under others, and what renames them back."""
+    held = {c: f"_aside_{c}" for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(held), {v: k for k, v in held.items()}
+
+
 def arrow_map(
     df: DataFrame,
     fields: list[tuple[str, str]],

@@ -9,7 +9,6 @@ the prediction as rejected.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import regex
@@ -17,14 +16,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, remainder, table, texts
+from .common import arrow_map, drawn, remainder, table, texts
 
 LETTER = regex.compile(r"\p{L}")
-OTHER = re.compile(r"[\W\d_]+")
+OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str) -> bytes:
-    """Lower case, everything between letters as one blank: capitals and junk signs tell no languages apart."""
+    """Lower case, everything between letters and their marks as one blank: capitals and junk signs tell no languages apart."""
     return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
@@ -49,37 +48,37 @@ def fit(
     *,
     text: str = "text",
     lang: str = "lang",
-    key: str = "doc_id",
     sample_rows: int = 400,
+    stretch_chars: int = 4096,
     dictionary_bytes: int = 32768,
     dictionaries: int = 3,
     max_languages: int = 500,
     **settings,
 ) -> LanguageModel:
-    """Dictionaries from at most about `sample_rows` labelled rows a language.
+    """Dictionaries from at most `sample_rows` labelled texts a language, those with the smallest hashes.
 
-    The sample is drawn by a hash of the key at a rate that gives that many rows,
-    so it is the same at each run and bounded at any size. Rows with a null text
-    or label teach nothing; with no labelled rows the model knows no language.
+    Of each text a stretch at a hashed place is taken, as long as fills the dictionaries evenly, of at most
+    `stretch_chars` characters. Rows with a null text or label teach nothing; with no labelled rows the
+    model knows no language. More than `max_languages` labels are an error rather than some being dropped.
     """
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
-        F.col(text).alias("t"), F.col(lang).alias("g"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h")
-    )
-    sizes = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(max_languages).collect()}
+    sizes = {r[lang]: r.n for r in docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} values of {lang}")
     if not sizes:
         return LanguageModel({}, **settings)
-    bound = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1 << 30, math.ceil((1 << 30) * sample_rows / n)))])
-    drawn: dict[str, list] = {g: [] for g in sizes}
-    for r in rows.where(F.col("h") < bound[F.col("g")]).toLocalIterator():
-        drawn[r.g].append((r.h, r.t))
+    found: dict[str, list] = {g: [] for g in sizes}
+    for r in drawn(docs, text, sample_rows, by=lang, chars=stretch_chars):
+        found[r.g].append((r.h, letters(r.t)))
     made = {}
-    for g, found in drawn.items():
+    for g, own in found.items():
         parts = [bytearray() for _ in range(dictionaries)]
-        for i, (_, t) in enumerate(sorted(found)):
-            part = parts[i % dictionaries]
+        share = max(256, -(-5 * dictionary_bytes * dictionaries // (4 * max(1, len(own)))))
+        for i, (h, t) in enumerate(own):
             # each text gives a share, so that one long text doesn't fill a dictionary
-            part += letters(t)[: max(512, dictionary_bytes * dictionaries // max(1, len(found)) + 256)] + b" "
-        made[g] = tuple(bytes(p[-dictionary_bytes:]) for p in parts if p)
+            at = h % max(1, len(t) - share + 1)
+            if len(part := parts[i % dictionaries]) < dictionary_bytes:
+                part += t[at : at + share] + b" "
+        made[g] = tuple(bytes(p[:dictionary_bytes]) for p in parts if p)
     return LanguageModel({g: d for g, d in made.items() if d}, **settings)
 
 
@@ -108,7 +107,8 @@ class Encoder:
             return "und", 0.0, True
         sizes = self.sizes(text)
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
-        most = max(sizes)
+        if not (most := max(sizes)):  # nothing was encoded: no language is nearer than another
+            return self.languages[0], 1 / len(sizes), True
         rest = sorted(s for i, s in enumerate(sizes) if i != best)
         margin = (rest[0] - sizes[best]) / most if rest else 1.0
         score = 1 / sum(math.exp(-60 * (s - sizes[best]) / most) for s in sizes)

@@ -4,23 +4,27 @@ Nodes of the field are the white-space tokens that hold a digit or an at sign.
 Chain edges join tokens that stand side by side; skip edges join each token to
 the last one before it of the same normal form, and of the same shape, however
 far away. Loopy sum-product messages make repeated and similar tokens agree.
-Unary weights are a softmax regression and edge potentials are log ratios of
-counts, both fitted on a bounded sample that the exact patterns have labelled.
+Token weights and edge potentials are learnt together, by pseudo-likelihood, on a bounded
+sample that the exact patterns have labelled: each token is told from its own signs and
+from its neighbours' labels, and the signs of a third of the tokens are hidden in turn, so
+that the edges have to carry what the signs don't. Tokens that a failing match ran together
+(two cards side by side, a phone number before an address) have no label and teach
+nothing; these, and bare repeats of what stands in full elsewhere, are what the field adds.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, texts
+from .common import arrow_map, drawn, table, texts
 
 # The kinds of personal data and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -34,10 +38,18 @@ SIGN = re.compile(r"[0-9@]")
 DIGITS, LETTERS = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+")
 LABELS = ("none", *KINDS)
 BUCKETS = 4096
+#: Signs of a token's own among its features, after the constant; what training hides.
+SIGNS = 7
+#: Digits of all tokens of an added span.
+LEAST_DIGITS, MOST_DIGITS = {"card": 13, "phone": 7, "ip": 4}, {"card": 19, "phone": 15}
 
 Span = tuple[str, int, int]
 
 
+def digits_in(form: str) -> int:
+    return sum(map(len, DIGITS.findall(form)))
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -71,6 +83,12 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def failing(text: str) -> list[tuple[int, int]]:
+    """Where a pattern matched and its match was dropped."""
+    good = {(k, s, e) for k, s, e in base_spans(text)}
+    return [m.span() for kind, p in (("ip", IP), ("card", CARD), ("phone", PHONE)) for m in p.finditer(text) if (kind, *m.span()) not in good]
+
+
 @dataclass
 class Nodes:
     """Tokens with a digit or an at sign: spans, normal forms, shapes, and which stand side by side."""
@@ -114,26 +132,40 @@ def skip_edges(nodes: Nodes) -> tuple[list[tuple[int, int]], list[tuple[int, int
     return same, alike
 
 
-def features(nodes: Nodes, i: int) -> list[int]:
+def features(nodes: Nodes, i: int, beside: set[tuple[int, int]] | None = None) -> list[int]:
+    """Hashed signs of a token: SIGNS of its own, the constant and two of its neighbours."""
+    beside = set(nodes.beside) if beside is None else beside
     form, shape = nodes.forms[i], nodes.shapes[i]
-    n = len(nodes.forms)
-    digits = sum(map(len, DIGITS.findall(form)))
+    runs = DIGITS.findall(form)
+    digits = sum(map(len, runs))
+    check = 16 <= digits <= 19 and luhn("".join(runs))
+    parts = len(runs) == 4 and shape == "9.9.9.9" and all(len(p) < 4 and int(p) <= 255 for p in runs)
     named = (
         f"shape {shape}", f"digits {min(digits, 24)}", f"length {min(len(form), 48) // 2}", f"dots {min(form.count('.'), 5)}", f"at {form.count('@')}",
-        f"first {shape[:1]}", f"shape and digits {shape} {digits}",
-        f"before {nodes.shapes[i - 1] if i and (i - 1, i) in nodes.beside[max(0, i - 1):i + 1] else '-'}",
-        f"after {nodes.shapes[i + 1] if i + 1 < n and (i, i + 1) in nodes.beside[max(0, i - 1):i + 2] else '-'}",
+        f"first {shape[:1]}", f"shape and digits {shape} {digits} {check} {parts}",
+        f"before {nodes.shapes[i - 1] if (i - 1, i) in beside else '-'}", f"after {nodes.shapes[i + 1] if (i, i + 1) in beside else '-'}",
     )
     return [0, *(1 + zlib.crc32(x.encode()) % (BUCKETS - 1) for x in named)]
 
 
-def truth(nodes: Nodes, spans: list[Span]) -> list[int]:
-    labels = [0] * len(nodes.spans)
-    for kind, s, e in spans:
-        for i, (a, b) in enumerate(nodes.spans):
-            if a < e and s < b and not labels[i]:
-                labels[i] = LABELS.index(kind)
-    return labels
+def meeting(nodes: Nodes, start: int, end: int) -> range:
+    """The tokens that share a character with start .. end."""
+    first = bisect_right(nodes.spans, start, key=lambda s: s[1])
+    return range(first, bisect_right(nodes.spans, end - 1, lo=first, key=lambda s: s[0]))
+
+
+def truth(nodes: Nodes, text: str) -> tuple[list[int], list[bool]]:
+    """The patterns' label of each token, and whether it teaches: not where a failing match ran several tokens together."""
+    labels, teaches = [0] * len(nodes.spans), [True] * len(nodes.spans)
+    for s, e in failing(text):
+        own = meeting(nodes, s, e)
+        if len(own) > 1:
+            for i in own:
+                teaches[i] = False
+    for kind, s, e in base_spans(text):
+        for i in meeting(nodes, s, e):
+            labels[i], teaches[i] = labels[i] or LABELS.index(kind), True
+    return labels, teaches
 
 
 @dataclass(frozen=True)
@@ -149,7 +181,8 @@ class Field:
 
     def marginals(self, nodes: Nodes) -> np.ndarray:
         """Label probabilities of each node after loopy message passing, damped by a half."""
-        local = np.array([self.unary[features(nodes, i)].sum(0) for i in range(len(nodes.spans))])
+        beside = set(nodes.beside)
+        local = np.array([self.unary[features(nodes, i, beside)].sum(0) for i in range(len(nodes.spans))])
         same, alike = skip_edges(nodes)
         pairs = [*nodes.beside, *same, *alike]
         if pairs:
@@ -173,7 +206,11 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
-        """The patterns' spans and those the field adds; an added span touches none of the former."""
+        """The patterns' spans and those the field adds; an added span touches none of the former.
+
+        Tokens of one label that stand side by side become one span as long as their digits are no more than a card or phone
+        number has; a span with fewer than one has is none.
+        """
         if not text:
             return [], []
         base = base_spans(text)
@@ -181,7 +218,7 @@ class Field:
         if not nodes.spans:
             return base, []
         p = self.marginals(nodes)
-        joined, added, open_ = set(nodes.beside), [], None
+        joined, added, open_, held = set(nodes.beside), [], None, 0
         taken = sorted((s, e) for _, s, e in base)
         k = 0
         for i, (a, b) in enumerate(nodes.spans):
@@ -191,44 +228,60 @@ class Field:
             hit = any(s < b and a < e for s, e in taken[max(0, k - 3) : k + 4])
             if not label or p[i][label] < self.threshold or hit:
                 open_ = None
-            elif open_ == label and (i - 1, i) in joined:
+            elif open_ == label and (i - 1, i) in joined and (held := held + digits_in(nodes.forms[i])) <= MOST_DIGITS.get(LABELS[label], 0):
                 added[-1] = (LABELS[label], added[-1][1], b)
             else:
                 added.append((LABELS[label], a, b))
-                open_ = label
-        return base, added
-
-
-def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sample_rows: int = 3000, **settings) -> Field:
-    """A field fitted on about `sample_rows` rows at most, drawn by a hash of the key among rows with a digit or at sign."""
-    rows = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h"))
-    n = rows.count()
-    sample = rows.where(F.col("h") < min(1 << 30, math.ceil((1 << 30) * sample_rows / max(1, n))))
-    index, labels, counts = [], [], [np.ones((len(LABELS), len(LABELS))) for _ in range(3)]
-    for r in sample.toLocalIterator():
-        nodes = nodes_of(r.t)
-        own = truth(nodes, base_spans(r.t))
-        index += [features(nodes, i) for i in range(len(own))]
+                open_, held = label, digits_in(nodes.forms[i])
+        return base, [(k, s, e) for k, s, e in added if digits_in(text[s:e]) >= LEAST_DIGITS.get(k, 0)]
+
+
+def fit(docs: DataFrame, *, text: str = "text", sample_rows: int = 3000, **settings) -> Field:
+    """A field fitted on at most `sample_rows` texts with a digit or at sign, of long ones a stretch of 65,536 characters."""
+    return trained([r.t for r in drawn(docs.where(F.col(text).rlike("[0-9@]")), text, sample_rows)], **settings)
+
+
+def trained(texts: list[str], *, rounds: int = 250, hidden: float = 1 / 3, decay: float = 1e-5, edge_decay: float = 1e-4, **settings) -> Field:
+    """The field of greatest pseudo-likelihood: each token given its signs and its neighbours' labels."""
+    index, labels, teach = [], [], []
+    edges: list[list[tuple[int, int]]] = [[], [], []]
+    for t in texts:
+        nodes = nodes_of(t)
+        own, teaches = truth(nodes, t)
+        beside, at = set(nodes.beside), len(labels)
+        index += [features(nodes, i, beside) for i in range(len(own))]
         labels += own
-        for c, edges in zip(counts, (nodes.beside, *skip_edges(nodes)), strict=True):
-            for a, b in edges:
-                c[own[a], own[b]] += 1
-    weights = np.zeros((BUCKETS, len(LABELS)))
-    if index:
-        x, y = np.array(index), np.eye(len(LABELS))[labels]
-        seen = np.zeros_like(weights) + 1e-6
-        for _ in range(120):
+        teach += teaches
+        for held, found in zip(edges, (nodes.beside, *skip_edges(nodes)), strict=True):
+            held += [(a + at, b + at) for a, b in found if teaches[a] and teaches[b]]
+    n = len(LABELS)
+    weights, pots = np.zeros((BUCKETS + 1, n)), [np.zeros((n, n)) for _ in edges]
+    if any(teach):
+        every, y, use = np.array(index), np.array(labels), np.array(teach)
+        ends = [np.array(e, dtype=np.int64).reshape(-1, 2).T for e in edges]
+        goal, rng = np.eye(n)[y], np.random.default_rng(0)
+        seen, seen_pots = np.full_like(weights, 1e-6), [np.full((n, n), 1e-6) for _ in edges]
+        for _ in range(rounds):
+            x = every.copy()
+            x[rng.random(len(x)) < hidden, 1 : 1 + SIGNS] = BUCKETS  # a row that stays zero
             z = weights[x].sum(1)
+            for (a, b), m in zip(ends, pots, strict=True):
+                np.add.at(z, b, m[y[a]])
+                np.add.at(z, a, m.T[y[b]])
             p = np.exp(z - z.max(1, keepdims=True))
-            p = p / p.sum(1, keepdims=True) - y
-            grad = np.zeros_like(weights)
+            p = (p / p.sum(1, keepdims=True) - goal) * use[:, None] / use.sum()
+            grad = decay * weights
             np.add.at(grad, x.ravel(), np.repeat(p, x.shape[1], 0))
-            grad = grad / len(x) + 1e-5 * weights
+            grad[BUCKETS] = 0
             seen += grad**2
             weights -= 0.5 * grad / np.sqrt(seen)
-    # how much more often two labels meet on an edge than by chance, within e**-2 to e**2
-    chain, same, alike = (np.clip(np.log(c * c.sum() / np.outer(c.sum(1), c.sum(0))), -2, 2) for c in counts)
-    return Field(weights, chain, same, alike / 2, **settings)
+            for k, (a, b) in enumerate(ends):
+                grad = edge_decay * pots[k]
+                np.add.at(grad, y[a], p[b])
+                np.add.at(grad.T, y[b], p[a])
+                seen_pots[k] += grad**2
+                pots[k] -= 0.5 * grad / np.sqrt(seen_pots[k])
+    return Field(weights, pots[0], (pots[1] + pots[1].T) / 2, (pots[2] + pots[2].T) / 2, **settings)
 
 
 def joined(spans: list[Span]) -> str:
