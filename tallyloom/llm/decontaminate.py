@@ -8,14 +8,14 @@ it which windows of which items end there. The words of those windows are hit.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, raw, table
+from .common import arrow_map, raw, set_aside, stored, table
 
 #: ASCII bytes other than digits and lower-case letters part words; bytes above 0x7F belong to them.
 APART = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -25,23 +25,12 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().translate(APART).split() if text else []
 
 
-@dataclass
-class Automaton:
-    """States of a generalised suffix automaton: next (by word id), link, length; marks: items whose window ends there.
-
-    marks[state] lists (length of the window, item); a window of that length is the
-    suffix of every string of the state that is as long.
-    """
+class Builder:
+    """A generalised suffix automaton that grows word by word."""
 
-    window: int
-    items: list[str] = field(default_factory=list)
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    next: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
-    marks: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    least: int = 0
-    pairs: np.ndarray | None = None
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
 
     def extend(self, last: int, c: int) -> int:
         if (q := self.next[last].get(c)) is not None:
@@ -78,15 +67,38 @@ class Automaton:
             state = self.link[state]
         return state
 
+
+@dataclass(frozen=True)
+class Automaton:
+    """The finished automaton in arrays, some nine bytes for each of its text; fields are plain, so that they can be sent by themselves.
+
+    keys and targets: transitions by state x words + word, sorted; link and length by state. Windows
+    end in the states mark_states, sorted: window mark_sizes[i] of item mark_items[i]
+    for i from mark_starts[k] to mark_starts[k + 1]. A window is the suffix of every string of its
+    state that is as long. pairs: neighbours in some item.
+    """
+
+    items: list[str]
+    vocabulary: dict[bytes, int]
+    keys: np.ndarray
+    targets: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    mark_states: np.ndarray
+    mark_starts: np.ndarray
+    mark_sizes: np.ndarray
+    mark_items: np.ndarray
+    least: int
+    pairs: np.ndarray
+
     @classmethod
     def build(cls, items: list[tuple[str, bytes]], window: int) -> Automaton:
-        a = cls(window)
-        held = []
+        a, names, vocabulary, held = Builder(), [], {}, []
         for name, text in items:
-            ids = [a.vocabulary.setdefault(w, len(a.vocabulary)) for w in words_of(text)]
+            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
             if ids:
-                held.append((len(a.items), ids))
-                a.items.append(name)
+                held.append((len(names), ids))
+                names.append(name)
         for _, ids in held:
             last = 0
             for c in ids:
@@ -99,10 +111,34 @@ class Automaton:
                 state = a.next[state][c]
                 if i + 1 >= n:
                     marks.setdefault(a.holder(state, n), set()).add((n, item))
-        a.marks = {s: sorted(m) for s, m in marks.items()}
-        a.least = min((min(window, len(ids)) for _, ids in held), default=0)
-        a.pairs = np.unique(np.array([x * len(a.vocabulary) + y for _, ids in held for x, y in pairwise(ids)], dtype=np.int64))
-        return a
+        least = min((min(window, len(ids)) for _, ids in held), default=0)
+        n = len(vocabulary)
+        pairs = np.unique(np.array([x * n + y for _, ids in held for x, y in pairwise(ids)], dtype=np.int64))
+        edges = np.array(sorted((s * n + c, q) for s, own in enumerate(a.next) for c, q in own.items()), dtype=np.int64).reshape(-1, 2)
+        states = sorted(marks)
+        own = [m for s in states for m in sorted(marks[s])]
+        starts = np.cumsum([0, *(len(marks[s]) for s in states)])
+        return cls(
+            names, vocabulary, edges[:, 0].copy(), edges[:, 1].astype(np.int32), np.array(a.link, np.int32), np.array(a.length, np.int32),
+            np.array(states, np.int32), starts.astype(np.int32), np.array([m[0] for m in own], np.int32), np.array([m[1] for m in own], np.int32), least, pairs,
+        )
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray)) + 100 * (len(self.vocabulary) + len(self.items))
+
+    def step(self, state: int, c: int) -> int:
+        """The state after a word, 0 if there is none."""
+        key = state * len(self.vocabulary) + c
+        i = int(self.keys.searchsorted(key))
+        return int(self.targets[i]) if i < len(self.keys) and self.keys[i] == key else 0
+
+    def marks(self, state: int) -> list[tuple[int, int]]:
+        k = int(self.mark_states.searchsorted(state))
+        if k == len(self.mark_states) or self.mark_states[k] != state:
+            return []
+        x, y = self.mark_starts[k], self.mark_starts[k + 1]
+        return list(zip(self.mark_sizes[x:y].tolist(), self.mark_items[x:y].tolist(), strict=True))
 
     def runs(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """The stretches in which a window can lie: at least `least` known words, each pair of neighbours in some item."""
@@ -132,19 +168,19 @@ class Automaton:
         for start, end in self.runs(ids):
             state = size = 0
             for i, c in enumerate(ids[start:end].tolist(), start):
-                while state and c not in self.next[state]:
-                    state = self.link[state]
-                    size = self.length[state]
-                state = self.next[state].get(c, 0)
+                while not (after := self.step(state, c)) and state:
+                    state = int(self.link[state])
+                    size = int(self.length[state])
+                state = after
                 size = size + 1 if state else 0
                 most = max(most, size)
                 s, longest = state, 0
                 while s > 0 and self.length[s] >= self.least:
-                    for n, item in self.marks.get(s, ()):
+                    for n, item in self.marks(s):
                         if n <= size:
                             longest = max(longest, n)
                             found.add(item)
-                    s = self.link[s]
+                    s = int(self.link[s])
                 if longest:
                     a = i + 1 - longest
                     if hits and a <= hits[-1][1]:
@@ -161,12 +197,12 @@ class Automaton:
         return merged, found, most
 
 
-def automata(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", window: int = 10, chunk_bytes: int = 16 << 20) -> list[Automaton]:
+def automata(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", window: int = 10, chunk_bytes: int = 2 << 20) -> list[Automaton]:
     """Automata over all items, each over at most about `chunk_bytes` of text (or one item).
 
-    One automaton holds the items unless they are more than that; then each chunk
-    becomes its own and documents pass through one after the other, so what is
-    sent to the workers at a time stays bounded.
+    While it is built an automaton takes some eighty times its text on the driver, so that
+    is bounded by chunks; finished ones take about nine times theirs. Null texts and items without words
+    are in none. No items, one empty automaton.
     """
     chunks: list[list] = [[]]
     size = 0
@@ -180,39 +216,45 @@ def automata(benchmark: DataFrame, *, item: str = "item_id", text: str = "text",
     return [Automaton.build(c, window) for c in chunks]
 
 
-def mark_contamination(docs: DataFrame, held: list[Automaton], *, text: str = "text") -> DataFrame:
-    """Add n_words, n_hit, items (sorted strings, a set) and longest_match.
+def mark_contamination(docs: DataFrame, held: list[Automaton], *, text: str = "text", pass_bytes: int = 256 << 20) -> DataFrame:
+    """Add n_words, n_hit, items (sorted strings, a set), longest_match and hits (stretches of words).
 
     A null or empty text has no words and is hit nowhere; an item without words is
     never found; items of equal text are all found. Repeated rows give repeated
-    results. Columns of the new names are replaced, others stay.
+    results. Columns of the new names are replaced, others stay. Workers hold automata of at most
+    `pass_bytes` (or one); with more, documents pass through again, stored in between.
     """
     spark = docs.sparkSession
     fields = [("n_words", "long"), ("hits", "array<struct<start:long,stop:long>>"), ("items", "array<string>"), ("longest_match", "long")]
+    passes: list[list[Automaton]] = [[]]
+    for a in held:
+        if passes[-1] and sum(x.nbytes for x in passes[-1]) + a.nbytes > pass_bytes:
+            passes.append([])
+        passes[-1].append(a)
     out = docs
-    for k, automaton in enumerate(held):
-        sent = spark.sparkContext.broadcast(automaton)
+    for k, own in enumerate(passes):
+        sent = spark.sparkContext.broadcast([tuple(vars(a).values()) for a in own])  # no class of ours: workers needn't have them
 
         def make(sent=sent, k=k):
-            a = sent.value
+            automata = [Automaton(*parts) for parts in sent.value]
 
             def work(batch):
                 rows = []
                 before = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("hits", "items", "longest_match")] if k else None
                 for i, t in enumerate(raw(batch, text)):
                     words = words_of(t)
-                    hits, found, most = a.scan(words)
-                    names = {a.items[x] for x in found}
-                    if before:
-                        hits = [*hits, *((h["start"], h["stop"]) for h in before[0][i])]
-                        names |= set(before[1][i])
-                        most = max(most, before[2][i])
+                    hits, names, most = ([(h["start"], h["stop"]) for h in before[0][i]], set(before[1][i]), before[2][i]) if before else ([], set(), 0)
+                    for a in automata:
+                        spans, found, longest = a.scan(words)
+                        hits += spans
+                        names |= {a.items[x] for x in found}
+                        most = max(most, longest)
                     rows.append((len(words), [{"start": s, "stop": e} for s, e in union(hits)], sorted(names), most))
                 return [[r[j] for r in rows] for j in range(4)]
 
             return work
 
-        out = arrow_map(out, fields, make)
+        out = arrow_map(stored(out, "hits") if k else out, fields, make)
     return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["stop"] - h["start"]))
 
 
@@ -241,10 +283,12 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 def remove_spans(docs: DataFrame, held: list[Automaton], *, text: str = "text", least_hit: int = 1, coverage: float = 0.5) -> DataFrame:
     """Cut hit stretches of at least `least_hit` words out of texts; rows whose hit share is over `coverage` go.
 
-    A null text stays. What stands between the first and last hit word of a
-    stretch is cut with it.
+    A null or empty text stays. What stands between the first and last hit word of a
+    stretch is cut with it. Repeated rows fare alike, no rows give none, and all columns come back as
+    they were, whatever their names.
     """
-    marked = mark_contamination(docs, held, text=text)
+    own, back = set_aside(docs, ("n_words", "hits", "items", "longest_match", "n_hit"))
+    marked = mark_contamination(own, held, text=text)
 
     def make():
         def work(batch):
@@ -264,7 +308,7 @@ def remove_spans(docs: DataFrame, held: list[Automaton], *, text: str = "text",
         return work
 
     kept = marked.where(F.col("n_hit") <= coverage * F.col("n_words"))
-    return arrow_map(kept, [(text, "string")], make).select(*docs.columns)
+    return arrow_map(kept, [(text, "string")], make).select(*own.columns).withColumnsRenamed(back)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, forget, raw, release, stored, table
+from .common import apart, forget, raw, release, set_aside, stored, table
 from .wordhash import shingle_sets
 
 BUCKETS = 1 << 22
@@ -678,12 +678,13 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **sett
 
     Rows are told apart by a number of their own, so a shared or null key neither loses nor saves a row.
     """
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own, back = set_aside(docs, ("_row",))
+    numbered = stored(own.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found, _ = labelled(numbered.select("_row", key, text), text=text, **settings)
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row"))["_row"]
     chosen = found.where("_label is not null").groupBy("_label").agg(first.alias("_row")).select("_row")
     kept = stored(chosen.union(found.where("_label is null").select("_row")), "kept")
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    return numbered.join(kept, "_row", "left_semi").select(*own.columns).withColumnsRenamed(back)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

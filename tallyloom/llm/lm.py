@@ -26,7 +26,7 @@ END, START = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 SEGMENTS = 4096
 #: What is sent to the workers at most; beyond it bigrams go to the filter's segments and words are joined.
 FILTER_BYTES, VOCABULARY = 128 << 20, 8_000_000
-FLUSH = 1 << 22
+FLUSH = 3 << 20
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -174,7 +174,7 @@ def build_filter(counts: Counts, width: int, *, base: float = 1.5, probes: int =
 
     bits = np.zeros((SEGMENTS, width), dtype=np.uint8)
     rows = counts.bigrams.select("h", level_of(F.col("c"), base).alias("q")).mapInArrow(run, "seg int, bits binary")
-    for r in rows.toLocalIterator():
+    for r in stored(rows, "filter").toLocalIterator():
         bits[r.seg] |= np.frombuffer(r.bits, dtype=np.uint8)
     return Filter(bits, probes, base)
 
@@ -227,7 +227,7 @@ def vocabulary(counts: Counts, most: int = VOCABULARY) -> tuple[np.ndarray, np.n
 
     h, c = np.empty(counts.distinct, np.uint64), np.empty(counts.distinct, np.int64)
     at = 0
-    for r in counts.words.mapInArrow(run, "h binary, c binary").toLocalIterator():
+    for r in stored(counts.words.mapInArrow(run, "h binary, c binary"), "words").toLocalIterator():
         n = len(r.h) // 8
         h[at : at + n], c[at : at + n] = np.frombuffer(r.h, np.uint64), np.frombuffer(r.c, np.int64)
         at += n
@@ -254,10 +254,11 @@ def score(docs: DataFrame, counts: Counts, *, text: str = "text", prior: float =
     if held is None or known is None:
         out = score_by_join(docs, counts, total, text, prior, base, width)
     else:
-        sent = spark.sparkContext.broadcast((held, known, counts.texts))
+        sent = spark.sparkContext.broadcast((held.bits, held.probes, held.base, known, counts.texts))  # no class of ours: workers needn't have them
 
         def make():
-            held, (h, c), texts = sent.value
+            *parts, (h, c), texts = sent.value
+            held = Filter(*parts)
             values = value_of(np.arange(200), held.base)
 
             def work(batch):

@@ -59,9 +59,10 @@ def record(page: object, url: str | None, payload: bytes, first: object, revisit
 def mark_revisits(pages: DataFrame, *, key: str = "page_id", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """Add `_first`: for rows whose payload others share, the smallest key among them.
 
-    Only digests pass through the shuffle, counted before it. Those that occur more than
-    once are a small table, broadcast if it has at most BROADCAST_ROWS rows and joined
-    by a shuffle, whose frequent keys Spark splits, if it has more.
+    Digests are counted before they pass through the shuffle. Those that occur more than
+    once are a small table, broadcast if it has at most BROADCAST_ROWS rows; if it has
+    more, the pages themselves pass through a shuffle join, whose frequent keys Spark splits.
+    A null payload counts as empty; a table without rows gives none; other columns stay.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     with_digest = pages.withColumn("_digest", F.when(F.octet_length(payload) >= least_bytes, F.sha1(payload)))
@@ -213,7 +214,7 @@ class WarcReader(DataSourceReader):
             values["payload"] = values["payload_bytes"] = None
             rest = size
             if need and headers.get("content-type", "").startswith("application/http"):
-                while b"\r\n\r\n" not in buffer[:size] and len(buffer) < size and more():
+                while b"\r\n\r\n" not in buffer[:size] and len(buffer) < min(size, 1 << 20) and more():
                     pass
                 http, _, _ = buffer[:size].partition(b"\r\n\r\n")
                 buffer, rest = buffer[len(http) + 4 :], size - len(http) - 4
@@ -222,8 +223,10 @@ class WarcReader(DataSourceReader):
                     if name.strip().lower() == b"content-length":
                         values["payload_bytes"] = int(value)
                 if "payload" in need and values["record_type"] == "response":
-                    while len(buffer) < rest and more():
-                        pass
+                    parts = [buffer]
+                    while (left := rest - sum(map(len, parts))) > 0 and (data := stream.read(left)):
+                        parts.append(data)
+                    buffer = b"".join(parts) if len(parts) > 1 else buffer
                     values["payload"] = buffer[:rest]
             skip(rest + 4)
             yield [values[n] for n in self.names]

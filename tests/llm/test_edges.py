@@ -60,6 +60,18 @@ def test_jaccard(docs):
     assert sorted((r.doc_id or 0) for r in kept) == ([0, 1, 2, 3, 4, 5] if got else [])
 
 
+def test_columns_of_clashing_names_stay(spark):
+    import corpus_pipeline
+
+    names = ["hits", "items", "n_words", "n_hit", "longest_match", "lang_pred", "score", "rejected", "n_shingles", "component_id", "base_spans", "added_spans", "_row"]
+    rows = [(i, ("some words that stand here and there " + "and so on ") * 5, "en", "s", 1, *[f"own {n}" for n in names]) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns, name
+        assert all(r[n] == f"own {n}" for r in got.collect() for n in names), name
+
+
 def test_keep_one_tells_rows_apart(spark):
     near = [" ".join(f"w{k}" for k in range(60)) + f" {end}" for end in "xyz"]
     rows = [(None, "one clean text of its own here"), (None, "another clean text that stands alone"), (None, None), (None, None), (7, near[1]), (3, near[0]), (7, "not a copy of anything else at all"), (None, near[2]), (None, "null ids that hold equal texts"), (None, "null ids that hold equal texts")]

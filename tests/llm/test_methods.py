@@ -59,6 +59,37 @@ def test_fullest_combination():
         assert all(k <= counts[n] for n, k in chosen.items())
 
 
+def best_fit_decreasing(lengths, capacity=2048):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= n]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def test_packing_is_no_worse_than_best_fit_decreasing():
+    rng = random.Random(11)
+    for k in range(10):
+        lengths = [min(2048, 1 + int(rng.expovariate(1 / rng.choice((60, 400, 900))))) for _ in range(500)] + [2048] * k
+        intervals, n = packing.plan(collections.Counter(lengths))
+        assert n <= best_fit_decreasing(lengths)
+        assert sum(i.last - i.first for i in intervals) == len(lengths)
+
+
+def test_packing_splits_frequent_lengths(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 2048).otherwise(F.col("id") % 700 + 1).cast("long").alias("length"))
+    got = packing.pack(rows, salt_rows=10).collect()
+    used = collections.defaultdict(list)
+    for r in got:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 3000
+    for own in used.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
+
+
 def test_tokens_of_odd_texts():
     w = packing.WordTokens(packing.tokenizer_path())
     rng = random.Random(2)
@@ -263,6 +294,43 @@ def test_pii_field_agrees_on_repeats():
     assert p[0].argmax() == 3 and p[1].argmax() == 3
 
 
+@pytest.fixture(scope="module")
+def field(texts):
+    import pyarrow.parquet as pq
+
+    return pii.trained([t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t and pii.SIGN.search(t)])
+
+
+def test_pii_field_adds_what_failing_matches_swallow(field):
+    t = "ref 4111111111111111 5500005555555559 4111111111111112 or +1 (826) 555-4081 190.137.223.204 end"
+    base, added = field.spans(t)
+    assert [t[s:e] for _, s, e in base] == ["190.137.223.204"]
+    assert [(k, t[s:e]) for k, s, e in added] == [("card", "4111111111111111"), ("card", "5500005555555559"), ("phone", "+1 (826) 555-4081")]
+    assert field.spans("version 2.0 and 4.0 of 1999, 42 items, at 10:30")[1] == []
+
+
+def test_pii_messages_change_beliefs(field):
+    """A bare repeat of a part of a phone number is likelier to be one for the full number elsewhere."""
+    alone = field.marginals(pii.nodes_of("later 555-4081 again"))[0, 4]
+    repeated = field.marginals(pii.nodes_of("call +1 (826) 555-4081 now, later 555-4081 again"))[3, 4]
+    assert repeated > 1.2 * alone
+    assert (field.same.diagonal() > 0).all()
+
+
+def test_pii_neighbours_are_told_by_pairs():
+    nodes = pii.nodes_of("a1 foo b2 foo c3 foo d4 foo e5 f6")
+    assert nodes.beside == [(4, 5)]
+    assert pii.features(nodes, 4)[-1] != pii.features(nodes, 3)[-1] and pii.features(nodes, 5)[-2] != pii.features(nodes, 3)[-2]
+
+
+def test_pii_query(spark, texts):
+    for r in registry.QUERIES["op5_pii"](spark, SMALL).collect():
+        base = pii.base_spans(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, *_ in base) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(r.spans.split(","))
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "write to a.b@c.example.com or 10.0.0.1 now"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(docs, pii.fit(docs)).collect()}
@@ -295,6 +363,77 @@ def test_html_of_templates(spark):
     assert [b.text for b in mincut.Labeller().content(page)] == ["A & B", "First line goes on.", "Second bold line."]
 
 
+def test_html_within_wrappers():
+    own = mincut.Labeller()
+    text = lambda page: [b.text for b in own.content(page)]
+    assert text('<div class="layout with-sidebar"><article><h1>Head</h1><p>A first line of some length, here.</p></article></div>') == ["Head", "A first line of some length, here."]
+    page = '<div class="page"><div class="sidebar"><ul><li><a href=x>One</a><li><a>Two</a></ul></div><div><p>A line of text, and it goes on for a while here. More.</p><p>And a second line of text, that goes on for a while.</p></div><footer>c</footer></div>'
+    assert text(page) == ["A line of text, and it goes on for a while here. More.", "And a second line of text, that goes on for a while."]
+    assert text("<article><p>With <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p><xmp>a <b> c</xmp></article>") == ["With x=2 here.", "a <b> c"]
+
+
+def test_html_cut_overrules_a_block():
+    own = mincut.Labeller()
+    page = mincut.Page("<div><p>A line of text, and it goes on for a while here. More of it.</p><div>ok</div><p>And a second line of text, that goes on for a while.</p></div>")
+    odds = own.capacities(page.blocks)
+    assert odds[1] < 0 and mincut.minimum_cut(odds, own.edges(page)) == [True, True, True]
+    assert mincut.minimum_cut(odds, []) == [True, False, True]
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    start = time.time()
+    for page in ("<i>x" * 20_000, "<div>x" * 20_000, '<a href="x>y' * 20_000, "<p>" + "<i>" * 20_000 + "<td><p>x" * 5_000, '<a "' * 20_000):
+        mincut.blocks_of(page)
+    assert time.time() - start < 10
+
+
+def test_html_query(spark):
+    """Against the templates: the article's blocks, as a plain parser sees them."""
+    from html.parser import HTMLParser
+
+    class Articles(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.parts, self.inside, self.skip = [], [], 0, 0
+
+        def flush(self):
+            if t := " ".join("".join(self.parts).split()):
+                self.out.append(t)
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in mincut.BLOCK:
+                self.flush()
+            self.inside += tag == "article"
+            self.skip += tag in ("script", "style") or (self.inside and tag in ("aside", "form", "nav", "section"))
+            if tag == "br":
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in mincut.BLOCK:
+                self.flush()
+            self.inside -= tag == "article"
+            self.skip -= tag in ("script", "style") or (self.inside and tag in ("aside", "form", "nav", "section"))
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.parts.append(data)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = {r.page_id: r for r in registry.QUERIES["op7_html"](spark, SMALL).collect()}
+    assert got.keys() == pages.keys()
+    same = 0
+    for i, page in pages.items():
+        p = Articles()
+        p.feed(page or "")
+        p.flush()
+        same += got[i].text == "\n\n".join(p.out)
+        assert got[i].n_chars == len(got[i].text)
+    assert same >= 0.95 * len(pages)
+
+
 def test_minimum_cut_against_enumeration():
     rng = random.Random(6)
     for _ in range(200):
@@ -360,6 +499,61 @@ def test_secret_battery_tells_random_from_typed(spark):
     assert not any(r.added_spans for r in got if r.doc_id >= 1000)
 
 
+def test_secrets_bound_false_reports(spark):
+    """Camel-case names, long ones too, aren't reported among random strings; short random ones are with less power."""
+    rng = random.Random(12)
+    names = "User Account Manager Factory Service Handler Context Builder Provider Request Response Session Cache Index Value".split()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, "see " + ("".join(rng.choice(names) for _ in range(8))[: 26 + i % 30]) + f"{i % 10}Impl end") for i in range(150)]
+    rows += [(1000 + i, "see UserAccountManagerFactory7Impl end") for i in range(50)]
+    rows += [(2000 + i, "key " + "".join(rng.choice(alphabet) for _ in range(40)) + " end") for i in range(150)]
+    got = {r.doc_id: len(r.added_spans) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    false, true = sum(n for i, n in got.items() if i < 2000), sum(n for i, n in got.items() if i >= 2000)
+    assert true >= 140 and false <= 0.06 * (true + false) and not any(got[1000 + i] for i in range(50))
+
+
+def test_secrets_query(spark, texts):
+    patterns = {"assign": (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}
+    for r in registry.QUERIES["op9_secrets"](spark, SMALL).collect():
+        t = texts[r.doc_id] or ""
+        want = [(m.start(), i, k, m.end()) for i, (k, (p, g, n)) in enumerate(patterns.items()) for m in re.finditer(p, t) if len(m[g]) >= n]
+        spans = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(want))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(w[2] == k for w in want) for k in patterns]
+        assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest() and set(spans.split(",")) <= set(r.spans.split(","))
+
+
+def test_warc_query(spark):
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    first: dict = {}
+    for i in sorted(pages):
+        first.setdefault(pages[i], i)
+    got = registry.QUERIES["op6_warc"](spark, SMALL).collect()
+    import base64
+
+    want = {(i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first[b] == i else "revisit", None if first[b] == i else first[b]) for i, b in pages.items()}
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want and len(got) == len(pages)
+
+
+def test_language_of_odd_letters(spark):
+    rows = [(i, ("the and of in to " if i % 2 else "der die und das ist ") * 20, "en" if i % 2 else "de") for i in range(1, 40)] + [(None, "the and of " * 9, "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample_rows=5)
+    odd = spark.createDataFrame([(1, "\u1c8a"), (2, "\ua7cb 7"), (3, "\u0301"), (4, "42")], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
+    assert all(got[i].lang_pred in ("en", "de", "und") and 0 <= got[i].score <= 1 for i in got) and got[4].lang_pred == "und"
+    with pytest.raises(ValueError, match="more than 1"):
+        langid.fit(docs, max_languages=1)
+
+
+def test_samples_are_bounded(spark):
+    """Rows that share a null key or a text neither crowd a sample nor pass its bound; long texts give a stretch."""
+    rows = [(None, f"text {i % 40}", "g") for i in range(400)] + [(None, "long " * 50_000, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = common.drawn(docs, "text", 10, by="lang", chars=100)
+    assert collections.Counter(r.g for r in got) == {"g": 10, "h": 1} and len({r.t for r in got}) == 11 and max(len(r.t) for r in got) == 100
+    assert got == common.drawn(docs.repartition(3), "text", 10, by="lang", chars=100)
+
+
 def test_language_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
