@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import tempfile
@@ -59,13 +60,19 @@ def remembered(kind: str, make: Callable):
     """What a Python worker keeps from task to task: one thing at a time, so that workers stay small."""
     held = holder().__dict__.setdefault("held", {})
     if kind not in held:
-        held.clear()
+        forget()
         held[kind] = make()
     return held[kind]
 
 
 def forget() -> None:
+    """Let go of what the worker remembers, and give freed memory back to the system: workers outlive their tasks."""
     holder().__dict__.get("held", {}).clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call on this system
+        pass
 
 
 def holder():

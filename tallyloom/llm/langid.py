@@ -9,6 +9,7 @@ the prediction as rejected.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import regex
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 from .common import arrow_map, drawn, remainder, table, texts
 
 LETTER = regex.compile(r"\p{L}")
-OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+OTHER, NEWER = re.compile(r"[\W\d_]+"), regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str) -> bytes:
     """Lower case, everything between letters and their marks as one blank: capitals and junk signs tell no languages apart."""
-    return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    lower = text.lower()
+    found = OTHER.sub(" ", lower).strip() or NEWER.sub(" ", lower).strip()  # letters may be newer than the faster tables
+    return found.encode("utf-8", "replace")
 
 
 @dataclass(frozen=True)

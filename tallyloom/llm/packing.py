@@ -119,7 +119,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         self.parts = Parts(self)
         self.others = Others(self)
 
@@ -130,7 +129,7 @@ class WordTokens:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        for cache in (self.words, self.parts, self.others):
+        for cache in (self.parts, self.others):
             if len(cache) > CACHE_WORDS:
                 cache.clear()
         try:
@@ -143,7 +142,7 @@ class WordTokens:
 
 
 class Parts(dict):
-    """Lower-case Latin-1 parts; those of visible signs only are cut into words, the others left to the tokenizer."""
+    """Lower-case Latin-1 parts and their words; parts of visible signs only are cut into words, the others left to the tokenizer."""
 
     def __init__(self, own: WordTokens):
         self.own = own
@@ -151,12 +150,8 @@ class Parts(dict):
     def __missing__(self, key: bytes) -> bytes:
         part = key.decode("latin-1")
         if VISIBLE.fullmatch(part):
-            known, out = self.own.words, []
-            for w in EDGES.findall(part):
-                if (ids := known.get(w)) is None:
-                    ids = known[w] = self.own.encode(w)
-                out.append(ids)
-            found = b"".join(out)
+            cut = EDGES.findall(part)
+            found = b"".join([self[w.encode("latin-1")] for w in cut]) if len(cut) > 1 else self.own.encode(part)
         else:
             found = self.own.encode(part)
         self[key] = found
