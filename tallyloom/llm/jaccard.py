@@ -44,6 +44,8 @@ HOT, LEADERS = 4096, 16
 #: Sets of a bundle that one task joins, their bytes, and classes and edges that a task remembers.
 BUNDLE, BUNDLE_BYTES = 8192, 64 << 20
 SEEN = 500_000
+#: Row numbers that are broadcast at most, eight bytes each.
+SENT_ROWS = 2_000_000
 #: Bits that say which classes are in a bundle; others pass by chance and go in a join.
 BITMAP = 1 << 27
 
@@ -676,15 +678,17 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """One row of each component, that of the smallest key; of rows that share it, null keys included, one.
 
-    Rows are told apart by a number of their own, so a shared or null key neither loses nor saves a row.
+    Rows are told apart by a number of their own, so a shared or null key neither loses nor saves a row. The numbers of
+    rows that go are broadcast if there are at most SENT_ROWS of them; if more, the rows pass through a shuffle.
     """
     own, back = set_aside(docs, ("_row",))
     numbered = stored(own.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found, _ = labelled(numbered.select("_row", key, text), text=text, **settings)
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row"))["_row"]
     chosen = found.where("_label is not null").groupBy("_label").agg(first.alias("_row")).select("_row")
-    kept = stored(chosen.union(found.where("_label is null").select("_row")), "kept")
-    return numbered.join(kept, "_row", "left_semi").select(*own.columns).withColumnsRenamed(back)
+    gone = stored(found.where("_label is not null").select("_row").join(chosen, "_row", "left_anti"), "gone")
+    few = gone.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    return numbered.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*own.columns).withColumnsRenamed(back)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
