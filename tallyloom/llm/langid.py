@@ -54,7 +54,7 @@ def fit(
     sample_rows: int = 400,
     stretch_chars: int = 4096,
     dictionary_bytes: int = 32768,
-    dictionaries: int = 3,
+    dictionaries: int = 2,
     max_languages: int = 500,
     **settings,
 ) -> LanguageModel:
