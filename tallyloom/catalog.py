@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import aggregation, estimation, files, relations, texts  # noqa: F401
+from tallyloom.plans import aggregation, estimation, files, relations, rollups, streams, texts  # noqa: F401
 from tallyloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "a12_step_rollup"

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The families of markers that responses are searched for, and the openings that tell modes apart.
+# The families of markers that responses are searched for (a family counts all of its patterns), and the openings that tell modes apart.
 MARKERS = {
-    "reasoning": r"(?i)\b(because|therefore|thus|hence|since|so that)\b",
-    "step": r"(?i)\b(step \d+|first|second|third|next|then|finally)\b",
-    "check": r"(?i)\b(verify|check|confirm|double-check|wait|let me)\b",
-    "math": r"\$[^$]+\$|\\boxed|\\frac|=|\d+\s*[-+*/]\s*\d+",
-}
+    "step": (
+        r"(?i)\bstep\s*\d+\b", r"(?i)\b(first(?:ly)?|second(?:ly)?|third(?:ly)?|fourth(?:ly)?|finally)\b", r"(?i)\b(therefore|thus|hence|so that|so,)\b",
+        r"(?i)\b(we need to|we have to|we should|let me)\b", r"(?i)\b(let's|let us)\b", r"(首先|然后|其次|接着|最后|因此|所以)",
+    ),
+    "equation": (
+        r"\\frac\s*\{", r"\\sqrt\s*\{", r"\\boxed\s*\{", r"[A-Za-z0-9)\]]\s*\^\s*[{A-Za-z0-9(]", r"\d+\s*[+\-*/=×÷]\s*\d+", r"[=≤≥<>]", r"\$[^$]{1,200}\$",
+    ),
+    "verification": (
+        r"(?i)\b(check|checking|verify|verified|substitute|plug back|sanity check|double[- ]?check|re[- ]?check)\b", r"(?i)\b(let's check|let's verify|let us check)\b", r"(验证|检查|代入|回代|复核)",
+    ),
+    "over_reasoning": (
+        r"(?i)\blet's think\b", r"(?i)\bstep by step\b", r"(?i)\bwe need to\b", r"(?i)\b(reasoning|analysis|deliberately)\b", r"(?i)\b(therefore|hence|thus)\b", r"(首先|然后|因此|所以|推理|思考)",
+    ),
+}
 DRI = ("Step 1", "First", "Let", "To solve", "We ")
 DAI = ("The answer", "Answer", "Final answer")
 
@@ -44,7 +56,7 @@ def density(count: Column, n: Column) -> Column:
 
 
 def marker_counts(x: Column) -> dict[str, Column]:
-    return {k: F.regexp_count(x, F.lit(p)) for k, p in MARKERS.items()}
+    return {k: reduce(add, [F.regexp_count(x, F.lit(p)) for p in own]) for k, own in MARKERS.items()}
 
 
 def answer_position(x: Column) -> Column:

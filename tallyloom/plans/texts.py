@@ -46,16 +46,16 @@ def f13(spark, d):
     return V.table(spark, d, "documents").where("lang = 'en' and length(text) = octet_length(text)").select("doc_id", N.qa_normalize(F.col("text")).alias("normal"))
 
 
-def _count(p):
-    return f"len(regexp_extract_all(response, '{p}'))"
+def _count(family):
+    return "(" + " + ".join("len(regexp_extract_all(response, '" + p.replace("'", "''") + "'))" for p in X.MARKERS[family]) + ")"
 
 
-@query("f23_text_metrics", f"""SELECT doc_id, {_count(X.MARKERS['reasoning'])} AS reasoning, {_count(X.MARKERS['step'])} AS step, {_count(X.MARKERS['check'])} AS "check", len(list_filter(regexp_split_to_array(response, '\\s+'), lambda x: x <> '')) AS n_pieces,
-    round({_count(X.MARKERS['check'])} * 100.0 / greatest(1, len(list_filter(regexp_split_to_array(response, '\\s+'), lambda x: x <> ''))), 6) AS check_density FROM v_responses""")
+@query("f23_text_metrics", f"""SELECT doc_id, {', '.join(f'{_count(k)} AS {k}' for k in X.MARKERS)}, len(list_filter(regexp_split_to_array(response, '\\s+'), lambda x: x <> '')) AS n_pieces,
+    round({_count('verification')} * 100.0 / greatest(1, len(list_filter(regexp_split_to_array(response, '\\s+'), lambda x: x <> ''))), 6) AS verification_density FROM v_responses""")
 def f23_f44(spark, d):
     r = V.responses(spark, d)
     m, n = X.marker_counts(F.col("response")), F.size(X.pieces(F.col("response")))
-    return r.select("doc_id", *[m[k].alias(k) for k in ("reasoning", "step", "check")], n.alias("n_pieces"), X.density(m["check"], n).alias("check_density"))
+    return r.select("doc_id", *[m[k].alias(k) for k in X.MARKERS], n.alias("n_pieces"), X.density(m["verification"], n).alias("verification_density"))
 
 
 @query("f26_prefix", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(response, '\\s+'), lambda x: x <> '')[1:8], ' ') AS prefix FROM v_responses")
