@@ -100,24 +100,26 @@ checker("length_constraints:nth_paragraph_first_word")(
 checker("detectable_content:number_placeholders")(lambda x, a: F.regexp_count(x, F.lit(r"\[[^\[\]]+\]")) >= number(a, "num_placeholders"))
 checker("detectable_content:postscript")(lambda x, a: F.lower(x).contains(F.lower(F.coalesce(a("postscript_marker"), F.lit("P.S.")))))
 checker("detectable_format:number_bullet_lists")(lambda x, a: F.regexp_count(x, F.lit(r"(?m)^\s*[-*]\s+\S+")) == number(a, "num_bullets"))
-checker("detectable_format:constrained_response")(lambda x, a: F.trim(x).isin("My answer is yes.", "My answer is no.", "My answer is maybe."))
+checker("detectable_format:constrained_response")(lambda x, a: F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")).isin("my answer is yes.", "my answer is no.", "my answer is maybe."))
 checker("detectable_format:number_highlighted_sections")(lambda x, a: F.regexp_count(x, F.lit(r"\*[^\n*]+\*")) >= number(a, "num_highlights"))
 checker("detectable_format:multiple_sections")(lambda x, a: occurrences(F.lower(x), F.lower(F.coalesce(a("section_spliter"), F.lit("Section")))) >= number(a, "num_sections"))
-checker("detectable_format:json_format")(lambda x, a: F.try_parse_json(F.regexp_replace(F.trim(x), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")).isNotNull())
+checker("detectable_format:json_format")(lambda x, a: F.try_parse_json(x).isNotNull())
 checker("detectable_format:title")(lambda x, a: x.rlike("(?s)<<.+?>>"))
 checker("combination:two_responses")(lambda x, a: (F.size(F.split(x, r"\*{6}")) == 2) & (F.trim(F.split(x, r"\*{6}")[0]) != "") & F.coalesce(F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))) != "", F.lit(False)) & F.coalesce(F.trim(F.split(x, r"\*{6}")[0]) != F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))), F.lit(False)))
-checker("combination:repeat_prompt")(lambda x, a: F.lower(F.trim(x)).startswith(F.lower(F.trim(a("prompt_to_repeat")))))
-checker("startend:end_checker")(lambda x, a: F.lower(F.trim(x)).endswith(F.lower(F.trim(a("end_phrase")))))
+checker("combination:repeat_prompt")(lambda x, a: F.coalesce(x.startswith(filled(a, "prompt_to_repeat")), F.lit(False)))
+checker("startend:end_checker")(lambda x, a: F.coalesce(x.endswith(filled(a, "end_phrase")), F.lit(False)))
 checker("change_case:capital_word_frequency")(lambda x, a: related(F.regexp_count(x, F.lit(r"\b[A-Z]+\b")), number(a, "capital_frequency"), F.coalesce(a("capital_relation"), F.lit("at least"))))
-checker("change_case:english_capital")(lambda x, a: (x == F.upper(x)) & x.rlike(r"\p{L}"))
-checker("change_case:english_lowercase")(lambda x, a: (x == F.lower(x)) & x.rlike(r"\p{L}"))
+checker("change_case:english_capital")(lambda x, a: x.rlike(r"\p{L}") & ~x.rlike(r"[\p{L}&&[^\p{Lu}]]"))
+checker("change_case:english_lowercase")(lambda x, a: x.rlike(r"\p{L}") & ~x.rlike(r"[\p{L}&&[^\p{Ll}]]"))
 checker("punctuation:no_comma")(lambda x, a: ~x.contains(","))
-checker("startend:quotation")(lambda x, a: (F.length(F.trim(x)) > 1) & F.trim(x).startswith('"') & F.trim(x).endswith('"'))
-checker("copy:repeat_phrase")(lambda x, a: occurrences(x, a("phrase")) >= number(a, "small_n"))
-checker("copy:copy", "copy:copying_simple")(lambda x, a: x.contains(a("prompt_to_repeat")))
-checker("new:copy_span_idx")(lambda x, a: x.contains(F.substr(a("prompt_to_repeat"), number(a, "n_start", 0) + 1, number(a, "n_end", 0) - number(a, "n_start", 0))))
-checker("detectable_format:sentence_hyphens")(lambda x, a: x.rlike(r"[.!?]-\S"))
-checker("keywords:no_adjacent_consecutive")(lambda x, a: ~F.lower(x).contains(F.concat(F.lower(a("keyword")), F.lit(" "), F.lower(a("keyword")))))
+checker("startend:quotation")(lambda x, a: x.startswith('"') & x.endswith('"'))
+checker("copy:repeat_phrase")(lambda x, a: F.coalesce(occurrences(x, filled(a, "phrase", "prompt_to_repeat")) >= F.coalesce(given(a, "N", "n"), F.lit(2)), F.lit(False)))
+checker("copy:copy", "copy:copying_simple")(lambda x, a: F.coalesce(x.contains(filled(a, "prompt_to_repeat")), F.lit(False)))
+checker("new:copy_span_idx")(
+    lambda x, a: F.coalesce(x.contains(filled(a, "span", "copy_span")), x.contains(F.substr(a("source_text"), a("start").try_cast("int") + 1, F.greatest(a("end").try_cast("int") - a("start").try_cast("int"), F.lit(0)))), F.lit(False))
+)
+checker("detectable_format:sentence_hyphens")(lambda x, a: F.replace(x, F.lit(" "), F.lit("")).rlike("[A-Za-z]-[A-Za-z]"))
+checker("keywords:no_adjacent_consecutive")(lambda x, a: F.coalesce(~F.lower(x).contains(F.repeat(F.lower(filled(a, "keyword")), F.lit(2))), F.lit(True)))
 checker("detectable_format:square_brackets")(lambda x, a: x.rlike(r"\[[^\[\]]+\]"))
 checker("keywords:word_once")(lambda x, a: whole_word(x, a("keyword")) == 1)
 checker("keywords:word_count_different_numbers")(

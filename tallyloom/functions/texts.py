@@ -66,7 +66,8 @@ def answer_position(x: Column) -> Column:
     def end(p: str) -> Column:
         return F.nullif(F.length(F.regexp_extract(x, f"(?s)^(.*(?:{p}))", 1)), F.lit(0))
 
-    return F.when(n > 0, F.least(F.coalesce(end(r"\\boxed\{[^{}]*\}"), end(r"(?i)answer\s*:[^\n]*"), end(r"\d")) / n, F.lit(1.0)))
+    at = F.coalesce(end(r"\\boxed\{[^{}]*\}"), end(r"(?i)answer\s*:[^\n]*"), end(r"\d"))
+    return F.when((n > 0) & at.isNotNull(), F.least(at / n, F.lit(1.0)))
 
 
 def opening_mode(x: Column) -> Column:

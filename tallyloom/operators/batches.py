@@ -25,8 +25,7 @@ def chunk(ordinal: Column, total: Column, n: int) -> Column:
 
 def repeat(df: DataFrame, ordinal: str, times: int, *, interleave: bool = True) -> DataFrame:
     """Each row `times` times with a new ordinal: copies side by side, or whole batches one after the other."""
-    n = F.count("*").over(Window.partitionBy())
-    out = df.withColumn("_n", n) if not interleave else df.withColumn("_n", F.lit(0))
+    out = df.withColumn("_n", F.lit(0)) if interleave else df.join(F.broadcast(df.agg(F.count("*").alias("_n"))), how="cross")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
     new = F.col(ordinal) * times + F.col("copy") if interleave else F.col("copy") * F.col("_n") + F.col(ordinal)
     return out.withColumn(ordinal, new).drop("_n")
@@ -106,3 +105,97 @@ def balance(df: DataFrame, group: str, length: str, key: str, k: int) -> DataFra
 def token_budget_parts(df: DataFrame, group: str, length: str, budget: int) -> DataFrame:
     """How many micro-batches each group needs: its tokens over the budget, at most one a row."""
     return df.groupBy(group).agg(F.count("*").alias("n"), F.sum(length).alias("tokens")).withColumn("parts", F.least(F.col("n"), F.ceil(F.col("tokens") / budget)))
+
+
+def pop(df: DataFrame, columns: list[str], key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Some columns split off (with the key), and the rest without them."""
+    return df.select(*key, *columns), df.drop(*[c for c in columns if c not in key])
+
+
+def reorder(df: DataFrame, ordinal: str, permutation: DataFrame) -> DataFrame:
+    """Rows under new ordinals: permutation has place (new) and source (old), one row each."""
+    p = permutation.select(F.col("source").alias(ordinal), F.col("place").alias("_place"))
+    return df.join(p, ordinal).withColumn(ordinal, F.col("_place")).drop("_place")
+
+
+def inverse(permutation: DataFrame) -> DataFrame:
+    """place and source swapped; a permutation that hits a place twice or misses one is an error."""
+    n = permutation.agg(F.count("*").alias("n"), F.count_distinct("place").alias("p"), F.count_distinct("source").alias("s"), F.max("place").alias("mp"), F.max("source").alias("ms")).first()
+    if n.n and not (n.n == n.p == n.s == n.mp + 1 == n.ms + 1):
+        raise ValueError("not a permutation")
+    return permutation.select(F.col("source").alias("place"), F.col("place").alias("source"))
+
+
+def epochs(df: DataFrame, ordinal: str, total: int, mini: int, times: int, seed: int) -> DataFrame:
+    """Mini-batches of several epochs, each in an order of its own by a hash; the row count must be a multiple of the batch size."""
+    if total % mini:
+        raise ValueError(f"{total} rows are no multiple of {mini}")
+    out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
+    place = F.row_number().over(Window.partitionBy("epoch").orderBy(F.xxhash64(F.col(ordinal), F.col("epoch"), F.lit(seed)), ordinal)) - 1
+    return out.withColumn("batch", F.floor(place / mini).cast("long"))
+
+
+def least_loaded(lengths: list[int], k: int, *, equal_size: bool = False) -> list[list[int]]:
+    """Longest first to the part with the least sum; with equal_size no part takes more than its share of items."""
+    if equal_size and len(lengths) % k:
+        raise ValueError("items can't be dealt evenly")
+    most = len(lengths) // k if equal_size else len(lengths)
+    parts, heap = [[] for _ in range(k)], [(0, p) for p in range(k)]
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        held, p = heapq.heappop(heap)
+        parts[p].append(i)
+        if len(parts[p]) < most:
+            heapq.heappush(heap, (held + lengths[i], p))
+    return [sorted(p) for p in parts]
+
+
+def budget_batches(lengths: list[int], budget: int) -> list[list[int]]:
+    """Micro-batches of at most `budget` tokens (or one longer item): as many as are needed, balanced by largest differencing."""
+    if not lengths:
+        return []
+    k = min(len(lengths), -(-sum(lengths) // budget))
+    while True:
+        parts = largest_differencing(lengths, k)
+        if k == len(lengths) or all(sum(lengths[i] for i in p) <= budget for p in parts):
+            return [p for p in parts if p]
+        k += 1
+
+
+def partitioned(df: DataFrame, group: str, length: str, key: str, cut, name: str = "part") -> DataFrame:
+    """Add the part of each row, cut(lengths) within each group (a batch, which fits one task)."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key, ignore_index=True)
+        part = [0] * len(rows)
+        for p, own in enumerate(cut(rows[length].tolist())):
+            for i in own:
+                part[i] = p
+        return rows.assign(**{name: part})
+
+    return df.groupBy(group).applyInPandas(run, schema)
+
+
+def fold(df: DataFrame, ordinal: str, groups: int, total: int, columns: list[str]) -> DataFrame:
+    """(B) to (groups, B / groups): one row a group with its columns as arrays in order."""
+    if total % groups:
+        raise ValueError(f"{total} rows can't be folded into {groups}")
+    g = F.floor(F.col(ordinal) / (total // groups)).alias("group")
+    rows = df.groupBy(g).agg(F.array_sort(F.collect_list(F.struct(ordinal, *columns))).alias("_x"))
+    return rows.select("group", *[F.col(f"_x.{c}").alias(c) for c in columns])
+
+
+def loss_mask(prompt: Column, response: Column, size: Column) -> Column:
+    """1 for tokens that teach: those of the response but its last, shifted to the token before (the last prompt token predicts the first one)."""
+    return F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: ((i >= prompt - 1) & (i < prompt + response - 1)).cast("int"))
+
+
+def fitted(v: Column, size: int, fill, how: str) -> Column:
+    """An array of exactly `size` values, filled at the end; a longer one is cut left, right or in the middle, or is an error."""
+    n = F.size(v)
+    half = size // 2
+    cut = {
+        "left": F.slice(v, n - size + 1, F.lit(size)), "right": F.slice(v, 1, size), "middle": F.concat(F.slice(v, 1, half), F.slice(v, n - (size - half) + 1, F.lit(size - half))),
+        "error": F.raise_error(F.format_string(f"%d values where {size} may be", n)).cast("array<bigint>"),
+    }[how]
+    return F.when(n > size, cut).otherwise(F.concat(v, F.array_repeat(F.lit(fill), F.greatest(F.lit(size) - n, F.lit(0)))))

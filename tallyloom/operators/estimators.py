@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,28 +123,39 @@ def vectors(df: DataFrame, sequence: str, t: str, *columns: str) -> DataFrame:
 
 
 def discounted(reward: Column, mask: Column, gamma: float) -> Column:
-    """From the end: R = r + gamma R, then R times the mask of the token; an array."""
-    start = F.struct(F.lit(0.0).alias("r"), F.array().cast("array<double>").alias("out"))
-    steps = F.reverse(F.arrays_zip(reward.alias("r"), mask.alias("m")))
+    """From the end: R = r + gamma R, then R times the mask of the token; an array. One pass over each sequence, in Arrow batches."""
 
-    def step(a, x):
-        r = x["r"] + gamma * a["r"]
-        return F.struct((r * x["m"].cast("double")).alias("r"), F.concat(a["out"], F.array(r)).alias("out"))
+    @F.pandas_udf("array<double>")
+    def scan(rewards: pd.Series, masks: pd.Series) -> pd.Series:
+        out = []
+        for r, m in zip(rewards, masks, strict=True):
+            own, held = np.empty(len(r)), 0.0
+            for i in range(len(r) - 1, -1, -1):
+                own[i] = float(r[i]) + gamma * held
+                held = own[i] * bool(m[i])
+            out.append(own)
+        return pd.Series(out)
 
-    return F.reverse(F.aggregate(steps, start, step, lambda a: a["out"]))
+    return scan(reward, mask)
 
 
 def gae(reward: Column, value: Column, mask: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantages before whitening; tokens outside the mask pass on what came after them."""
-    start = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("out"))
-    steps = F.reverse(F.arrays_zip(reward.alias("r"), value.alias("v"), mask.alias("m")))
-
-    def step(s, x):
-        fresh = x["r"] + gamma * s["v"] - x["v"] + gamma * lam * s["a"]
-        v, a = F.when(x["m"], x["v"]).otherwise(s["v"]), F.when(x["m"], fresh).otherwise(s["a"])
-        return F.struct(v.alias("v"), a.alias("a"), F.concat(s["out"], F.array(a)).alias("out"))
-
-    return F.reverse(F.aggregate(steps, start, step, lambda s: s["out"]))
+    """Generalised advantages before whitening; tokens outside the mask pass on what came after them. One pass over each sequence, in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def scan(rewards: pd.Series, values: pd.Series, masks: pd.Series) -> pd.Series:
+        out = []
+        for r, v, m in zip(rewards, values, masks, strict=True):
+            own, after, held = np.empty(len(r)), 0.0, 0.0
+            for i in range(len(r) - 1, -1, -1):
+                if m[i]:
+                    held = float(r[i]) + gamma * after - float(v[i]) + gamma * lam * held
+                    after = float(v[i])
+                own[i] = held
+            out.append(own)
+        return pd.Series(out)
+
+    return scan(reward, value, mask)
 
 
 def filter_groups(df: DataFrame, group: str, metric: str) -> DataFrame:

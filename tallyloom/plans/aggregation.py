@@ -182,7 +182,7 @@ _GRID = f"SELECT *, unnest(CASE WHEN n > 1 THEN list_distinct(list_filter([2, 4,
 
 @query("a52_validation_metrics", f"""SELECT run_name, n, k, count(*) AS n_prompts, round(avg(mean), 6) AS mean, round(avg(std), 6) AS std, round(avg(best), 6) AS best, round(avg(worst), 6) AS worst FROM (
     SELECT run_name, prompt_id, n, k, avg(score) AS mean, stddev_pop(score) AS std, sum(score * (pow(i / n, k) - pow((i - 1) / n, k))) AS best, sum(score * (pow((n - i + 1) / n, k) - pow((n - i) / n, k))) AS worst
-    FROM ({_GRID}) GROUP BY ALL) GROUP BY ALL""")
+    FROM ({_GRID}) GROUP BY ALL) GROUP BY ALL""", exact=True)
 def a52_a53(spark, d):
     return A.validation(V.rollouts(spark, d), source="run_name", uid="prompt_id", value="score")
 

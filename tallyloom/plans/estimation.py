@@ -53,7 +53,7 @@ def g08_g15(spark, d):
     return _advantage(spark, d, E.rloo_zero("score", "prompt_id"))
 
 
-@query("g09_opo", f"SELECT {_KEYS}, round(score - CASE WHEN n > 1 THEN sum(score * length) OVER (PARTITION BY prompt_id) / sum(length) OVER (PARTITION BY prompt_id) ELSE 0 END, 6) AS advantage FROM ({_STATS})")
+@query("g09_opo", f"SELECT {_KEYS}, round(score - CASE WHEN n > 1 THEN sum(score * length) OVER (PARTITION BY prompt_id) / sum(length) OVER (PARTITION BY prompt_id) ELSE 0 END, 6) AS advantage FROM ({_STATS})", exact=True)
 def g09(spark, d):
     return _advantage(spark, d, E.opo("score", "prompt_id", "length"))
 
@@ -168,7 +168,7 @@ def f39_f51(spark, d):
 _BUCKET = "CASE WHEN t = 1 THEN '1' WHEN t <= 4 THEN '2-4' WHEN t <= 16 THEN '5-16' WHEN t <= 63 THEN '17-63' WHEN t > 0.95 * n THEN 'last 5%' ELSE 'interior' END"
 
 
-@query("a20_position_buckets", f"SELECT mode, bucket, count(*) AS n, count(DISTINCT sequence) AS n_sequences, round(avg(js), 6) AS mean, round(median(js), 6) AS median FROM (SELECT *, {_BUCKET} AS bucket FROM (SELECT *, max(t) OVER (PARTITION BY sequence) AS n FROM v_user_tokens)) GROUP BY mode, bucket")
+@query("a20_position_buckets", f"SELECT mode, bucket, count(*) AS n, count(DISTINCT sequence) AS n_sequences, round(avg(js), 6) AS mean, round(median(js), 6) AS median FROM (SELECT *, {_BUCKET} AS bucket FROM (SELECT *, max(t) OVER (PARTITION BY sequence) AS n FROM v_user_tokens)) GROUP BY mode, bucket", exact=True)
 def a20_a21_f34_w04_j07(spark, d):
     w = Window.partitionBy("sequence")
     t = V.user_tokens(spark, d).withColumn("n", F.max("t").over(w)).withColumn("bucket", D.position_bucket(F.col("t"), F.col("n")))

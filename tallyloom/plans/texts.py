@@ -12,11 +12,14 @@ from tallyloom.sources import views as V
 from .registry import query
 
 
-@query("f01_extract_answer", r"""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN regexp_extract(response, '(?s).*\\boxed\{([^{}]*)\}', 1) WHEN doc_id % 6 = 2 THEN regexp_extract(response, '(?s).*\nAnswer: (.+)$', 1) WHEN doc_id % 6 = 1 THEN regexp_extract(response, '^The answer is ([^.\n]+)', 1) END AS value
-    FROM v_responses WHERE doc_id % 6 IN (0, 1, 2)""")
+#: What extract() finds in v_responses, form by form; without a form the last number of the final 400 characters counts.
+_VALUE = r"""CASE WHEN doc_id % 6 = 0 THEN regexp_extract(response, '(?s).*\\boxed\{([^{}]*)\}', 1) WHEN doc_id % 6 = 2 THEN regexp_extract(response, '(?s).*\nAnswer: (.+)$', 1) WHEN doc_id % 6 = 1 THEN regexp_extract(response, '^The answer is ([^.\n]+)', 1)
+    ELSE replace(regexp_extract_all(right(response, 400), '-?\d[\d,]*(?:\.\d+)?')[-1], ',', '') END"""
+
+
+@query("f01_extract_answer", f"SELECT doc_id, {_VALUE} AS value FROM v_responses")
 def f01(spark, d):
-    r = V.responses(spark, d).where("doc_id % 6 in (0, 1, 2)")
-    return r.select("doc_id", N.extract(F.col("response"))["value"].alias("value"))
+    return V.responses(spark, d).select("doc_id", N.extract(F.col("response"))["value"].alias("value"))
 
 
 @query("f01_methods", r"""SELECT method, count(*) AS n FROM (SELECT CASE WHEN doc_id % 6 = 0 THEN 'boxed' WHEN doc_id % 6 = 2 THEN 'answer_line' WHEN doc_id % 6 = 1 THEN 'phrase' WHEN regexp_matches(right(response, 400), '\d') THEN 'last_number' ELSE 'none' END AS method FROM v_responses) GROUP BY method""")
@@ -24,9 +27,9 @@ def f01m(spark, d):
     return V.responses(spark, d).select(N.extract(F.col("response"))["method"].alias("method")).groupBy("method").agg(F.count("*").alias("n"))
 
 
-@query("f06_equivalent", "SELECT doc_id, CAST(doc_id % 5 AS VARCHAR) = gold AS correct FROM v_responses WHERE doc_id % 6 IN (0, 1, 2)")
+@query("f06_equivalent", f"SELECT doc_id, coalesce(abs(try_cast({_VALUE} AS DOUBLE) - CAST(gold AS DOUBLE)) < 1e-6, false) AS correct FROM v_responses")
 def f03_f04_f05_f06_f08(spark, d):
-    r = V.responses(spark, d).where("doc_id % 6 in (0, 1, 2)")
+    r = V.responses(spark, d)
     return r.select("doc_id", N.equivalent(N.extract(F.col("response"))["value"], F.col("gold")).alias("correct"))
 
 
@@ -41,9 +44,9 @@ def f12(spark, d):
     return V.responses(spark, d).select("doc_id", N.gsm8k_score(F.col("response"), F.col("gold")).alias("score"))
 
 
-@query("f13_qa_match", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS normal FROM documents WHERE lang = 'en' AND length(text) = strlen(text)""")
+@query("f13_qa_match", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '(^|[^\p{L}\p{N}])(?:a|an|the)((?:[^\p{L}\p{N}]+(?:a|an|the))*)([^\p{L}\p{N}]|$)', '\1 \3', 'g'), '\s+', ' ', 'g')) AS normal FROM documents""")
 def f13(spark, d):
-    return V.table(spark, d, "documents").where("lang = 'en' and length(text) = octet_length(text)").select("doc_id", N.qa_normalize(F.col("text")).alias("normal"))
+    return V.table(spark, d, "documents").select("doc_id", N.qa_normalize(F.col("text")).alias("normal"))
 
 
 def _count(family):
@@ -71,14 +74,18 @@ def f27(spark, d):
     return counts.groupBy("prompt_id").agg((F.count("*") / F.sum("c")).alias("distinct_2"), F.sum("c").alias("n"))
 
 
-@query("f25_answer_position", r"""SELECT doc_id, round(1.0::DOUBLE, 6) AS position FROM v_responses WHERE doc_id % 6 IN (0, 2, 4)""")
+@query("f25_answer_position", r"""SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 2) THEN 1.0::DOUBLE ELSE round(nullif(length(regexp_extract(response, '(?s)^(.*\d)', 1)), 0)::DOUBLE / length(response), 6) END AS position FROM v_responses""")
 def f25(spark, d):
-    return V.responses(spark, d).where("doc_id % 6 in (0, 2, 4)").select("doc_id", X.answer_position(F.col("response")).alias("position"))
+    return V.responses(spark, d).select("doc_id", X.answer_position(F.col("response")).alias("position"))
+
+
+_MODE = """CASE WHEN regexp_matches(left(ltrim(response), 80), '\\[\\w+\\]') THEN 'CSI' WHEN regexp_matches(ltrim(response), '^(?i)(the answer|answer|final answer)') THEN 'DAI' WHEN regexp_matches(ltrim(response), '^(\\\\boxed|-?\\d+(\\.\\d+)?\\s*$)') THEN 'DAI'
+    WHEN regexp_matches(ltrim(response), '^(?i)(step 1|first|let|to solve|we )') THEN 'DRI' ELSE 'Other' END"""
 
 
-@query("f31_opening_modes", """SELECT prompt_id, avg(m) AS dri, avg(a) AS dai, avg(c) AS csi FROM (SELECT prompt_id, CASE WHEN doc_id % 6 = 0 THEN 1.0::DOUBLE ELSE 0 END AS m, CASE WHEN doc_id % 6 = 1 THEN 1.0::DOUBLE ELSE 0 END AS a, CASE WHEN doc_id % 6 = 3 THEN 1.0::DOUBLE ELSE 0 END AS c FROM v_responses WHERE doc_id % 6 IN (0, 1, 3)) GROUP BY prompt_id""")
+@query("f31_opening_modes", f"""SELECT prompt_id, round(avg((m = 'DRI')::INT), 6) AS dri, round(avg((m = 'DAI')::INT), 6) AS dai, round(avg((m = 'CSI')::INT), 6) AS csi FROM (SELECT prompt_id, {_MODE} AS m FROM v_responses) GROUP BY prompt_id""")
 def f31_f32_p16(spark, d):
-    m = V.responses(spark, d).where("doc_id % 6 in (0, 1, 3)").withColumn("m", X.opening_mode(F.col("response")))
+    m = V.responses(spark, d).withColumn("m", X.opening_mode(F.col("response")))
     return m.groupBy("prompt_id").agg(*[F.avg((F.col("m") == k).cast("double")).alias(k.lower()) for k in ("DRI", "DAI", "CSI")])
 
 
@@ -98,38 +105,53 @@ def f30(spark, d):
     return V.responses(spark, d).select("doc_id", N.accuracy(F.col("acc"), F.col("doc_id") % 3, F.col("doc_id") % 2 == 0).alias("acc"))
 
 
-@query("f43_without_thinking", "SELECT doc_id, trim(response) = trim(text) AS same FROM v_responses JOIN documents USING (doc_id) WHERE doc_id % 6 = 5")
+@query("f43_without_thinking", "SELECT doc_id, md5(trim(response)) AS rest FROM v_responses")
 def f41_f43(spark, d):
-    r = V.responses(spark, d).where("doc_id % 6 = 5").join(V.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    t = F.concat(F.lit("<think>secret</think>"), F.col("response"))
-    return r.select("doc_id", (X.without_thinking(t) == F.trim("text")).alias("same"))
+    t = F.concat(F.lit("<|assistant|><think>a secret</think> not yet</think><answer>"), F.col("response"), F.lit("</answer>"))
+    return V.responses(spark, d).select("doc_id", F.md5(X.without_thinking(t)).alias("rest"))
 
 
-#: An id, its arguments and the same test in SQL, dealt to documents by doc_id.
+#: An id, its arguments and the same test in SQL; every document goes through every one.
 CASES = [
     ("punctuation:no_comma", {}, "NOT contains(text, ',')"),
     ("keywords:existence", {"keywords": '["the", "and"]'}, "contains(lower(text), 'the') AND contains(lower(text), 'and')"),
     ("keywords:forbidden_words", {"forbidden_words": '["license", "stupid"]'}, "NOT contains(lower(text), 'license') AND NOT contains(lower(text), 'stupid')"),
     ("length_constraints:number_words", {"num_words": "300", "relation": "less than"}, "len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) < 300"),
-    ("change_case:english_capital", {}, "text = upper(text) AND regexp_matches(text, '\\p{L}')"),
+    ("change_case:english_capital", {}, "regexp_matches(text, '\\p{L}') AND NOT regexp_matches(text, '[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]')"),
+    ("change_case:english_lowercase", {}, "regexp_matches(text, '\\p{L}') AND NOT regexp_matches(text, '[\\p{Lu}\\p{Lt}\\p{Lm}\\p{Lo}]')"),
     ("detectable_content:number_placeholders", {"num_placeholders": "1"}, "len(regexp_extract_all(text, '\\[[^\\[\\]]+\\]')) >= 1"),
-    ("copy:repeat_phrase", {"phrase": "of the", "small_n": "1"}, "contains(text, 'of the')"),
+    ("copy:repeat_phrase", {"phrase": "of the"}, "len(regexp_extract_all(text, 'of the')) >= 2"),
+    ("copy:copying_simple", {"prompt_to_repeat": "the "}, "contains(text, 'the ')"),
+    ("combination:repeat_prompt", {"prompt_to_repeat": "The "}, "starts_with(text, 'The ')"),
+    ("new:copy_span_idx", {"source_text": "and the rest", "start": "4", "end": "7"}, "contains(text, 'the')"),
+    ("keywords:frequency", {"keyword": "The", "frequency": "3", "relation": "at most"}, "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: w = 'the')) <= 3"),
+    ("keywords:letter_frequency", {"letter": "e", "let_frequency": "100", "let_relation": "less than"}, "length(text) - length(replace(text, 'e', '')) < 100"),
+    ("keywords:word_once", {"keyword": "license"}, "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: w = 'license')) = 1"),
+    ("keywords:no_adjacent_consecutive", {"keyword": "an"}, "NOT contains(lower(text), 'anan')"),
+    ("keywords:exclude_word_harder", {"keyword": "Token"}, "NOT contains(lower(text), 'token')"),
+    ("detectable_format:number_bullet_lists", {"num_bullets": "0"}, "len(regexp_extract_all(text, '(?m)^\\s*[-*]\\s+\\S+')) = 0"),
+    ("detectable_format:number_highlighted_sections", {"num_highlights": "2"}, "len(regexp_extract_all(text, '\\*[^\\n*]+\\*')) >= 2"),
+    ("detectable_format:multiple_sections", {"section_spliter": "license", "num_sections": "1"}, "contains(lower(text), 'license')"),
+    ("detectable_format:title", {}, "regexp_matches(text, '(?s)<<.+?>>')"),
+    ("detectable_format:square_brackets", {}, "regexp_matches(text, '\\[[^\\[\\]]+\\]')"),
+    ("detectable_format:sentence_hyphens", {}, "regexp_matches(replace(text, ' ', ''), '[A-Za-z]-[A-Za-z]')"),
+    ("detectable_format:constrained_response", {}, "false"),
+    ("detectable_content:postscript", {"postscript_marker": "by-nc"}, "contains(lower(text), 'by-nc')"),
+    ("startend:quotation", {}, "starts_with(text, chr(34)) AND ends_with(text, chr(34))"),
     ("format:no_whitespace", {}, "NOT regexp_matches(text, '\\s')"),
     ("change_case:capital_word_frequency", {"capital_frequency": "5", "capital_relation": "at least"}, "len(regexp_extract_all(text, '\\b[A-Z]+\\b')) >= 5"),
     ("paragraphs:paragraphs", {"num_paragraphs": "1"}, "len(list_filter(regexp_split_to_array(trim(text), '\\n\\s*\\n'), lambda p: trim(p) <> '')) = 1"),
-    ("startend:end_checker", {"end_phrase": "."}, "ends_with(lower(trim(text)), '.')"),
+    ("startend:end_checker", {"end_phrase": "."}, "ends_with(text, '.')"),
     ("letters:letter_counting", {"N": "500"}, "len(regexp_extract_all(text, '\\p{L}')) >= 500"),
     ("totally:unknown", {}, "NULL"),
 ]
-_CASE = " ".join(f"WHEN {i} THEN {sql}" for i, (_, _, sql) in enumerate(CASES))
-_NAMES = " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _, _) in enumerate(CASES))
-_EN = "SELECT *, CASE doc_id % %d %s END AS id, CASE doc_id % %d %s END AS passed FROM documents WHERE lang IN ('en', 'fr', 'es')".replace("% %d", f"% {len(CASES)}").replace("%s", "{}").format(_NAMES, _CASE)
+_EN = "SELECT documents.*, id, passed FROM documents, LATERAL (VALUES " + ", ".join(f"('{name}', {sql})" for name, _, sql in CASES) + ") c(id, passed)"
 
 
 def _checked(spark, d):
-    docs = V.table(spark, d, "documents").where("lang in ('en', 'fr', 'es')").withColumn("case", (F.col("doc_id") % len(CASES)).cast("int"))
-    cases = spark.createDataFrame([(i, name, args) for i, (name, args, _) in enumerate(CASES)], "case int, id string, args map<string,string>")
-    both = docs.join(F.broadcast(cases), "case")
+    """Every document with every case (a fixed list), checked."""
+    cases = spark.createDataFrame([(name, args) for name, args, _ in CASES], "id string, args map<string,string>")
+    both = V.table(spark, d, "documents").join(F.broadcast(cases), how="cross")
     return both.withColumn("passed", C.check(F.col("text"), F.col("id"), F.col("args"), sorted({n for n, _, _ in CASES} & C.IDS)))
 
 
@@ -147,8 +169,8 @@ def a15_a32_a37(spark, d):
 @query("c17_fold", f"""SELECT source, count(*) AS num_constraints, count(passed) AS num_supported, count(*) FILTER (passed) AS num_satisfied, round(count(*) FILTER (passed)::DOUBLE / nullif(count(passed), 0), 6) AS soft,
     CASE WHEN count(passed) > 0 THEN count(*) FILTER (passed) = count(passed) END AS strict FROM ({_EN}) GROUP BY source""")
 def c17_r07(spark, d):
-    folded = _checked(spark, d).groupBy("source").agg(F.collect_list(F.struct("passed")).alias("x"))
-    return folded.select("source", C.fold(F.transform("x", lambda p: p["passed"])).alias("f")).select("source", "f.*")
+    ok, known = F.count_if("passed"), F.count("passed")
+    return _checked(spark, d).groupBy("source").agg(F.count("*").alias("num_constraints"), known.alias("num_supported"), ok.alias("num_satisfied"), F.try_divide(ok, known).alias("soft"), F.when(known > 0, ok == known).alias("strict"))
 
 
 @query("f60_supported_ids", f"SELECT id, count(*) AS n, id <> 'totally:unknown' AS supported FROM ({_EN}) GROUP BY id")

@@ -85,16 +85,13 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A JSON list of records, an object that holds one under a usual key, or a single record; if it is none of these, JSON lines."""
     kind = schema_of(schema)
-    whole = spark.read.text(path, wholetext=True)
-    tried = [F.from_json("value", T.ArrayType(kind))]
-    tried[0] = F.when(F.ltrim("value").startswith("["), tried[0])
-    tried += [F.get(F.from_json("value", T.StructType([T.StructField(k, T.ArrayType(kind))]))[k], F.lit(0)).isNotNull() for k in LISTS]
-    held = F.coalesce(tried[0], *[F.when(found, F.from_json("value", T.StructType([T.StructField(k, T.ArrayType(kind))]))[k]) for k, found in zip(LISTS, tried[1:], strict=True)])
-    lists = whole.select(held.alias("r")).where("r IS NOT NULL").select(F.explode("r").alias("r")).select("r.*")
-    rest = whole.where(held.isNull()).select(F.explode(F.split("value", "\n")).alias("value")).where("trim(value) <> ''")
-    single = whole.where(held.isNull()).select(F.from_json("value", kind).alias("r"), F.try_parse_json("value").isNotNull().alias("valid"))
-    lines = rest.join(single.agg(F.bool_or("valid").alias("one")), how="cross").where("NOT coalesce(one, false)").select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-    return lists.unionByName(lines).unionByName(single.where("valid").select("r.*"))
+    several, text = T.ArrayType(kind), F.col("value")
+    under = {k: F.from_json(text, T.StructType([T.StructField(k, several)]))[k] for k in LISTS}
+    lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
+    by_line = (F.size(lines) > 1) & F.forall(lines, lambda s: F.ltrim(s).startswith("{") & F.try_parse_json(s).isNotNull())
+    listed = F.when(F.ltrim(text).startswith("["), F.from_json(text, several)).otherwise(F.coalesce(*under.values()))
+    records = F.when(by_line, F.transform(lines, lambda s: F.from_json(s, kind, {"mode": "FAILFAST"}))).otherwise(F.coalesce(listed, F.array(F.from_json(text, kind, {"mode": "FAILFAST"}))))
+    return spark.read.text(path, wholetext=True).select(F.explode(records).alias("r")).select("r.*")
 
 
 def read_first(spark: SparkSession, paths: list[str], schema: T.StructType | str) -> DataFrame:

@@ -17,6 +17,15 @@ CASES = [
     ("keywords:word_count_different_numbers", {"keyword": "a", "frequency": "1", "relation": "at least"}, "a a", False), ("keywords:word_count_different_numbers", {"keyword_count_map": '{"a": 2, "b": 1}'}, "a A b", True), ("keywords:word_count_different_numbers", {"keyword_count_map": '{"a": 2, "b": 2}'}, "a A b", False),
     ("keywords:palindrome", {}, "x", False), ("keywords:palindrome", {}, "Never odd, or even", True), ("keywords:palindrome", {}, "é aa", True),
     ("keywords:keyword_specific_position", {"keyword": "b", "n": "2", "m": "1"}, "a. _b_ c.", True), ("keywords:keyword_specific_position", {"keyword": "a"}, "a b.", False), ("keywords:keyword_specific_position", {"keyword": "a", "n": "0", "m": "1"}, "a b.", False),
+    ("combination:repeat_prompt", {"prompt_to_repeat": "Say it"}, "Say it. It.", True), ("combination:repeat_prompt", {"prompt_to_repeat": "Say it"}, "say it", False), ("combination:repeat_prompt", {}, "x", False),
+    ("startend:end_checker", {"end_phrase": "The end."}, "x The end.", True), ("startend:end_checker", {"end_phrase": "The end."}, "x the end.", False), ("startend:end_checker", {"end_phrase": ""}, "x", False),
+    ("copy:repeat_phrase", {"phrase": "ab"}, "ab ab", True), ("copy:repeat_phrase", {"phrase": "ab"}, "ab", False), ("copy:repeat_phrase", {"prompt_to_repeat": "ab", "N": "1"}, "ab", True), ("copy:repeat_phrase", {}, "ab", False),
+    ("new:copy_span_idx", {"source_text": "abcdef", "start": "2", "end": "4"}, "x cd y", True), ("new:copy_span_idx", {"copy_span": "zz"}, "x cd y", False), ("new:copy_span_idx", {"source_text": "abc"}, "abc", False),
+    ("detectable_format:sentence_hyphens", {}, "one. -two a - b", True), ("detectable_format:sentence_hyphens", {}, "one.-2", False),
+    ("keywords:no_adjacent_consecutive", {"keyword": "go"}, "gogo", False), ("keywords:no_adjacent_consecutive", {"keyword": "go"}, "go go", True), ("keywords:no_adjacent_consecutive", {}, "x", True),
+    ("change_case:english_capital", {}, "ABC 12!", True), ("change_case:english_capital", {}, "12", False), ("change_case:english_lowercase", {}, "ab\u00df 1", True), ("change_case:english_lowercase", {}, "aB", False),
+    ("detectable_format:json_format", {}, '{"a": 1}', True), ("detectable_format:json_format", {}, '```json\n{}\n```', False), ("startend:quotation", {}, '"a"', True), ("startend:quotation", {}, ' "a"', False),
+    ("detectable_format:constrained_response", {}, " my answer is Maybe.\n", True), ("copy:copying_simple", {}, "x", False),
     ("keywords:start_end", {}, "word", False), ("keywords:start_end", {}, "Word a word.", True),
 ]
 

@@ -23,7 +23,7 @@ def plain(v):
     return round(float(v), 4) if hasattr(v, "quantize") else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES)[::4])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_rows_as_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SMALL)
     names = sorted(df.columns)
