@@ -24,7 +24,7 @@ _own: list[str] = []
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; only these are read. Arrow batches are kept small, since texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
@@ -80,6 +80,17 @@ def holder():
     return sys.modules.setdefault("_tallyloom_worker", types.ModuleType("_tallyloom_worker"))
 
 
+def tidy(run: Callable) -> Callable:
+    """The map, with memory given back before and after: workers that stay idle keep nothing."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from run(batches)
+        forget()
+
+    return wrapped
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a missing id counts as empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
@@ -137,8 +148,6 @@ def arrow_map(
     arrow = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not remember:
-            forget()
         work = make()
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
@@ -148,7 +157,7 @@ def arrow_map(
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run if remember else tidy(run), schema)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:

@@ -216,13 +216,14 @@ def automata(benchmark: DataFrame, *, item: str = "item_id", text: str = "text",
     return [Automaton.build(c, window) for c in chunks]
 
 
-def mark_contamination(docs: DataFrame, held: list[Automaton], *, text: str = "text", pass_bytes: int = 256 << 20) -> DataFrame:
+def mark_contamination(docs: DataFrame, held: list[Automaton], *, text: str = "text", pass_bytes: int = 256 << 20, also: tuple | None = None) -> DataFrame:
     """Add n_words, n_hit, items (sorted strings, a set), longest_match and hits (stretches of words).
 
     A null or empty text has no words and is hit nowhere; an item without words is
     never found; items of equal text are all found. Repeated rows give repeated
     results. Columns of the new names are replaced, others stay. Workers hold automata of at most
-    `pass_bytes` (or one); with more, documents pass through again, stored in between.
+    `pass_bytes` (or one); with more, documents pass through again, stored in between. `also` names two more
+    columns and a function of text, n_words and hits that makes them, in the last pass.
     """
     spark = docs.sparkSession
     fields = [("n_words", "long"), ("hits", "array<struct<start:long,stop:long>>"), ("items", "array<string>"), ("longest_match", "long")]
@@ -233,9 +234,10 @@ def mark_contamination(docs: DataFrame, held: list[Automaton], *, text: str = "t
         passes[-1].append(a)
     out = docs
     for k, own in enumerate(passes):
+        more = also if also and k == len(passes) - 1 else None
         sent = spark.sparkContext.broadcast([tuple(vars(a).values()) for a in own])  # no class of ours: workers needn't have them
 
-        def make(sent=sent, k=k):
+        def make(sent=sent, k=k, more=more):
             automata = [Automaton(*parts) for parts in sent.value]
 
             def work(batch):
@@ -249,12 +251,13 @@ def mark_contamination(docs: DataFrame, held: list[Automaton], *, text: str = "t
                         hits += spans
                         names |= {a.items[x] for x in found}
                         most = max(most, longest)
-                    rows.append((len(words), [{"start": s, "stop": e} for s, e in union(hits)], sorted(names), most))
-                return [[r[j] for r in rows] for j in range(4)]
+                    hits = union(hits)
+                    rows.append((len(words), [{"start": s, "stop": e} for s, e in hits], sorted(names), most, *(more[2](None if t is None else t.decode(), len(words), hits) if more else ())))
+                return [[r[j] for r in rows] for j in range(6 if more else 4)]
 
             return work
 
-        out = arrow_map(stored(out, "hits") if k else out, fields, make)
+        out = arrow_map(stored(out, "hits") if k else out, fields + ([(also[0], "string"), (also[1], "double")] if more else []), make)
     return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["stop"] - h["start"]))
 
 
@@ -287,28 +290,22 @@ def remove_spans(docs: DataFrame, held: list[Automaton], *, text: str = "text",
     stretch is cut with it. Repeated rows fare alike, no rows give none, and all columns come back as
     they were, whatever their names.
     """
-    own, back = set_aside(docs, ("n_words", "hits", "items", "longest_match", "n_hit"))
-    marked = mark_contamination(own, held, text=text)
-
-    def make():
-        def work(batch):
-            hits = batch.column(batch.schema.get_field_index("hits")).to_pylist()
-            out = []
-            for t, own in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), hits, strict=True):
-                own = [h for h in own if h["stop"] - h["start"] >= least_hit]
-                if own:
-                    spans, parts, end = word_spans(t), [], 0
-                    for h in own:
-                        parts.append(t[end : spans[h["start"]][0]])
-                        end = spans[h["stop"] - 1][1]
-                    t = "".join([*parts, t[end:]])
-                out.append(t)
-            return [out]
-
-        return work
-
-    kept = marked.where(F.col("n_hit") <= coverage * F.col("n_words"))
-    return arrow_map(kept, [(text, "string")], make).select(*own.columns).withColumnsRenamed(back)
+    own, back = set_aside(docs, ("n_words", "hits", "items", "longest_match", "n_hit", "_rest", "_share"))
+
+    def cut(t: str | None, n: int, hits: list[tuple[int, int]]) -> tuple[str | None, float]:
+        share = sum(e - s for s, e in hits) / n if n else 0.0
+        hits = [(s, e) for s, e in hits if e - s >= least_hit]
+        if hits:
+            spans, parts, end = word_spans(t), [], 0
+            for s, e in hits:
+                parts.append(t[end : spans[s][0]])
+                end = spans[e - 1][1]
+            t = "".join([*parts, t[end:]])
+        return t, share
+
+    marked = mark_contamination(own, held, text=text, also=("_rest", "_share", cut))
+    kept = marked.where(F.col("_share") <= coverage).withColumn(text, F.col("_rest"))
+    return kept.select(*own.columns).withColumnsRenamed(back)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

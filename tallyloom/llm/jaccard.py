@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, forget, raw, release, set_aside, stored, table
+from .common import apart, raw, release, set_aside, stored, table, tidy
 from .wordhash import shingle_sets
 
 BUCKETS = 1 << 22
@@ -104,7 +104,6 @@ def classify(docs: DataFrame, *, text: str = "text", size: int = 5) -> tuple[Dat
     nullable = [T.StructField(c, docs.schema[c].dataType, True) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         counts = np.zeros(BUCKETS, dtype=np.int32)
         kinds, seen = None, set()
         for batch in batches:
@@ -130,7 +129,7 @@ def classify(docs: DataFrame, *, text: str = "text", size: int = 5) -> tuple[Dat
             made = [none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays([*[none.cast(k) for k in kinds], *made], names=[*kept, *new.names])
 
-    both = stored(docs.select(*kept, text).mapInArrow(run, T.StructType([*nullable, *new.fields])), "classes")
+    both = stored(docs.select(*kept, text).mapInArrow(tidy(run), T.StructType([*nullable, *new.fields])), "classes")
 
     counts = summed(both.where("_block is not null").select("_block", "_counts"))
     return both.where("_block is null").drop("_block", "_counts"), counts, int(counts.mean()) + 1
@@ -150,7 +149,7 @@ def summed(blocks: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], names=["_block", "_counts"])
 
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for r in blocks.repartition(BUCKETS // BLOCK, "_block").mapInArrow(total, "_block int, _counts binary").collect():
+    for r in blocks.repartition(BUCKETS // BLOCK, "_block").mapInArrow(tidy(total), "_block int, _counts binary").collect():
         counts[r["_block"] * BLOCK : (r["_block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["_counts"]), dtype=np.int64)
     return counts
 
@@ -238,10 +237,10 @@ def prefix_groups(docs: DataFrame, classes, percent: int, *, text: str = "text",
             yield made([np.concatenate([old, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in zip(carry, batch.columns, strict=True)], False)
         yield made(carry, True)
 
-    rows = docs.select(text).mapInArrow(prefixes, "token bigint, node bigint, n int, place int")
+    rows = docs.select(text).mapInArrow(tidy(prefixes), "token bigint, node bigint, n int, place int")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     grouped = rows.repartition(tasks, "token").sortWithinPartitions("token", "n", "node")
-    return stored(grouped.mapInArrow(spans, "token bigint, a bigint, b bigint, n int, place int"), "groups")
+    return stored(grouped.mapInArrow(tidy(spans), "token bigint, a bigint, b bigint, n int, place int"), "groups")
 
 
 def signed_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +255,7 @@ def signed_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataF
     one = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x"), F.col("n").alias("n"))
     two = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"), F.col("n").alias("m"))
     both = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y", "n", "m")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 class Links:
@@ -338,7 +337,7 @@ def large_groups(rows: DataFrame, signatures: DataFrame, percent: int, hot: int
                 group.append((node, n, place, sign, salts, lead))
         yield from done()
 
-    found = stored(blocks.repartition(tasks, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(within, "a bigint, b bigint, token bigint"), "spans")
+    found = stored(blocks.repartition(tasks, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(tidy(within), "a bigint, b bigint, token bigint"), "spans")
     edges = found.where("token is null").select("a", "b")
     rest = found.where("token is not null").select("token", F.col("a").alias("node"))
     if rest.isEmpty():
@@ -366,7 +365,7 @@ def large_groups(rows: DataFrame, signatures: DataFrame, percent: int, hot: int
 
     columns = ["token", "salt", "chunk", "alone", "node", "n", "place", "signature"]
     work = alone.select(*columns).unionByName(others.select(*columns)).repartition(tasks, "token", "salt", "chunk")
-    return edges.union(work.sortWithinPartitions("token", "salt", "chunk", F.desc("alone")).mapInArrow(across, "a bigint, b bigint"))
+    return edges.union(work.sortWithinPartitions("token", "salt", "chunk", F.desc("alone")).mapInArrow(tidy(across), "a bigint, b bigint"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -543,7 +542,7 @@ def member_sets(docs: DataFrame, bundles: DataFrame, *, text: str = "text", size
                             seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "digest", "shingles"])
 
-    found = docs.select(text).mapInArrow(run, "node bigint, digest binary, shingles binary")
+    found = docs.select(text).mapInArrow(tidy(run), "node bigint, digest binary, shingles binary")
     return found.join(bundles, "node").select("root", "digest", "shingles")
 
 
@@ -579,7 +578,7 @@ def join_blocks(rows: DataFrame, keys: list[str], classes, percent: int) -> Data
 
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "digest binary, label binary")
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "digest binary, label binary")
 
 
 def join_large(rows: DataFrame, classes, percent: int, bundle: int, pivots: int = 6) -> DataFrame:
@@ -612,7 +611,7 @@ def join_large(rows: DataFrame, classes, percent: int, bundle: int, pivots: int
         left = state.where("ball is null")
         chosen = left.groupBy("root").agg(F.min_by(F.struct("digest", "shingles"), "digest").alias("p"), F.count("*").alias("n")).where((F.col("n") > bundle) | F.lit(k == 0))
         near = state.join(F.broadcast(chosen.select("root", F.col("p.digest").alias("_name"), F.col("p.shingles").alias("_pivot"))), "root", "left")
-        measured = near.mapInArrow(measure, T.StructType([*near.schema.fields, T.StructField("_d", T.DoubleType())]))
+        measured = near.mapInArrow(tidy(measure), T.StructType([*near.schema.fields, T.StructField("_d", T.DoubleType())]))
         inside = F.col("ball").isNull() & (F.col("_d") <= most + 1e-12)
         state = stored(measured.select("root", "digest", "shingles", F.when(inside, F.col("_name")).otherwise(F.col("ball")).alias("ball"), F.coalesce("far", "_d").alias("far")), "balls")
         if not state.where("ball is null").groupBy("root").count().where(F.col("count") > bundle).limit(1).count():

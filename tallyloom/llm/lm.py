@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, raw, remainder, stored, table
+from .common import arrow_map, raw, remainder, stored, table, tidy
 from .wordhash import grouped, mixed, words
 
 #: The end of a text, a token of its own, and what stands before the first token. No word has these hashes but by chance.
@@ -83,7 +83,7 @@ def count(docs: DataFrame, *, text: str = "text") -> Counts:
 
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = docs.select(text).mapInArrow(run, "kind tinyint, h bigint, c bigint")
+    rows = docs.select(text).mapInArrow(tidy(run), "kind tinyint, h bigint, c bigint")
     dealt = rows.withColumn("seg", F.shiftrightunsigned("h", 52).cast("int")).repartition(tasks, "seg")
     both = stored(dealt.groupBy("seg", "kind", "h").agg(F.sum("c").alias("c")), "counts")
     single = both.where("kind = 0")
@@ -173,7 +173,7 @@ def build_filter(counts: Counts, width: int, *, base: float = 1.5, probes: int =
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array(data, pa.binary())], names=["seg", "bits"])
 
     bits = np.zeros((SEGMENTS, width), dtype=np.uint8)
-    rows = counts.bigrams.select("h", level_of(F.col("c"), base).alias("q")).mapInArrow(run, "seg int, bits binary")
+    rows = counts.bigrams.select("h", level_of(F.col("c"), base).alias("q")).mapInArrow(tidy(run), "seg int, bits binary")
     for r in stored(rows, "filter").toLocalIterator():
         bits[r.seg] |= np.frombuffer(r.bits, dtype=np.uint8)
     return Filter(bits, probes, base)
@@ -212,7 +212,7 @@ def probed(counts: Counts, pairs: DataFrame, width: int, *, base: float = 1.5, p
     tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     put = counts.bigrams.select("seg", "h", level_of(F.col("c"), base).alias("q"))
     asked = pairs.select(F.shiftrightunsigned("h", 52).cast("int").alias("seg"), "h", F.lit(0).alias("q"))
-    return put.union(asked).repartition(tasks, "seg").sortWithinPartitions("seg", F.desc("q")).mapInArrow(run, "h bigint, level int")
+    return put.union(asked).repartition(tasks, "seg").sortWithinPartitions("seg", F.desc("q")).mapInArrow(tidy(run), "h bigint, level int")
 
 
 def vocabulary(counts: Counts, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray] | None:
@@ -227,7 +227,7 @@ def vocabulary(counts: Counts, most: int = VOCABULARY) -> tuple[np.ndarray, np.n
 
     h, c = np.empty(counts.distinct, np.uint64), np.empty(counts.distinct, np.int64)
     at = 0
-    for r in stored(counts.words.mapInArrow(run, "h binary, c binary"), "words").toLocalIterator():
+    for r in stored(counts.words.mapInArrow(tidy(run), "h binary, c binary"), "words").toLocalIterator():
         n = len(r.h) // 8
         h[at : at + n], c[at : at + n] = np.frombuffer(r.h, np.uint64), np.frombuffer(r.c, np.int64)
         at += n
@@ -309,7 +309,7 @@ def score_by_join(docs: DataFrame, counts: Counts, total: float, text: str, prio
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), rows[at], np.int64)), pa.array(kind), pa.array(h.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], names=["_row", "kind", "h", "v", "n"])
                     start, at = end, at + 1
 
-    probes = named.select("_row", text).dropDuplicates(["_row"]).mapInArrow(run, "_row bigint, kind tinyint, h bigint, v bigint, n bigint")
+    probes = named.select("_row", text).dropDuplicates(["_row"]).mapInArrow(tidy(run), "_row bigint, kind tinyint, h bigint, v bigint, n bigint")
     known = counts.words.select(F.col("h").alias("v"), F.col("c").cast("double").alias("cv"))
     met = probes.join(known, "v", "left").withColumn("cv", F.when(F.col("v") == int(START.view(np.int64)), F.lit(float(counts.texts))).otherwise(F.coalesce("cv", F.lit(0.0))))
     level = F.col("level")

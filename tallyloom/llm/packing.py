@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, arrow_map, remembered, stored, table, texts
+from .common import apart, arrow_map, remembered, stored, table, texts, tidy
 
 CAPACITY = 2048
 CACHE_WORDS = 500_000
@@ -259,7 +259,7 @@ def pack(cut: DataFrame, *, length: str = "length", capacity: int = CAPACITY, sa
 
     schema = T.StructType([numbered.schema[c] for c in kept] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     # all rows of a length and bucket meet in one task; their order in it doesn't matter
-    return salted.repartition(tasks, length, "_salt").mapInArrow(run, schema)
+    return salted.repartition(tasks, length, "_salt").mapInArrow(tidy(run), schema)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

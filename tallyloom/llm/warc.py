@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull
 
-from .common import fresh_path, stored, table
+from .common import fresh_path, stored, table, tidy
 
 PROFILE = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
 #: Columns by the header that holds them.
@@ -117,7 +117,7 @@ def write_archives(
         close()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "records", "bytes"])
 
-    return stored(marked.mapInArrow(run, "file string, records bigint, bytes bigint"), "manifest")
+    return stored(marked.mapInArrow(tidy(run), "file string, records bigint, bytes bigint"), "manifest")
 
 
 class FilePart(InputPartition):

@@ -18,7 +18,7 @@ LOWER += np.uint64(1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Texts are taken together up to this many bytes; a longer one is taken alone.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 _powers: list[np.ndarray] = []
 
