@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import apart, arrow_map, remembered, stored, table, texts, tidy
 
 CAPACITY = 2048
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 
 # The tokenizer's letters and numbers within Latin-1, lower case, and its cuts.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -129,9 +129,10 @@ class WordTokens:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        for cache in (self.parts, self.others):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.shrink()
+        if len(self.others) > CACHE_WORDS:
+            self.others.clear()
         try:
             parts, cache = text.lower().encode("latin-1").split(), self.parts
         except UnicodeEncodeError:
@@ -146,12 +147,20 @@ class Parts(dict):
 
     def __init__(self, own: WordTokens):
         self.own = own
+        self.words: dict[bytes, bytes] = {}
+
+    def shrink(self) -> None:
+        """Words come again more often than parts with signs: they stay, unless they fill half of the room themselves."""
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words.clear()
+        self.clear()
+        self.update(self.words)
 
     def __missing__(self, key: bytes) -> bytes:
         part = key.decode("latin-1")
         if VISIBLE.fullmatch(part):
             cut = EDGES.findall(part)
-            found = b"".join([self[w.encode("latin-1")] for w in cut]) if len(cut) > 1 else self.own.encode(part)
+            found = b"".join([self[w.encode("latin-1")] for w in cut]) if len(cut) > 1 else self.words.setdefault(key, self.own.encode(part))
         else:
             found = self.own.encode(part)
         self[key] = found
