@@ -6,6 +6,7 @@ empty text false. Arguments are strings in a map; lists are JSON arrays.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -77,6 +78,12 @@ def lines(x: Column) -> Column:
     return F.filter(F.split(x, "\n"), lambda s: F.trim(s) != "")
 
 
+def is_json(x: Column) -> Column:
+    """Whether all of the text is one JSON value. What follows a value is not parsed, so a digest of the text must follow it in an array."""
+    pair = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"'), F.md5(x), F.lit('"]')))
+    return F.coalesce(F.try_variant_get(pair, "$[1]", "string") == F.md5(x), F.lit(False))
+
+
 def nth(array: Column, n) -> Column:
     return F.try_element_at(array, n if isinstance(n, Column) else F.lit(n))
 
@@ -103,7 +110,7 @@ checker("detectable_format:number_bullet_lists")(lambda x, a: F.regexp_count(x,
 checker("detectable_format:constrained_response")(lambda x, a: F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")).isin("my answer is yes.", "my answer is no.", "my answer is maybe."))
 checker("detectable_format:number_highlighted_sections")(lambda x, a: F.regexp_count(x, F.lit(r"\*[^\n*]+\*")) >= number(a, "num_highlights"))
 checker("detectable_format:multiple_sections")(lambda x, a: occurrences(F.lower(x), F.lower(F.coalesce(a("section_spliter"), F.lit("Section")))) >= number(a, "num_sections"))
-checker("detectable_format:json_format")(lambda x, a: F.try_parse_json(x).isNotNull())
+checker("detectable_format:json_format")(lambda x, a: is_json(x))
 checker("detectable_format:title")(lambda x, a: x.rlike("(?s)<<.+?>>"))
 checker("combination:two_responses")(lambda x, a: (F.size(F.split(x, r"\*{6}")) == 2) & (F.trim(F.split(x, r"\*{6}")[0]) != "") & F.coalesce(F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))) != "", F.lit(False)) & F.coalesce(F.trim(F.split(x, r"\*{6}")[0]) != F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))), F.lit(False)))
 checker("combination:repeat_prompt")(lambda x, a: F.coalesce(x.startswith(filled(a, "prompt_to_repeat")), F.lit(False)))
@@ -197,7 +204,7 @@ checker("custom:multiples")(lambda x, a: F.regexp_extract_all(x, F.lit(r"\d+"),
 checker("custom:character_reverse")(lambda x, a: F.lower(x).contains("elgae dlab"))
 checker("custom:word_reverse")(lambda x, a: F.array_join(F.reverse(words(F.lower(x))), " ").contains("bald eagle"))
 checker("custom:sentence_alphabet")(lambda x, a: (F.size(sentences(x)) == 26) & F.forall(F.sequence(F.lit(1), F.lit(26)), lambda i: F.coalesce(F.ascii(F.lower(F.try_element_at(sentences(x), i))) == 96 + i, F.lit(False))))
-checker("custom:date_format_list")(lambda x, a: F.forall(F.transform(F.split(x, ","), F.trim), lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.left(d, F.lit(4)).try_cast("int").between(1769, 1821) & F.try_to_date(d).isNotNull()))
+checker("custom:date_format_list")(lambda x, a: F.forall(F.transform(F.split(x, ","), lambda s: F.trim(s)), lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.left(d, F.lit(4)).try_cast("int").between(1769, 1821) & F.try_to_date(d).isNotNull()))
 checker("count:keywords_multiple")(lambda x, a: sum(((occurrences(F.lower(x), F.lower(a(f"keyword{i}"))) == n).cast("int") for i, n in enumerate((1, 2, 3, 5, 7), 1)), F.lit(0)) == 5)
 checker("words:keywords_specific_position")(lambda x, a: F.coalesce(F.lower(nth(F.regexp_extract_all(nth(sentences(x), number(a, "n")), F.lit(r"(?U)\w+|[^\w\s]"), 0), number(a, "m"))) == F.lower(a("keyword")), F.lit(False)))
 checker("words:words_position")(lambda x, a: F.coalesce((F.lower(nth(words(x), 2)) == F.lower(a("keyword"))) & (F.lower(nth(words(x), -2)) == F.lower(a("keyword"))), F.lit(False)))
@@ -208,12 +215,123 @@ checker("format:title_case")(lambda x, a: F.forall(F.filter(words(x), lambda w:
 checker("format:output_template")(lambda x, a: x.contains("My Answer:") & x.contains("My Conclusion:") & x.contains("Future Outlook:"))
 checker("format:no_whitespace")(lambda x, a: ~x.rlike(r"(?U)\s"))
 checker("format:emoji")(lambda x, a: F.forall(sentences(x), lambda s: s.rlike(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\S?$")))
-checker("ratio:stop_words")(lambda x, a: (F.size(words(x)) > 0) & (100.0 * F.size(F.filter(words(F.lower(x)), lambda w: w.isin("the", "a", "an", "of", "to", "in", "and", "is", "it", "for", "on", "that", "this", "with", "as", "was", "at", "by", "be", "are", "or", "from"))) / F.size(words(x)) <= number(a, "percentage")))
 checker("count:words_japanese")(lambda x, a: F.forall(F.filter(F.transform(pieces(x), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: (s["i"] + 1) % number(a, "N") == 0), lambda s: s["w"].rlike(r"[\u3040-\u30ff\u4e00-\u9fff]")))
-# scored on reasoning as well as on answers
-checker("length_constraint_checkers:number_words")(lambda x, a: (F.size(words(x)) >= number(a, "min_words", 0)) & (F.size(words(x)) <= number(a, "max_words", 200)))
-checker("language:reasoning_language")(lambda x, a: CHECKERS["language:response_language"](x, a))
+# The English stop words in common use, names of persons, capitals from north to south, the columns of tables.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its itself they them their theirs themselves what which who whom "
+    "this that that'll these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before "
+    "after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will "
+    "just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't "
+    "shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
+).split()
+PERSONS = (
+    "Emma Liam Sophia Jackson Olivia Noah Ava Lucas Isabella Mason Mia Ethan Charlotte Alexander Amelia Benjamin Harper Leo Zoe Daniel Chloe Samuel Lily Matthew Grace Owen Abigail Gabriel Ella Jacob Scarlett Nathan "
+    "Victoria Elijah Layla Nicholas Audrey David Hannah Christopher Penelope Thomas Nora Andrew Aria Joseph Claire Ryan Stella Jonathan"
+).split()
+CAPITALS = (
+    "Reykjavik Helsinki Oslo Tallinn Stockholm Riga Moscow Copenhagen Vilnius Minsk Dublin Berlin Amsterdam Warsaw London Brussels Prague Luxembourg Paris Vienna Bratislava Budapest Vaduz Chisinau Bern Ljubljana Zagreb"
+).split()
+CITIES, PRODUCTS, STUDENTS = ("ID", "Country", "City", "Year", "Count"), ("ProductID", "Category", "Brand", "Price", "Stock"), ("StudentID", "Subject", "Grade", "Semester", "Score")
+# Letters whose compatibility decomposition has one ASCII character, and those characters.
+_ASCII = {c: d for c in map(chr, range(128, 0x10000)) if len(d := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) == 1}
+ODD, SIMPLE = "\ue000", "\ue001"
+
+
+def ascii_only(x: Column) -> Column:
+    """Without marks on letters; other characters beyond ASCII go, also the few that stand for several."""
+    return F.regexp_replace(F.translate(x, "".join(_ASCII), "".join(_ASCII.values())), r"[^\x00-\x7f]", "")
+
+
+def cells(x: Column, separator: str) -> Column:
+    """The rows of a table of separated values, as arrays of cells. Cells in double quotes become one character, ODD if they hold a sign, else SIMPLE."""
+    start, rest = rf"(?<![^\r\n{separator}])\"", r'[^"]*+(?:""[^"]*+)*+"'
+    marked = F.regexp_replace(F.regexp_replace(x, start + r'(?=[^"\n]*(?:[^\w\s"]|"")[^\n]*")' + rest, ODD), start + rest, SIMPLE)
+    return F.transform(F.split(F.regexp_replace(marked, r"\r?\n\z", ""), r"\r\n|\r|\n"), lambda r: F.when(r == "", F.array().cast("array<string>")).otherwise(F.split(r, separator)))
+
+
+def headed(x: Column, names: tuple[str, ...], between: str) -> Column:
+    return F.trim(F.split(x, "\n")[0]).rlike("^\\s*" + between.join(f'(?:{n}|"{n}")' for n in names) + "\\s*$")
+
+
+checker("ratio:stop_words")(lambda x, a: (F.size(words(x)) > 0) & (100.0 * F.size(F.filter(words(F.lower(x)), lambda w: w.isin(*STOP_WORDS))) / F.size(words(x)) <= number(a, "percentage")))
+checker("count:person_names")(lambda x, a: F.size(F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\b(?:" + "|".join(PERSONS) + r")\b"), 0))) >= number(a, "N"))
+
+
+@checker("sentence:alliteration_increment")
+def _(x, a):
+    """A sentence scores the words that stand in runs of the same first letter; each must score more than the one before."""
+    letters = lambda s: F.array_join(F.transform(F.array_remove(F.transform(pieces(F.lower(s)), lambda w: F.regexp_replace(w, r"^[\p{Punct} ]+", "")), ""), lambda w: F.left(w, F.lit(1))), "")
+    return neighbours(F.transform(F.transform(sentences(x), letters), lambda r: F.length(r) - F.length(F.regexp_replace(r, r"(?s)(.)\1+", ""))), lambda p, q: q > p)
+
+
+@checker("format:parentheses")
+def _(x, a):
+    """Five brackets deep and then closed rightly. A wrong bracket starts anew; beyond five only the innermost one counts, so the state is short."""
+
+    def step(open_, c):
+        closed = F.when(F.right(open_, F.lit(1)) != F.translate(c, ")]}", "([{"), "").when(F.length(open_) == 5, "done").otherwise(F.left(open_, F.length(open_) - 1))
+        return F.when(open_ == "done", open_).when(c.isin("(", "[", "{"), F.concat(F.left(open_, F.lit(4)), c)).otherwise(F.when(open_ == "", "").otherwise(closed))
+
+    return F.aggregate(F.regexp_extract_all(x, F.lit(r"[()\[\]{}]"), 0), F.lit(""), step) == "done"
 
+
+@checker("format:quotes")
+def _(x, a):
+    """Double and single quotes that alternate inside each other; three levels closed below the deepest."""
+
+    def step(s, c):
+        top = F.when(s["depth"] % 2 == 1, s["outer"]).otherwise(F.translate(s["outer"], "\"'", "'\""))
+        shut = (s["depth"] > 0) & (c == top)
+        depth = s["depth"] + F.when(shut, -1).otherwise(1)
+        deepest = F.greatest(s["deepest"], depth)
+        return F.struct(F.when(s["depth"] == 0, c).otherwise(s["outer"]).alias("outer"), depth.alias("depth"), deepest.alias("deepest"), (s["done"] | (shut & (deepest - depth >= 3))).alias("done"))
+
+    return F.aggregate(F.regexp_extract_all(x, F.lit("[\"']"), 0), F.struct(F.lit("").alias("outer"), F.lit(0).alias("depth"), F.lit(0).alias("deepest"), F.lit(False).alias("done")), step, lambda s: s["done"])
+
+
+@checker("format:no_bullets_bullets")
+def _(x, a):
+    """Lines with two sentences or more in all, then nothing but two lines or more that start with a star. A line without a sentence may only be the last of the first part."""
+    every = F.split(x, "\n")
+    first = F.array_position(F.transform(every, lambda s: F.trim(s).startswith("*")), F.lit(True)).cast("int")
+    said = F.transform(F.slice(every, 1, F.greatest(first - 1, F.lit(0))), lambda s: F.size(sentences(s)))
+    starred = F.size(F.filter(every, lambda s: F.trim(s).startswith("*")))
+    return (starred >= 2) & (starred == F.size(every) - first + 1) & (F.aggregate(said, F.lit(0), lambda n, m: n + m) >= 2) & F.forall(F.slice(said, 1, F.greatest(F.size(said) - 1, F.lit(0))), lambda n: n > 0)
+
+
+@checker("custom:mcq_count_length")
+def _(x, a):
+    """Four questions, each with five options, from the shortest to the longest; nothing before the first."""
+    asked = F.filter(F.transform(F.split(x, r"\n*Question \d+[.|):;]?\s*"), lambda s: F.trim(s)), lambda q: ~q.rlike(r"(?U)^\s*$"))
+    rows = F.transform(asked, lambda q: F.transform(F.split(q, "\n"), lambda s: F.trim(s)))
+    option = lambda s: s.rlike(r"(?U)^[A-Ea-e][.|)]\s*\w")
+    before = lambda r: F.slice(r, 1, F.greatest(F.array_position(F.transform(r, option), F.lit(True)).cast("int") - 1, F.lit(0)))
+    return x.startswith("Question") & (F.size(rows) == 4) & F.forall(rows, lambda r: F.size(F.filter(r, option)) == 5) & neighbours(F.transform(rows, lambda r: F.length(F.trim(F.array_join(before(r), " ")))), lambda p, q: p < q)
+
+
+@checker("custom:reverse_newline")
+def _(x, a):
+    """From the first line that names Zimbabwe, 52 lines or more in falling order, whatever the marks on letters."""
+    rows = F.array_remove(F.transform(F.split(x, "\n"), lambda s: F.regexp_replace(s, r"^[\p{Punct} ]+|[\p{Punct} ]+$", "")), "")
+    first = F.array_position(F.transform(rows, lambda s: s.contains("Zimbabwe")), F.lit(True)).cast("int")
+    return (first > 0) & (F.size(rows) - first + 1 >= 52) & neighbours(F.transform(F.slice(rows, F.greatest(first, F.lit(1)), F.greatest(F.size(rows), F.lit(1))), ascii_only), lambda p, q: p >= q)
+
+
+checker("custom:european_capitals_sort")(lambda x, a: F.array_remove(F.transform(F.split(ascii_only(x), ","), lambda s: F.trim(s)), "") == F.array(*map(F.lit, CAPITALS)))
+checker("custom:csv_city")(lambda x, a: F.split(x, r"\r?\n")[0].rlike("^" + ",".join(f'(?:{n}|"{n}")' for n in CITIES) + "$") & (F.size(cells(x, ",")) == 8) & F.forall(cells(x, ","), lambda r: F.size(r) == 5))
+
+
+@checker("custom:csv_special_character")
+def _(x, a):
+    """Fifteen rows. Of those after the head, the first that has not five cells or has a quoted cell with a sign decides."""
+    odd = lambda r: F.exists(r, lambda c: c.startswith(ODD))
+    first = F.filter(F.slice(cells(x, ","), 2, 14), lambda r: (F.size(r) != 5) | odd(r))
+    return headed(x, PRODUCTS, r",[ \t]*") & (F.size(cells(x, ",")) == 15) & F.coalesce((F.size(nth(first, 1)) == 5) & odd(nth(first, 1)), F.lit(False))
+
+
+checker("custom:csv_quotes")(
+    lambda x, a: headed(x, STUDENTS, "\t *") & (F.size(cells(x, "\t")) == 4) & F.forall(cells(x, "\t"), lambda r: (F.size(r) == 5) & F.forall(r, lambda c: F.trim(c).rlike(f'^["{ODD}{SIMPLE}](.*["{ODD}{SIMPLE}])?$')))
+)
 IDS = frozenset(CHECKERS)
 
 

@@ -35,7 +35,7 @@ def words(x: Column) -> Column:
 
 
 def sentences(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, SENTENCE), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, SENTENCE), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def pieces(x: Column) -> Column:
@@ -94,7 +94,7 @@ def split_answer(x: Column) -> tuple[Column, Column]:
 
 def trajectory(x: Column) -> Column:
     """Steps if there are two or more, else paragraphs, else sentences."""
-    clean = lambda a: F.filter(F.transform(a, F.trim), lambda s: s != "")
+    clean = lambda a: F.filter(F.transform(a, lambda s: F.trim(s)), lambda s: s != "")
     steps, paragraphs = clean(F.split(x, r"(?=\bStep \d+)|(?=\n\d+[.)])")), clean(F.split(x, r"\n\s*\n"))
     return F.when(F.size(steps) >= 2, steps).when(F.size(paragraphs) >= 2, paragraphs).otherwise(sentences(x))
 

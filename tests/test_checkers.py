@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from tallyloom.functions import checkers as C
+from tallyloom.functions import verifiers as W
+
+QUIZ = "\n\n".join(f"Question {n}: Which {q}?\n" + "\n".join(f"{c}. {c.lower()}" for c in "ABCDE") for n, q in enumerate(("x", "xx", "xxx", "xxxx"), 1))
 
 CASES = [
     ("count:count_unique", {"N": "2"}, "a a b", True), ("count:count_unique", {"N": "3"}, "a a b", False), ("count:count_unique", {"count": "2", "relation": "at most"}, "a A b", True), ("count:count_unique", {}, "a b", False),
@@ -27,6 +30,23 @@ CASES = [
     ("detectable_format:json_format", {}, '{"a": 1}', True), ("detectable_format:json_format", {}, '```json\n{}\n```', False), ("startend:quotation", {}, '"a"', True), ("startend:quotation", {}, ' "a"', False),
     ("detectable_format:constrained_response", {}, " my answer is Maybe.\n", True), ("copy:copying_simple", {}, "x", False),
     ("keywords:start_end", {}, "word", False), ("keywords:start_end", {}, "Word a word.", True),
+    ("count:person_names", {"N": "2"}, "Emma met Liam and Emma.", True), ("count:person_names", {"N": "2"}, "Emmas met Liam and Liam.", False),
+    ("ratio:stop_words", {"percentage": "50"}, "The cat shouldn't sleep", False), ("ratio:stop_words", {"percentage": "50"}, "The cats sleep", True), ("ratio:stop_words", {"percentage": "50"}, "...", False),
+    ("sentence:alliteration_increment", {}, "One two. Big bad wolf. Some sad (six songs.", True), ("sentence:alliteration_increment", {}, "Big bad wolf. Cold cat.", False), ("sentence:alliteration_increment", {}, "Big bad bee. Aa ab xx bb bc.", True),
+    ("format:parentheses", {}, "([{([x])}])", True), ("format:parentheses", {}, "([{(x)}])", False), ("format:parentheses", {}, "([{([x)", False), ("format:parentheses", {}, "((((((]", False), ("format:parentheses", {}, ")(((((( )", True), ("format:parentheses", {}, "()()()()()()", False),
+    ("format:quotes", {}, "\"a 'b \"c\" d' e\"", True), ("format:quotes", {}, "\"a 'b' c\"", False), ("format:quotes", {}, "'a' 'b' 'c' 'd'", False), ("format:quotes", {}, "'a \"b 'c' d\" e'", True), ("format:quotes", {}, "'a \"b 'c' d", False),
+    ("format:no_bullets_bullets", {}, "One. Two.\n* a\n* b", True), ("format:no_bullets_bullets", {}, "One. Two.\n* a\n* b\n", False), ("format:no_bullets_bullets", {}, "One.\n\n* a\n* b", False), ("format:no_bullets_bullets", {}, "One. Two.\n\n* a\n* b", True),
+    ("format:no_bullets_bullets", {}, "One. Two.\n\nThree.\n* a\n* b", False), ("format:no_bullets_bullets", {}, "One. Two.\n* a", False), ("format:no_bullets_bullets", {}, "* a\n* b", False),
+    ("custom:mcq_count_length", {}, QUIZ, True), ("custom:mcq_count_length", {}, "Here: " + QUIZ, False), ("custom:mcq_count_length", {}, QUIZ.replace("E. e", ""), False), ("custom:mcq_count_length", {}, QUIZ.replace("xxx", "x"), False),
+    ("custom:reverse_newline", {}, "So:\nZimbabwe\n" + "\n".join(f"- C{n:02d}" for n in range(60, 8, -1)), True), ("custom:reverse_newline", {}, "Zimbabwe\nS\u00e3o\nSap\n" + "\n".join(f"C{n:02d}" for n in range(60, 8, -1)), False),
+    ("custom:reverse_newline", {}, "Zimbabwe\nS\u00e3p\nSao\n" + "\n".join(f"C{n:02d}" for n in range(60, 8, -1)), True), ("custom:reverse_newline", {}, "Zimbabwe\nA", False),
+    ("custom:european_capitals_sort", {}, ", ".join(C.CAPITALS).replace("Chisinau", "Chi\u0219in\u0103u"), True), ("custom:european_capitals_sort", {}, ", ".join(C.CAPITALS[1:]), False),
+    ("custom:csv_city", {}, "ID,Country,City,Year,Count\n" + '1,"A, b",c,"x\ny",5\n' * 7, True), ("custom:csv_city", {}, "ID,Country,City,Year,Count\n" + "1,A,c,2,5\n" * 6, False), ("custom:csv_city", {}, "ID,Country,City,Year,Count\n" + "1,A,c,2\n" * 7, False),
+    ("custom:csv_city", {}, "ID,Country,City,Year,Count\n\n" + "1,A,c,2,5\n" * 6, False),
+    ("custom:csv_special_character", {}, "ProductID, Category,Brand,Price,Stock\n" + "1,a,b,2,3\n" * 13 + '1,"a & b",c,2,3', True), ("custom:csv_special_character", {}, "ProductID,Category,Brand,Price,Stock\n" + "1,a,b,2,3\n" * 13 + '1,"a b",c,2,3', False),
+    ("custom:csv_special_character", {}, "ProductID,Category,Brand,Price,Stock\n" + "1,a\n" + "1,a,b,2,3\n" * 12 + '1,"a & b",c,2,3', False),
+    ("custom:csv_quotes", {}, "\n".join(['"StudentID"\t"Subject"\t"Grade"\t"Semester"\t"Score"'] + ['"1"\t"a b"\t"c"\t"d"\t"e"'] * 3), True), ("custom:csv_quotes", {}, "\n".join(['"StudentID"\t"Subject"\t"Grade"\t"Semester"\t"Score"'] + ['"1"\ta\t"c"\t"d"\t"e"'] * 3), False),
+    ("detectable_format:json_format", {}, "{} x", False), ("detectable_format:json_format", {}, "[1]], 2", False), ("detectable_format:json_format", {}, '{"a": [1, "]"]}', True),
 ]
 
 
@@ -34,3 +54,45 @@ def test_checkers_follow_the_reference(spark):
     rows = spark.createDataFrame([(k, i, a, t) for k, (i, a, t, _) in enumerate(CASES)], "k int, id string, args map<string,string>, text string")
     got = dict(rows.select("k", C.check(F.col("text"), F.col("id"), F.col("args"), sorted({c[0] for c in CASES}))).collect())
     assert [(*c[:3], got[k]) for k, c in enumerate(CASES) if got[k] is not c[3]] == []
+
+
+L, R = "lenient", "reasoned"
+OTHER = [
+    (L, "punctuation:no_comma", {}, "a，b", True), (R, "punctuation:no_comma", {}, "a，b", False), (L, "punctuation:no_comma", {}, None, True),
+    (L, "length_constraint_checkers:number_words", {}, "a", None), (L, "length_constraint_checkers:number_words", {"num_words": "2", "relation": "at most"}, "a-b it's", True), (L, "length_constraint_checkers:number_words", {"num_words": "2"}, "a b c", False),
+    (L, "length_constraint_checkers:number_words", {"min_words": "2", "num_words_max": "3"}, "a b c d", False), (L, "length_constraint_checkers:number_words", {"num_words": "many"}, "a", True), (L, "length_constraint_checkers:number_words", {"min_words": "0", "num_words_lower": "2"}, "a", False),
+    (R, "length_constraint_checkers:number_words", {}, "w " * 200, True), (R, "length_constraint_checkers:number_words", {}, "w " * 201, False), (R, "length_constraint_checkers:number_words", {"num_words": "2", "relation": "less than"}, "it's", False),
+    (R, "length_constraint_checkers:number_words", {"num_words": "2", "relation": "at least"}, "it's", True), (R, "length_constraint_checkers:number_words", {"min_words": "x", "num_words": "1"}, "a b", False),
+    (L, "language:reasoning_language", {"language": "en"}, "a" * 20, True), (L, "language:reasoning_language", {"language": "en"}, "a" * 20 + "\u00e9" * 5, False), (L, "language:response_language", {"language": "German"}, "a" * 50 + "\u00dc", True),
+    (L, "language:response_language", {"language": "xx"}, "a", None), (L, "language:response_language", {}, "a", None), (L, "language:reasoning_language", {"language": "zh"}, "\u4e2d" * 20 + "a" * 42, False),
+    (R, "language:reasoning_language", {}, "", True), (R, "language:reasoning_language", {"language": "english"}, "1", False), (R, "language:reasoning_language", {"language": "Japanese"}, "\u3042" * 20 + "a" * 30, True),
+    (R, "language:reasoning_language", {"language": "English"}, "a" * 30 + "\u4e2d" * 21, False), (R, "language:reasoning_language", {"language": "klingon"}, "a", True), (R, "language:response_language", {"language": "klingon"}, "a", None),
+    (L, "startend:end_checker", {"ending": "The  end."}, 'x the end."', True), (L, "startend:end_checker", {}, "x", None), (R, "startend:end_checker", {}, "x", True), (R, "startend:end_checker", {"suffix": "End"}, "the End \n", True), (R, "startend:end_checker", {"suffix": "End"}, "the end", False),
+    (L, "startend:quotation", {}, " \u201chi\u201d ", True), (L, "startend:quotation", {}, "", False), (L, "startend:quotation", {}, "hi", False),
+    (L, "detectable_format:json_format", {}, "x ```JSON {\"a\": 1}```", True), (L, "detectable_format:json_format", {}, "3", False), (L, "detectable_format:json_format", {}, "x {}", False),
+    (R, "detectable_format:json_format", {}, "3", True), (R, "detectable_format:json_format", {}, "so {\"a\": 1} it is", True), (R, "detectable_format:json_format", {}, "```json\n[1]\n```", True), (R, "detectable_format:json_format", {}, "{a}", False), (R, "detectable_format:json_format", {}, "", False),
+    (L, "detectable_format:number_highlighted_sections", {"count": "2"}, "**a** and *b*", True), (L, "detectable_format:number_highlighted_sections", {"count": "2"}, "**a**", False),
+    (L, "detectable_format:number_bullet_lists", {"num_bullets": "3"}, "- a\n2) b\n + c", True), (L, "detectable_format:number_bullet_lists", {"num_bullets": "3"}, "-a\n2 b", False),
+    (L, "detectable_format:multiple_sections", {}, "# a\nSection 2", True), (L, "detectable_format:multiple_sections", {}, "# a", False),
+    (L, "change_case:english_capital", {}, "A" * 19 + "b", True), (L, "change_case:english_capital", {}, "1", False), (R, "change_case:english_capital", {}, "A" * 19 + "b", False), (R, "change_case:english_capital", {}, "A \u00e9", True), (L, "change_case:english_lowercase", {}, "aaB", False),
+    (L, "change_case:capital_word_frequency", {"frequency": "2"}, "ABC I D-F", True), (L, "change_case:capital_word_frequency", {"num": "1", "relation": "less than"}, "ABC DE", False),
+    (L, "keywords:frequency", {"word": "c++x", "count": "1", "relation": "exactly"}, "use C++x now", True), (L, "keywords:frequency", {}, "a", None), (L, "keywords:frequency", {"word": "a", "num": "2", "relation": "less than"}, "a A", False), (L, "keywords:frequency", {"keyword": "an"}, "and", False),
+    (L, "keywords:existence", {"required": "Cat"}, "a cat", True), (L, "keywords:existence", {"keywords": "[]"}, "a", None), (L, "keywords:existence", {"keywords": '["a", "b"]'}, "a", False), (L, "keywords:forbidden_words", {"avoid": '["a"]'}, "bcd", True), (L, "keywords:forbidden_words", {}, "a", None),
+    (L, "combination:repeat_prompt", {"request": "say  it"}, "I say\nit", True), (L, "combination:repeat_prompt", {"request": "say it"}, "Say it", False), (L, "none:such", {}, "a", None), (R, "none:such", {}, "a", None),
+]
+
+
+def test_verifiers_follow_the_reference(spark):
+    rows = spark.createDataFrame([(k, w, i, a, t) for k, (w, i, a, t, _) in enumerate(OTHER)], "k int, which string, id string, args map<string,string>, text string")
+    sets = {L: W.LENIENT, R: W.REASONED}
+    got = {}
+    for name, rules in sets.items():
+        got |= dict(rows.where(F.col("which") == name).select("k", W.verify(rules, F.col("text"), F.col("id"), F.col("args"))).collect())
+    assert [(*c[:4], got[k]) for k, c in enumerate(OTHER) if got[k] is not c[4]] == []
+
+
+def test_strict_first(spark):
+    cases = [("combination:repeat_prompt", {"prompt_to_repeat": "b"}, "a b", False, "vendored"), ("punctuation:no_comma", {}, "a,b", False, "vendored"), ("none:such", {}, "a", None, "unsupported"), ("length_constraint_checkers:number_words", {"max_words": "1"}, "a", True, "fallback")]
+    rows = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases)], "k int, id string, args map<string,string>, text string")
+    got = {r[0]: r[1] for r in rows.select("k", W.strict_first(F.col("text"), F.col("id"), F.col("args"), [c[0] for c in cases])).collect()}
+    assert [(got[k]["passed"], got[k]["rule"]) for k in range(len(cases))] == [c[3:] for c in cases]
