@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .texts import pieces, sentences, words
+from .texts import let, pieces, sentences, words
 
 Arguments = Callable[[str], Column]
 CHECKERS: dict[str, Callable[[Column, Arguments], Column]] = {}
@@ -70,6 +70,25 @@ def bare(x: Column) -> Column:
     return F.filter(F.transform(words(x), lambda w: F.regexp_replace(w, "^_+|_+$", "")), lambda w: w != "")
 
 
+def unpunctuated(x: Column) -> Column:
+    """Parts between white space, all ASCII punctuation having been taken out."""
+    return pieces(F.regexp_replace(x, r"\p{Punct}", ""))
+
+
+def edged(x: Column) -> Column:
+    """Without ASCII punctuation and blanks at the ends."""
+    return F.regexp_replace(x, r"^[\p{Punct} ]+|[\p{Punct} ]+\z", "")
+
+
+def last_bare(parts: Column) -> Column:
+    """The last part that isn't punctuation alone, without the punctuation after it."""
+    return nth(F.array_remove(F.transform(parts, lambda w: F.regexp_replace(w, r"\p{Punct}+\z", "")), ""), -1)
+
+
+def first_bare(parts: Column) -> Column:
+    return nth(F.array_remove(F.transform(parts, lambda w: F.regexp_replace(w, r"^\p{Punct}+", "")), ""), 1)
+
+
 def paragraphs(x: Column) -> Column:
     return F.filter(F.split(F.trim(x), r"\n\s*\n"), lambda p: F.trim(p) != "")
 
@@ -90,8 +109,8 @@ def nth(array: Column, n) -> Column:
 
 def neighbours(array: Column, good) -> Column:
     """Whether good(a, b) holds for every two that stand side by side."""
-    n = F.size(array)
-    return (n < 2) | F.forall(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.coalesce(good(F.try_element_at(array, i), F.try_element_at(array, i + 1)), F.lit(True)))
+    n = lambda v: F.greatest(F.size(v) - 1, F.lit(0))
+    return let(array, lambda v: F.forall(F.zip_with(F.slice(v, 1, n(v)), F.slice(v, 2, n(v)), lambda p, q: F.coalesce(good(p, q), F.lit(True))), lambda b: b))
 
 
 checker("keywords:existence")(lambda x, a: F.forall(listed(a, "keywords"), lambda k: F.lower(x).contains(F.lower(k))))
@@ -171,8 +190,11 @@ checker("ratio:sentence_balance")(
 )
 # The conjunctions and pronouns that are counted.
 CONJUNCTIONS = ("and", "but", "for", "nor", "or", "so", "yet")
-PRONOUNS = ("i", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves")
-checker("count:conjunctions")(lambda x, a: F.size(F.array_distinct(F.filter(words(x), lambda w: F.lower(w).isin(*CONJUNCTIONS)))) >= number(a, "small_n"))
+PRONOUNS = (
+    "i me we us you he him she her it they them my mine our ours your yours his hers its their theirs myself ourselves yourself yourselves himself herself itself themselves this that these those who whom whose which what "
+    "whoever whomever whatever whichever anybody anyone anything everybody everyone everything nobody nothing somebody someone something each either neither both all some any none"
+).split()
+checker("count:conjunctions")(lambda x, a: F.size(F.array_distinct(F.filter(pieces(x), lambda w: F.lower(edged(w)).isin(*CONJUNCTIONS)))) >= number(a, "small_n"))
 checker("count:pronouns")(lambda x, a: F.size(F.filter(words(F.lower(F.replace(x, F.lit("/"), F.lit(" ")))), lambda w: w.isin(*PRONOUNS))) >= number(a, "N"))
 checker("count:numbers")(lambda x, a: F.regexp_count(F.regexp_replace(x, r"\p{Punct}", ""), F.lit(r"\b\d+\b")) == number(a, "N"))
 checker("ratio:overlap")(
@@ -180,23 +202,29 @@ checker("ratio:overlap")(
         100.0 * F.size(F.array_intersect(trigrams(x), trigrams(a("reference_text")))) / F.greatest(F.size(F.array_union(trigrams(x), trigrams(a("reference_text")))), F.lit(1)) - number(a, "percentage")
     ) <= 2
 )
-checker("words:vowel")(lambda x, a: (F.size(paragraphs(x)) == 1) & (sum((F.lower(x).contains(v).cast("int") for v in "aeiou"), F.lit(0)) <= 3))
+checker("words:vowel")(lambda x, a: ~F.regexp_replace(x, r"(?U)^\s+|\s+\z", "").contains("\n") & (sum((F.lower(x).contains(v).cast("int") for v in "aeiou"), F.lit(0)) <= 3))
 checker("words:consonants")(lambda x, a: F.forall(pieces(F.lower(x)), lambda w: w.rlike("[bcdfghjklmnpqrstvwxyz]{2}")))
-checker("words:alphabet")(lambda x, a: neighbours(F.transform(words(F.lower(x)), lambda w: F.ascii(w)), lambda p, q: q == F.when(p == 122, 97).otherwise(p + 1)))
-checker("words:palindrome")(lambda x, a: F.size(F.filter(words(F.lower(x)), lambda w: (F.length(w) >= 5) & (w == F.reverse(w)))) >= 10)
-checker("count:punctuation")(lambda x, a: F.forall(F.array(*[F.lit(p) for p in ".,!?;:"]), lambda p: x.contains(p)) & (x.contains("?!") | x.contains("!?") | x.contains("‽")))
-checker("words:prime_lengths")(lambda x, a: F.forall(words(x), lambda w: F.length(w).isin(*[p for p in range(2, 100) if all(p % q for q in range(2, p))])))
+checker("words:alphabet")(lambda x, a: let(F.transform(unpunctuated(F.lower(x)), lambda w: F.ascii(w)), lambda v: F.coalesce(nth(v, 1).between(97, 122), F.lit(False)) & neighbours(v, lambda p, q: q == F.when(p == 122, 97).otherwise(p + 1))))
+checker("words:palindrome")(lambda x, a: F.size(F.filter(unpunctuated(F.lower(x)), lambda w: (F.length(w) >= 5) & (w == F.reverse(w)))) >= 10)
+@checker("count:punctuation")
+def _(x, a):
+    """All six signs beside one pair of ? and !, or beside the sign that is both."""
+    rest = F.when(x.contains("?!"), F.regexp_replace(x, r"(?s)\?!(.*)\z", "$1")).when(x.contains("!?"), F.regexp_replace(x, r"(?s)!\?(.*)\z", "$1")).otherwise(x)
+    return let(rest, lambda r: F.forall(F.array(*[F.lit(p) for p in ".,!?;:"]), lambda p: r.contains(p))) & (x.contains("?!") | x.contains("!?") | x.contains("‽"))
+
+
+checker("words:prime_lengths")(lambda x, a: F.forall(unpunctuated(x), lambda w: F.length(w).isin(*[p for p in range(2, 100) if all(p % q for q in range(2, p))])))
 checker("format:options")(lambda x, a: F.exists(listed(a, "options"), lambda o: F.lower(F.trim(x)) == F.lower(F.trim(o))))
-checker("format:newline")(lambda x, a: F.size(lines(x)) == F.size(pieces(x)))
+checker("format:newline")(lambda x, a: F.size(F.array_remove(F.split(F.regexp_replace(F.regexp_replace(x, r"\p{Punct}", ""), r"(?U)^\s+|\s+\z", ""), "\n"), "")) == F.size(unpunctuated(x)))
 checker("ratio:sentence_words")(lambda x, a: (F.size(sentences(x)) == 3) & (F.size(F.array_distinct(F.transform(sentences(x), F.length))) == 1))
-checker("words:repeats")(lambda x, a: F.forall(F.array_distinct(words(F.lower(x))), lambda w: F.size(F.filter(words(F.lower(x)), lambda v: v == w)) <= number(a, "small_n")))
-checker("sentence:keyword")(lambda x, a: F.coalesce(F.array_contains(words(F.lower(nth(sentences(x), number(a, "N")))), F.lower(a("word"))), F.lit(False)))
-checker("words:last_first")(lambda x, a: neighbours(sentences(x), lambda p, q: F.lower(nth(words(p), -1)) == F.lower(nth(words(q), 1))))
-checker("words:paragraph_last_first")(lambda x, a: F.forall(lines(x), lambda p: F.coalesce(F.lower(nth(words(p), 1)) == F.lower(nth(words(p), -1)), F.lit(False))))
-checker("sentence:increment")(lambda x, a: neighbours(sentences(x), lambda p, q: F.size(words(q)) == F.size(words(p)) + number(a, "small_n")))
-checker("words:no_consecutive")(lambda x, a: neighbours(words(F.lower(x)), lambda p, q: F.left(p, F.lit(1)) != F.left(q, F.lit(1))))
+checker("words:repeats")(lambda x, a: let(F.array_sort(unpunctuated(F.lower(x))), lambda v: F.forall(F.zip_with(F.slice(v, F.greatest(number(a, "small_n"), F.lit(0)) + 1, F.greatest(F.size(v), F.lit(1))), v, lambda p, q: F.coalesce(p != q, F.lit(True))), lambda b: b)))
+checker("sentence:keyword")(lambda x, a: F.regexp_like(nth(sentences(x), number(a, "N")), F.concat(F.lit(r"(?iU)\b"), F.regexp_replace(a("word"), r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b"))))
+checker("words:last_first")(lambda x, a: neighbours(F.transform(sentences(x), lambda s: pieces(F.lower(s))), lambda p, q: F.coalesce(last_bare(p) == first_bare(q), F.lit(False))))
+checker("words:paragraph_last_first")(lambda x, a: F.forall(F.transform(F.split(F.lower(x), "\n"), lambda s: pieces(edged(F.trim(s)))), lambda v: (F.size(v) == 0) | (nth(v, 1) == nth(v, -1))))
+checker("sentence:increment")(lambda x, a: neighbours(F.transform(sentences(x), lambda s: F.size(unpunctuated(s))), lambda p, q: q == p + number(a, "small_n")))
+checker("words:no_consecutive")(lambda x, a: neighbours(unpunctuated(F.lower(x)), lambda p, q: F.left(p, F.lit(1)) != F.left(q, F.lit(1))))
 checker("format:line_indent")(lambda x, a: neighbours(lines(x), lambda p, q: F.length(q) - F.length(F.ltrim(q)) > F.length(p) - F.length(F.ltrim(p))))
-checker("format:quote_unquote")(lambda x, a: x.contains('"') & ~x.contains('""') & ~F.trim(x).endswith('"'))
+checker("format:quote_unquote")(lambda x, a: let(F.regexp_replace(F.replace(x, F.lit("'\"'"), F.lit("")), r"(?U)\s", ""), lambda v: ~v.contains('""') & ~v.rlike(r'"[0-9\p{Punct}&&[^"]]*\z')))
 checker("format:list")(lambda x, a: occurrences(x, a("sep")) >= 2)
 checker("format:thesis")(lambda x, a: x.rlike(r"(?s)<(i|em)>.+?</(i|em)>\s*\S"))
 checker("format:sub-bullets")(lambda x, a: x.contains("*") & F.forall(F.slice(F.split(x, r"\*"), F.lit(2), F.greatest(F.size(F.split(x, r"\*")) - 1, F.lit(0))), lambda p: p.contains("-")))
@@ -211,7 +239,7 @@ checker("words:words_position")(lambda x, a: F.coalesce((F.lower(nth(words(x), 2
 checker("repeat:repeat_change")(lambda x, a: (x != a("prompt_to_repeat")) & (F.slice(pieces(x), 2, 1 << 30) == F.slice(pieces(a("prompt_to_repeat")), 2, 1 << 30)))
 checker("repeat:repeat_simple")(lambda x, a: F.lower(F.trim(x)) == F.lower(F.trim(a("description"))))
 checker("repeat:repeat_span")(lambda x, a: F.trim(x) == F.array_join(F.slice(pieces(a("prompt_to_repeat")), number(a, "n_start", 0) + 1, F.greatest(number(a, "n_end", 0) - number(a, "n_start", 0), F.lit(0))), " "))
-checker("format:title_case")(lambda x, a: F.forall(F.filter(words(x), lambda w: w.rlike(r"^\p{L}")), lambda w: w.rlike(r"^\p{Lu}")))
+checker("format:title_case")(lambda x, a: ~F.exists(words(x), lambda w: w.rlike(r"^\p{Ll}$|^\p{Ll}[^\p{Lu}]*\p{Ll}[^\p{Lu}]*$|^\p{Ll}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")))
 checker("format:output_template")(lambda x, a: x.contains("My Answer:") & x.contains("My Conclusion:") & x.contains("Future Outlook:"))
 checker("format:no_whitespace")(lambda x, a: ~x.rlike(r"(?U)\s"))
 checker("format:emoji")(lambda x, a: F.forall(sentences(x), lambda s: s.rlike(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\S?$")))
@@ -336,7 +364,7 @@ IDS = frozenset(CHECKERS)
 
 
 def trigrams(x: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substr(x, i, F.lit(3))))
+    return F.array_distinct(F.regexp_extract_all(x, F.lit("(?s)(?=(...))"), 1))
 
 
 def check(text: Column, instruction: Column, arguments: Column, ids: list[str] | None = None) -> Column:

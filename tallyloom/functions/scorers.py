@@ -8,11 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .answers import last, normalize
-from .texts import pieces
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), body)[0]
+from .texts import let, pieces
 
 
 def undecorated(x: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -30,6 +31,11 @@ DAI = ("The answer", "Answer", "Final answer")
 SENTENCE = r"(?<=[.!?])\s+|\n+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value being worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"(?U)\b\w+\b"), 0)
 

@@ -14,8 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import checkers as C
-from .scorers import let
-from .texts import words
+from .texts import let, words
 
 Rules = dict[str, Callable[[Column, C.Arguments], Column]]
 LENIENT: Rules = {}

@@ -30,6 +30,15 @@ CASES = [
     ("detectable_format:json_format", {}, '{"a": 1}', True), ("detectable_format:json_format", {}, '```json\n{}\n```', False), ("startend:quotation", {}, '"a"', True), ("startend:quotation", {}, ' "a"', False),
     ("detectable_format:constrained_response", {}, " my answer is Maybe.\n", True), ("copy:copying_simple", {}, "x", False),
     ("keywords:start_end", {}, "word", False), ("keywords:start_end", {}, "Word a word.", True),
+    ("words:repeats", {"small_n": "2"}, "a b A", True), ("words:repeats", {"small_n": "2"}, "a b A a", False), ("words:repeats", {}, "a b", True), ("words:repeats", {}, "a b a", False),
+    ("ratio:overlap", {"reference_text": "abcde", "percentage": "50"}, "abcdxy", False), ("ratio:overlap", {"reference_text": "abcd", "percentage": "67"}, "abcde", True), ("ratio:overlap", {"reference_text": "abc", "percentage": "1"}, "ab", True),
+    ("words:alphabet", {}, "yes zoo a big", True), ("words:alphabet", {}, "a big dog", False), ("words:no_consecutive", {}, "a big bad", False), ("words:no_consecutive", {}, "one", True), ("sentence:increment", {"small_n": "1"}, "a. b c. d e f.", True), ("sentence:increment", {"small_n": "1"}, "a. b c. d e.", False),
+    ("words:last_first", {}, "One two.  Two three. Three x!", True), ("words:last_first", {}, "One two. Three two.", False), ("custom:date_format_list", {}, "1769-08-15, 1821-05-05", True), ("custom:date_format_list", {}, "1769-08-15, 1821-13-05", False),
+    ("count:conjunctions", {"small_n": "2"}, "and And x", True), ("count:conjunctions", {"small_n": "2"}, "a and b and c", False), ("words:vowel", {}, "a\n\n", True), ("words:vowel", {}, "a\nb", False), ("words:alphabet", {}, "1 a", False),
+    ("count:punctuation", {}, "a. b, c! d? e; f: ?!", True), ("count:punctuation", {}, "a. b, c! e; f: ?!", False), ("format:newline", {}, "a-b\nc!", True), ("format:newline", {}, "a b", False), ("sentence:keyword", {"N": "2", "word": "c++"}, "a. b c++x.", True), ("sentence:keyword", {"N": "3", "word": "a"}, "a. b.", False),
+    ("count:pronouns", {"N": "3"}, "Those/these are what", True), ("words:paragraph_last_first", {}, "(One two one!)\n\nB b", True), ("words:paragraph_last_first", {}, "One two", False), ("words:paragraph_last_first", {}, "one x One's", False),
+    ("format:quote_unquote", {}, "plain", True), ("format:quote_unquote", {}, 'a "b" c', True), ("format:quote_unquote", {}, 'a "b".', False), ("format:quote_unquote", {}, 'a "b" "c" d', False), ("format:title_case", {}, "A Big aBc 1x", True), ("format:title_case", {}, "A big", False), ("format:title_case", {}, "A aBC", False),
+    ("words:no_consecutive", {}, "don't n", True), ("sentence:increment", {"small_n": "1"}, "a-b. it's so.", True), ("words:last_first", {}, "a. ... b.", False),
     ("count:person_names", {"N": "2"}, "Emma met Liam and Emma.", True), ("count:person_names", {"N": "2"}, "Emmas met Liam and Liam.", False),
     ("ratio:stop_words", {"percentage": "50"}, "The cat shouldn't sleep", False), ("ratio:stop_words", {"percentage": "50"}, "The cats sleep", True), ("ratio:stop_words", {"percentage": "50"}, "...", False),
     ("sentence:alliteration_increment", {}, "One two. Big bad wolf. Some sad (six songs.", True), ("sentence:alliteration_increment", {}, "Big bad wolf. Cold cat.", False), ("sentence:alliteration_increment", {}, "Big bad bee. Aa ab xx bb bc.", True),
