@@ -30,6 +30,13 @@ CASES = [
     ("detectable_format:json_format", {}, '{"a": 1}', True), ("detectable_format:json_format", {}, '```json\n{}\n```', False), ("startend:quotation", {}, '"a"', True), ("startend:quotation", {}, ' "a"', False),
     ("detectable_format:constrained_response", {}, " my answer is Maybe.\n", True), ("copy:copying_simple", {}, "x", False),
     ("keywords:start_end", {}, "word", False), ("keywords:start_end", {}, "Word a word.", True),
+    ("copy:copy", {"prompt_to_repeat": "a b"}, "x a b", True), ("first_word:first_word_answer", {"first_word": "so"}, "So it is", True), ("first_word:first_word_sent", {"first_word": "a"}, "A b. A c. D", False), ("last_word:last_word_answer", {"last_word": "end"}, "the End.", True),
+    ("last_word:last_word_sent", {"last_word": "x"}, "a x. b X!", True), ("length_constraints:number_paragraphs", {"num_paragraphs": "2"}, "a\n***\nb", True), ("length_constraints:number_sentences", {"num_sentences": "2", "relation": "less than"}, "A. B.", False),
+    ("punctuation:punctuation_dot", {}, "A. B.", True), ("punctuation:punctuation_dot", {}, "A! B.", False), ("punctuation:punctuation_exclamation", {}, "A! B!", True), ("repeat:repeat_change", {"prompt_to_repeat": "a b c"}, "x b c", True), ("repeat:repeat_change", {"prompt_to_repeat": "a b c"}, "a b c", False),
+    ("repeat:repeat_span", {"prompt_to_repeat": "a b c d", "n_start": "1", "n_end": "3"}, "b c", True), ("words:keywords_specific_position", {"keyword": "b", "n": "2", "m": "3"}, "A. x, B.", True), ("format:options", {"options": '["yes", "no"]'}, " YES ", True), ("format:options", {"options": '["yes", "no"]'}, "maybe", False),
+    ("format:line_indent", {}, "a\n b\n  c", True), ("format:line_indent", {}, "a\n b\n c", False), ("format:sub-bullets", {}, "* a\n - b\n* c\n - d", True), ("format:sub-bullets", {}, "* a\n* c\n - d", False), ("combination:two_responses", {}, "a******b", True), ("combination:two_responses", {}, "a******a", False),
+    ("custom:sentence_alphabet", {}, " ".join(f"{c} x." for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), True), ("custom:sentence_alphabet", {}, "A x. B x.", False), ("count:words_japanese", {"N": "2"}, "a \u3042 b \u4e2d", True), ("count:words_japanese", {"N": "2"}, "a b", False),
+    ("count:keywords_multiple", {f"keyword{i}": f"k{i}" for i in range(1, 6)}, "k1 " + "k2 " * 2 + "k3 " * 3 + "k4 " * 5 + "k5 " * 7, True), ("count:keywords_multiple", {f"keyword{i}": f"k{i}" for i in range(1, 6)}, "k1 k2", False),
     ("words:repeats", {"small_n": "2"}, "a b A", True), ("words:repeats", {"small_n": "2"}, "a b A a", False), ("words:repeats", {}, "a b", True), ("words:repeats", {}, "a b a", False),
     ("ratio:overlap", {"reference_text": "abcde", "percentage": "50"}, "abcdxy", False), ("ratio:overlap", {"reference_text": "abcd", "percentage": "67"}, "abcde", True), ("ratio:overlap", {"reference_text": "abc", "percentage": "1"}, "ab", True),
     ("words:alphabet", {}, "yes zoo a big", True), ("words:alphabet", {}, "a big dog", False), ("words:no_consecutive", {}, "a big bad", False), ("words:no_consecutive", {}, "one", True), ("sentence:increment", {"small_n": "1"}, "a. b c. d e f.", True), ("sentence:increment", {"small_n": "1"}, "a. b c. d e.", False),
