@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import op13_conversations
 from .decontaminate import op8_decontamination
 from .jaccard import op4_jaccard_join
 from .langid import op10_language_id
@@ -13,5 +14,5 @@ from .quality import op2_quality
 from .secrets import op9_secrets
 from .warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lm_scores, op4_jaccard_join, op5_pii, op6_warc, op7_html, op8_decontamination, op9_secrets, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lm_scores, op4_jaccard_join, op5_pii, op6_warc, op7_html, op8_decontamination, op9_secrets, op10_language_id, op13_conversations)}
 ORACLES: dict[str, str] = {}
