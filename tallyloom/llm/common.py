@@ -50,6 +50,25 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """The rows with their places 1, 2, 3... in that order, and how many they are.
+
+    Rows are dealt by ranges of the order and stored in it, so no task sees more than its range and places are
+    the same however often they are read. Equal rows share a range, in some fixed order. The driver
+    sees one count a range.
+    """
+    place = F.monotonically_increasing_id()
+    held = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_numbered", place), "numbered")
+    counts = sorted((r.part, r.n) for r in held.groupBy(F.shiftright("_numbered", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in counts:
+        before.append((part, total))
+        total += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "_part long, _before long"))
+    joined = held.join(starts, F.shiftright("_numbered", 33) == F.col("_part"))
+    return joined.withColumn(name, F.col("_before") + F.col("_numbered").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_numbered", "_part", "_before"), total
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
