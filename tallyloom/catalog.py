@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import aggregation, algebra, checking, estimation, files, relations, rollups, scoring, streams, texts  # noqa: F401
+from tallyloom.plans import aggregation, algebra, checking, diversity, estimation, files, relations, rollups, scoring, streams, texts  # noqa: F401
 from tallyloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "a12_step_rollup"
