@@ -7,20 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .answers import last, normalize
+from .answers import INVALID, dapo_normalize, last, normalize, scored, undecorated  # noqa: F401
 from .texts import let, pieces
 
 
-def undecorated(x: Column) -> Column:
-    """Without sizing commands, text boxes and thin spaces; fractions and products under one name each."""
-    for pattern, by in ((r"\\left", ""), (r"\\right", ""), (r"\\text\{([^{}]*)\}", "$1"), (r"\\mbox\{([^{}]*)\}", "$1")):
-        x = F.regexp_replace(x, pattern, by)
-    # LaTeX and what it becomes.
-    for a, b in ((r"\%", "%"), (r"\!", ""), (r"\;", ""), (r"\,", ""), (r"\$", "$"), (r"\dfrac", r"\frac"), (r"\tfrac", r"\frac"), (r"\cdot", "*"), (r"\times", "*")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
-
-
 def last_boxed(x: Column, tail: int | None = None, command: str = "\\boxed") -> Column:
     """What the last \\boxed{...} holds, braces balanced to any depth; null if there is none or it doesn't close."""
     t = F.right(x, F.lit(tail)) if tail else x
@@ -39,6 +29,11 @@ def last_boxed(x: Column, tail: int | None = None, command: str = "\\boxed") ->
     return F.when(t.contains(command + "{"), let(inside, scan))
 
 
+def boxed_score(x: Column, gold: Column) -> Column:
+    """Struct of score (1 or -1), acc and pred as the competition scorer has them, from the last box of the final 300 characters."""
+    return scored(dapo_normalize(F.coalesce(last_boxed(x, 300), F.lit(INVALID))), dapo_normalize(gold))
+
+
 def strict_box_score(x: Column, gold: Column) -> Column:
     """Struct of score (1 or -1) and pred, from the box in the last 100 characters."""
     pred = last_boxed(x, 100)
@@ -78,11 +73,6 @@ def geometry_score(x: Column, gold: Column, share: float = 0.1) -> Column:
     return (1 - share) * right.cast("double") + share * form.cast("double")
 
 
-def integer_within(x: Column, low: int = 0, high: int = 999) -> Column:
-    n = F.regexp_replace(F.trim(x), ",", "").try_cast("double")
-    return F.when((n == F.floor(n)) & n.between(low, high), n.cast("long"))
-
-
 def bypasses(x: Column, least_words: int = 30) -> Column:
     """A think tag with hardly anything in it: few words, or none of the words that reasoning has."""
     thought = F.regexp_extract(x, "(?s)<think>(.*?)(?:</think>|$)", 1)

@@ -21,7 +21,7 @@ def f02(spark, d):
 @query("f04_numbers", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS x, CASE WHEN p_partkey % 1500 <= 999 THEN p_partkey % 1500 END AS answer FROM part")
 def f03_f04_f05(spark, d):
     t = F.concat(F.lit("$"), F.col("p_size").cast("string"), F.lit(" dollars."))
-    return V.table(spark, d, "part").select("p_partkey", N.normalize_number(t).alias("x"), S.integer_within(F.format_string(" %,d ", F.col("p_partkey") % 1500)).alias("answer"))
+    return V.table(spark, d, "part").select("p_partkey", N.normalize_number(t).alias("x"), N.as_int(F.format_string(" %d ", F.col("p_partkey") % 1500)).alias("answer"))
 
 
 @query("f10_strict_box", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 AND CAST(doc_id % 5 AS VARCHAR) = gold THEN 1.0::DOUBLE ELSE -1 END AS score, CASE WHEN doc_id % 6 = 0 THEN CAST(doc_id % 5 AS VARCHAR) END AS pred FROM v_responses")

@@ -12,33 +12,6 @@ from tallyloom.sources import views as V
 from .registry import query
 
 
-#: What extract() finds in v_responses, form by form; without a form the last number of the final 400 characters counts.
-_VALUE = r"""CASE WHEN doc_id % 6 = 0 THEN regexp_extract(response, '(?s).*\\boxed\{([^{}]*)\}', 1) WHEN doc_id % 6 = 2 THEN regexp_extract(response, '(?s).*\nAnswer: (.+)$', 1) WHEN doc_id % 6 = 1 THEN regexp_extract(response, '^The answer is ([^.\n]+)', 1)
-    ELSE replace(regexp_extract_all(right(response, 400), '-?\d[\d,]*(?:\.\d+)?')[-1], ',', '') END"""
-
-
-@query("f01_extract_answer", f"SELECT doc_id, {_VALUE} AS value FROM v_responses")
-def f01(spark, d):
-    return V.responses(spark, d).select("doc_id", N.extract(F.col("response"))["value"].alias("value"))
-
-
-@query("f01_methods", r"""SELECT method, count(*) AS n FROM (SELECT CASE WHEN doc_id % 6 = 0 THEN 'boxed' WHEN doc_id % 6 = 2 THEN 'answer_line' WHEN doc_id % 6 = 1 THEN 'phrase' WHEN regexp_matches(right(response, 400), '\d') THEN 'last_number' ELSE 'none' END AS method FROM v_responses) GROUP BY method""")
-def f01m(spark, d):
-    return V.responses(spark, d).select(N.extract(F.col("response"))["method"].alias("method")).groupBy("method").agg(F.count("*").alias("n"))
-
-
-@query("f06_equivalent", f"SELECT doc_id, coalesce(abs(try_cast({_VALUE} AS DOUBLE) - CAST(gold AS DOUBLE)) < 1e-6, false) AS correct FROM v_responses")
-def f03_f04_f05_f06_f08(spark, d):
-    r = V.responses(spark, d)
-    return r.select("doc_id", N.equivalent(N.extract(F.col("response"))["value"], F.col("gold")).alias("correct"))
-
-
-@query("f09_dapo_score", r"""SELECT doc_id, CASE WHEN doc_id % 6 = 2 AND CAST(doc_id % 5 AS VARCHAR) = gold THEN 1.0 ELSE -1.0 END AS score, CASE WHEN doc_id % 6 = 2 THEN CAST(doc_id % 5 AS VARCHAR) ELSE '[INVALID]' END AS pred FROM v_responses""")
-def f09_f19_x13(spark, d):
-    s = N.dapo_score(F.col("response"), F.col("gold"))
-    return V.responses(spark, d).select("doc_id", s["score"].alias("score"), s["pred"].alias("pred"))
-
-
 @query("f12_gsm8k_score", r"""SELECT doc_id, CASE WHEN doc_id % 6 = 4 AND CAST(doc_id % 5 AS VARCHAR) = gold THEN 1.0::DOUBLE ELSE 0 END AS score FROM v_responses""")
 def f12(spark, d):
     return V.responses(spark, d).select("doc_id", N.gsm8k_score(F.col("response"), F.col("gold")).alias("score"))

@@ -76,6 +76,23 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Ends of responses with answers in many forms, what is right, and the kind of answer.
+CLAIMS = (
+    (r" so \boxed{42}.", "42", ""), (r" so \boxed {42}", "42.0", "numeric"), (r" thus \boxed{\frac{3}{7}}", r"\dfrac{3}{7}", ""), (r" \boxed{\$70,000}", "70000", "numeric"), (r" \boxed{1,234,567} or so", "1234567", "numeric"),
+    (r" \boxed{18 dollars}", "18", "numeric"), (r" \boxed{25\%}", "25", "numeric"), ("\nANSWER: 7.", "7", "integer_0_999"), ("\n Answer :  x = 5 km  \nand more", "5", ""), ("\nAnswer: 007", "7", "integer_0_999"),
+    (". So the answer is 3.5 metres", "3.5 metres", ""), (". The answer is obviously unknown", "unknown", ""), (". The final answer: -12.", "-12", "integer_0_999"), (". Final answer {1,2}", "1,2", ""), (" we get 1/2", "0.5", ""),
+    (" it costs 1,234", "234", "numeric"), (r" so $\frac{1}{2}$", r"\frac{1}{2}", ""), (r" so \sqrt{2} it is", r"\sqrt{2}", ""), ("\nAnswer: 12,000", "12000", ""), (r"\nAnswer: \frac12", r"\frac{1}{2}", ""),
+    ("\nAnswer: 0.5000001", "0.5", "numeric"), ("\nAnswer: 541", "540", "integer_0_999"), (r" \boxed{\text{ YES } }", "yes", ""), (r" \boxed{}", "", ""), ("\nAnswer: $1_000$", "1000", "numeric"), (" nothing", "4", ""),
+)
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document whose text ends with one of CLAIMS: response, gold and kind."""
+    k = F.col("doc_id") % len(CLAIMS) + 1
+    pick = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in CLAIMS]), k.cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", pick(0)).alias("response"), pick(1).alias("gold"), pick(2).alias("kind"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a conversation: messages, an array of (role, content) in turn order."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
@@ -97,7 +114,12 @@ def top_k(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 
 _ORDER = ", ".join(LINE_ORDER)
+def _listed(i: int) -> str:
+    return "[" + ", ".join("'" + c[i].replace("'", "''") + "'" for c in CLAIMS) + f"][doc_id % {len(CLAIMS)} + 1]"
+
+
 SQL_VIEWS = {
+    "v_claims": f"SELECT doc_id, text || {_listed(0)} AS response, {_listed(1)} AS gold, {_listed(2)} AS kind FROM documents",
     "v_rollouts": f"""SELECT o_orderstatus AS run_name, CAST(year(o_orderdate) AS BIGINT) AS checkpoint_step, l_orderkey AS prompt_id,
         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) - 1 AS BIGINT) AS sample_id, l_discount >= 0.08 AS acc, l_tax * 12.5 AS score,
         CASE WHEN l_suppkey % 5 <> 0 THEN 'a' || CAST(l_suppkey % 3 AS VARCHAR) END AS pred, 'a' || CAST(l_orderkey % 3 AS VARCHAR) AS gold,
