@@ -126,15 +126,6 @@ def inverse(permutation: DataFrame) -> DataFrame:
     return permutation.select(F.col("source").alias("place"), F.col("place").alias("source"))
 
 
-def epochs(df: DataFrame, ordinal: str, total: int, mini: int, times: int, seed: int) -> DataFrame:
-    """Mini-batches of several epochs, each in an order of its own by a hash; the row count must be a multiple of the batch size."""
-    if total % mini:
-        raise ValueError(f"{total} rows are no multiple of {mini}")
-    out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(F.xxhash64(F.col(ordinal), F.col("epoch"), F.lit(seed)), ordinal)) - 1
-    return out.withColumn("batch", F.floor(place / mini).cast("long"))
-
-
 def least_loaded(lengths: list[int], k: int, *, equal_size: bool = False) -> list[list[int]]:
     """Longest first to the part with the least sum; with equal_size no part takes more than its share of items."""
     if equal_size and len(lengths) % k:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import losses as L
 from tallyloom.functions import texts as X
 from tallyloom.operators import batches as B
+from tallyloom.operators import permute as E
 from tallyloom.sources import views as V
 from tallyloom.streaming import queues as Q
 
@@ -32,10 +33,37 @@ def m11_m23(spark, d):
     return B.reorder(rows, "i", B.inverse(B.inverse(turned)))
 
 
-@query("m07_epochs", "SELECT epoch, batch, 10 AS n FROM range(2) e(epoch), range((SELECT count(*) // 10 FROM part)) b(batch)")
-def m07_o10(spark, d):
+def _turned(x: str, r: int, key: str) -> str:
+    first = f"(({x} * 1597334677 + {key} + {r * 374761393}) % 2147483647)"
+    return f"((xor({first}, {first} >> 13) * 48271 + {r}) % 2147483647)"
+
+
+#: One pass of four rounds over the digits l (of a) and r (of b), for rows with columns n, a, b and key.
+def _pass(source: str, x: str) -> str:
+    out = f"SELECT *, {x} // b AS l, {x} % b AS r FROM {source}"
+    for k in range(4):
+        out = f"SELECT * REPLACE ((l + {_turned('r', 1, f'(key + {2 * k})')}) % a AS l) FROM ({out})"
+        out = f"SELECT * REPLACE ((r + {_turned('l', 2, f'(key + {2 * k + 1})')}) % b AS r) FROM ({out})"
+    return f"SELECT * EXCLUDE (l, r) REPLACE (l * b + r AS x) FROM ({out})"
+
+
+_PLACES = f"""WITH RECURSIVE s AS (SELECT i, i AS x, epoch, n, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b, epoch * 7919 + 7 AS key
+    FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part), range(3) e(epoch)),
+    w AS (({_pass('s', 'x')}) UNION ALL ({_pass('(SELECT * FROM w WHERE x >= n)', 'x')}))"""
+
+
+@query("m07_epochs", f"{_PLACES} SELECT epoch, x // 10 AS batch, count(*) AS n, min(i) AS first, max(i) AS last, sum(i * (x + 1))::BIGINT AS signature FROM w WHERE x < n GROUP BY ALL")
+def m07(spark, d):
+    rows = _batch(spark, d)
+    placed = E.epochs(rows, "i", rows.count(), 10, 3, 7)
+    return placed.groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"), F.sum(F.col("i") * (F.col("place") + 1)).alias("signature"))
+
+
+@query("o10_samplers", f"{_PLACES} SELECT i, max(x) FILTER (epoch = 0) AS random, i AS sequential FROM w WHERE x < n GROUP BY i")
+def o10(spark, d):
     rows = _batch(spark, d)
-    return B.epochs(rows, "i", rows.count(), 10, 2, 7).groupBy("epoch", "batch").agg(F.count("*").alias("n"))
+    n = rows.count()
+    return rows.select("i", E.place(F.col("i"), n, F.lit(7)).alias("random"), F.col("i").alias("sequential"))
 
 
 @query("m15_fold", "SELECT p_partkey // (SELECT count(*) // 4 FROM part) AS \"group\", list(p_size ORDER BY p_partkey)[1] AS first, list(p_size ORDER BY p_partkey)[-1] AS last, count(*) AS n FROM part GROUP BY 1")
