@@ -3,7 +3,7 @@
 Counts of each text are native expressions. Each (language, source) gets KLL
 quantile sketches of a few ratios; sketches merge, so those of a language and of
 all rows come from the same ones. Fences around the quantiles are joined to the
-rows by language and source and decide.
+rows by language and source and decide: no ratio has a threshold of its own.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SPACE = "[\\x20\\x09-\\x0D]"
-#: Ratios, and the least distance from the median at which a fence stands.
-RATIOS = {"symbol_ratio": 0.2, "sign_ratio": 0.1, "capital_ratio": 0.15, "repeat_ratio": 0.25, "dup_line_ratio": 0.5, "word_length": 2.5}
-QUANTILES = (0.25, 0.5, 0.75)
+#: Ratios as count and what it is a count of.
+RATIOS = {
+    "symbol_ratio": ("n_symbols", "n_words"), "sign_ratio": ("n_signs", "word_chars"), "capital_ratio": ("n_capitals", "word_chars"), "repeat_ratio": ("n_repeat_words", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words"),
+}
+QUANTILES = (0.15, 0.5, 0.85)
 POSITION_BITS = 20
 
 
@@ -65,7 +68,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_signs", "n_capitals")
-    kept = [c for c in docs.columns if c != text and c not in names]
+    kept = [c for c in docs.columns if c != text and c.lower() not in names]
     split = docs.select(
         *kept,
         F.array_remove(F.split(t, f"{SPACE}+"), "").alias("_words"),
@@ -91,24 +94,21 @@ def base_failed(least_words: int = 50, most_repeat_percent: int = 50) -> Column:
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:
-    per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    return counts.withColumns({
-        "symbol_ratio": per("n_symbols", "n_words"),
-        "sign_ratio": per("n_signs", "word_chars"),
-        "capital_ratio": per("n_capitals", "word_chars"),
-        "repeat_ratio": per("n_repeat_words", "n_words"),
-        "dup_line_ratio": per("n_dup_lines", "n_lines"),
-        "word_length": per("word_chars", "n_words"),
-    })
-
-
-def fences(rows: DataFrame, keys: list[str], *, width: float = 4.0, least_rows: int = 200, k: int = 400) -> DataFrame:
+    return counts.withColumns({r: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)) for r, (a, b) in RATIOS.items()})
+
+
+def sampling_error(ratio: str, times: float = 4.0) -> Column:
+    """How far a text's ratio may be off because it is short: that many standard errors of a count, one more having been seen."""
+    m = F.greatest(F.col(RATIOS[ratio][1]), F.lit(1)).cast("double")
+    return times * F.sqrt((F.col(ratio) + 1 / m) / m)
+
+
+def fences(rows: DataFrame, keys: list[str], *, width: float = 4.0, prior_rows: float = 150, k: int = 400) -> DataFrame:
     """One row a group of keys: the least and largest value allowed of each ratio.
 
-    A fence stands `width` times the quartile distance (or the ratio's own least
-    distance) away from the median. Groups of fewer than `least_rows` rows take the
-    sketches merged over the first key, and where these are too small those of all
-    rows. Null keys form groups of their own.
+    A fence stands `width` times as far from the median as the outer quantile on its side. That of a group
+    of n rows is drawn towards the fence of the first key's sketches, merged, and this one towards that of all rows, in the
+    proportion of n to prior_rows. Null keys form groups of their own.
     """
     sketches = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in RATIOS])
     merged = lambda over: over.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(k)).alias(r) for r in RATIOS])
@@ -116,21 +116,27 @@ def fences(rows: DataFrame, keys: list[str], *, width: float = 4.0, least_rows:
 
     def lines(s: DataFrame, tag: str, by: list[str]) -> DataFrame:
         out = []
-        for r, least in RATIOS.items():
+        for r in RATIOS:
             low, mid, high = (q(r, p) for p in QUANTILES)
-            out.append(F.struct((mid - F.greatest(width * (mid - low), F.lit(least))).alias("low"), (mid + F.greatest(width * (high - mid), F.lit(least))).alias("high")).alias(r))
-        return s.select(*by, F.col("n").alias(f"_n{tag}"), F.struct(*out).alias(f"_f{tag}"))
+            out += [(mid - width * (mid - low)).alias(f"_low{tag}_{r}"), (mid + width * (high - mid)).alias(f"_high{tag}_{r}")]
+        return s.select(*by, (F.col("n") / (F.col("n") + prior_rows)).alias(f"_share{tag}"), *out)
 
     own, first, all_ = (lines(sketches, "0", keys), lines(merged(sketches.groupBy(keys[0])), "1", keys[:1]), lines(merged(sketches), "2", []))
     first = first.withColumnRenamed(keys[0], "_first")
     joined = own.join(first, own[keys[0]].eqNullSafe(first["_first"]), "left").join(all_, how="left")
-    chosen = F.when(F.col("_n0") >= least_rows, F.col("_f0")).when(F.col("_n1") >= least_rows, F.col("_f1")).otherwise(F.col("_f2"))
-    return joined.select(*keys, chosen.alias("_fence"))
+
+    def drawn(side: str, r: str) -> Column:
+        a, b, c = (F.col(f"_{side}{t}_{r}") for t in "012")
+        return F.col("_share0") * a + (1 - F.col("_share0")) * (F.col("_share1") * b + (1 - F.col("_share1")) * c)
+
+    return joined.select(*keys, F.struct(*[F.struct(*[drawn(side, r).alias(side) for side in ("low", "high")]).alias(r) for r in RATIOS]).alias("_fence"))
 
 
 def judge(counts: DataFrame, keys: list[str], **settings) -> DataFrame:
     """Add base_failed, kept and failed_ratios to rows of text_counts(), which are written to the shared folder once.
 
+    A ratio fails if it is outside its fence by more than the sampling error of the text's own length.
+
     Thresholds are learnt from rows that pass the base rules. A group without any
     such row has no fence, and all its rows have failed. An empty table gives an
     empty result. The join is on the keys, which the small side holds once; Spark
@@ -144,7 +150,9 @@ def judge(counts: DataFrame, keys: list[str], **settings) -> DataFrame:
         same = rows[c].eqNullSafe(renamed[f"_k{i}"])
         on = same if on is None else on & same
     out = rows.join(renamed, on, "left")
-    failed = F.array_compact(F.array(*[F.when((F.col(r) > F.col(f"_fence.{r}.high")) | (F.lit(r == "word_length") & (F.col(r) < F.col(f"_fence.{r}.low"))), F.lit(r)) for r in RATIOS]))
+    over = {r: F.col(r) - sampling_error(r) > F.col(f"_fence.{r}.high") for r in RATIOS}
+    over["word_length"] |= F.col("word_length") + sampling_error("word_length") < F.col("_fence.word_length.low")
+    failed = F.array_compact(F.array(*[F.when(over[r], F.lit(r)) for r in RATIOS]))
     out = out.withColumn("failed_ratios", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_ratios") == 0)).drop("_fence", *[f"_k{i}" for i in range(len(keys))])
 

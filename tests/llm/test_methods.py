@@ -118,6 +118,22 @@ def test_quality_follows_groups(spark):
     assert got.where("source = 's1' AND kept").count() == 300  # what is odd in one source is usual in another
 
 
+def test_spread_alone_changes_verdicts(spark):
+    """Two sources with the same median of symbols; only in the one whose texts vary is a text with many of them usual."""
+    rng = random.Random(8)
+
+    def text(share):
+        return " ".join("w" * rng.randint(3, 6) + ("#" if rng.random() < share else "") for _ in range(400))
+
+    rows = [(g * 1000 + i, text(0.2 + (0.15 * rng.uniform(-1, 1) if g else 0)), "x", f"s{g}") for g in range(2) for i in range(900)]
+    rows += [(5000 + g, text(0.62), "x", f"s{g}") for g in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counts = quality.text_counts(docs.withColumn("N_Words", F.lit("own"))).withColumn("n_repeat_words", F.lit(0))
+    got = {r.doc_id: r for r in quality.judge(counts, ["lang", "source"]).collect()}
+    assert len(got) == len(rows) and abs(got[5000].symbol_ratio - got[5001].symbol_ratio) < 0.1
+    assert not got[5000].kept and "symbol_ratio" in got[5000].failed_ratios and got[5001].kept
+
+
 def test_language_model_against_brute_force(spark, texts):
     got = {r.doc_id: r for r in registry.QUERIES["op3_lm_scores"](spark, SMALL).collect()}
     tokens = {d: [*lower(t).split(), None] for d, t in ((d, " ".join(words(t))) for d, t in texts.items())}
