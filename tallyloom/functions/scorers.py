@@ -73,13 +73,6 @@ def geometry_score(x: Column, gold: Column, share: float = 0.1) -> Column:
     return (1 - share) * right.cast("double") + share * form.cast("double")
 
 
-def bypasses(x: Column, least_words: int = 30) -> Column:
-    """A think tag with hardly anything in it: few words, or none of the words that reasoning has."""
-    thought = F.regexp_extract(x, "(?s)<think>(.*?)(?:</think>|$)", 1)
-    reasons = thought.rlike(r"(?i)\b(because|therefore|since|thus|so|hence|first|then|let)\b")
-    return x.contains("<think>") & ((F.size(pieces(thought)) < least_words) | ~reasons)
-
-
 def placed_at_end(reward: Column, length: Column, mask: Column) -> Column:
     """A vector as long as the mask with the reward at the last valid token, or at none."""
     at = F.coalesce(F.array_max(F.filter(F.transform(mask, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())), F.lit(-1))

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The families of markers that responses are searched for (a family counts all of its patterns), and the openings that tell modes apart.
+# The families of markers that responses are searched for (a family counts all of its patterns).
 MARKERS = {
     "step": (
         r"(?i)\bstep\s*\d+\b", r"(?i)\b(first(?:ly)?|second(?:ly)?|third(?:ly)?|fourth(?:ly)?|finally)\b", r"(?i)\b(therefore|thus|hence|so that|so,)\b",
@@ -25,8 +25,6 @@ MARKERS = {
         r"(?i)\blet's think\b", r"(?i)\bstep by step\b", r"(?i)\bwe need to\b", r"(?i)\b(reasoning|analysis|deliberately)\b", r"(?i)\b(therefore|hence|thus)\b", r"(首先|然后|因此|所以|推理|思考)",
     ),
 }
-DRI = ("Step 1", "First", "Let", "To solve", "We ")
-DAI = ("The answer", "Answer", "Final answer")
 
 SENTENCE = r"(?<=[.!?])\s+|\n+"
 
@@ -76,17 +74,6 @@ def answer_position(x: Column) -> Column:
     return F.when((n > 0) & at.isNotNull(), F.least(at / n, F.lit(1.0)))
 
 
-def opening_mode(x: Column) -> Column:
-    """CSI for a placeholder at the start, DAI for an answer at once, DRI for steps at once, else Other."""
-    t = F.ltrim(x)
-    starts = lambda s, values: F.coalesce(*[F.when(s.startswith(v), True) for v in values], F.lit(False))
-    low = F.lower(t)
-    return (
-        F.when(F.left(t, F.lit(80)).rlike(r"\[\w+\]"), "CSI").when(starts(t, DAI), "DAI").when(t.rlike(r"^(\\boxed|-?\d+(\.\d+)?\s*$)"), "DAI").when(starts(t, DRI), "DRI")
-        .when(starts(low, [v.lower() for v in DAI]), "DAI").when(starts(low, [v.lower() for v in DRI]), "DRI").otherwise("Other")
-    )
-
-
 def without_thinking(x: Column) -> Column:
     """What follows the last closing think tag, without answer tags."""
     return F.trim(F.regexp_replace(F.substring_index(F.replace(x, F.lit("<|assistant|>"), F.lit("")), "</think>", -1), "</?answer>", ""))
@@ -98,13 +85,6 @@ def split_answer(x: Column) -> tuple[Column, Column]:
     return F.when(tagged, F.substring_index(x, "<answer>", 1)).otherwise(x), F.when(tagged, F.regexp_extract(x, "(?s)<answer>(.*?)(?:</answer>|$)", 1)).otherwise("")
 
 
-def trajectory(x: Column) -> Column:
-    """Steps if there are two or more, else paragraphs, else sentences."""
-    clean = lambda a: F.filter(F.transform(a, lambda s: F.trim(s)), lambda s: s != "")
-    steps, paragraphs = clean(F.split(x, r"(?=\bStep \d+)|(?=\n\d+[.)])")), clean(F.split(x, r"\n\s*\n"))
-    return F.when(F.size(steps) >= 2, steps).when(F.size(paragraphs) >= 2, paragraphs).otherwise(sentences(x))
-
-
 def prompt_hash(x: Column) -> Column:
     return F.substring(F.md5(x), 1, 16)
 

@@ -80,12 +80,6 @@ def f41(spark, d):
     return V.table(spark, d, "documents").select("doc_id", a.alias("reasoning"), b.alias("answer"))
 
 
-@query("f42_bypass", r"SELECT doc_id, doc_id % 2 = 0 AND (len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) < 30 OR NOT regexp_matches(text, '(?i)\b(because|therefore|since|thus|so|hence|first|then|let)\b')) AS bypass FROM documents")
-def f42(spark, d):
-    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think> done"))).otherwise(F.col("text"))
-    return V.table(spark, d, "documents").select("doc_id", S.bypasses(said).alias("bypass"))
-
-
 @query("f46_coerced", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_name END AS first, CASE WHEN p_partkey % 3 = 2 THEN CAST(p_size AS VARCHAR) END AS size FROM part")
 def f46_f50(spark, d):
     k = F.col("p_partkey") % 3

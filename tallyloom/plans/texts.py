@@ -52,16 +52,6 @@ def f25(spark, d):
     return V.responses(spark, d).select("doc_id", X.answer_position(F.col("response")).alias("position"))
 
 
-_MODE = """CASE WHEN regexp_matches(left(ltrim(response), 80), '\\[\\w+\\]') THEN 'CSI' WHEN regexp_matches(ltrim(response), '^(?i)(the answer|answer|final answer)') THEN 'DAI' WHEN regexp_matches(ltrim(response), '^(\\\\boxed|-?\\d+(\\.\\d+)?\\s*$)') THEN 'DAI'
-    WHEN regexp_matches(ltrim(response), '^(?i)(step 1|first|let|to solve|we )') THEN 'DRI' ELSE 'Other' END"""
-
-
-@query("f31_opening_modes", f"""SELECT prompt_id, round(avg((m = 'DRI')::INT), 6) AS dri, round(avg((m = 'DAI')::INT), 6) AS dai, round(avg((m = 'CSI')::INT), 6) AS csi FROM (SELECT prompt_id, {_MODE} AS m FROM v_responses) GROUP BY prompt_id""")
-def f31_f32_p16(spark, d):
-    m = V.responses(spark, d).withColumn("m", X.opening_mode(F.col("response")))
-    return m.groupBy("prompt_id").agg(*[F.avg((F.col("m") == k).cast("double")).alias(k.lower()) for k in ("DRI", "DAI", "CSI")])
-
-
 @query("f33_prompt_hash", "SELECT doc_id, substr(md5(text), 1, 16) AS hash FROM documents")
 def f33(spark, d):
     return V.table(spark, d, "documents").select("doc_id", X.prompt_hash(F.col("text")).alias("hash"))
