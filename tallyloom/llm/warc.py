@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ HEADERS = {
     "page_id": "warc-page-id", "refers_to": "warc-refers-to-page-id",
 }
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload_bytes bigint, payload binary"
+MANIFEST = "_manifest"
 BROADCAST_ROWS = 200_000
 
 
@@ -81,7 +83,8 @@ def write_archives(
     response and the others revisit it; rows that have that same key are all
     responses. A null html is an empty payload; a null key or url leaves its header
     out, and a null key comes after all others. A task writes files under names of
-    its own and renames them, so one that is repeated leaves nothing twice.
+    its attempt. What was written stands in the table `_manifest` beside the files, which
+    readers go by: what a lost attempt left behind, however it cut its files, isn't read.
     """
     marked = mark_revisits(pages.select(key, url, html), key=key, html=html, least_bytes=least_bytes)
 
@@ -105,7 +108,7 @@ def write_archives(
             columns = [batch.column(batch.schema.get_field_index(c)) for c in (key, url, html, "_first")]
             for page, u, h, first in zip(*(c.to_pylist() for c in columns), strict=True):
                 if out is None:
-                    final = f"{top}/part-{task.partitionId():06d}-{number:04d}.warc" + ".gz" * compress
+                    final = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId():08d}-{number:04d}.warc" + ".gz" * compress
                     temporary = f"{top}/_{task.taskAttemptId()}-{number}.part"
                     out, number = store.open_output_stream(temporary, compression=None), number + 1
                 data = record(page, u, (h or "").encode(), first, first is not None and page != first, date)
@@ -117,7 +120,9 @@ def write_archives(
         close()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "records", "bytes"])
 
-    return stored(marked.mapInArrow(tidy(run), "file string, records bigint, bytes bigint"), "manifest")
+    manifest = f"{path.rstrip('/')}/{MANIFEST}"
+    marked.mapInArrow(tidy(run), "file string, records bigint, bytes bigint").write.mode("append").parquet(manifest)
+    return pages.sparkSession.read.schema("file string, records bigint, bytes bigint").parquet(manifest)
 
 
 class FilePart(InputPartition):
@@ -148,7 +153,9 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         store, top = fs.FileSystem.from_uri(self.uri)
         found = store.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True))
-        return [FilePart(i.path) for i in sorted(found, key=lambda i: i.path) if i.is_file and i.path.endswith((".warc", ".warc.gz"))] or [FilePart("")]
+        tables = [i.path for i in found if i.is_file and f"/{MANIFEST}/" in i.path and i.path.endswith(".parquet")]
+        named = {n for t in tables for n in pq.read_table(t, columns=["file"], filesystem=store).column("file").to_pylist()}
+        return [FilePart(i.path) for i in sorted(found, key=lambda i: i.path) if i.is_file and i.path.endswith((".warc", ".warc.gz")) and (not tables or i.path in named)] or [FilePart("")]
 
     def read(self, partition):
         if not partition.path:
@@ -247,7 +254,11 @@ class WarcSource(DataSource):
 
 
 def read_archives(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """The records under `path`; with `columns`, only these are parsed and needless payloads are not read."""
+    """The records under `path`; with `columns`, only these are parsed and needless payloads are not read.
+
+    Where there is a manifest, only files that it names; an absent or empty folder gives none. A header that a record
+    doesn't have is null.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     reader = spark.read.format("warc")

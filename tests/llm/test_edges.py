@@ -122,6 +122,18 @@ def test_warc(docs, spark, tmp_path):
                 assert warc.digest_of(r.payload) == r.payload_digest and len(r.payload) == r.payload_bytes
 
 
+def test_archives_of_lost_attempts_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(20)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/a"
+    manifest = warc.write_archives(pages, path, max_file_bytes=1000)
+    one = manifest.first().file
+    with open(one, "rb") as f, open(one.replace("part-", "part-9"), "wb") as other:
+        other.write(f.read())
+    got = warc.read_archives(spark, path).collect()
+    assert sorted(int(r.page_id) for r in got) == list(range(20))
+    assert warc.read_archives(spark, f"file://{tmp_path}/none").collect() == []
+
+
 def test_html(docs):
     pages = docs.selectExpr("doc_id AS page_id", "lang AS url", "text AS html", "score")
     got = mincut.extract(pages, mincut.fit(pages)).collect()
