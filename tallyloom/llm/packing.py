@@ -267,8 +267,8 @@ def pack(cut: DataFrame, *, length: str = "length", capacity: int = CAPACITY, sa
     from pyspark.sql import types as T
 
     schema = T.StructType([numbered.schema[c] for c in kept] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    # all rows of a length and bucket meet in one task; their order in it doesn't matter
-    return salted.repartition(tasks, length, "_salt").mapInArrow(tidy(run), schema)
+    # all rows of a length and salt meet in one task, and are ranked in an order of their own: a repeated task deals the same places
+    return salted.repartition(tasks, length, "_salt").sortWithinPartitions(length, "_salt", "_row").mapInArrow(tidy(run), schema)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
