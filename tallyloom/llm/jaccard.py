@@ -372,7 +372,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of all nodes with an edge: root is the smallest node reachable.
 
     Large-star and small-star steps, alternating until nothing changes; each round is a
-    table in the shared folder. Rounds grow with the logarithm of the longest path.
+    table in the shared folder. Rounds grow with the logarithm of the longest path; if so many
+    are not enough, that is an error and not a result.
     """
     both = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
@@ -390,6 +391,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return both.select(F.col("a").alias("node"), F.col("b").alias("root")).union(both.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 

@@ -118,6 +118,13 @@ def test_quality_follows_groups(spark):
     assert got.where("source = 's1' AND kept").count() == 300  # what is odd in one source is usual in another
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.root for r in jaccard.components(path).collect()} == {0}
+    with pytest.raises(RuntimeError, match="settle"):
+        jaccard.components(path, rounds=2)
+
+
 def test_spread_alone_changes_verdicts(spark):
     """Two sources with the same median of symbols; only in the one whose texts vary is a text with many of them usual."""
     rng = random.Random(8)
