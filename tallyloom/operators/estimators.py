@@ -176,3 +176,44 @@ def loss(df: DataFrame, value: str, mask: str, sequence: str, mode: str, *, norm
     if mode == "seq-mean-token-sum-norm":
         return own.agg((F.sum("s") / norm).alias("loss"))
     return own.agg(F.avg("s" if mode == "seq-mean-token-sum" else F.col("s") / F.col("n")).alias("loss"))
+
+
+def direct(reward: str, mask: str) -> Column:
+    """A token's reward where it counts, else 0; of several rewards a token each."""
+    return F.when(F.col(mask), F.col(reward)).otherwise(F.lit(0.0))
+
+
+def direct_plus_grpo(df: DataFrame, reward: str, true_reward: str, group: str, sequence: str, mask: str, *, weight: float = 1.0, eps: float = 1e-6) -> DataFrame:
+    """Add advantage: direct(), and the weighted group-relative advantage of the sequence's summed true rewards on tokens that count."""
+    sums = df.groupBy(group, sequence).agg(F.sum(true_reward).alias("_s"))
+    own = sums.select(F.col(group).alias("_g"), F.col(sequence).alias("_q"), grpo("_s", group, eps=eps).alias("_a"))
+    joined = df.join(own, df[group].eqNullSafe(own["_g"]) & df[sequence].eqNullSafe(own["_q"]))
+    return joined.withColumn("advantage", direct(reward, mask) + F.when(F.col(mask), weight * F.col("_a")).otherwise(0.0)).drop("_g", "_q", "_a")
+
+
+def masked_rloo(df: DataFrame, reward: str, mask: str, group: str, sequence: str, out: str) -> DataFrame:
+    """Add leave-one-out rewards of masked tokens: r * n / (n - 1) less the sum of the sequences' mean rewards over n - 1; others 0.
+
+    n is how many sequences the group has; a group of one has null, as there is nothing to leave out.
+    """
+    means = df.groupBy(group, sequence).agg(F.avg(F.when(F.col(mask), F.col(reward))).alias("_m"))
+    sums = means.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), F.sum("_m").alias("_s"))
+    joined = df.join(sums, df[group].eqNullSafe(sums["_g"]))
+    rest = F.when(F.col("_n") > 1, F.col("_n") - 1)
+    return joined.withColumn(out, F.when(F.col(mask), F.col(reward) * F.col("_n") / rest - F.col("_s") / rest).when(rest.isNotNull(), 0.0)).drop("_g", "_n", "_s")
+
+
+def rloo_of_sources(df: DataFrame, sources: dict[str, tuple[str, str, float]], group: str, sequence: str, t: str, mask: str) -> DataFrame:
+    """Add returns and advantage of several reward sources, each (reward, its mask, coefficient) by masked_rloo().
+
+    The weighted sum is summed to the end of the sequence over tokens that count, then whitened over them. A coefficient
+    of 0 leaves its source out.
+    """
+    total, own = F.lit(0.0), df
+    for name, (reward, own_mask, weight) in sources.items():
+        if weight:
+            own = masked_rloo(own, reward, own_mask, group, sequence, f"_{name}")
+            total = total + weight * F.col(f"_{name}")
+    own = own.withColumn("_r", F.when(F.col(mask), total).otherwise(0.0)).withColumn("returns", returns_to_go("_r", sequence, t))
+    kept = [c for c in own.columns if c != "_r" and c not in {f"_{n}" for n in sources}]
+    return whiten(own.select(*kept).withColumn("advantage", F.col("returns")), "advantage", mask)

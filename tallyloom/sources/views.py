@@ -76,6 +76,23 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FAMILIES = ("length_constraint_checkers", "keywords", "language", "punctuation", "change_case", "detectable_format", "combination", "startend", "odd_one")
+
+
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an evaluated response: model, source, dataset, mode, acc, follow, bypass, length, and constraints judged in reasoning and response."""
+    r = rollouts(spark, sf_dir)
+    of = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % len(xs) + 1).cast("int"))
+    told = lambda family, k, supported, passed: F.struct(family.alias("family"), F.concat(F.lit("i"), k.cast("string")).alias("name"), supported.alias("supported"), passed.alias("passed"))
+    p, s, n = F.col("prompt_id"), F.col("sample_id"), F.col("length")
+    reasoning = F.array(told(of(FAMILIES, p), p % 5, n % 7 != 0, F.col("score") >= 0.5), told(of(FAMILIES, p * 3 + s), p % 4, F.lit(True), F.when(n % 5 != 0, F.col("acc"))))
+    response = F.array(told(of(FAMILIES, p), p % 5, n % 7 != 0, n % 2 == 0))
+    return r.select(
+        F.col("run_name").alias("model"), F.col("family").alias("source"), F.when(F.col("checkpoint_step") % 2 == 0, "mathif").otherwise("reasonif").alias("dataset"), "prompt_id", "sample_id", "acc", "score", "length", "bypass", "pred", "gold",
+        of(("DRI", "DAI", "CSI", "Other"), n).alias("mode"), F.when(n % 3 != 0, F.col("score") >= 0.5).alias("follow"), F.when(n % 3 != 0, F.col("acc") & (F.col("score") >= 0.5)).alias("joint"), (n % 2 == 0).alias("response_follow"), reasoning.alias("reasoning"), response.alias("response"),
+    )
+
+
 #: Ends of responses with answers in many forms, what is right, and the kind of answer.
 CLAIMS = (
     (r" so \boxed{42}.", "42", ""), (r" so \boxed {42}", "42.0", "numeric"), (r" thus \boxed{\frac{3}{7}}", r"\dfrac{3}{7}", ""), (r" \boxed{\$70,000}", "70000", "numeric"), (r" \boxed{1,234,567} or so", "1234567", "numeric"),
@@ -133,4 +150,9 @@ SQL_VIEWS = {
         WHEN 1 THEN 'The answer is ' || CAST(d.doc_id % 5 AS VARCHAR) || '. ' || text WHEN 2 THEN text || chr(10) || 'Answer: ' || CAST(d.doc_id % 5 AS VARCHAR)
         WHEN 3 THEN '[placeholder] ' || text WHEN 4 THEN text || ' #### ' || CAST(d.doc_id % 5 AS VARCHAR) ELSE text END AS response
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "v_evaluations": f"""SELECT run_name AS model, family AS source, CASE WHEN checkpoint_step % 2 = 0 THEN 'mathif' ELSE 'reasonif' END AS dataset, prompt_id, sample_id, acc, score, length, bypass, pred, gold,
+        ['DRI', 'DAI', 'CSI', 'Other'][length % 4 + 1] AS mode, CASE WHEN length % 3 <> 0 THEN score >= 0.5 END AS follow, CASE WHEN length % 3 <> 0 THEN acc AND score >= 0.5 END AS joint, length % 2 = 0 AS response_follow,
+        [{{'family': {list(FAMILIES)}[prompt_id % 9 + 1], 'name': 'i' || prompt_id % 5, 'supported': length % 7 <> 0, 'passed': score >= 0.5}},
+         {{'family': {list(FAMILIES)}[(prompt_id * 3 + sample_id) % 9 + 1], 'name': 'i' || prompt_id % 4, 'supported': true, 'passed': CASE WHEN length % 5 <> 0 THEN acc END}}] AS reasoning,
+        [length % 2 = 0] AS response_passed FROM v_rollouts""",
 }
