@@ -70,31 +70,47 @@ def pad_vector(v: Column, size: int, fill, *, left: bool = False) -> Column:
     return F.concat(more, cut) if left else F.concat(cut, more)
 
 
-def largest_differencing(lengths: list[int], k: int) -> list[list[int]]:
-    """Indices in k parts of nearly equal sums: the two sets that differ most are merged again and again."""
-    if k <= 0:
-        raise ValueError("no parts")
-    heap = []
-    for i, n in sorted(enumerate(lengths), key=lambda x: (-x[1], x[0])):
-        heap.append((-n, i, [(0, [])] * (k - 1) + [(n, [i])]))
+def workload(length: int) -> int:
+    """What a sequence costs: in proportion to its length and to the square of it."""
+    return 24_576 * length + length * length
+
+
+def largest_differencing(lengths: list[int], k: int, *, equal_size: bool = False) -> list[list[int]]:
+    """Indices in k parts of nearly equal sums, the largest sum first: the two states that differ most are merged again and again.
+
+    A state is k sets in falling order of (sum, how many, their items); merging puts the largest set of the one to the
+    smallest of the other. Of states that differ alike the one with the larger first set goes first. With equal_size
+    states start as k neighbours in the order of lengths, so that all parts get as many items. Fewer items than parts,
+    or items that can't be dealt evenly, are an error.
+    """
+    if not 0 < k <= len(lengths):
+        raise ValueError(f"{len(lengths)} items for {k} parts")
+    if equal_size and len(lengths) % k:
+        raise ValueError("items can't be dealt evenly")
+
+    def state(sets: list[tuple]) -> tuple:
+        sets = sorted(sets, reverse=True)
+        total, count, items = sets[0]
+        return sets[-1][0] - total, -total, -count, [(-i, -n) for i, n in items], sets
+
+    order = sorted((n, i) for i, n in enumerate(lengths))
+    first = [order[j : j + k] for j in range(0, len(order), k)] if equal_size else [[x] for x in order]
+    heap = [state([(n, 1, ((i, n),)) for n, i in own] + [(0, 0, ())] * (k - len(own))) for own in first]
     heapq.heapify(heap)
-    tie = len(lengths)
     while len(heap) > 1:
-        (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda p: (p[0], p[1][:1]))
-        heapq.heappush(heap, (merged[0][0] - merged[-1][0], tie, merged))
-        tie += 1
-    return sorted((sorted(p) for _, p in heap[0][2]), key=lambda p: (not p, p[:1])) if heap else [[] for _ in range(k)]
+        a, b = heapq.heappop(heap)[-1], heapq.heappop(heap)[-1]
+        heapq.heappush(heap, state([(x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in zip(a, reversed(b), strict=True)]))
+    return [sorted(i for i, _ in items) for _, _, items in heap[0][-1]]
 
 
 def balance(df: DataFrame, group: str, length: str, key: str, k: int) -> DataFrame:
-    """Add `part`: within each group (a batch, which fits one task) rows in k parts of nearly equal length."""
+    """Add `part`: within each group (a batch, which fits one task) rows in k parts of nearly equal length, or as many as it has rows."""
     schema = T.StructType([*df.schema.fields, T.StructField("part", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
         rows = batches.sort_values(key, ignore_index=True)
         part = [0] * len(rows)
-        for p, own in enumerate(largest_differencing(rows[length].tolist(), k)):
+        for p, own in enumerate(largest_differencing(rows[length].tolist(), min(k, len(rows)))):
             for i in own:
                 part[i] = p
         return rows.assign(part=part)
@@ -127,29 +143,68 @@ def inverse(permutation: DataFrame) -> DataFrame:
 
 
 def least_loaded(lengths: list[int], k: int, *, equal_size: bool = False) -> list[list[int]]:
-    """Longest first to the part with the least sum; with equal_size no part takes more than its share of items."""
-    if equal_size and len(lengths) % k:
-        raise ValueError("items can't be dealt evenly")
-    most = len(lengths) // k if equal_size else len(lengths)
+    """Items as they come to the part with the least sum, the first of equals; with equal_size parts that hold fewer items go first."""
+    more = sum(lengths) + 1 if equal_size else 0
     parts, heap = [[] for _ in range(k)], [(0, p) for p in range(k)]
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        held, p = heapq.heappop(heap)
+    for i, n in enumerate(lengths):
+        held, p = heap[0]
         parts[p].append(i)
-        if len(parts[p]) < most:
-            heapq.heappush(heap, (held + lengths[i], p))
-    return [sorted(p) for p in parts]
+        heapq.heapreplace(heap, (held + n + more, p))
+    if equal_size and any(len(p) * k != len(lengths) for p in parts):
+        raise ValueError("items can't be dealt evenly")
+    return parts
+
 
+def budget_batches(lengths: list[int], budget: int, *, least: int = 1, multiple: int = 1) -> list[list[int]]:
+    """As many micro-batches as the tokens need at `budget` each, balanced by workload; the large ones stand in the middle.
 
-def budget_batches(lengths: list[int], budget: int) -> list[list[int]]:
-    """Micro-batches of at most `budget` tokens (or one longer item): as many as are needed, balanced by largest differencing."""
+    At least `least`, and a multiple of `multiple`, but never more than there are items, which is an error. A batch may
+    pass the budget a little: it is what their number comes from. A single item over the budget is an error.
+    """
     if not lengths:
         return []
-    k = min(len(lengths), -(-sum(lengths) // budget))
-    while True:
-        parts = largest_differencing(lengths, k)
-        if k == len(lengths) or all(sum(lengths[i] for i in p) <= budget for p in parts):
-            return [p for p in parts if p]
-        k += 1
+    if max(lengths) > budget:
+        raise ValueError(f"an item of {max(lengths)} is over the budget of {budget}")
+    k = max(least, min(len(lengths), -(-sum(lengths) // budget)))
+    k = -(-k // multiple) * multiple
+    cost = [workload(n) for n in lengths]
+    parts = sorted(largest_differencing(cost, k), key=lambda p: (sum(cost[i] for i in p), p[0]), reverse=True)
+    return parts[::2][::-1] + parts[1::2]
+
+
+def rank_order(lengths: list[int], ranks: int, *, mini: int | None = None) -> list[int]:
+    """The order of a batch's rows by which an even deal gives each rank about the same workload.
+
+    With `mini` each mini-batch of that size is balanced by itself; rows past the last whole one are left out. Within a
+    rank small items stand at both ends.
+    """
+    cost = [workload(n) for n in lengths]
+    if mini is None:
+        parts = largest_differencing(cost, ranks, equal_size=True)
+    else:
+        parts = [[] for _ in range(ranks)]
+        for start in range(0, len(cost) // mini * mini, mini):
+            for own, p in zip(parts, largest_differencing(cost[start : start + mini], ranks, equal_size=True), strict=True):
+                own += [start + i for i in p]
+    out = []
+    for p in parts:
+        p = sorted(p, key=lambda i: (cost[i], i))
+        out += p[::2] + p[1::2][::-1]
+    return out
+
+
+def placed(df: DataFrame, group: str, length: str, key: str, order, name: str = "place") -> DataFrame:
+    """Add the place of each row in order(lengths) within each group (a batch, which fits one task); rows that it leaves out have null."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key, ignore_index=True)
+        place: list = [None] * len(rows)
+        for k, i in enumerate(order(rows[length].tolist())):
+            place[i] = k
+        return rows.assign(**{name: pd.array(place, dtype="Int64")})
+
+    return df.groupBy(group).applyInPandas(run, schema)
 
 
 def partitioned(df: DataFrame, group: str, length: str, key: str, cut, name: str = "part") -> DataFrame:

@@ -208,15 +208,6 @@ def m19_a65(spark, d):
     return B.token_budget_parts(V.table(spark, d, "documents"), "source", "n_chars", 20000)
 
 
-@query("m20_balanced_parts", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS tokens, max(n_chars)::BIGINT AS longest, true AS balanced FROM documents GROUP BY source")
-def m20(spark, d):
-    """Largest differencing's promise: the parts' sums are no farther apart than the longest item."""
-    rows = V.table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    own = B.balance(rows, "source", "n_chars", "doc_id", 4).groupBy("source", "part").agg(F.count("*").alias("c"), F.sum("n_chars").alias("s"), F.max("n_chars").alias("m"))
-    out = own.groupBy("source").agg(F.sum("c").alias("n"), F.sum("s").alias("tokens"), F.max("m").alias("longest"), (F.max("s") - F.when(F.count("*") == 4, F.min("s")).otherwise(0)).alias("spread"))
-    return out.select("source", "n", "tokens", "longest", (F.col("spread") <= F.col("longest")).alias("balanced"))
-
-
 @query("m24_pad_vectors", "SELECT vec_id, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
 def m24_m25_m26(spark, d):
     e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))

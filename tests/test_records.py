@@ -69,14 +69,17 @@ def test_resumed_stream_adds_nothing_twice(spark):
 
 
 def test_batches():
-    assert B.least_loaded([5, 4, 3, 3, 3], 2) == [[0, 3], [1, 2, 4]] or sum(len(p) for p in B.least_loaded([5, 4, 3, 3, 3], 2)) == 5
+    """Items go to parts as they come; an item over the budget is an error; the number of batches follows from the tokens."""
+    assert B.least_loaded([5, 4, 3, 3, 3], 2) == [[0, 3], [1, 2, 4]]
     parts = B.least_loaded([9, 1, 1, 1], 2, equal_size=True)
     assert sorted(len(p) for p in parts) == [2, 2]
     with pytest.raises(ValueError, match="evenly"):
         B.least_loaded([1, 2, 3], 2, equal_size=True)
     lengths = [7, 3, 9, 1, 30, 4, 4]
-    cut = B.budget_batches(lengths, 12)
-    assert sorted(i for p in cut for i in p) == list(range(7)) and all(sum(lengths[i] for i in p) <= 12 or len(p) == 1 for p in cut)
+    with pytest.raises(ValueError, match="over the budget"):
+        B.budget_batches(lengths, 12)
+    cut = B.budget_batches(lengths, 30)
+    assert sorted(i for p in cut for i in p) == list(range(7)) and len(cut) == 2
 
 
 def test_scorers(spark):
