@@ -134,7 +134,7 @@ checker("detectable_format:title")(lambda x, a: x.rlike("(?s)<<.+?>>"))
 checker("combination:two_responses")(lambda x, a: (F.size(F.split(x, r"\*{6}")) == 2) & (F.trim(F.split(x, r"\*{6}")[0]) != "") & F.coalesce(F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))) != "", F.lit(False)) & F.coalesce(F.trim(F.split(x, r"\*{6}")[0]) != F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))), F.lit(False)))
 checker("combination:repeat_prompt")(lambda x, a: F.coalesce(x.startswith(filled(a, "prompt_to_repeat")), F.lit(False)))
 checker("startend:end_checker")(lambda x, a: F.coalesce(x.endswith(filled(a, "end_phrase")), F.lit(False)))
-checker("change_case:capital_word_frequency")(lambda x, a: related(F.regexp_count(x, F.lit(r"\b[A-Z]+\b")), number(a, "capital_frequency"), F.coalesce(a("capital_relation"), F.lit("at least"))))
+checker("change_case:capital_word_frequency")(lambda x, a: related(F.size(F.filter(words(x), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), number(a, "capital_frequency"), F.coalesce(a("capital_relation"), F.lit("at least"))))
 checker("change_case:english_capital")(lambda x, a: x.rlike(r"\p{L}") & ~x.rlike(r"[\p{L}&&[^\p{Lu}]]"))
 checker("change_case:english_lowercase")(lambda x, a: x.rlike(r"\p{L}") & ~x.rlike(r"[\p{L}&&[^\p{Ll}]]"))
 checker("punctuation:no_comma")(lambda x, a: ~x.contains(","))
@@ -377,6 +377,31 @@ def check(text: Column, instruction: Column, arguments: Column, ids: list[str] |
     return out
 
 
+def fixed(arguments: dict[str, str]):
+    """Arguments that are the same for all rows, as checkers ask for them."""
+    return lambda name: F.lit(arguments.get(name)).cast("string")
+
+
+def check_each(df: DataFrame, text: str, cases: list[tuple[str, dict[str, str]]], verdict: Callable | None = None) -> DataFrame:
+    """One row a row and case, with id and passed: every text against a fixed list of (id, arguments).
+
+    A text is read once and judged for all cases before they become rows, so no copy of it is made for a case.
+    verdict(text, id, arguments) gives the column of a case; by default that of check(). Each case is a function of
+    the text that isn't compiled with the others: what they cost is the patterns, and all together are too large a method.
+    """
+
+    def own(t: Column, instruction: str, arguments) -> Column:
+        if instruction not in CHECKERS:
+            return F.lit(None).cast("boolean")
+        return (F.coalesce(F.trim(t), F.lit("")) != "") & F.coalesce(CHECKERS[instruction](t, arguments), F.lit(False))
+
+    def case(i: str, args: dict[str, str]) -> Column:
+        return let(F.col(text), lambda t: (verdict or own)(t, i, fixed(args)))
+
+    judged = df.select(*df.columns, F.array(*[F.struct(F.lit(i).alias("id"), case(i, args).alias("passed")) for i, args in cases]).alias("_cases"))
+    return judged.select(*df.columns, F.explode("_cases").alias("_case")).select(*df.columns, "_case.id", "_case.passed")
+
+
 def supported_only(ids: Column) -> Column:
     """Whether there are ids and all are known."""
     return (F.size(ids) > 0) & F.forall(ids, lambda i: i.isin(*sorted(IDS)))

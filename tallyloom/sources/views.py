@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in as many parts as there are cores, where a table comes in fewer: for expressions that cost more than a shuffle of a small table."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a sampled response: run, step, prompt, sample, acc, score, pred, gold, length, family, bypass."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
