@@ -134,7 +134,7 @@ checker("detectable_format:title")(lambda x, a: x.rlike("(?s)<<.+?>>"))
 checker("combination:two_responses")(lambda x, a: (F.size(F.split(x, r"\*{6}")) == 2) & (F.trim(F.split(x, r"\*{6}")[0]) != "") & F.coalesce(F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))) != "", F.lit(False)) & F.coalesce(F.trim(F.split(x, r"\*{6}")[0]) != F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))), F.lit(False)))
 checker("combination:repeat_prompt")(lambda x, a: F.coalesce(x.startswith(filled(a, "prompt_to_repeat")), F.lit(False)))
 checker("startend:end_checker")(lambda x, a: F.coalesce(x.endswith(filled(a, "end_phrase")), F.lit(False)))
-checker("change_case:capital_word_frequency")(lambda x, a: related(F.size(F.filter(words(x), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), number(a, "capital_frequency"), F.coalesce(a("capital_relation"), F.lit("at least"))))
+checker("change_case:capital_word_frequency")(lambda x, a: related(F.regexp_count(x, F.lit(r"(?U)\b[A-Z]+\b")), number(a, "capital_frequency"), F.coalesce(a("capital_relation"), F.lit("at least"))))
 checker("change_case:english_capital")(lambda x, a: x.rlike(r"\p{L}") & ~x.rlike(r"[\p{L}&&[^\p{Lu}]]"))
 checker("change_case:english_lowercase")(lambda x, a: x.rlike(r"\p{L}") & ~x.rlike(r"[\p{L}&&[^\p{Ll}]]"))
 checker("punctuation:no_comma")(lambda x, a: ~x.contains(","))

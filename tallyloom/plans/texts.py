@@ -102,7 +102,7 @@ CASES = [
     ("detectable_content:postscript", {"postscript_marker": "by-nc"}, "contains(lower(text), 'by-nc')"),
     ("startend:quotation", {}, "starts_with(text, chr(34)) AND ends_with(text, chr(34))"),
     ("format:no_whitespace", {}, "NOT regexp_matches(text, '\\s')"),
-    ("change_case:capital_word_frequency", {"capital_frequency": "5", "capital_relation": "at least"}, "len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: x = upper(x) AND x <> lower(x))) >= 5"),
+    ("change_case:capital_word_frequency", {"capital_frequency": "5", "capital_relation": "at least"}, "len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]+'))) >= 5"),
     ("paragraphs:paragraphs", {"num_paragraphs": "1"}, "len(list_filter(regexp_split_to_array(trim(text), '\\n\\s*\\n'), lambda p: trim(p) <> '')) = 1"),
     ("startend:end_checker", {"end_phrase": "."}, "ends_with(text, '.')"),
     ("letters:letter_counting", {"N": "500"}, "len(regexp_extract_all(text, '\\p{L}')) >= 500"),
