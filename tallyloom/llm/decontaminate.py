@@ -7,15 +7,17 @@ it which windows of which items end there. The words of those windows are hit.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import groupby, pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, raw, set_aside, stored, table
+from .common import arrow_map, raw, set_aside, stored, table, tidy
 
 #: ASCII bytes other than digits and lower-case letters part words; bytes above 0x7F belong to them.
 APART = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -197,48 +199,63 @@ class Automaton:
         return merged, found, most
 
 
-def automata(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", window: int = 10, chunk_bytes: int = 2 << 20) -> list[Automaton]:
-    """Automata over all items, each over at most about `chunk_bytes` of text (or one item).
+def automata(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", window: int = 10, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """A table (chunk, nbytes, data) of automata over all items, each over about `chunk_bytes` of text (or one item).
 
-    While it is built an automaton takes some eighty times its text on the driver, so that
-    is bounded by chunks; finished ones take about nine times theirs. Null texts and items without words
-    are in none. No items, one empty automaton.
+    Items are dealt to chunks by a hash and built where they meet, in tasks: while it is built an automaton takes some
+    eighty times its text, finished about nine times. The table is in the shared folder. Null texts and items without
+    words are in none, items that repeat count once. No items, no automaton.
     """
-    chunks: list[list] = [[]]
-    size = 0
-    for r in benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).orderBy("i", "t").toLocalIterator():
-        data = r.t.encode()
-        if chunks[-1] and size + len(data) > chunk_bytes:
-            chunks.append([])
-            size = 0
-        chunks[-1].append((r.i, data))
-        size += len(data)
-    return [Automaton.build(c, window) for c in chunks]
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).distinct()
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-total // chunk_bytes))
+    dealt = items.withColumn("chunk", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    tasks = min(n, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, str | None, bytes]]:
+            for batch in batches:
+                yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("chunk", "i")), raw(batch, "t"), strict=True)
+
+        for chunk, own in groupby(rows(), key=lambda r: r[0]):
+            made = Automaton.build([(i, t) for _, i, t in own], window)
+            data = pickle.dumps(tuple(vars(made).values()), protocol=5)  # no class of ours: workers needn't have them
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([made.nbytes], pa.int64()), pa.array([data], pa.binary())], names=["chunk", "nbytes", "data"])
 
+    work = dealt.repartition(tasks, "chunk").sortWithinPartitions("chunk", "i", "t").select("chunk", "i", "t")
+    return stored(work.mapInArrow(tidy(run), "chunk long, nbytes long, data binary"), "automata")
 
-def mark_contamination(docs: DataFrame, held: list[Automaton], *, text: str = "text", pass_bytes: int = 256 << 20, also: tuple | None = None) -> DataFrame:
+
+def mark_contamination(docs: DataFrame, held: DataFrame, *, text: str = "text", pass_bytes: int = 256 << 20, also: tuple | None = None) -> DataFrame:
     """Add n_words, n_hit, items (sorted strings, a set), longest_match and hits (stretches of words).
 
     A null or empty text has no words and is hit nowhere; an item without words is
     never found; items of equal text are all found. Repeated rows give repeated
-    results. Columns of the new names are replaced, others stay. Workers hold automata of at most
-    `pass_bytes` (or one); with more, documents pass through again, stored in between. `also` names two more
-    columns and a function of text, n_words and hits that makes them, in the last pass.
+    results. Columns of the new names are replaced, others stay. Automata are sent out by passes of at most
+    `pass_bytes` (or one), the driver and each worker holding one pass's worth; with more than one, documents pass
+    through again, stored in between. `also` names two more columns and a function of text, n_words and hits that makes them, in the last pass.
     """
     spark = docs.sparkSession
     fields = [("n_words", "long"), ("hits", "array<struct<start:long,stop:long>>"), ("items", "array<string>"), ("longest_match", "long")]
-    passes: list[list[Automaton]] = [[]]
-    for a in held:
-        if passes[-1] and sum(x.nbytes for x in passes[-1]) + a.nbytes > pass_bytes:
+    passes: list[list[int]] = [[]]
+    size = 0
+    for chunk, nbytes in sorted((r.chunk, r.nbytes) for r in held.select("chunk", "nbytes").collect()):  # a pair of numbers a chunk
+        if passes[-1] and size + nbytes > pass_bytes:
             passes.append([])
-        passes[-1].append(a)
+            size = 0
+        passes[-1].append(chunk)
+        size += nbytes
     out = docs
     for k, own in enumerate(passes):
         more = also if also and k == len(passes) - 1 else None
-        sent = spark.sparkContext.broadcast([tuple(vars(a).values()) for a in own])  # no class of ours: workers needn't have them
+        before_this = stored(out, "hits") if k else out
+        if k:
+            sent.unpersist()  # what the pass before made is stored
+        sent = spark.sparkContext.broadcast([bytes(r.data) for r in held.where(F.col("chunk").isin(own)).orderBy("chunk").collect()] if own else [])
 
         def make(sent=sent, k=k, more=more):
-            automata = [Automaton(*parts) for parts in sent.value]
+            automata = [Automaton(*pickle.loads(data)) for data in sent.value]
 
             def work(batch):
                 rows = []
@@ -257,7 +274,7 @@ def mark_contamination(docs: DataFrame, held: list[Automaton], *, text: str = "t
 
             return work
 
-        out = arrow_map(stored(out, "hits") if k else out, fields + ([(also[0], "string"), (also[1], "double")] if more else []), make)
+        out = arrow_map(before_this, fields + ([(also[0], "string"), (also[1], "double")] if more else []), make)
     return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["stop"] - h["start"]))
 
 
@@ -283,7 +300,7 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return out if at is None else [*out, (at, len(text))]
 
 
-def remove_spans(docs: DataFrame, held: list[Automaton], *, text: str = "text", least_hit: int = 1, coverage: float = 0.5) -> DataFrame:
+def remove_spans(docs: DataFrame, held: DataFrame, *, text: str = "text", least_hit: int = 1, coverage: float = 0.5) -> DataFrame:
     """Cut hit stretches of at least `least_hit` words out of texts; rows whose hit share is over `coverage` go.
 
     A null or empty text stays. What stands between the first and last hit word of a

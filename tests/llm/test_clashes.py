@@ -95,3 +95,19 @@ def test_ties_of_languages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = langid.identify(df, langid.fit(df)).select("lang_pred", "rejected", "score").distinct().collect()
     assert [(r.lang_pred, r.rejected) for r in got] == [("aa", True)] and 0 <= got[0].score <= 1
+
+
+def test_decontamination_by_passes(spark):
+    """Many chunks in passes of one automaton each give what one automaton does."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text")
+    one = decontaminate.automata(bench.union(bench))
+    many = decontaminate.automata(bench, chunk_bytes=4000)
+    assert one.count() == 1 and many.count() > 2
+
+    def told(held, **settings):
+        got = decontaminate.mark_contamination(docs, held, **settings).collect()
+        return {r.doc_id: (r.n_words, r.n_hit, r["items"], r.longest_match, r.hits) for r in got}
+
+    whole = told(one)
+    assert told(many, pass_bytes=1) == whole == told(many) and any(v[1] for v in whole.values())
