@@ -97,27 +97,42 @@ def s10(spark, d):
 
 MARKER = "building"
 ROLLOUT = "prompt string, acc boolean, score double, sample_id bigint"
-_FILES = "SELECT checkpoint_step AS step, 'prompt ' || (prompt_id % 50) || CASE WHEN prompt_id % 2 = 0 THEN ' building' ELSE '' END AS prompt, acc, score, sample_id FROM v_rollouts WHERE run_name = 'F'"
+_LINES = "SELECT run_name, checkpoint_step AS step, 'prompt ' || (prompt_id % 50) || CASE WHEN prompt_id % 2 = 0 THEN ' building' ELSE '' END AS prompt, acc, score, sample_id FROM v_rollouts"
+_FILES = f"SELECT * FROM ({_LINES}) WHERE run_name = 'F'"
+_written: dict[tuple[str, str], str] = {}
+
+
+def _runs(spark, d):
+    """Step files of all runs, a folder a run, with a file of another name among them; lines are about a kilobyte long. A session writes them once."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _written:
+        path = folders.fresh_path(spark, "runs")
+        p = F.concat(F.lit("prompt "), (F.col("prompt_id") % 50).cast("string"), F.when(F.col("prompt_id") % 2 == 0, f" {MARKER}").otherwise(""))
+        response = F.repeat(F.md5(F.concat_ws("-", "prompt_id", "sample_id")), 30)
+        rows = V.rollouts(spark, d).select("run_name", F.col("checkpoint_step").alias("step"), p.alias("prompt"), "acc", F.col("score").cast("double"), "sample_id", response.alias("response"))
+        for run in ("F", "O", "P"):
+            R.write_steps(rows.where(F.col("run_name") == run).drop("run_name"), f"{path}/{run}", "step")
+        folders.write_text(spark, f"{path}/F/notes.jsonl", "not a step file\n")
+        _written[key] = path
+    return {run: f"{_written[key]}/{run}" for run in ("F", "O", "P")}
 
 
 def _steps(spark, d):
-    """Step files of a run, with a file of another name among them."""
-    path = folders.fresh_path(spark, "run")
-    p = F.concat(F.lit("prompt "), (F.col("prompt_id") % 50).cast("string"), F.when(F.col("prompt_id") % 2 == 0, f" {MARKER}").otherwise(""))
-    rows = V.rollouts(spark, d).where("run_name = 'F'").select(F.col("checkpoint_step").alias("step"), p.alias("prompt"), "acc", F.col("score").cast("double"), "sample_id")
-    R.write_steps(rows, path, "step")
-    folders.write_text(spark, f"{path}/notes.jsonl", "not a step file\n")
-    return path
+    return _runs(spark, d)["F"]
 
 
-@query("s13_light_index", f"SELECT step || '.jsonl' AS file, CASE WHEN contains(prompt, '{MARKER}') THEN 'aime' ELSE 'ifeval' END AS benchmark, count(*) AS rows, -1 AS unique_prompts, -1.0::DOUBLE AS samples_per_prompt FROM ({_FILES}) GROUP BY ALL")
+def _all_files(spark, d):
+    return [p for path in _runs(spark, d).values() for _, p in R.step_files(spark, path)]
+
+
+@query("s13_light_index", f"SELECT step || '.jsonl' AS file, CASE WHEN contains(prompt, '{MARKER}') THEN 'aime' ELSE 'ifeval' END AS benchmark, count(*) AS rows, -1 AS unique_prompts, -1.0::DOUBLE AS samples_per_prompt FROM ({_LINES}) GROUP BY ALL")
 def s13_s15_p01(spark, d):
-    return R.light_index(spark, [p for _, p in R.step_files(spark, _steps(spark, d))], MARKER)
+    return R.light_index(spark, _all_files(spark, d), MARKER)
 
 
-@query("s14_full_index", f"SELECT step || '.jsonl' AS file, CASE WHEN contains(prompt, '{MARKER}') THEN 'aime' ELSE 'ifeval' END AS benchmark, count(*) AS rows, count(DISTINCT prompt) AS unique_prompts, round(count(*)::DOUBLE / count(DISTINCT prompt), 2) AS samples_per_prompt FROM ({_FILES}) GROUP BY ALL")
+@query("s14_full_index", f"SELECT step || '.jsonl' AS file, CASE WHEN contains(prompt, '{MARKER}') THEN 'aime' ELSE 'ifeval' END AS benchmark, count(*) AS rows, count(DISTINCT prompt) AS unique_prompts, round(count(*)::DOUBLE / count(DISTINCT prompt), 2) AS samples_per_prompt FROM ({_LINES}) GROUP BY ALL")
 def s14(spark, d):
-    return R.full_index(spark, [p for _, p in R.step_files(spark, _steps(spark, d))], MARKER, ROLLOUT, "prompt")
+    return R.full_index(spark, _all_files(spark, d), MARKER, ROLLOUT, "prompt")
 
 
 @query("s17_load_run", f"SELECT step, prompt, acc, round(score, 6) AS score, sample_id FROM ({_FILES}) WHERE step IN (1994, 1996)")
