@@ -105,3 +105,42 @@ def checkpoint_summary(df: DataFrame, keys: list[str], prompt: str, *, acc: str,
     """Means over prompts: pass@1, best@n, length, share of answers that weren't found and of responses three times the limit or longer."""
     own = df.groupBy(*keys, prompt).agg(rate(acc).alias("p"), F.max(F.col(acc).cast("double")).alias("b"), F.avg(length).alias("l"), F.avg(F.col(pred).isNull().cast("double")).alias("i"), F.avg((F.col(length) >= 3 * limit).cast("double")).alias("t"), F.count("*").alias("n"))
     return own.groupBy(*keys).agg(F.count("*").alias("n_prompts"), F.sum("n").alias("n"), F.avg("p").alias("pass_at_1"), F.avg("b").alias("best_at_n"), F.avg("l").alias("mean_len"), F.avg("i").alias("invalid_frac"), F.avg("t").alias("truncated_frac"))
+
+
+def sweep(df: DataFrame, keys: list[str], prompt: str, *, acc: str, mode: str, length: str, modes: tuple[str, ...] = ("DRI", "DAI", "CSI", "Other")) -> DataFrame:
+    """Per condition: mean over prompts of their best sample, mean over rows, shares of the openings and the mean length."""
+    own = df.groupBy(*keys, prompt).agg(
+        F.count("*").alias("n"), F.max(F.col(acc).cast("double")).alias("b"), F.sum(F.col(acc).cast("double")).alias("a"), F.count(acc).alias("an"), F.sum(length).alias("l"), F.count(length).alias("ln"),
+        F.count(mode).alias("mn"), *[F.count_if(F.col(mode) == m).alias(f"m_{m}") for m in modes],
+    )
+    return own.groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"), F.count(prompt).alias("n_prompts"), F.avg("b").alias("best_at_n"), F.try_divide(F.sum("a"), F.sum("an")).alias("avg_at_n"),
+        *[F.try_divide(F.sum(f"m_{m}").cast("double"), F.sum("mn")).alias(f"{m.lower()}_rate") for m in modes], F.try_divide(F.sum("l"), F.sum("ln")).alias("mean_len"),
+    )
+
+
+def bucket_summary(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Rows, and mean and exact median of each value by bucket."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n_tokens"), *[x for name, c in values.items() for x in (F.avg(c).alias(f"mean_{name}"), F.median(c).alias(f"median_{name}"))])
+
+
+def scoped_summary(df: DataFrame, scopes: dict[str, Column], means: list[str], medians: list[str], keys: list[str]) -> DataFrame:
+    """Means, medians and counts for overlapping scopes; a row counts in each scope that holds it, and is read once."""
+    inside = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in scopes.items()]))
+    rows = df.withColumn("scope", F.explode(inside))
+    return rows.groupBy(*keys, "scope").agg(F.count("*").alias("n_rows"), *[F.avg(F.col(m).cast("double")).alias(f"mean_{m}") for m in means], *[F.median(m).alias(f"median_{m}") for m in medians])
+
+
+def trajectory_features(df: DataFrame, keys: list[str], step: str, value: str, steps: list[int], early: tuple[int, int], *, over: float) -> DataFrame:
+    """Per run: values at given steps, slope and trapezoid mean between two early ones, its signed logarithm, the steps there are, and the first over a threshold.
+
+    What needs a step that isn't there is null; a slope of 0 has no logarithm.
+    """
+    at = lambda s: F.max(F.when(F.col(step) == s, F.col(value)))
+    a, b = early
+    own = df.groupBy(*keys).agg(
+        *[at(s).alias(f"at_{s}") for s in steps], at(a).alias("_a"), at(b).alias("_b"), F.array_join(F.transform(F.sort_array(F.collect_set(step)), lambda s: s.cast("string")), ",").alias("steps_available"),
+        F.count_distinct(step).alias("n_steps"), F.min(F.when(F.col(value) > over, F.col(step))).alias("first_over"),
+    )
+    slope = (F.col("_b") - F.col("_a")) / (b - a)
+    return own.withColumns({"early_slope": slope, "log_early_slope": F.when(slope != 0, F.sign(slope) * F.log10(F.abs(slope))), "early_mean": (F.col("_a") + F.col("_b")) / 2}).drop("_a", "_b")

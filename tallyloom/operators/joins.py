@@ -69,3 +69,52 @@ def competitors(group: str, acc: str, value: str) -> tuple[Column, Column]:
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row of each key, the first by order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def whole_key(key: Column) -> Column:
+    """A key written as a whole number, with blanks around it, as a number; else null."""
+    t = F.trim(key.cast("string"))
+    return F.when(t.rlike(r"^[+-]?\d+\z"), t.try_cast("long"))
+
+
+def parsed_lookup(df: DataFrame, key: str, build: DataFrame, build_key: str) -> DataFrame:
+    """Rows with what the build side has for their key as a whole number; keys that aren't one, or have nothing, drop out."""
+    numbered = df.withColumn("_key", whole_key(F.col(key)))
+    return numbered.join(build.withColumnRenamed(build_key, "_build"), F.col("_key") == F.col("_build")).drop("_key", "_build")
+
+
+def by_text(df: DataFrame, text: Column, subset: DataFrame, subset_text: Column, ids: str) -> DataFrame:
+    """Rows whose stripped text is in a subset, with the subset's id of it; the least id where a text stands there more than once.
+
+    Texts are compared by their digests, so only these are shuffled for the subset.
+    """
+    own = subset.select(F.sha2(F.trim(subset_text), 256).alias("_digest"), F.col(ids)).groupBy("_digest").agg(F.min(ids).alias(ids))
+    return df.withColumn("_mine", F.sha2(F.trim(text), 256)).join(own, F.col("_mine") == F.col("_digest")).drop("_mine", "_digest")
+
+
+def share_of_length(t: str, *keys: str) -> tuple[Column, Column]:
+    """How far a group goes, and how far along it a row is: one window, no join back."""
+    n = F.max(t).over(Window.partitionBy(*keys))
+    return n, F.col(t) / n
+
+
+def prefixed_lookup(df: DataFrame, key: str, build: DataFrame, build_key: str, value: str, prefix: str) -> DataFrame:
+    """Add `value` by the key as it is, else by the key without a prefix; null without either. The build side has each key once."""
+    names = build.select(F.col(build_key).alias("_b"), F.col(value).alias("_v"))
+    bare = F.regexp_replace(F.col(key), f"^{prefix}", "")
+    once = df.join(names, F.col(key) == F.col("_b"), "left").withColumnRenamed("_v", "_exact").drop("_b")
+    both = once.join(names, (bare == F.col("_b")) & F.col("_exact").isNull(), "left").drop("_b")
+    return both.withColumn(value, F.coalesce("_exact", "_v")).drop("_exact", "_v")
+
+
+def cached_labels(df: DataFrame, cache: DataFrame, keys: list[str], *, missing: str = "MISSING") -> DataFrame:
+    """Rows with the label and reason that a cache holds for their keys, or that they are missing there."""
+    return df.join(cache, keys, "left").withColumns({"label": F.coalesce("label", F.lit(missing)), "reason": F.coalesce("reason", F.lit(""))})
+
+
+def attached(keys: DataFrame, sides: list[DataFrame], on: list[str]) -> DataFrame:
+    """Keys beside what every side has for them; a key that one side lacks drops out."""
+    out = keys
+    for side in sides:
+        out = out.join(side, on)
+    return out
