@@ -66,10 +66,12 @@ def o10(spark, d):
     return rows.select("i", E.place(F.col("i"), n, F.lit(7)).alias("random"), F.col("i").alias("sequential"))
 
 
-@query("m15_fold", "SELECT p_partkey // (SELECT count(*) // 4 FROM part) AS \"group\", list(p_size ORDER BY p_partkey)[1] AS first, list(p_size ORDER BY p_partkey)[-1] AS last, count(*) AS n FROM part GROUP BY 1")
+@query("m15_fold", "SELECT (p_partkey - (SELECT min(p_partkey) FROM part)) // 10 AS \"group\", list(p_size ORDER BY p_partkey)[1] AS first, list(p_size ORDER BY p_partkey)[-1] AS last, count(*) AS n FROM part GROUP BY 1")
 def m15_m16(spark, d):
+    """Ten rows a group, however many rows there are."""
     rows = _batch(spark, d)
-    folded = B.fold(rows, "i", 4, rows.count(), ["n", "p_name"])
+    total = rows.count()
+    folded = B.fold(rows, "i", total // 10, total, ["n", "p_name"])
     return folded.select("group", F.element_at("n", 1).alias("first"), F.element_at("n", -1).alias("last"), F.size("p_name").alias("n"))
 
 

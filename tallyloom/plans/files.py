@@ -86,13 +86,13 @@ def s07_s09(spark, d):
     return out
 
 
-@query("s10_concatenated_objects", "SELECT printf('reasonif_%04d', row_number() OVER (ORDER BY p_partkey) - 1) AS id, p_partkey, p_name FROM part")
+@query("s10_concatenated_objects", "SELECT printf('reasonif_%04d', row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1) AS id, p_partkey, p_name, p_size FROM part")
 def s10(spark, d):
-    path = folders.fresh_path(spark, "objects") + ".txt"
-    one = V.table(spark, d, "part").select("p_partkey", F.to_json(F.struct("p_partkey", "p_name")).alias("j"))
-    rows = one.orderBy("p_partkey").toLocalIterator()
-    folders.write_text(spark, path, "".join(r.j for r in rows))
-    return R.read_concatenated(spark, path, "p_partkey bigint, p_name string")
+    """A file a size, each of objects that follow each other."""
+    path = folders.fresh_path(spark, "objects")
+    parts = V.table(spark, d, "part").select("p_size", "p_partkey", "p_name")
+    R.write_concatenated(parts, path, "p_size", "p_partkey")
+    return R.read_concatenated(spark, f"{path}/*/part-*", "p_partkey bigint, p_name string, p_size bigint")
 
 
 MARKER = "building"

@@ -115,6 +115,29 @@ def objects_of(text: str) -> Iterator[str]:
                 yield text[start : i + 1]
 
 
+def write_concatenated(df: DataFrame, path: str, group: str, order: str, *, chunk: int = 1000) -> None:
+    """A file a group of objects one after the other, in an order; lines end after `chunk` objects, so no task holds more than these."""
+    rows = df.select(F.col(group).cast("string").alias("_g"), F.to_json(F.struct(*df.columns)).alias("value"), F.col(order).alias("_o")).repartition("_g").sortWithinPartitions("_g", "_o").select("_g", "value")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def line() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array(["".join(held)], pa.string())], names=["_g", "value"])
+
+        for batch in batches:
+            for g, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (g != key or len(held) == chunk):
+                    yield line()
+                    held = []
+                key = g
+                held.append(value)
+        if held:
+            yield line()
+
+    rows.mapInArrow(joined, "_g string, value string").write.partitionBy("_g").text(path)
+
+
 def read_concatenated(spark: SparkSession, path: str, schema: T.StructType | str, *, name: str = "reasonif") -> DataFrame:
     """Objects that follow each other without separators; `id` is made of the name and the place in the file. What doesn't parse is passed over, but keeps its place."""
     kind = schema_of(schema)

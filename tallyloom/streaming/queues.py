@@ -88,11 +88,10 @@ def count_windows(rows: DataFrame, key: str, seq: str, value: str, n: int) -> Da
         batch, seqs, values = state.get if state.exists else (0, [], [])
         rows = pd.concat(list(parts)).sort_values("seq")
         seqs, values = [*seqs, *rows["seq"].tolist()], [*values, *rows["value"].tolist()]
-        out = []
-        while len(seqs) >= n:
-            out.append((k[0], batch, n, seqs[0], seqs[n - 1], float(sum(values[:n]))))
-            batch, seqs, values = batch + 1, seqs[n:], values[n:]
-        state.update((batch, seqs, values))
+        out, full = [], len(seqs) // n * n
+        for at in range(0, full, n):
+            out.append((k[0], batch + at // n, n, seqs[at], seqs[at + n - 1], float(sum(values[at : at + n]))))
+        state.update((batch + full // n, seqs[full:], values[full:]))
         if out:
             yield pd.DataFrame(out, columns=["key", "batch", "n", "first", "last", "total"])
 
