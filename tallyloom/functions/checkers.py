@@ -33,6 +33,11 @@ def number(a: Arguments, name: str, default: int = 1) -> Column:
     return F.coalesce(a(name).try_cast("int"), F.lit(default))
 
 
+def needed(a: Arguments, *names: str) -> Column:
+    """The first of these numbers that is there; null, and so not followed, if none is."""
+    return F.coalesce(*[a(n).try_cast("int") for n in names])
+
+
 def listed(a: Arguments, name: str) -> Column:
     return F.coalesce(F.from_json(a(name), "array<string>"), F.array(a(name)))
 
@@ -48,6 +53,12 @@ def filled(a: Arguments, *names: str) -> Column:
     return F.coalesce(*[F.nullif(a(n), F.lit("")) for n in names])
 
 
+def several(a: Arguments, many: str, one: str) -> Column:
+    """A list of texts, or the one that stands for it, or none."""
+    single = F.when(filled(a, one).isNotNull(), F.array(a(one))).otherwise(F.array().cast("array<string>"))
+    return let(F.array_compact(listed(a, many)), lambda found: F.when(F.size(found) > 0, found).otherwise(single))
+
+
 def related(count: Column, n: Column, relation: Column) -> Column:
     """At least if nothing is said; a relation that isn't known is equality. About is within a tenth, one at least."""
     r = F.lower(F.trim(F.coalesce(F.nullif(relation, F.lit("")), F.lit("at least"))))
@@ -97,6 +108,17 @@ def lines(x: Column) -> Column:
     return F.filter(F.split(x, "\n"), lambda s: F.trim(s) != "")
 
 
+def divided(x: Column) -> Column:
+    """Parts between dividers of three stars, which may be spaced out and stand on lines of their own."""
+    star = r"(?:\*\s*\*\s*\*|\*{3})"
+    parts = F.split(x, rf"(?U)\n\s*{star}\s*\n|\s*{star}\s*")
+    return F.filter(F.transform(parts, stripped), lambda p: p != "")
+
+
+def stripped(x: Column) -> Column:
+    return F.trim(x, F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"))
+
+
 def is_json(x: Column) -> Column:
     """Whether all of the text is one JSON value. What follows a value is not parsed, so a digest of the text must follow it in an array."""
     pair = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"'), F.md5(x), F.lit('"]')))
@@ -113,28 +135,28 @@ def neighbours(array: Column, good) -> Column:
     return let(array, lambda v: F.forall(F.zip_with(F.slice(v, 1, n(v)), F.slice(v, 2, n(v)), lambda p, q: F.coalesce(good(p, q), F.lit(True))), lambda b: b))
 
 
-checker("keywords:existence")(lambda x, a: F.forall(listed(a, "keywords"), lambda k: F.lower(x).contains(F.lower(k))))
-checker("keywords:frequency")(lambda x, a: related(whole_word(x, a("keyword")), number(a, "frequency"), F.coalesce(a("relation"), F.lit("at least"))))
-checker("keywords:forbidden_words")(lambda x, a: ~F.exists(listed(a, "forbidden_words"), lambda k: F.lower(x).contains(F.lower(k))))
-checker("keywords:letter_frequency")(lambda x, a: related(occurrences(x, a("letter")), number(a, "let_frequency"), F.coalesce(a("let_relation"), F.lit("at least"))))
-checker("length_constraints:number_sentences")(lambda x, a: related(F.size(sentences(x)), number(a, "num_sentences"), F.coalesce(a("relation"), F.lit("at least"))))
-checker("length_constraints:number_paragraphs")(lambda x, a: F.size(F.filter(F.split(x, r"\s?\*\*\*\s?"), lambda p: F.trim(p) != "")) == number(a, "num_paragraphs"))
-checker("length_constraints:number_words")(lambda x, a: related(F.size(words(x)), number(a, "num_words"), F.coalesce(a("relation"), F.lit("at least"))))
+checker("keywords:existence")(lambda x, a: F.forall(several(a, "keywords", "keyword"), lambda k: (k != "") & F.lower(x).contains(F.lower(k))))
+checker("keywords:frequency")(lambda x, a: related(F.when(filled(a, "keyword").isNotNull(), whole_word(x, a("keyword"))), needed(a, "frequency"), a("relation")))
+checker("keywords:forbidden_words")(lambda x, a: ~F.exists(several(a, "forbidden_words", "keyword"), lambda k: (k != "") & F.lower(x).contains(F.lower(k))))
+checker("keywords:letter_frequency")(lambda x, a: related(F.when(filled(a, "letter").isNotNull(), occurrences(x, a("letter"))), needed(a, "let_frequency", "frequency"), filled(a, "let_relation", "relation")))
+checker("length_constraints:number_sentences")(lambda x, a: related(F.size(sentences(x)), needed(a, "num_sentences"), a("relation")))
+checker("length_constraints:number_paragraphs")(lambda x, a: F.size(divided(x)) == needed(a, "num_paragraphs"))
+checker("length_constraints:number_words")(lambda x, a: related(F.size(words(x)), needed(a, "num_words"), a("relation")))
 checker("length_constraints:nth_paragraph_first_word")(
-    lambda x, a: (F.size(paragraphs(x)) == number(a, "num_paragraphs")) & F.coalesce(F.lower(nth(words(nth(paragraphs(x), number(a, "nth_paragraph"))), 1)) == F.lower(a("first_word")), F.lit(False))
+    lambda x, a: F.when(needed(a, "nth_paragraph") > 0, F.lower(nth(bare(nth(divided(x), F.greatest(needed(a, "nth_paragraph"), F.lit(1)))), 1)) == F.lower(filled(a, "first_word")))
 )
-checker("detectable_content:number_placeholders")(lambda x, a: F.regexp_count(x, F.lit(r"\[[^\[\]]+\]")) >= number(a, "num_placeholders"))
-checker("detectable_content:postscript")(lambda x, a: F.lower(x).contains(F.lower(F.coalesce(a("postscript_marker"), F.lit("P.S.")))))
-checker("detectable_format:number_bullet_lists")(lambda x, a: F.regexp_count(x, F.lit(r"(?m)^\s*[-*]\s+\S+")) == number(a, "num_bullets"))
+checker("detectable_content:number_placeholders")(lambda x, a: F.regexp_count(x, F.lit(r"\[[^\[\]]+\]")) >= needed(a, "num_placeholders"))
+checker("detectable_content:postscript")(lambda x, a: x.contains(F.coalesce(filled(a, "postscript_marker"), F.lit("P.S."))))
+checker("detectable_format:number_bullet_lists")(lambda x, a: F.regexp_count(x, F.lit(r"(?m)^[^\S\n]*[-*][^\S\n]+\S+")) == needed(a, "num_bullets"))
 checker("detectable_format:constrained_response")(lambda x, a: F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")).isin("my answer is yes.", "my answer is no.", "my answer is maybe."))
-checker("detectable_format:number_highlighted_sections")(lambda x, a: F.regexp_count(x, F.lit(r"\*[^\n*]+\*")) >= number(a, "num_highlights"))
-checker("detectable_format:multiple_sections")(lambda x, a: occurrences(F.lower(x), F.lower(F.coalesce(a("section_spliter"), F.lit("Section")))) >= number(a, "num_sections"))
+checker("detectable_format:number_highlighted_sections")(lambda x, a: F.regexp_count(x, F.lit(r"\*[^\n*]+\*")) >= needed(a, "num_highlights"))
+checker("detectable_format:multiple_sections")(lambda x, a: occurrences(F.lower(x), F.lower(F.coalesce(filled(a, "section_spliter"), F.lit("Section")))) >= needed(a, "num_sections"))
 checker("detectable_format:json_format")(lambda x, a: is_json(x))
 checker("detectable_format:title")(lambda x, a: x.rlike("(?s)<<.+?>>"))
 checker("combination:two_responses")(lambda x, a: (F.size(F.split(x, r"\*{6}")) == 2) & (F.trim(F.split(x, r"\*{6}")[0]) != "") & F.coalesce(F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))) != "", F.lit(False)) & F.coalesce(F.trim(F.split(x, r"\*{6}")[0]) != F.trim(F.try_element_at(F.split(x, r"\*{6}"), F.lit(2))), F.lit(False)))
 checker("combination:repeat_prompt")(lambda x, a: F.coalesce(x.startswith(filled(a, "prompt_to_repeat")), F.lit(False)))
 checker("startend:end_checker")(lambda x, a: F.coalesce(x.endswith(filled(a, "end_phrase")), F.lit(False)))
-checker("change_case:capital_word_frequency")(lambda x, a: related(F.regexp_count(x, F.lit(r"(?U)\b[A-Z]+\b")), number(a, "capital_frequency"), F.coalesce(a("capital_relation"), F.lit("at least"))))
+checker("change_case:capital_word_frequency")(lambda x, a: related(F.regexp_count(x, F.lit(r"(?U)\b[A-Z]+\b")), needed(a, "capital_frequency"), a("capital_relation")))
 checker("change_case:english_capital")(lambda x, a: x.rlike(r"\p{L}") & ~x.rlike(r"[\p{L}&&[^\p{Lu}]]"))
 checker("change_case:english_lowercase")(lambda x, a: x.rlike(r"\p{L}") & ~x.rlike(r"[\p{L}&&[^\p{Ll}]]"))
 checker("punctuation:no_comma")(lambda x, a: ~x.contains(","))
@@ -155,9 +177,9 @@ checker("keywords:word_count_different_numbers")(
 )
 checker("keywords:exclude_word_harder")(lambda x, a: ~F.lower(x).contains(F.lower(a("keyword"))))
 checker("paragraphs:paragraphs", "paragraphs:paragraphs2")(lambda x, a: F.size(paragraphs(x)) == F.coalesce(a("num_paragraphs"), a("N")).try_cast("int"))
-checker("first_word:first_word_sent")(lambda x, a: F.forall(sentences(x), lambda s: F.coalesce(F.lower(nth(words(s), 1)) == F.lower(a("first_word")), F.lit(False))))
-checker("first_word:first_word_answer")(lambda x, a: F.coalesce(F.lower(nth(words(x), 1)) == F.lower(a("first_word")), F.lit(False)))
-checker("last_word:last_word_sent")(lambda x, a: F.forall(sentences(x), lambda s: F.coalesce(F.lower(nth(words(s), -1)) == F.lower(a("last_word")), F.lit(False))))
+checker("first_word:first_word_sent")(lambda x, a: F.forall(sentences(x), lambda s: F.coalesce(F.lower(nth(bare(s), 1)) == F.lower(filled(a, "first_word")), F.lit(False))))
+checker("first_word:first_word_answer")(lambda x, a: F.coalesce(F.lower(nth(bare(x), 1)) == F.lower(filled(a, "first_word")), F.lit(False)))
+checker("last_word:last_word_sent")(lambda x, a: F.forall(sentences(x), lambda s: F.coalesce(F.lower(nth(bare(s), -1)) == F.lower(filled(a, "last_word")), F.lit(False))))
 checker("last_word:last_word_answer")(lambda x, a: F.coalesce(F.lower(nth(words(x), -1)) == F.lower(a("last_word")), F.lit(False)))
 checker("detectable_format:bigram_wrapping")(
     lambda x, a: F.when(filled(a, "bigram").isNull(), x.rlike(r"\[[^\]]+\s+[^\]]+\]")).otherwise(x.contains(F.concat(F.lit("["), a("bigram"), F.lit("]"))) | x.contains(F.concat(F.lit("("), a("bigram"), F.lit(")"))))
@@ -166,9 +188,8 @@ checker("copy:copying_multiple")(lambda x, a: occurrences(x, filled(a, "prompt_t
 checker("punctuation:punctuation_dot")(lambda x, a: F.forall(sentences(x), lambda s: s.endswith(".")))
 checker("punctuation:punctuation_exclamation")(lambda x, a: F.forall(sentences(x), lambda s: s.endswith("!")))
 checker("count:lowercase_counting")(lambda x, a: related(F.regexp_count(x, F.lit(r"\p{IsLowercase}")), given(a, "N", "num_lowercase"), a("relation")))
-# Without a letter all are counted, as the SQL of v01_checkers has it; the reference calls that false.
 checker("letters:letter_counting", "letters:letter_counting2")(
-    lambda x, a: related(F.when(filled(a, "letter").isNull(), F.regexp_count(x, F.lit(r"\p{L}"))).otherwise(occurrences(x, a("letter"))), given(a, "N", "let_frequency", "frequency"), filled(a, "relation", "let_relation"))
+    lambda x, a: related(F.when(filled(a, "letter").isNotNull(), occurrences(x, a("letter"))), given(a, "N", "let_frequency", "frequency"), filled(a, "relation", "let_relation"))
 )
 checker("count:counting_composition")(lambda x, a: related(F.size(words(x)), given(a, "N", "count"), a("relation")))
 checker("count:count_unique")(lambda x, a: related(F.size(F.array_distinct(words(F.lower(x)))), given(a, "N", "count"), a("relation")))
@@ -181,6 +202,14 @@ checker("keywords:start_end")(lambda x, a: (F.size(words(x)) > 1) & (F.lower(nth
 checker("language:response_language")(
     lambda x, a: F.when(a("language").isin("zh", "ja", "ko"), F.regexp_count(x, F.lit(r"[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")) > 0.3 * F.length(x)).when(a("language").isin("ru", "bg"), F.regexp_count(x, F.lit(r"\p{IsCyrillic}")) > 0.5 * F.length(x)).otherwise(F.regexp_count(x, F.lit("[A-Za-z]")) > 0.5 * F.length(x))
 )
+
+def on_stripped(f: Callable[[Column, Arguments], Column]) -> Callable[[Column, Arguments], Column]:
+    return lambda x, a: f(stripped(x), a)
+
+
+for _id in list(CHECKERS):
+    CHECKERS[_id] = on_stripped(CHECKERS[_id])
+
 # the second registry
 checker("count:word_count_range")(lambda x, a: F.size(pieces(x)).between(number(a, "min_words"), number(a, "max_words", 1 << 30)))
 checker("count:unique_word_count")(lambda x, a: F.size(F.array_distinct(F.transform(pieces(F.lower(x)), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", "")))) >= number(a, "N"))

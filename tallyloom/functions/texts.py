@@ -39,7 +39,7 @@ def words(x: Column) -> Column:
 
 
 def sentences(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, SENTENCE), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, SENTENCE), lambda s: F.trim(s, F.lit(" \t\n\r\x0b\x0c"))), lambda s: s != "")
 
 
 def pieces(x: Column) -> Column:

@@ -85,27 +85,32 @@ CASES = [
     ("detectable_content:number_placeholders", {"num_placeholders": "1"}, "len(regexp_extract_all(text, '\\[[^\\[\\]]+\\]')) >= 1"),
     ("copy:repeat_phrase", {"phrase": "of the"}, "len(regexp_extract_all(text, 'of the')) >= 2"),
     ("copy:copying_simple", {"prompt_to_repeat": "the "}, "contains(text, 'the ')"),
-    ("combination:repeat_prompt", {"prompt_to_repeat": "The "}, "starts_with(text, 'The ')"),
+    ("combination:repeat_prompt", {"prompt_to_repeat": "The "}, "starts_with(regexp_replace(text, '^\\s+', ''), 'The ')"),
     ("new:copy_span_idx", {"source_text": "and the rest", "start": "4", "end": "7"}, "contains(text, 'the')"),
     ("keywords:frequency", {"keyword": "The", "frequency": "3", "relation": "at most"}, "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: w = 'the')) <= 3"),
     ("keywords:letter_frequency", {"letter": "e", "let_frequency": "100", "let_relation": "less than"}, "length(text) - length(replace(text, 'e', '')) < 100"),
     ("keywords:word_once", {"keyword": "license"}, "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: w = 'license')) = 1"),
     ("keywords:no_adjacent_consecutive", {"keyword": "an"}, "NOT contains(lower(text), 'anan')"),
     ("keywords:exclude_word_harder", {"keyword": "Token"}, "NOT contains(lower(text), 'token')"),
-    ("detectable_format:number_bullet_lists", {"num_bullets": "0"}, "len(regexp_extract_all(text, '(?m)^\\s*[-*]\\s+\\S+')) = 0"),
+    ("detectable_format:number_bullet_lists", {"num_bullets": "0"}, "len(regexp_extract_all(text, '(?m)^[ \\t]*[-*][ \\t]+\\S+')) = 0"),
     ("detectable_format:number_highlighted_sections", {"num_highlights": "2"}, "len(regexp_extract_all(text, '\\*[^\\n*]+\\*')) >= 2"),
     ("detectable_format:multiple_sections", {"section_spliter": "license", "num_sections": "1"}, "contains(lower(text), 'license')"),
     ("detectable_format:title", {}, "regexp_matches(text, '(?s)<<.+?>>')"),
     ("detectable_format:square_brackets", {}, "regexp_matches(text, '\\[[^\\[\\]]+\\]')"),
     ("detectable_format:sentence_hyphens", {}, "regexp_matches(replace(text, ' ', ''), '[A-Za-z]-[A-Za-z]')"),
     ("detectable_format:constrained_response", {}, "false"),
-    ("detectable_content:postscript", {"postscript_marker": "by-nc"}, "contains(lower(text), 'by-nc')"),
-    ("startend:quotation", {}, "starts_with(text, chr(34)) AND ends_with(text, chr(34))"),
+    ("detectable_content:postscript", {"postscript_marker": "BY-NC"}, "contains(text, 'BY-NC')"),
+    ("startend:quotation", {}, "starts_with(regexp_replace(text, '^\\s+', ''), chr(34)) AND ends_with(regexp_replace(text, '\\s+$', ''), chr(34))"),
     ("format:no_whitespace", {}, "NOT regexp_matches(text, '\\s')"),
     ("change_case:capital_word_frequency", {"capital_frequency": "5", "capital_relation": "at least"}, "len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]+'))) >= 5"),
     ("paragraphs:paragraphs", {"num_paragraphs": "1"}, "len(list_filter(regexp_split_to_array(trim(text), '\\n\\s*\\n'), lambda p: trim(p) <> '')) = 1"),
-    ("startend:end_checker", {"end_phrase": "."}, "ends_with(text, '.')"),
-    ("letters:letter_counting", {"N": "500"}, "len(regexp_extract_all(text, '\\p{L}')) >= 500"),
+    ("startend:end_checker", {"end_phrase": "."}, "ends_with(regexp_replace(text, '\\s+$', ''), '.')"),
+    ("letters:letter_counting", {"letter": "e", "N": "50"}, "length(text) - length(replace(text, 'e', '')) >= 50"),
+    ("letters:letter_counting2", {"N": "500"}, "false"),
+    ("length_constraints:number_paragraphs", {"num_paragraphs": "1"}, "NOT regexp_matches(trim(text), '\\*\\s*\\*\\s*\\*')"),
+    ("length_constraints:nth_paragraph_first_word", {"nth_paragraph": "1", "first_word": "the"}, "coalesce(lower(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: replace(w, '_', '') <> '')[1]) = 'the', false)"),
+    ("detectable_content:number_placeholders", {}, "false"),
+    ("last_word:last_word_answer", {"last_word": "The"}, "coalesce(lower(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')[-1]) = 'the', false)"),
     ("totally:unknown", {}, "NULL"),
 ]
 _EN = "SELECT documents.*, id, passed FROM documents, LATERAL (VALUES " + ", ".join(f"('{name}', {sql})" for name, _, sql in CASES) + ") c(id, passed)"

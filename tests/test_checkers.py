@@ -27,7 +27,7 @@ CASES = [
     ("detectable_format:sentence_hyphens", {}, "one. -two a - b", True), ("detectable_format:sentence_hyphens", {}, "one.-2", False),
     ("keywords:no_adjacent_consecutive", {"keyword": "go"}, "gogo", False), ("keywords:no_adjacent_consecutive", {"keyword": "go"}, "go go", True), ("keywords:no_adjacent_consecutive", {}, "x", True),
     ("change_case:english_capital", {}, "ABC 12!", True), ("change_case:english_capital", {}, "12", False), ("change_case:english_lowercase", {}, "ab\u00df 1", True), ("change_case:english_lowercase", {}, "aB", False),
-    ("detectable_format:json_format", {}, '{"a": 1}', True), ("detectable_format:json_format", {}, '```json\n{}\n```', False), ("startend:quotation", {}, '"a"', True), ("startend:quotation", {}, ' "a"', False),
+    ("detectable_format:json_format", {}, '{"a": 1}', True), ("detectable_format:json_format", {}, '```json\n{}\n```', False), ("startend:quotation", {}, '"a"', True), ("startend:quotation", {}, ' "a"', True),
     ("detectable_format:constrained_response", {}, " my answer is Maybe.\n", True), ("copy:copying_simple", {}, "x", False),
     ("keywords:start_end", {}, "word", False), ("keywords:start_end", {}, "Word a word.", True),
     ("copy:copy", {"prompt_to_repeat": "a b"}, "x a b", True), ("first_word:first_word_answer", {"first_word": "so"}, "So it is", True), ("first_word:first_word_sent", {"first_word": "a"}, "A b. A c. D", False), ("last_word:last_word_answer", {"last_word": "end"}, "the End.", True),
@@ -63,6 +63,13 @@ CASES = [
     ("custom:csv_special_character", {}, "ProductID,Category,Brand,Price,Stock\n" + "1,a\n" + "1,a,b,2,3\n" * 12 + '1,"a & b",c,2,3', False),
     ("custom:csv_quotes", {}, "\n".join(['"StudentID"\t"Subject"\t"Grade"\t"Semester"\t"Score"'] + ['"1"\t"a b"\t"c"\t"d"\t"e"'] * 3), True), ("custom:csv_quotes", {}, "\n".join(['"StudentID"\t"Subject"\t"Grade"\t"Semester"\t"Score"'] + ['"1"\ta\t"c"\t"d"\t"e"'] * 3), False),
     ("detectable_format:json_format", {}, "{} x", False), ("detectable_format:json_format", {}, "[1]], 2", False), ("detectable_format:json_format", {}, '{"a": [1, "]"]}', True),
+    ("detectable_content:postscript", {}, "then p.s. more", False), ("detectable_content:postscript", {}, "then P.S. more", True), ("detectable_content:postscript", {"postscript_marker": ""}, "P.S.", True),
+    ("length_constraints:nth_paragraph_first_word", {"nth_paragraph": "2", "first_word": "Two"}, "one x\n***\n_two_ y", True), ("length_constraints:nth_paragraph_first_word", {"nth_paragraph": "3", "first_word": "Two"}, "one x * * * two y", False),
+    ("length_constraints:nth_paragraph_first_word", {"first_word": "one"}, "one", False), ("length_constraints:number_paragraphs", {"num_paragraphs": "3"}, "a * * * b\n*** \nc", True), ("length_constraints:number_paragraphs", {"num_paragraphs": "2"}, "a\n\nb", False),
+    ("length_constraints:number_words", {}, "a b", False), ("keywords:frequency", {"keyword": "a"}, "a", False), ("keywords:letter_frequency", {"letter": "a", "frequency": "1", "relation": "less than"}, "b", True), ("letters:letter_counting", {"N": "1"}, "abc", False),
+    ("detectable_format:number_bullet_lists", {"num_bullets": "1"}, "-\nfoo\n* a", True), ("keywords:existence", {"keyword": "Cat"}, "a cat", True), ("keywords:existence", {}, "a", True), ("keywords:forbidden_words", {"keyword": "cat"}, "a Cat", False),
+    ("first_word:first_word_sent", {"first_word": "so"}, "_So it is. So.", True), ("startend:end_checker", {"end_phrase": "end"}, "the end \n", True), ("custom:word_reverse", {}, "eagle bald the is it", True), ("custom:word_reverse", {}, "bald eagle", False),
+    ("format:emoji", {}, "Hi there \U0001F600", True), ("format:emoji", {}, "Hi \U0001F600. there", False), ("language:response_language", {"language": "ru"}, "\u043f\u0440\u0438\u0432\u0435\u0442", True), ("language:response_language", {"language": "ru"}, "hello", False),
 ]
 
 
