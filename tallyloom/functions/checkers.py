@@ -271,7 +271,17 @@ checker("repeat:repeat_span")(lambda x, a: F.trim(x) == F.array_join(F.slice(pie
 checker("format:title_case")(lambda x, a: ~F.exists(words(x), lambda w: w.rlike(r"^\p{Ll}$|^\p{Ll}[^\p{Lu}]*\p{Ll}[^\p{Lu}]*$|^\p{Ll}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")))
 checker("format:output_template")(lambda x, a: x.contains("My Answer:") & x.contains("My Conclusion:") & x.contains("Future Outlook:"))
 checker("format:no_whitespace")(lambda x, a: ~x.rlike(r"(?U)\s"))
-checker("format:emoji")(lambda x, a: F.forall(sentences(x), lambda s: s.rlike(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\S?$")))
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B05}-\x{2B55}\x{231A}\x{231B}\x{23E9}-\x{23F3}]"
+
+
+def emoji_ends(parts: Column) -> Column:
+    """Whether each sentence without punctuation ends in an emoji, or but for one sign, or the next one begins with one."""
+    own = lambda i: F.get(parts, i)
+    following = lambda i: F.coalesce(F.get(parts, i + 1).rlike(f"^{EMOJI}"), F.lit(False))
+    return F.forall(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: (own(i) != "") & (own(i).rlike(rf"(?s){EMOJI}.?\z") | following(i)))
+
+
+checker("format:emoji")(lambda x, a: let(F.transform(sentences(x), lambda s: stripped(F.regexp_replace(s, r"\p{Punct}", ""))), emoji_ends))
 checker("count:words_japanese")(lambda x, a: F.forall(F.filter(F.transform(pieces(x), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: (s["i"] + 1) % number(a, "N") == 0), lambda s: s["w"].rlike(r"[\u3040-\u30ff\u4e00-\u9fff]")))
 # The English stop words in common use, names of persons, capitals from north to south, the columns of tables.
 STOP_WORDS = (

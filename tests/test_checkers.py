@@ -69,7 +69,7 @@ CASES = [
     ("length_constraints:number_words", {}, "a b", False), ("keywords:frequency", {"keyword": "a"}, "a", False), ("keywords:letter_frequency", {"letter": "a", "frequency": "1", "relation": "less than"}, "b", True), ("letters:letter_counting", {"N": "1"}, "abc", False),
     ("detectable_format:number_bullet_lists", {"num_bullets": "1"}, "-\nfoo\n* a", True), ("keywords:existence", {"keyword": "Cat"}, "a cat", True), ("keywords:existence", {}, "a", True), ("keywords:forbidden_words", {"keyword": "cat"}, "a Cat", False),
     ("first_word:first_word_sent", {"first_word": "so"}, "_So it is. So.", True), ("startend:end_checker", {"end_phrase": "end"}, "the end \n", True), ("custom:word_reverse", {}, "eagle bald the is it", True), ("custom:word_reverse", {}, "bald eagle", False),
-    ("format:emoji", {}, "Hi there \U0001F600", True), ("format:emoji", {}, "Hi \U0001F600. there", False), ("language:response_language", {"language": "ru"}, "\u043f\u0440\u0438\u0432\u0435\u0442", True), ("language:response_language", {"language": "ru"}, "hello", False),
+    ("format:emoji", {}, "Hi there \U0001F600", True), ("format:emoji", {}, "Hi \U0001F600. there", False), ("format:emoji", {}, "Hi \U0001F600!!", True), ("format:emoji", {}, "Hi. \U0001F600 there \U0001F600", True), ("format:emoji", {}, "Hi. ... \U0001F600", False), ("format:emoji", {}, "One. Two \U0001F600", False), ("language:response_language", {"language": "ru"}, "\u043f\u0440\u0438\u0432\u0435\u0442", True), ("language:response_language", {"language": "ru"}, "hello", False),
 ]
 
 
