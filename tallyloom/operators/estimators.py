@@ -217,3 +217,25 @@ def rloo_of_sources(df: DataFrame, sources: dict[str, tuple[str, str, float]], g
     own = own.withColumn("_r", F.when(F.col(mask), total).otherwise(0.0)).withColumn("returns", returns_to_go("_r", sequence, t))
     kept = [c for c in own.columns if c != "_r" and c not in {f"_{n}" for n in sources}]
     return whiten(own.select(*kept).withColumn("advantage", F.col("returns")), "advantage", mask)
+
+
+def plus_plus(df: DataFrame, reward: str, sequence: str, t: str, mask: str, *, gamma: float) -> DataFrame:
+    """sequence, t, returns and advantage: returns discounted from the end, starting anew before tokens that don't count, whitened over those that do; 0 elsewhere."""
+    v = vectors(df, sequence, t, reward, mask).withColumn("_r", discounted(F.col(reward), F.col(mask), gamma))
+    order = df.groupBy(sequence).agg(F.array_sort(F.collect_list(t)).alias("_t"))
+    zipped = v.join(order, sequence).select(sequence, F.explode(F.arrays_zip("_t", "_r", mask)).alias("_z"))
+    rows = zipped.select(sequence, F.col("_z._t").alias(t), F.col("_z._r").alias("returns"), F.col(f"_z.{mask}").alias(mask)).withColumn("advantage", F.col("returns"))
+    return whiten(rows, "advantage", mask).withColumn("advantage", F.when(F.col(mask), F.col("advantage")).otherwise(0.0))
+
+
+def remax(df: DataFrame, reward: str, baselines: DataFrame, baseline: str, sequence: str, t: str, mask: str) -> DataFrame:
+    """Add returns (of tokens that count, to the end of the sequence) and advantage: less the sequence's baseline on tokens that count. A sequence without a baseline has 0."""
+    own = baselines.select(F.col(sequence).alias("_q"), F.col(baseline).alias("_b"))
+    joined = df.join(own, df[sequence] == own["_q"], "left").withColumn("_r", F.when(F.col(mask), F.col(reward)).otherwise(0.0))
+    out = joined.withColumn("returns", returns_to_go("_r", sequence, t))
+    return out.withColumn("advantage", F.col("returns") - F.when(F.col(mask), F.coalesce("_b", F.lit(0.0))).otherwise(0.0)).drop("_q", "_b", "_r")
+
+
+def position_means(df: DataFrame, t: str, mask: str, values: list[str]) -> DataFrame:
+    """Means by position over tokens that count, and how many they are; positions without one don't appear."""
+    return df.where(F.col(mask)).groupBy(t).agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values])
