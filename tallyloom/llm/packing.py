@@ -12,6 +12,7 @@ within their length and placed on the executors.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -29,6 +30,8 @@ CACHE_WORDS = 600_000
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 EDGES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 VISIBLE = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
+#: What a byte-level vocabulary writes for bytes that have no sign of their own: the signs from 256 on, in order.
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 
 
 @dataclass(frozen=True)
@@ -119,12 +122,19 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.parts = Parts(self)
         self.others = Others(self)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def piece(self, word: str) -> bytes:
+        """The same for one word or run of signs as EDGES cuts them, which nothing cuts further or changes: the vocabulary's merges alone."""
+        signs = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = [t.id for t in self.model.tokenize(signs)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
@@ -160,7 +170,7 @@ class Parts(dict):
         part = key.decode("latin-1")
         if VISIBLE.fullmatch(part):
             cut = EDGES.findall(part)
-            found = b"".join([self[w.encode("latin-1")] for w in cut]) if len(cut) > 1 else self.words.setdefault(key, self.own.encode(part))
+            found = b"".join([self[w.encode("latin-1")] for w in cut]) if len(cut) > 1 else self.words.setdefault(key, self.own.piece(part))
         else:
             found = self.own.encode(part)
         self[key] = found

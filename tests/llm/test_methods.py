@@ -586,3 +586,14 @@ def test_language_held_out(spark):
 
 def test_names_do_not_depend_on_place(spark):
     assert common.shared_dir(spark).startswith("file:")
+
+
+def test_pieces_by_merges_alone(spark, texts):
+    """What EDGES cuts has the ids that the whole tokenizer gives it, letters of all of Latin-1 and any signs included."""
+    own = packing.WordTokens(packing.tokenizer_path())
+    rng = random.Random(9)
+    signs = [c for c in map(chr, range(0x21, 0x100)) if packing.VISIBLE.fullmatch(c) and c.lower() == c]
+    found = {w for t in texts.values() for p in (t or "").lower().split() if packing.VISIBLE.fullmatch(p) for w in packing.EDGES.findall(p)}
+    for _ in range(5000):
+        found.update(packing.EDGES.findall("".join(rng.choice(signs) for _ in range(rng.randint(1, 6)))))
+    assert len(found) > 5000 and all(own.piece(w) == own.encode(w) for w in found)
