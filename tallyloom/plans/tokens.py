@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import estimators as E
 from tallyloom.sources import views as V
 
-from .registry import query
+from .registry import query, scaled_round
 
 
 @query("g10_plus_plus", """WITH RECURSIVE x AS (SELECT sequence, t, reward, mask, row_number() OVER (PARTITION BY sequence ORDER BY t DESC) AS i FROM v_tokens), r AS (SELECT sequence, t, i, mask, reward AS ret, reward * mask::INT AS carry FROM x WHERE i = 1
@@ -15,7 +15,7 @@ from .registry import query
     SELECT sequence, t, round(ret, 5) AS returns, round(CASE WHEN mask THEN (ret - (SELECT avg(ret) FROM r WHERE mask)) / sqrt((SELECT var_samp(ret) FROM r WHERE mask) + 1e-8) ELSE 0 END, 5) AS advantage FROM r""")
 def g10(spark, d):
     got = E.plus_plus(V.tokens(spark, d), "reward", "sequence", "t", "mask", gamma=0.9)
-    return got.select("sequence", "t", F.round("returns", 5).alias("returns"), F.round("advantage", 5).alias("advantage"))
+    return got.select("sequence", "t", scaled_round("returns", 5).alias("returns"), scaled_round("advantage", 5).alias("advantage"))
 
 
 @query("g11_remax", """SELECT v.sequence, t, round(sum(CASE WHEN mask THEN reward ELSE 0 END) OVER w, 6) AS returns, round(sum(CASE WHEN mask THEN reward ELSE 0 END) OVER w - CASE WHEN mask THEN coalesce(b, 0) ELSE 0 END, 6) AS advantage
