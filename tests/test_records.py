@@ -95,3 +95,16 @@ def test_scorers(spark):
         S.reward("none", F.lit("x"), F.lit("y"))
     with pytest.raises(ValueError, match="taken"):
         S.register("math")(lambda x, g: x)
+
+
+def test_a_step_is_written_by_several_tasks(spark):
+    """No task gets all rows of a step, and a step's files count as one."""
+    base = folders.fresh_path(spark, "t")
+    rows = spark.range(0, 400, 1, 4).selectExpr("'r' || id % 2 AS run", "id % 3 AS step", "'p' || id % 5 AS prompt")
+    R.write_steps(rows, base, "step", run="run", compression="gzip")
+    assert len(folders.listed(spark, f"{base}/r0/1.jsonl/part-*.gz")) == 4
+    assert [s for s, _ in R.step_files(spark, f"{base}/r1")] == [0, 1, 2]
+    assert R.load_run(spark, {"r": f"{base}/r1"}, "r", "prompt string", steps=[2]).groupBy("step").count().collect() == [(2, 66)]
+    files = [p for _, p in R.step_files(spark, f"{base}/r0")]
+    assert sorted((r.file, r.rows) for r in R.light_index(spark, files, "none").collect()) == [("0.jsonl", 67), ("1.jsonl", 66), ("2.jsonl", 67)]
+    assert sorted((r.file, r.rows, r.unique_prompts) for r in R.full_index(spark, files, "none", "prompt string", "prompt").collect()) == [("0.jsonl", 67, 5), ("1.jsonl", 66, 5), ("2.jsonl", 67, 5)]
