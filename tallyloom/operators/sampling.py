@@ -74,3 +74,37 @@ def resample(df: DataFrame, weight: Column, keys: list[str], *, seed: int = 0) -
     u = (seed * 0.6180339887498949) % 1
     at = lambda x: F.ceil(F.least(F.lit(1.0), x / F.col("_total")) * F.col("_n") - u)
     return placed.withColumn("draws", (at(F.col("_end")) - at(F.col("_end") - F.col("_w"))).cast("long")).drop("_w", "_b", "_start", "_total", "_n", "_end")
+
+
+def place_of(df: DataFrame, key: str, k: int, *, bins: int = 4096) -> tuple[int | None, int, int]:
+    """The k-th smallest of a whole-number key (from 1, nulls last), which of the rows equal to it that is, and how many there are.
+
+    Counts by bin are narrowed down to a single value, by at most `bins` lines a pass, so no task sees the whole order.
+    """
+    low, high, known, rows = df.agg(F.min(key), F.max(key), F.count(key), F.count("*")).first()
+    if k > known:
+        return None, k - known, rows - known
+    while True:
+        width = (high - low) // bins + 1
+        counts = df.where(F.col(key).between(low, high)).groupBy(F.expr(f"(`{key}` - {low}L) div {width}L").alias("b")).count().collect()
+        for b, n in sorted(map(tuple, counts)):
+            if k <= n:
+                break
+            k -= n
+        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+        if low == high:
+            return low, k, n
+
+
+def head_tail(df: DataFrame, key: str, part: int, of: int, head: str, tail: str, out: str) -> DataFrame:
+    """Add out: head for the first part/of rows in the order of a whole-number key, rounded down, else tail; nulls come last. Of rows equal to the last of them as many as there is room for, whichever."""
+    k = df.count() * part // of
+    if not k:
+        return df.withColumn(out, F.lit(tail))
+    cut, room, equal = place_of(df, key, k)
+    same = F.col(key).eqNullSafe(F.lit(cut))
+    before = F.col(key).isNotNull() if cut is None else F.coalesce(F.col(key) < cut, F.lit(False))
+    if room == equal:
+        return df.withColumn(out, F.when(before | same, head).otherwise(tail))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))) <= room
+    return df.where(~same).withColumn(out, F.when(before, head).otherwise(tail)).unionByName(df.where(same).withColumn(out, F.when(first, head).otherwise(tail)))

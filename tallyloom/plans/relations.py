@@ -270,9 +270,7 @@ def p25_s26(spark, d):
 
 @query("p26_head_tail_split", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= 0.75 * count(*) OVER () THEN 'train' ELSE 'test' END AS split FROM documents")
 def p26(spark, d):
-    rows = V.table(spark, d, "documents").select("doc_id")
-    cut = rows.agg(F.percentile("doc_id", 0.75).alias("_c"))
-    return rows.crossJoin(F.broadcast(cut)).select("doc_id", F.when(F.col("doc_id") <= F.col("_c"), "train").otherwise("test").alias("split"))
+    return S.head_tail(V.table(spark, d, "documents").select("doc_id"), "doc_id", 3, 4, "train", "test", "split")
 
 
 @query("p27_accuracy_band", "SELECT prompt_id, sample_id FROM (SELECT *, avg(acc::INT) OVER (PARTITION BY prompt_id) AS a, max(length) OVER (PARTITION BY prompt_id) AS m FROM v_rollouts) WHERE a BETWEEN 0.2 AND 0.8 AND m < 50")
