@@ -119,3 +119,14 @@ def test_strict_first(spark):
     rows = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases)], "k int, id string, args map<string,string>, text string")
     got = {r[0]: r[1] for r in rows.select("k", W.strict_first(F.col("text"), F.col("id"), F.col("args"), [c[0] for c in cases])).collect()}
     assert [(got[k]["passed"], got[k]["rule"]) for k in range(len(cases))] == [c[3:] for c in cases]
+
+
+def test_checker_queries_without_a_text(spark):
+    """As in the queries' SQL: null without a text but for what can't pass, and an empty text has no comma."""
+    from tallyloom.plans import texts
+
+    rows = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.id, r.passed) for r in texts.C.check_each(rows, "text", [c[:2] for c in texts.CASES], texts._verdict).collect()}
+    assert {i for d, i, passed in got if d == 1 and passed is False} == {*texts._CLOSED, "detectable_content:number_placeholders"}
+    assert (1, "detectable_content:number_placeholders", None) in got and (1, "punctuation:no_comma", None) in got
+    assert (2, "punctuation:no_comma", True) in got and (2, "totally:unknown", None) in got
