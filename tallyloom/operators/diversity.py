@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = 4
+GRAM = ("n", "a", "b")
 
 
 def international(text: Column) -> Column:
@@ -18,10 +19,14 @@ def international(text: Column) -> Column:
 
 
 def grams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens as (n, text)."""
+    """All runs of n tokens as (n, a, b): two hashes of 64 bits stand for the text of a run, which is several times as long."""
     last = F.size(tokens) - n
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i + 1, n), "\x01").alias("gram")))
-    return F.when(last >= 0, runs).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+
+    def hashed(i: Column) -> Column:
+        gram = F.array_join(F.slice(tokens, i + 1, n), "\x01")
+        return F.struct(F.lit(n).alias("n"), F.xxhash64(gram).alias("a"), F.xxhash64(F.lit(n), gram).alias("b"))
+
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), hashed)).otherwise(F.array().cast("array<struct<n:int,a:bigint,b:bigint>>"))
 
 
 def excess(counts: DataFrame, keys: list[str], row: str) -> DataFrame:
@@ -31,8 +36,8 @@ def excess(counts: DataFrame, keys: list[str], row: str) -> DataFrame:
     gives at most one line: rows are summed up by count before they meet, and an n-gram that every row has is no
     heavier than a rare one.
     """
-    held = counts.groupBy(*keys, "n", "gram", "c").agg(F.count("*").alias("m"), F.max(row).alias("holder"))
-    tops = held.groupBy(*keys, "n", "gram").agg(F.sort_array(F.collect_list(F.struct("c", "m", "holder")), asc=False).alias("tops"))
+    held = counts.groupBy(*keys, *GRAM, "c").agg(F.count("*").alias("m"), F.max(row).alias("holder"))
+    tops = held.groupBy(*keys, *GRAM).agg(F.sort_array(F.collect_list(F.struct("c", "m", "holder")), asc=False).alias("tops"))
     first, second = F.element_at("tops", 1), F.coalesce(F.try_element_at("tops", F.lit(2))["c"], F.lit(0))
     alone = tops.where(first["m"] == 1).select(*keys, first["holder"].alias(row), "n", (first["c"] - second).alias("over"))
     return alone.groupBy(*keys, row, "n").agg(F.sum("over").alias("over"))
@@ -60,10 +65,13 @@ def sentence_scores(rows: DataFrame, keys: list[str], row: str, text: str) -> Da
     Orders without a match count half, a quarter, ... of one match. A row alone in its group has null, one without
     tokens or without a match 0. Row ids are distinct within a group; a null text has no tokens.
     """
-    tokens = rows.select(*keys, F.col(row), international(F.col(text)).alias("tokens"))
+    session = rows.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)  # a number of its own: by the texts' size alone there would be too few
+    # texts go by row, so that their n-grams, which are many times as long, are counted where they are
+    tokens = rows.select(*keys, F.col(row), F.col(text).alias("_text")).repartition(parts, *keys, row).select(*keys, row, international(F.col("_text")).alias("tokens"))
     sizes = tokens.select(*keys, row, F.size("tokens").alias("size"))
-    each = tokens.select(*keys, row, F.explode(F.concat(*[grams(F.col("tokens"), n) for n in range(1, ORDERS + 1)])).alias("_run")).select(*keys, row, "_run.n", "_run.gram")
-    counts = each.groupBy(*keys, row, "n", "gram").agg(F.count("*").alias("c"))
+    each = tokens.select(*keys, row, F.explode(F.concat(*[grams(F.col("tokens"), n) for n in range(1, ORDERS + 1)])).alias("_run")).select(*keys, row, *[F.col(f"_run.{c}") for c in GRAM])
+    counts = each.groupBy(*keys, row, *GRAM).agg(F.count("*").alias("c"))
     over = excess(counts, keys, row).groupBy(*keys, row).pivot("n", list(range(1, ORDERS + 1))).agg(F.first("over"))
     joined = looked_up(looked_up(sizes, nearest_lengths(sizes, keys), [*keys, "size"]), over, [*keys, row])
     joined = joined.select(*keys, row, "size", "reference", *[F.coalesce(F.col(str(n)), F.lit(0)).alias(f"over{n}") for n in range(1, ORDERS + 1)])

@@ -56,3 +56,11 @@ def test_against_definition(spark):
 
 def test_no_rows(spark):
     assert diversity.self_bleu(spark.createDataFrame([], "g string, k long, text string"), ["g"], "k", "text").collect() == []
+
+
+def test_ngrams_are_counted_where_texts_are(spark):
+    """Texts are shuffled once by row; counting their n-grams needs no shuffle of its own, and what goes on is hashes."""
+    rows = spark.createDataFrame([("g", k, "a b c d e f") for k in range(3)], "g string, k long, text string")
+    plan = diversity.sentence_scores(rows, ["g"], "k", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning(g" in line and "gram" in line]
