@@ -115,6 +115,6 @@ _LANGUAGE = f"""WITH {_GRAMS}, k AS (SELECT lang AS language, gram, sum(c) AS c
 @query("v05_languages", f"{_LANGUAGE} SELECT d.doc_id, d.doc_id % 5 = 0 AS held_out, language, coalesce(n, 0) AS n FROM documents d LEFT JOIN b USING (doc_id)")
 def v05_c03(spark, d):
     """Learnt from four fifths of the rows, told of all."""
-    docs = V.table(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = V.spread(V.table(spark, d, "documents").select("doc_id", "text", "lang"))
     profile = L.profiles(docs.where("doc_id % 5 <> 0"), "text", "lang")
     return L.languages(docs, "doc_id", "text", profile).withColumn("held_out", F.col("doc_id") % 5 == 0)

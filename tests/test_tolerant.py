@@ -1,6 +1,7 @@
 """Repairs of JSON, and languages on rows that taught nothing."""
 
 import json
+import math
 
 import pytest
 
@@ -39,3 +40,17 @@ def test_texts_without_letters(spark):
     got = {r.id: (r.language, r.n) for r in language.languages(df, "id", "t", language.profiles(df, "t", "lang")).collect()}
     assert got[1] == got[2] == got[3] == (None, 0) and [got[k][0] for k in (4, 5, 6)] == ["en", "fr", "en"]
     assert all(r.language is None for r in language.languages(df, "id", "t", language.profiles(df.limit(0), "t", "lang")).collect())
+
+
+def test_languages_where_texts_are(spark, monkeypatch):
+    """Nothing is shuffled by text and trigram, and bundles of any size give the same, also with signs beyond two bytes."""
+    df = spark.createDataFrame([(1, "the cat 𝒜𝒷𝒸 and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "fr"), (4, "à 12", None), (5, "the dog " * 50, None)], "id int, t string, lang string")
+    profile = language.profiles(df, "t", "lang")
+    assert profile.where("gram = '𝒜𝒷𝒸'").count() == 1 and profile.where("gram = 'the'").first().weight == pytest.approx(math.log(2.5 / 0.5))
+    rows = language.languages(df, "id", "t", profile)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(tuple, rows.collect()))
+    assert whole[0] == (1, "en", 23) and whole[2] == (3, None, 0) and whole[3][2] == 1 and whole[4][:2] == (5, "en")
+    monkeypatch.setattr(language, "SIGNS", 1)
+    monkeypatch.setattr(language, "SIDE", 1)
+    assert sorted(map(tuple, language.languages(df, "id", "t", language.profiles(df, "t", "lang")).collect())) == whole
