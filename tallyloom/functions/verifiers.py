@@ -58,6 +58,11 @@ def count(x: Column, pattern: str) -> Column:
     return F.regexp_count(x, F.lit(pattern))
 
 
+def signs(x: Column, some: str) -> Column:
+    """How many signs of a set there are, by what is left without runs of them: no list of single signs is made."""
+    return F.length(x) - F.length(F.regexp_replace(x, f"{some}+", ""))
+
+
 def stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
 
@@ -177,9 +182,10 @@ def _(x, a):
 def _(x, a):
     language = F.lower(named(a, "language", "reasoning_language", "target_language"))
     says = lambda *names: reduce(lambda p, q: p | q, [language.contains(n) for n in names])
-    total = count(x, "[A-Za-z一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]")
-    enough = lambda pattern, part: count(x, pattern) >= F.greatest(F.lit(20.0), F.lit(part) * total)
-    out = F.when(language.isNull(), F.lit(True)).when(total == 0, F.lit(False)).when(says("chinese", "中文"), enough(HAN, 0.4)).when(says("japanese"), enough("[぀-ヿ一-鿿]", 0.4))
+    rest = "[一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]"
+    total = signs(x, LATIN) + signs(x, rest)
+    enough = lambda pattern, part: let(signs(x, pattern), lambda n: n >= F.greatest(F.lit(20.0), F.lit(part) * ((n + signs(x, rest)) if pattern == LATIN else total)))
+    out = F.when(language.isNull(), F.lit(True)).when(~x.rlike("[A-Za-z一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ]"), F.lit(False)).when(says("chinese", "中文"), enough(HAN, 0.4)).when(says("japanese"), enough("[぀-ヿ一-鿿]", 0.4))
     out = out.when(says("korean"), enough(HANGUL, 0.4)).when(says("russian", "cyrillic"), enough(CYRILLIC, 0.4)).when(says("arabic"), enough(ARABIC, 0.4))
     return out.when(says("english", "spanish", "french", "german", "italian", "portuguese", "dutch"), enough(LATIN, 0.6)).otherwise(F.lit(True))
 

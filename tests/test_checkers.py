@@ -130,3 +130,13 @@ def test_checker_queries_without_a_text(spark):
     assert {i for d, i, passed in got if d == 1 and passed is False} == {*texts._CLOSED, "detectable_content:number_placeholders"}
     assert (1, "detectable_content:number_placeholders", None) in got and (1, "punctuation:no_comma", None) in got
     assert (2, "punctuation:no_comma", True) in got and (2, "totally:unknown", None) in got
+
+
+def test_languages_without_lists_of_signs(spark):
+    """Letters are counted by lengths, over all scripts and planes, and not by a list of the single ones."""
+    texts = ["a" * 20, "a" * 19, "a" * 30 + "я" * 20, "a" * 30 + "я" * 21, "𝒜" * 40 + "b" * 20, "", "12", None, "漢" * 20 + "a" * 30, "漢" * 20 + "a" * 31]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    told = lambda language: df.select("i", W.REASONED["language:reasoning_language"](F.coalesce("t", F.lit("")), lambda n: F.lit(language if n == "language" else None).cast("string")).alias("p"))
+    assert {r.i: r.p for r in told("English").collect()} == {0: True, 1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: False, 8: True, 9: True}
+    assert {r.i: r.p for r in told("Chinese").collect() if r.i > 7} == {8: True, 9: False}
+    assert "regexp_extract_all" not in (plan := told("English")._jdf.queryExecution().optimizedPlan().toString()) and "regexp_count" not in plan
