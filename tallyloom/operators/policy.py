@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import losses as L
@@ -57,6 +57,19 @@ def policy_loss(name: str, tokens: DataFrame, settings: Settings | None = None)
     return LOSSES[name](tokens, s).withColumn("loss", F.when(F.col(s.mask), F.col("loss")))
 
 
+def policy_losses(names: list[str], tokens: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The tokens with `loss_<name>` and, where the loss singles tokens out, `singled_<name>` for each of the names.
+
+    The tokens are stored once; the losses are columns of the same rows, so windows over a sequence share one shuffle.
+    """
+    path = folders.fresh_path(tokens.sparkSession, "tokens")
+    tokens.write.parquet(path)
+    rows = tokens.sparkSession.read.schema(tokens.schema).parquet(path)
+    for name in names:
+        rows = policy_loss(name, rows, settings).withColumnsRenamed({"loss": f"loss_{name}", "singled": f"singled_{name}"})
+    return rows
+
+
 def parts(s: Settings) -> tuple[Column, Column, Column]:
     """Advantage, log-ratio, and the ratio as it is."""
     d = F.col(s.new) - F.col(s.old)
@@ -115,11 +128,36 @@ def first_of(df: DataFrame, order: list[Column], n: int, keys: list[str]) -> Dat
     return held.where(inside).select(*keys)
 
 
-def marked(df: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows with `_chosen`."""
-    named = chosen.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_c"))
-    on = [df[k].eqNullSafe(named[f"_{k}"]) for k in keys]
-    return df.join(named, on, "left").withColumn("_chosen", F.coalesce("_c", F.lit(False))).drop("_c", *[f"_{k}" for k in keys])
+def last_of_first(df: DataFrame, order: dict[str, bool], n: int) -> Row | None:
+    """The n-th row in an order that tells rows apart (names of columns, and whether they descend), or the last if there are fewer; None without rows.
+
+    Dealt and sorted by ranges and counted by range, so no task holds more than its range and the driver sees one row.
+    """
+    spark, path = df.sparkSession, folders.fresh_path(df.sparkSession, "first")
+    by = [F.desc(c) if down else F.asc(c) for c, down in order.items()]
+    df.select(*order).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    counts = sorted((r.p, r.c) for r in held.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("c")).collect())  # one row a range
+    at = None
+    for p, c in counts:
+        if n > 0:
+            at = (p << 33) + min(c, n) - 1
+            n -= c
+    return None if at is None else held.where(F.col("_at") == at).first()
+
+
+def up_to(order: dict[str, bool], last: Row | None) -> Column:
+    """Whether a row is no later in the order than `last`, nulls where Spark sorts them: first if ascending, last if descending."""
+    out = F.lit(last is not None)
+    for name, down in reversed(list(order.items()) if last is not None else []):
+        c, end = F.col(name), F.lit(last[name])
+        before = F.when(end.isNull(), c.isNotNull() & F.lit(down)).when(c.isNull(), F.lit(not down)).otherwise((c > end) if down else (c < end))
+        out = before | (c.eqNullSafe(end) & out)
+    return out
+
+
+def able_of(s: Settings, cut: Column, plain: Column) -> Column:
+    return F.col(s.mask) & (F.col("_cov") > s.cov_low) & (F.col("_cov") < s.cov_high) & ~(cut > plain)
 
 
 @register("clip_cov")
@@ -131,11 +169,13 @@ def clip_cov(df: DataFrame, s: Settings) -> DataFrame:
     a, _, ratio = parts(s)
     plain, cut = -a * ratio, -a * L.clamp(ratio, 1 - s.low, 1 + s.high)
     told, n = covariances(df, s)
-    able = told.where(F.col(s.mask) & (F.col("_cov") > s.cov_low) & (F.col("_cov") < s.cov_high) & ~(cut > plain))
-    keys = [s.sequence, s.t]
-    draw = hashed(F.lit(str(s.seed)), *[F.col(k).cast("string") for k in keys])
-    chosen = first_of(able.select(*keys).withColumn("_h", draw), [F.col("_h"), *[F.col(k) for k in keys]], max(int(s.cov_ratio * n), 1), keys)
-    return marked(told, chosen, keys).withColumn("loss", F.when(F.col("_chosen"), 0.0).otherwise(F.greatest(plain, cut))).drop("_cov").withColumnRenamed("_chosen", "singled")
+    able = told.where(able_of(s, cut, plain))
+    draw = hashed(F.lit(str(s.seed)), *[F.col(k).cast("string") for k in (s.sequence, s.t)])
+    order = {"_h": False, s.sequence: False, s.t: False}
+    last = last_of_first(able.withColumn("_h", draw), order, max(int(s.cov_ratio * n), 1))
+    chosen = able_of(s, cut, plain) & up_to(order, last)
+    told = told.withColumn("_h", draw).withColumn("singled", F.coalesce(chosen, F.lit(False)))
+    return told.withColumn("loss", F.when(F.col("singled"), 0.0).otherwise(F.greatest(plain, cut))).drop("_cov", "_h")
 
 
 @register("kl_cov")
@@ -143,7 +183,7 @@ def kl_cov(df: DataFrame, s: Settings) -> DataFrame:
     """Without a clip; the tokens (`singled`) of the greatest covariances, a share of cov_ratio of the valid ones and one at least, pay for their distance."""
     a, d, ratio = parts(s)
     told, n = covariances(df, s)
-    keys = [s.sequence, s.t]
-    able = told.where(F.col(s.mask)).select(*keys, "_cov")
-    chosen = first_of(able, [F.desc("_cov"), *[F.col(k) for k in keys]], max(1, int(n * s.cov_ratio)), keys)
-    return marked(told, chosen, keys).withColumn("loss", -a * ratio + F.when(F.col("_chosen"), s.kl_coefficient * F.abs(d)).otherwise(0.0)).drop("_cov").withColumnRenamed("_chosen", "singled")
+    order = {"_cov": True, s.sequence: False, s.t: False}
+    last = last_of_first(told.where(F.col(s.mask)), order, max(1, int(n * s.cov_ratio)))
+    told = told.withColumn("singled", F.coalesce(F.col(s.mask) & up_to(order, last), F.lit(False)))
+    return told.withColumn("loss", -a * ratio + F.when(F.col("singled"), s.kl_coefficient * F.abs(d)).otherwise(0.0)).drop("_cov")

@@ -28,10 +28,7 @@ def d05(spark, d):
     """Every registered loss; `marked` says how many tokens of a sequence the covariance singled out."""
     s = P.Settings(new="logp_a", old="logp_b", advantage="a", cov_ratio=0.05, cov_low=0.0001, cov_high=0.01)
     tokens = V.tokens(spark, d).withColumn("a", F.col("reward") - 0.05)
-    out = None
-    for name in _LOSSES:
-        rows = P.policy_loss(name, tokens, s)
-        singled = F.col("singled") if "singled" in rows.columns else F.lit(False)
-        one = rows.groupBy(F.lit(name).alias("name"), "sequence").agg(F.avg("loss").alias("loss"), F.count_if(singled & F.col("mask")).alias("marked"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = P.policy_losses(list(_LOSSES), tokens, s)
+    count = lambda name: F.count_if(F.col(f"singled_{name}") & F.col("mask")) if f"singled_{name}" in rows.columns else F.lit(0).cast("long")
+    each = rows.groupBy("sequence").agg(*[F.struct(F.lit(n).alias("name"), F.avg(f"loss_{n}").alias("loss"), count(n).alias("marked")).alias(n) for n in _LOSSES])
+    return each.select("sequence", F.explode(F.array(*_LOSSES)).alias("r")).select("r.name", "sequence", "r.loss", "r.marked")

@@ -48,3 +48,21 @@ def test_first_of_ties(spark):
     df = spark.range(1000).select(F.lit(1).alias("k"), "id")
     got = P.first_of(df, [F.col("k"), F.col("id")], 137, ["id"])
     assert sorted(r.id for r in got.collect()) == list(range(137)) and P.first_of(df.limit(0), [F.col("k")], 5, ["id"]).collect() == []
+
+
+def test_losses_of_one_pass(spark):
+    """All losses as columns of the same rows are what each gives by itself, by one shuffle, and rows up to a cutoff are the first ones."""
+    _, df = tokens(spark)
+    s = P.Settings(cov_ratio=0.2, cov_low=0.0, cov_high=5.0)
+    rows = P.policy_losses(list(P.LOSSES), df, s)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for name in P.LOSSES:
+        one = {(r.sequence, r.t): (r.loss, getattr(r, "singled", None)) for r in P.policy_loss(name, df, s).collect()}
+        assert one == {(r.sequence, r.t): (r[f"loss_{name}"], r.asDict().get(f"singled_{name}")) for r in rows.collect()}
+    odd = spark.createDataFrame([(a, b) for a in (None, 1, 2, 3) for b in (None, 1, 2)], "a int, b int")
+    for order in ({"a": True, "b": False}, {"a": False, "b": True}):
+        by = [F.desc(c) if down else F.asc(c) for c, down in order.items()]
+        for n in (1, 4, 5, 9, 14):
+            got = odd.where(P.up_to(order, P.last_of_first(odd, order, n))).collect()
+            assert sorted(map(str, got)) == sorted(map(str, odd.orderBy(*by).limit(n).collect()))
+    assert odd.where(P.up_to({"a": False}, P.last_of_first(odd.limit(0), {"a": False}, 3))).count() == 0
