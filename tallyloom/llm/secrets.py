@@ -4,8 +4,8 @@ Everything is a native expression. Long tokens of digits and letters are tested,
 for the encoding they seem to be in, for uniform use of the alphabet and of its kinds of
 signs (chi-squared), for runs above and below its middle, and for serial correlation.
 The tests' evidence against randomness is added up. How much evidence typed strings of
-that encoding and length give is learnt from the corpus itself: each document
-lends a stretch of prose, written as one string. So a token's p-value is the chance that
+that encoding and length give is learnt from the corpus itself: the prose of all
+documents, written as strings end to end. So a token's p-value is the chance that
 something typed looks as random as it does, and Benjamini and Hochberg's procedure, for each
 encoding and class of length, bounds the share of typed strings among those
 reported. Short strings, which tell little, need more evidence than long ones.
@@ -167,25 +167,42 @@ def encoding_columns(e: tuple) -> list[Column]:
     return [F.lit(e[2]), F.lit(e[3]), F.array(*[F.lit(float(x)) for x in e[4]])]
 
 
+#: The shortest length of each class, which tells least; a block of prose has one string of each.
+LENGTHS = {size: math.ceil(2 ** (size / 2)) for size in SIZES}
+BLOCK = sum(LENGTHS.values())
+
+
+def turns() -> Column:
+    """For each place to begin with, the classes in turn: size, length and where in a block its string starts."""
+    out = []
+    for first in range(len(SIZES)):
+        at, own = 1, []
+        for size in (*SIZES[first:], *SIZES[:first]):
+            own.append(F.struct(F.lit(size).alias("size"), F.lit(LENGTHS[size]).alias("n"), F.lit(at).alias("at")))
+            at += LENGTHS[size]
+        out.append(F.array(*own))
+    return F.array(*out)
+
+
 def typed_strings(docs: DataFrame, text: str) -> DataFrame:
-    """(encoding, size, evidence) of strings that prose makes: of each document one stretch at a hashed place, and many of PROSE.
+    """(encoding, size, evidence) of strings that prose makes: of every whole text, end to end, and of PROSE.
 
     Words with digits go, then all but A-Z and a-z. base64 gets the words with capitals in front, run together; the others
-    the letters in their own alphabet. Which encoding and length a document lends goes by a hash of its text.
+    the letters in their own alphabet. Blocks of letters go to one encoding after another, and a block is cut into one string of each
+    class of length; with which encoding and class a text begins goes by its hash. Only an end too short for its class is left over.
     """
-    h = F.xxhash64(F.col(text), F.lit(7))
-    place = F.pmod(h, F.greatest(F.length(text) - 400, F.lit(0)) + 1).cast("int") + 1
-    rows = docs.where(F.length(text) > 0).select(F.substring(F.col(text), place, F.lit(400)).alias("t"), h.alias("h"))
-    own = docs.sparkSession.range(len(ENCODINGS) * len(SIZES) * 25).select(F.substring(F.lit(PROSE), (1 + F.pmod(F.col("id") * 37, F.lit(len(PROSE) - 400))).cast("int"), F.lit(400)).alias("t"), F.col("id").alias("h"))
-    camel = F.regexp_replace(F.initcap(F.regexp_replace("t", "\\S*[0-9]\\S*", " ")), "[^A-Za-z]", "")
-    size = (F.pmod(F.floor(F.col("h") / len(ENCODINGS)), F.lit(len(SIZES))) + SIZES[0]).cast("int")
-    n = F.ceil(F.pow(F.lit(2.0), F.col("size") / 2)).cast("int")  # the shortest of the class, which tells least
+    rows = docs.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(F.col(text), F.lit(7)).alias("h"))
+    own = docs.sparkSession.range(len(ENCODINGS) * len(SIZES) * 8).select(F.substring(F.lit(PROSE), (1 + F.pmod(F.col("id") * 37, F.lit(len(PROSE) - 400))).cast("int"), F.lit(400)).alias("t"), F.col("id").alias("h"))
+    camel = F.regexp_replace(F.initcap(F.regexp_replace("t", r"(?<!\S)[^\s0-9]*+[0-9]\S*", " ")), "[^A-Za-z]+", "")
+    blocks = rows.union(own).select("h", F.posexplode(F.regexp_extract_all(camel, F.lit(f".{{1,{BLOCK}}}"), F.lit(0))).alias("k", "b"))
+    turn = F.pmod(F.floor(F.col("h") / len(ENCODINGS)) + F.floor(F.col("k") / len(ENCODINGS)), F.lit(len(SIZES))).cast("int")
+    chosen = blocks.select("b", F.pmod(F.col("h") + F.col("k"), F.lit(len(ENCODINGS))).cast("int").alias("e"), F.explode(F.element_at(turns(), turn + 1)).alias("c"))
+    strings = chosen.select("e", "c.size", "c.n", F.col("b").substr(F.col("c.at"), F.col("c.n")).alias("s")).where(F.length("s") == F.col("n"))
     lower = F.translate(F.lower("s"), "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef0123456789")
-    chosen = rows.union(own).select(camel.alias("s"), F.pmod("h", F.lit(len(ENCODINGS))).cast("int").alias("e"), size.alias("size"))
-    cut = chosen.select("e", "size", F.substring(F.when(F.col("e") == 3, F.col("s")).when(F.col("e") == 2, F.upper("s")).when(F.col("e") == 1, F.upper(lower)).otherwise(lower), F.lit(1), n).alias("s"), n.alias("n"))
+    cut = strings.select("e", "size", F.when(F.col("e") == 3, F.col("s")).when(F.col("e") == 2, F.upper("s")).when(F.col("e") == 1, F.upper(lower)).otherwise(lower).alias("s"))
     pick = lambda k: F.element_at(F.array(*[encoding_columns(e)[k] for e in ENCODINGS]), F.col("e") + 1)
     name = F.element_at(F.array(*[F.lit(e[0]) for e in ENCODINGS]), F.col("e") + 1)
-    return cut.where(F.length("s") == F.col("n")).select(name.alias("encoding"), "size", evidence(F.col("s"), *[pick(k) for k in range(3)]).alias("evidence"))
+    return cut.select(name.alias("encoding"), "size", evidence(F.col("s"), *[pick(k) for k in range(3)]).alias("evidence"))
 
 
 def typed_moments(docs: DataFrame, text: str) -> dict[tuple[str, int], tuple[float, float]]:

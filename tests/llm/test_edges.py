@@ -153,3 +153,12 @@ def test_secrets_of_a_text_full_of_them(spark):
         spans = sorted((s.start, s.stop) for s in got[k] if s.kind == "hex")
         assert spans == [(shift + 25 * i, shift + 25 * i + 24) for i in range(20_000)]
         assert sum(s.kind == "assign" for s in got[k]) == 3
+
+
+def test_typed_strings_of_whole_texts(spark):
+    """All of a text is typed: each block of its letters gives one string of every class, wherever it stands."""
+    text = "the quick brown fox jumps over 12 lazy dogs and ab3cd runs " * 400
+    letters = len("".join(w for w in text.split() if not any(c.isdigit() for c in w)))
+    own = secrets.typed_strings(spark.createDataFrame([], "text string"), "text").count()
+    got = secrets.typed_strings(spark.createDataFrame([(text,), (None,), ("",)], "text string"), "text").count() - own
+    assert 0 <= got - letters // secrets.BLOCK * len(secrets.SIZES) < len(secrets.SIZES) and letters > 10_000
