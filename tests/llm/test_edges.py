@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, jaccard, langid, lm, mincut, packing, pii, quality, secrets, warc
 
@@ -162,3 +163,9 @@ def test_typed_strings_of_whole_texts(spark):
     own = secrets.typed_strings(spark.createDataFrame([], "text string"), "text").count()
     got = secrets.typed_strings(spark.createDataFrame([(text,), (None,), ("",)], "text string"), "text").count() - own
     assert 0 <= got - letters // secrets.BLOCK * len(secrets.SIZES) < len(secrets.SIZES) and letters > 10_000
+
+
+def test_evidence_works_each_part_out_once(spark):
+    row = spark.range(1).select(secrets.evidence(F.lit("0123456789abcdef0123"), F.lit("0123456789abcdef"), F.lit(16), F.array(*[F.lit(x) for x in (6.0, 0.0, 10.0, 0.0)])).alias("e"))
+    plan = row._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_distinct(") == 1 and plan.count("regexp_replace(") == 0 and row.first().e > 0
