@@ -16,17 +16,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_map, raw, remainder, stored, table, tidy
+from .common import apart, arrow_map, raw, release, remainder, stored, table, tidy
 from .wordhash import grouped, mixed, words
 
 #: The end of a text, a token of its own, and what stands before the first token. No word has these hashes but by chance.
 END, START = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 #: Filter segments: all probes of a bigram fall into one.
 SEGMENTS = 4096
-#: What is sent to the workers at most; beyond it bigrams go to the filter's segments and words are joined.
+#: What is sent to the workers at most; beyond it words and bigrams are asked for where their segment is.
 FILTER_BYTES, VOCABULARY = 128 << 20, 8_000_000
 FLUSH = 3 << 20
+#: Text that asks the segments together, and text a task that answers, both in bytes.
+CHUNK_BYTES, ASKED_BYTES = 16 << 20, 32 << 20
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -82,7 +86,7 @@ def count(docs: DataFrame, *, text: str = "text") -> Counts:
             yield from flush()
 
     spark = docs.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, 4 * docs.rdd.getNumPartitions())  # they grow with the input, however few partitions the session sets
     rows = docs.select(text).mapInArrow(tidy(run), "kind tinyint, h bigint, c bigint")
     dealt = rows.withColumn("seg", F.shiftrightunsigned("h", 52).cast("int")).repartition(tasks, "seg")
     both = stored(dealt.groupBy("seg", "kind", "h").agg(F.sum("c").alias("c")), "counts")
@@ -179,40 +183,95 @@ def build_filter(counts: Counts, width: int, *, base: float = 1.5, probes: int =
     return Filter(bits, probes, base)
 
 
-def probed(counts: Counts, pairs: DataFrame, width: int, *, base: float = 1.5, probes: int = 5) -> DataFrame:
-    """(h, level) of the bigrams h, each given once, that the filter holds.
+def segment_tables(counts: Counts, width: int, *, base: float = 1.5, probes: int = 5) -> DataFrame:
+    """(seg, kind, a, b): for kind 0 a segment's word hashes and their counts, for kind 1 its filter bits in b.
 
-    Bigrams go to where their segment is built; a task holds one segment at a time.
+    Counts lie by segment already, so nothing is shuffled; where a segment's file was read in parts, it has a row a part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = Filter(np.zeros((1, width), np.uint8), probes, base)
-        flags, now, ready = np.zeros(width * 8, dtype=bool), -1, False
+        flags, held, now = np.zeros(width * 8, dtype=bool), [], None
+
+        def closed() -> pa.RecordBatch:
+            if now[1]:
+                a, b = None, np.packbits(flags, bitorder="little").tobytes()
+                flags[:] = False
+            else:
+                a, b = (np.concatenate([x[i] for x in held]).tobytes() for i in range(2))
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int8()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], names=["seg", "kind", "a", "b"])
+
         for batch in batches:
-            seg, h, q = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            seg, kind, h, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
             h = h.view(np.uint64)
-            cuts = np.flatnonzero(np.diff(seg, prepend=-1, append=-1))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if seg[a] != now:
-                    now, ready = int(seg[a]), False
-                    flags[:] = False
-                own, asked = h[a:b][q[a:b] > 0], h[a:b][q[a:b] == 0]
-                levels = q[a:b][q[a:b] > 0]
-                for level in range(1, int(levels.max(initial=0)) + 1):
-                    at, step = part.spread(own[levels >= level], level)
+            cuts = np.flatnonzero(np.diff(seg.astype(np.int64) * 2 + kind, prepend=-1, append=-1))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if now is not None and now != (seg[x], kind[x]):
+                    yield closed()
+                now = (int(seg[x]), int(kind[x]))
+                own, of = h[x:y], c[x:y]
+                if not now[1]:
+                    held.append((own, of))
+                    continue
+                for level in range(1, int(of.max()) + 1):
+                    own, of = own[of >= level], of[of >= level]
+                    at, step = part.spread(own, level)
                     for _ in range(probes):
                         flags[part.within(at).astype(np.int64)] = True
                         at = (at + step) & LOW
-                if len(asked):
-                    if not ready:  # rows to put come before those that ask
-                        part.bits[0], ready = np.packbits(flags, bitorder="little"), True
-                    found = part.levels(asked)
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[found > 0].view(np.int64)), pa.array(found[found > 0].astype(np.int32))], names=["h", "level"])
+        if now is not None:
+            yield closed()
+
+    seg = F.shiftrightunsigned("h", 52).cast("int").alias("seg")
+    single = counts.words.select(seg, F.lit(0).cast("tinyint").alias("kind"), "h", "c")
+    double = counts.bigrams.select("seg", F.lit(1).cast("tinyint").alias("kind"), "h", level_of(F.col("c"), base).cast("long").alias("c"))
+    return stored(single.union(double).sortWithinPartitions("seg", "kind").mapInArrow(tidy(run), "seg int, kind tinyint, a binary, b binary"), "segments")
+
+
+def answered(tables: DataFrame, asked: DataFrame, tasks: int, width: int, *, base: float = 1.5, probes: int = 5) -> DataFrame:
+    """(chunk, seg, a, b): counts of the words and levels of the bigrams in the order they were asked for, 0 for what isn't there.
 
-    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    put = counts.bigrams.select("seg", "h", level_of(F.col("c"), base).alias("q"))
-    asked = pairs.select(F.shiftrightunsigned("h", 52).cast("int").alias("seg"), "h", F.lit(0).alias("q"))
-    return put.union(asked).repartition(tasks, "seg").sortWithinPartitions("seg", F.desc("q")).mapInArrow(tidy(run), "h bigint, level int")
+    asked: (seg, chunk, a, b), the sorted hashes of a chunk's words and bigrams in a segment. Questions go to where
+    their segment's words and bits are; a task holds one segment at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = Filter(np.zeros((1, width), np.uint8), probes, base)
+        now, held, h, c = -1, [], np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in batches:
+            seg = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(seg, prepend=-1, append=-1))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if seg[x] != now:
+                    now, held, h, c = int(seg[x]), [], np.empty(0, np.uint64), np.empty(0, np.int64)
+                    part.bits[:] = 0
+                chunks, asked = [], [[], []]
+                for chunk, kind, a, b in zip(*(v.to_pylist() for v in batch.slice(x, y - x).columns[1:]), strict=True):
+                    if kind == 0:
+                        held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
+                    elif kind == 1:
+                        part.bits[0] |= np.frombuffer(b, np.uint8)
+                    else:
+                        chunks.append(chunk)
+                        asked[0].append(np.frombuffer(a, np.uint64))
+                        asked[1].append(np.frombuffer(b, np.uint64))
+                if not chunks:
+                    continue
+                if held:  # what a segment holds comes before those that ask
+                    h, c = (np.concatenate([v[i] for v in held]) for i in range(2))
+                    order = np.argsort(h)
+                    h, c, held = h[order], c[order], []
+                words, pairs = (np.concatenate(v) for v in asked)
+                at = np.minimum(np.searchsorted(h, words), max(len(h) - 1, 0))
+                seen = np.where(h[at] == words, c[at], 0) if len(h) else np.zeros(len(words), np.int64)
+                found = []
+                for values, v in ((seen.astype(np.int64), asked[0]), (part.levels(pairs).astype(np.uint8), asked[1])):
+                    found.append(pa.array([p.tobytes() for p in np.split(values, np.cumsum([len(p) for p in v])[:-1])], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([now] * len(chunks), pa.int32()), *found], names=["chunk", "seg", "a", "b"])
+
+    both = tables.select("seg", F.lit(-1).alias("chunk"), "kind", "a", "b").union(asked.select("seg", "chunk", F.lit(2).cast("tinyint"), "a", "b"))
+    return both.repartition(tasks, "seg").sortWithinPartitions("seg", "chunk").mapInArrow(tidy(run), "chunk int, seg int, a binary, b binary")
 
 
 def vocabulary(counts: Counts, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray] | None:
@@ -242,8 +301,8 @@ def score(docs: DataFrame, counts: Counts, *, text: str = "text", prior: float =
     """Add n_tokens, n_known, train_tokens, base_score and score; the text is dropped, other columns stay.
 
     base_score takes each token by itself, score takes it after the one before. If the filter and
-    the words are small enough they are sent to the workers; if not, the texts' bigrams go to
-    the filter's segments and their words are joined, which gives the same scores. A null or empty text is an end alone. With nothing learnt
+    the words are small enough they are sent to the workers; if not, chunks of texts
+    ask the filter's segments, which gives the same scores. A null or empty text is an end alone. With nothing learnt
     every token counts zero. Repeated rows get equal results; columns of the new names are replaced.
     """
     spark = docs.sparkSession
@@ -267,16 +326,8 @@ def score(docs: DataFrame, counts: Counts, *, text: str = "text", prior: float =
                     unique, back = np.unique(tokens, return_inverse=True)
                     at = np.minimum(np.searchsorted(h, unique), max(len(h) - 1, 0))
                     seen = np.where(h[at] == unique, c[at], 0).astype(float) if len(h) else np.zeros(len(unique))
-                    log = np.log10((seen + 0.5) / total)
-                    own = seen[back]
-                    first = np.concatenate([[0], ends[:-1]])
-                    context = np.empty_like(own)
-                    context[1:] = own[:-1]
-                    context[first] = texts
-                    joint = np.log10((values[held.levels(pairs)] + (prior / total) * (own + 0.5)) / (context + prior))
-                    out[0] += (ends - first).tolist()
-                    for k, x in enumerate((own > 0, log[back], joint), 1):
-                        out[k] += np.add.reduceat(x, first, dtype=np.int64 if k == 1 else float).tolist()
+                    for k, x in enumerate(term_sums(seen[back], np.log10((seen + 0.5) / total)[back], values[held.levels(pairs)], ends, total, texts, prior)):
+                        out[k] += x
                 return out
 
             return work
@@ -285,47 +336,118 @@ def score(docs: DataFrame, counts: Counts, *, text: str = "text", prior: float =
     return out.withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
 
 
-def score_by_join(docs: DataFrame, counts: Counts, total: float, text: str, prior: float, base: float, width: int) -> DataFrame:
-    """The same sums, term by term, by joins: each text sends its distinct words, contexts and bigrams once.
+def term_sums(own: np.ndarray, log: np.ndarray, counts: np.ndarray, ends: np.ndarray, total: float, texts: int, prior: float) -> list[list]:
+    """The sums of FIELDS for each text, from the counts of all words, their logarithms and the counts of all bigrams, in order."""
+    first = np.concatenate([[0], ends[:-1]])
+    context = np.empty_like(own)
+    context[1:] = own[:-1]
+    context[first] = texts
+    joint = np.log10((counts + (prior / total) * (own + 0.5)) / (context + prior))
+    sums = [np.add.reduceat(x, first, dtype=t).tolist() for x, t in ((own > 0, np.int64), (log, float), (joint, float))]
+    return [(ends - first).tolist(), *sums]
 
-    The filter is probed once for each distinct bigram of all texts.
-    A row is named by a hash of its columns; repeated rows send theirs once and get the same sums.
+
+def score_by_join(docs: DataFrame, counts: Counts, total: float, text: str, prior: float, base: float, width: int, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The same sums where filter or words are too large to send.
+
+    Texts are dealt into chunks. A chunk asks each filter segment once, in one row, for all of its distinct words and
+    bigrams, and gets counts and levels back in the order of the hashes, which are worked out anew beside the texts.
+    So what is shuffled is the texts, eight bytes a distinct word or bigram of a chunk, and the answers, but no row a token.
+    Rows that repeat in full share a chunk.
     """
-    kept = [c for c in docs.columns if c != text and c.lower() not in {n for n, _ in FIELDS}]
-    named = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    spark = docs.sparkSession
+    kept = apart(docs, [n for n, _ in FIELDS])
+    kept = [c for c in kept if c != text]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long") + 1), F.lit(0)).alias("n")).first().n
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    chunks = max(1, -(-size // chunk_bytes), min(tasks, -(-size // (1 << 20))))
+    chunk = F.pmod(F.xxhash64(*docs.columns), F.lit(chunks)).cast("int")
+    texts = counts.texts
+
+    def deal(df: DataFrame) -> DataFrame:
+        return df.repartitionById(chunks, "_chunk")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, new, size = None, [[], []], 0
+
+        def distinct() -> list[np.ndarray]:
+            return [np.unique(np.concatenate(x)) for x in new]
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            both = distinct()
+            edges = np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(52)
+            starts = [np.append(np.searchsorted(x, edges), len(x)).tolist() for x in both]
+            for at in range(0, SEGMENTS, 512):  # rows of some megabytes together
+                segs = [s for s in range(at, at + 512) if any(x[s] < x[s + 1] for x in starts)]
+                if segs:
+                    data = [pa.array([h[x[s] : x[s + 1]].tobytes() for s in segs], pa.binary()) for h, x in zip(both, starts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int32()), pa.array([now] * len(segs), pa.int32()), *data], names=["seg", "chunk", "a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(0).to_pylist()
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(ids, prepend=-1, append=-1))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if now is not None and now != ids[x]:
+                    yield from closed()
+                    new, size = [[], []], 0
+                now = int(ids[x])
+                for tokens, _, pairs, _ in token_arrays(raw(batch.slice(x, y - x), text)):
+                    new[0].append(tokens)
+                    new[1].append(pairs)
+                    size += len(tokens)
+                    if size >= FLUSH:  # copies, however many, are held once
+                        new, size = [[x] for x in distinct()], 0
+        if now is not None:
+            yield from closed()
+
+    asked = deal(docs.select(chunk.alias("_chunk"), text)).sortWithinPartitions("_chunk").mapInArrow(tidy(ask), "seg int, chunk int, a binary, b binary")
+    tables = segment_tables(counts, width, base=base)
+    release(spark)  # what counting shuffled
+    found = stored(answered(tables, asked, max(tasks, -(-size // ASKED_BYTES)), width, base=base), "answers")
+    release(spark)
+
+    schema = T.StructType([docs.schema[c] for c in kept] + T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in FIELDS)).fields)
+    arrow = to_arrow_schema(T.StructType(schema.fields[len(kept) :]))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = value_of(np.arange(256), base)
+        now, answers, rows = None, [[], []], []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            parts = [p for batch in rows for p in token_arrays(raw(batch, text))]
+            tokens, pairs = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
+            (words, back), (bigrams, place) = (np.unique(x, return_inverse=True) for x in (tokens, pairs))
+            c, q = np.frombuffer(b"".join(answers[0]), np.int64), np.frombuffer(b"".join(answers[1]), np.uint8)
+            if len(c) != len(words) or len(q) != len(bigrams):
+                raise RuntimeError("the rows to score changed while they were read")
+            sizes = [len(p[0]) for p in parts]
+            ends = np.concatenate([p[3] + at for p, at in zip(parts, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True)])
+            made = [pa.array(x, f.type) for x, f in zip(term_sums(c[back].astype(float), np.log10((c + 0.5) / total)[back], values[q[place]], ends, total, texts, prior), arrow, strict=True)]
             at = 0
-            for tokens, before, pairs, ends in token_arrays(raw(batch, text)):
-                start = 0
-                for end in ends.tolist():
-                    parts = []
-                    for kind, x, second in ((0, tokens, tokens), (1, before, before), (2, pairs, tokens)):
-                        h, first, n = np.unique(x[start:end], return_index=True, return_counts=True)
-                        parts.append((np.full(len(h), kind, np.int8), h, second[start:end][first], n))
-                    kind, h, v, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), rows[at], np.int64)), pa.array(kind), pa.array(h.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], names=["_row", "kind", "h", "v", "n"])
-                    start, at = end, at + 1
-
-    probes = named.select("_row", text).dropDuplicates(["_row"]).mapInArrow(tidy(run), "_row bigint, kind tinyint, h bigint, v bigint, n bigint")
-    known = counts.words.select(F.col("h").alias("v"), F.col("c").cast("double").alias("cv"))
-    met = probes.join(known, "v", "left").withColumn("cv", F.when(F.col("v") == int(START.view(np.int64)), F.lit(float(counts.texts))).otherwise(F.coalesce("cv", F.lit(0.0))))
-    level = F.col("level")
-    low, high = F.ceil(F.pow(F.lit(base), level - 1.0) - 1e-9), F.ceil(F.pow(F.lit(base), level.cast("double")) - 1e-9) - 1
-    pairs = probed(counts, probes.where("kind = 2").select("h").distinct(), width, base=base).select("h", ((low + F.greatest(low, high)) / 2).alias("cq"))
-    single = met.where("kind < 2").withColumn("cq", F.lit(0.0))
-    double = met.where("kind = 2").join(pairs, "h")
-    p = (F.col("cv") + 0.5) / total
-    both = single.select("_row", "kind", "n", "cv", "cq").union(double.select("_row", "kind", "n", "cv", F.col("cq").cast("double")))
-    word, context = F.col("kind") == 0, F.col("kind") == 1
-    term = F.when(word, F.log10(p) + math.log10(prior)).when(context, -F.log10(F.col("cv") + prior)).otherwise(F.log10((F.col("cq") + prior * p) / (prior * p)))
-    sums = both.groupBy("_row").agg(
-        F.sum(F.when(word, F.col("n")).otherwise(0)).alias("n_tokens"), F.sum(F.when(word & (F.col("cv") > 0), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(word, F.col("n") * F.log10(p)).otherwise(0.0)).alias("base_score"), F.sum(F.col("n") * term).alias("score"),
-    )
-    return named.select("_row", *kept).join(sums, "_row").select(*kept, *[n for n, _ in FIELDS])
+            for batch in rows:
+                columns = [batch.column(batch.schema.get_field_index(k)) for k in kept] + [x.slice(at, batch.num_rows) for x in made]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                at += batch.num_rows
+
+        for batch in batches:
+            ids, segs = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            cuts = np.flatnonzero(np.diff(ids.astype(np.int64) * 2 + (segs == SEGMENTS), prepend=-1, append=-1))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if now is not None and now != ids[x]:
+                    yield from closed()
+                    answers, rows = [[], []], []
+                now, part = int(ids[x]), batch.slice(x, y - x)
+                if segs[x] == SEGMENTS:  # texts come after their answers
+                    rows.append(part)
+                else:
+                    for i in range(2):
+                        answers[i] += part.column(2 + i).to_pylist()
+        if now is not None:
+            yield from closed()
+
+    of = found.select(F.col("chunk").alias("_chunk"), F.col("seg").alias("_seg"), F.col("a").alias("_a"), F.col("b").alias("_b"), *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in [*kept, text]])
+    own = docs.select(chunk.alias("_chunk"), F.lit(SEGMENTS).alias("_seg"), F.lit(None).cast("binary").alias("_a"), F.lit(None).cast("binary").alias("_b"), *kept, text)
+    return deal(of.union(own)).sortWithinPartitions("_chunk", "_seg").mapInArrow(tidy(finish), schema)
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

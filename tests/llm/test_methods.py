@@ -180,6 +180,28 @@ def test_language_model_scores_do_not_depend_on_size(spark, limits):
         assert (a[i].base_score, a[i].score) == pytest.approx((b[i].base_score, b[i].score), rel=1e-9)
 
 
+def test_language_model_asks_by_chunks(spark, monkeypatch, capsys):
+    """Chunks ask the segments: a row a segment and chunk, none a token, and no joins; odd rows get what they get where the filter is sent."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "", "de"), (-3, "a b a b", None), (-3, "a b a b", None)], "doc_id long, text string, lang string")
+    docs, made = docs.union(odd), {}
+    counts = lm.count(docs.where("doc_id % 5 <> 2"))
+    stored = lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, kind: made.setdefault(kind, stored(df, kind)))
+    monkeypatch.setattr(lm.score_by_join, "__kwdefaults__", {"chunk_bytes": 50_000})
+    sent = lm.score(docs, counts)
+    asked = lm.score(docs, counts, filter_bytes=1)
+    asked.explain()
+    assert "Join" not in capsys.readouterr().out
+    assert asked.columns == sent.columns and made["answers"].select("chunk").distinct().count() > 3
+    assert made["answers"].count() == made["answers"].select("chunk", "seg").distinct().count()
+    order = lambda r: (r.doc_id, r.n_tokens)
+    a, b = (sorted(df.collect(), key=order) for df in (sent, asked))
+    assert len(a) == docs.count()
+    for x, y in zip(a, b, strict=True):
+        assert x[:4] == y[:4] and (x.base_score, x.score) == pytest.approx((y.base_score, y.score), rel=1e-9)
+
+
 def brute_components(texts):
     sets = {}
     for d, t in texts.items():
