@@ -140,3 +140,20 @@ def test_languages_without_lists_of_signs(spark):
     assert {r.i: r.p for r in told("English").collect()} == {0: True, 1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: False, 8: True, 9: True}
     assert {r.i: r.p for r in told("Chinese").collect() if r.i > 7} == {8: True, 9: False}
     assert "regexp_extract_all" not in (plan := told("English")._jdf.queryExecution().optimizedPlan().toString()) and "regexp_count" not in plan
+
+
+def test_parts_of_a_text_are_shared(spark, capsys):
+    """Words and sentences are worked out once for all cases, and cases give what they give one by one."""
+    cases = [("ratio:stop_words", {"percentage": "50"}), ("count:pronouns", {"N": "2"}), ("ratio:sentence_balance", {}), ("ratio:sentence_type", {}), ("words:last_first", {}), ("count:person_names", {"N": "2"}), ("format:title_case", {}), ("words:repeats", {"small_n": "1"})]
+    texts = ["He/she met Emma, Liam! Liam -- met Noah. \"Noah\" left...", "Emma_ Emmas", "A b.\nB c! -- C d?", "", None, "  ", "A. B? C!"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    every = C.check_each(docs, "t", cases)
+    every.explain()
+    plan = capsys.readouterr().out
+    assert 0 < plan.count("\\w+\\b") <= 4 and 0 < plan.count("(?<=[.!?])") <= 2  # a plan is printed with its projection's inputs at most twice
+    got = {(r.k, r.id): r.passed for r in every.collect()}
+    for i, args in cases:
+        single = docs.select("k", C.check(F.col("t"), F.lit(i), F.create_map(*[F.lit(x) for p in args.items() for x in p]) if args else F.lit(None).cast("map<string,string>"), [i]).alias("p"))
+        assert {r.k: r.p for r in single.collect()} == {k: p for (k, j), p in got.items() if j == i}
+    assert [got[k, "count:person_names"] for k in range(2)] == [True, False]
+    assert got[2, "words:last_first"] is True
