@@ -90,7 +90,7 @@ def _(x, a):
 
 @rule(LENIENT, "length_constraint_checkers:number_words")
 def _(x, a):
-    n, target, relation = count(x, r"(?U)\b[\w\-']+\b"), stated(a, "num_words", "n_words"), F.lower(F.coalesce(named(a, "relation", "comparator", "relation_type"), F.lit("")))
+    n, target, relation = count(x, r"[\p{L}\p{N}_][\p{L}\p{N}_'-]*"), stated(a, "num_words", "n_words"), F.lower(F.coalesce(named(a, "relation", "comparator", "relation_type"), F.lit("")))
     low, high = stated(a, "num_words_min", "min_words", "num_words_lower"), stated(a, "num_words_max", "max_words", "num_words_upper")
     t = target.try_cast("int")
     met = F.when(relation.isin(*AT_MOST), n <= t).when(relation.isin(*AT_LEAST), n >= t).when(relation.isin(*LESS), n < t).when(relation.isin(*MORE), n > t).otherwise(n == t)
