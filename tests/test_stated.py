@@ -29,7 +29,7 @@ def odd(spark, tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["v01_checkers", "r08_strict_first"])
+@pytest.mark.parametrize("name", ["v01_checkers", "c17_fold", "r08_strict_first"])
 def test_odd_texts_as_in_sql(spark, odd, name):
     d, c = odd
     df = catalog.QUERIES[name](spark, d)
