@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Majorities are worked out exactly up to this many draws; more are null, and bootstrap() estimates them.
+#: Where a caller of majority_of_draws() says nothing, more draws than this are null; the law itself has no limit.
 MOST_DRAWS = 64
+#: Points of the unit circle that are held at a time, and the part of a chance below which doubles can't hold it.
+POINTS, NOTHING = 4096, 1e-22
 
 
 def hashed(*parts: Column) -> Column:
@@ -67,47 +69,44 @@ def bootstrap(df: DataFrame, keys: list[str], order: list[str], size: int, reduc
     return each.groupBy(*keys).agg(*[x for n in reducers for x in (F.avg(n).alias(f"{n}_mean"), F.stddev_pop(n).alias(f"{n}_std"))])
 
 
-def times(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    return np.convolve(a, b)[: n + 1]
-
-
-def powers(g: np.ndarray, k: int, n: int) -> np.ndarray:
-    out = np.zeros(n + 1)
-    out[0] = 1.0
-    while k:
-        if k & 1:
-            out = times(out, g, n)
-        g, k = times(g, g, n), k >> 1
-    return out
-
-
 def win_chances(classes: list[tuple[int, int]], n: int) -> list[float]:
     """The chance of one answer of each class to be the majority of n draws; classes are (count, how many answers have it).
 
-    Of answers drawn equally often each is as likely to have been drawn first. The answers' counts are followed
-    in a polynomial of the draws so far, by how many others have as many as the winner.
+    Of answers drawn equally often each is as likely to have been drawn first. Draws are taken as independent Poisson
+    counts that add up to n, so no term is out of a double's range, whatever n. For each count that the winner may
+    have, the others' generating functions are multiplied on the unit circle. Of t others with as many the winner
+    has one part in t + 1, which is the integral of u to the t from 0 to 1: Gauss' rule gives that exactly.
     """
-    total = sum(c * m for c, m in classes)
-    p = [c / total for c, _ in classes]
-    terms = [np.array([q**k / math.factorial(k) for k in range(n + 1)]) for q in p]
-    out = [0.0] * len(classes)
-    for most in range(1, n + 1):
-        below = [np.where(np.arange(n + 1) < most, t, 0.0) for t in terms]
-        for own in range(len(classes)):
-            ways = {0: np.eye(1, n + 1)[0]}  # by number of others with as many
-            for j, (_, m) in enumerate(classes):
-                m -= j == own
-                step: dict[int, np.ndarray] = {}
-                for t in range(min(m, n // most) + 1):
-                    shifted = np.zeros(n + 1)
-                    if t * most <= n:
-                        shifted[t * most :] = powers(below[j], m - t, n)[: n + 1 - t * most] * math.comb(m, t) * terms[j][most] ** t
-                    for u, w in ways.items():
-                        if (t + u + 1) * most <= n:
-                            step[t + u] = step.get(t + u, 0.0) + times(w, shifted, n)
-                ways = step
-            out[own] += terms[own][most] * sum(w[n - most] / (t + 1) for t, w in ways.items())
-    return [x * math.factorial(n) for x in out]
+    total, answers, ks = sum(c * m for c, m in classes), sum(m for _, m in classes), np.arange(n + 1)
+    logs = np.array([math.lgamma(k + 1.0) for k in ks])
+    drawn = [np.exp(ks * math.log(n * c / total) - n * c / total - logs) for c, _ in classes]
+    whole = math.exp(n * math.log(n) - n - logs[n])
+    within = np.exp(sum(m * np.log(np.maximum(np.cumsum(d), 1e-300)) for d, (_, m) in zip(drawn, classes)))  # no answer is drawn more often
+    points = 1 << (n + int(12 * math.sqrt(n)) + 31).bit_length()  # totals further off than these have no weight
+    out, rules = np.zeros(len(classes)), {}
+    for first in range(0, points // 2 + 1, POINTS):
+        r = np.arange(first, min(first + POINTS, points // 2 + 1))
+        weight = np.where((r == 0) | (r == points // 2), 1.0, 2.0) / points
+        circle = lambda k: np.exp(2j * np.pi * (k * r % points) / points)
+        below, before = [np.zeros(len(r), complex) for _ in classes], circle(0)
+        for most in range(1, n + 1):
+            below, before = [b + d[most - 1] * before for b, d in zip(below, drawn)], circle(most)
+            if max(d[most] for d in drawn) * within[most] < NOTHING * whole:
+                continue
+            back, half = weight * circle(most - n), (min(n // most, answers) + 1) // 2
+            if half not in rules:
+                rules[half] = np.polynomial.legendre.leggauss(half)
+            for x, w in zip(*rules[half]):
+                each = [b + (x + 1) / 2 * d[most] * before for b, d in zip(below, drawn)]
+                rest = [g ** (m - 1) for g, (_, m) in zip(each, classes)]
+                left = [np.ones(len(r), complex)]
+                for g, q in zip(each, rest):
+                    left.append(left[-1] * g * q)
+                right = back * (w / 2)
+                for own in range(len(classes) - 1, -1, -1):
+                    out[own] += drawn[own][most] * float(np.real(np.sum(left[own] * rest[own] * right)))
+                    right = right * each[own] * rest[own]
+    return [float(x / whole) for x in out]
 
 
 @F.pandas_udf(T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("second", T.DoubleType())]))
@@ -117,7 +116,7 @@ def majority_moments(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator
     for classes, draws_ in batches:
         out = []
         for own, n in zip(classes, draws_):
-            if n is None or n != n or n > MOST_DRAWS:
+            if n is None or n != n:
                 out.append((None, None))
                 continue
             key = (tuple((c["c"], c["m"]) for c in own), int(n))
@@ -129,18 +128,18 @@ def majority_moments(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator
         yield pd.DataFrame(out, columns=["mean", "second"])
 
 
-def majority_of_draws(df: DataFrame, *, source: str, uid: str, vote: str, value: str) -> DataFrame:
+def majority_of_draws(df: DataFrame, *, source: str, uid: str, vote: str, value: str, most: int | None = MOST_DRAWS) -> DataFrame:
     """Expected value and deviation of the majority of 2, 4, .. and N draws with replacement, per prompt, and their means by source.
 
     The majority's value is that of its first draw; of answers drawn equally often the first drawn counts. A null
-    vote is an answer. Exact up to MOST_DRAWS draws, beyond them null. Prompts of one row have no line. Answers
-    are counted before rows meet, and those of equal counts taken together, so that what a prompt holds grows with
+    vote is an answer. Exact for any number of draws; if `most` is given, lines of more draws are null. Prompts of one
+    row have no line. Answers are counted before rows meet, and those of equal counts taken together, so that what a prompt holds grows with
     the root of its rows.
     """
     answers = df.groupBy(source, uid, vote).agg(F.count("*").alias("c"), F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("squares"))
     alike = answers.groupBy(source, uid, "c").agg(F.count("*").alias("m"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
     per = alike.groupBy(source, uid).agg(F.sum(F.col("c") * F.col("m")).alias("n"), F.sort_array(F.collect_list(F.struct("c", "m", "total", "squares"))).alias("classes")).where("n > 1")
     grid = F.array_distinct(F.concat(F.filter(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.pow(F.lit(2), i).cast("long")), lambda x: x < F.col("n")), F.array(F.col("n"))))
-    told = per.withColumn("k", F.explode(grid)).withColumn("m", majority_moments("classes", "k"))
+    told = per.withColumn("k", F.explode(grid)).withColumn("m", majority_moments("classes", F.col("k") if most is None else F.when(F.col("k") <= most, F.col("k"))))
     deviation = F.sqrt(F.greatest(F.col("m.second") - F.col("m.mean") * F.col("m.mean"), F.lit(0.0)))
     return told.groupBy(source, "n", "k").agg(F.count("*").alias("n_prompts"), F.avg("m.mean").alias("maj"), F.avg(deviation).alias("maj_std"))

@@ -14,16 +14,17 @@ _COUNTS = "SELECT run_name, prompt_id, count(*) AS n, " + ", ".join(
     f"count(*) FILTER (coalesce(pred, '') = '{a}') AS n{i}, coalesce(avg(score) FILTER (coalesce(pred, '') = '{a}'), 0) AS v{i}, coalesce(avg(score * score) FILTER (coalesce(pred, '') = '{a}'), 0) AS w{i}" for i, a in enumerate(("", "a0", "a1", "a2"))
 ) + " FROM v_rollouts GROUP BY ALL"
 _TOP, _TIES = "greatest(c0, c1, c2, c3)", "(" + " + ".join(f"(c{i} = greatest(c0, c1, c2, c3))::INT" for i in range(4)) + ")"
-_CHANCE = "factorial(k::INT)::DOUBLE * " + " * ".join(f"pow(n{i}::DOUBLE / n, c{i}) / factorial(c{i}::INT)::DOUBLE" for i in range(4))
+_CHANCE = "exp(lgamma(k + 1) + " + " + ".join(f"CASE WHEN c{i} > 0 THEN c{i} * ln(n{i}::DOUBLE / n) - lgamma(c{i} + 1) ELSE 0 END" for i in range(4)) + ")"
 
 
-@query("a52_majority_of_draws", f"""WITH p AS ({_COUNTS}), g AS (SELECT *, unnest(list_distinct(list_filter([2, 4, 8, 16, 32], lambda x: x < n) || [n])) AS k FROM p WHERE n > 1),
-    e AS (SELECT a.range AS c0, b.range AS c1, c.range AS c2, d.range AS c3 FROM range(25) a, range(25) b, range(25) c, range(25) d WHERE a.range + b.range + c.range + d.range BETWEEN 2 AND 24),
+@query("a52_majority_of_draws", f"""WITH p AS ({_COUNTS}), g AS (SELECT *, unnest(list_distinct(list_filter(list_transform(range(1, 41), lambda i: 1::BIGINT << i::INT), lambda x: x < n) || [n])) AS k FROM p WHERE n > 1),
+    h AS (SELECT unnest(range(0, (SELECT max(n) + 1 FROM p))) AS c),
+    e AS (SELECT a.c AS c0, b.c AS c1, c.c AS c2, d.c AS c3 FROM h a, h b, h c, h d WHERE a.c + b.c + c.c + d.c BETWEEN 2 AND (SELECT max(n) FROM p)),
     m AS (SELECT run_name, prompt_id, n, k, {', '.join(f"sum({_CHANCE} * ({' + '.join(f'(c{i} = {_TOP})::INT * {x}{i}' for i in range(4))}) / {_TIES}) AS {x}" for x in 'vw')}
         FROM g JOIN e ON c0 + c1 + c2 + c3 = k AND {' AND '.join(f'(n{i} > 0 OR c{i} = 0)' for i in range(4))} GROUP BY ALL)
     SELECT run_name, n, k, count(*) AS n_prompts, round(avg(v), 6) AS maj, round(avg(sqrt(greatest(w - v * v, 0))), 6) AS maj_std FROM m GROUP BY ALL""", exact=True)
 def a52(spark, d):
-    return B.majority_of_draws(V.rollouts(spark, d), source="run_name", uid="prompt_id", vote="pred", value="score")
+    return B.majority_of_draws(V.rollouts(spark, d), source="run_name", uid="prompt_id", vote="pred", value="score", most=None)
 
 
 _INDEX = "SELECT run_name, checkpoint_step, score, prompt_id, sample_id, row_number() OVER (PARTITION BY run_name, checkpoint_step ORDER BY substr(md5(prompt_id || ':' || sample_id), 1, 2), prompt_id, sample_id) - 1 AS i, count(*) OVER (PARTITION BY run_name, checkpoint_step) AS n FROM v_rollouts"
