@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = 4
-GRAM = ("n", "a", "b")
+#: Tokens whose n-grams are sorted at a time, and characters of text to a range of hashes.
+TOKENS, CHARACTERS = 1_500_000, 8_000_000
 
 
 def international(text: Column) -> Column:
@@ -18,29 +23,144 @@ def international(text: Column) -> Column:
     return F.array_remove(F.split(t, r"[\s\p{Z}]+"), "")
 
 
-def grams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens as (n, a, b): two hashes of 64 bits stand for the text of a run, which is several times as long."""
-    last = F.size(tokens) - n
-
-    def hashed(i: Column) -> Column:
-        gram = F.array_join(F.slice(tokens, i + 1, n), "\x01")
-        return F.struct(F.lit(n).alias("n"), F.xxhash64(gram).alias("a"), F.xxhash64(F.lit(n), gram).alias("b"))
-
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), hashed)).otherwise(F.array().cast("array<struct<n:int,a:bigint,b:bigint>>"))
-
-
-def excess(counts: DataFrame, keys: list[str], row: str) -> DataFrame:
-    """By row and n, by how much counts exceed the largest count of the same n-gram in any other row of the group.
-
-    A count is clipped only where it alone is the group's largest, and then to the second largest. So each n-gram
-    gives at most one line: rows are summed up by count before they meet, and an n-gram that every row has is no
-    heavier than a rare one.
+def mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length: byte by byte of all numbers, those that are mostly alike compressed."""
+    out = [np.uint32(len(columns[0])).tobytes()]
+    for c in columns:
+        for plane in np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T:
+            raw = plane.tobytes()
+            less = zlib.compress(raw, 1) if len(np.unique(plane[:256])) < 100 else raw
+            out += [np.uint32(len(less)).tobytes(), less] if len(less) < len(raw) else [np.uint32(len(raw)).tobytes(), raw]
+    return b"".join(out)
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, at, out = int(np.frombuffer(data, np.uint32, 1)[0]), 4, []
+    for kind in kinds:
+        planes = np.empty((np.dtype(kind).itemsize, n), np.uint8)
+        for plane in planes:
+            size = int(np.frombuffer(data, np.uint32, 1, at)[0])
+            raw = data[at + 4 : at + 4 + size]
+            plane[:] = np.frombuffer(raw if size == n else zlib.decompress(raw), np.uint8)
+            at += 4 + size
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+    return out
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where in sorted columns another value begins."""
+    return np.flatnonzero(reduce(np.logical_or, [np.concatenate(([True], c[1:] != c[:-1])) for c in columns])) if len(columns[0]) else np.zeros(0, int)
+
+
+def sorted_by(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    order = np.argsort(h, kind="stable")
+    clash = (h[order][1:] == h[order][:-1]) & (g[order][1:] != g[order][:-1])
+    return np.lexsort((g, h)) if clash.any() else order
+
+
+def tops(h: np.ndarray, g: np.ndarray, c: np.ndarray, next_: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of lines sorted by hash, one an n-gram: its largest count, whose it is, and the largest count of any other row; of equal ones these two are the same."""
+    at = runs(h, g)
+    sizes = np.diff(np.append(at, len(h)))
+    most = np.maximum.reduceat(c, at)
+    own = c == np.repeat(most, sizes)
+    alone = np.add.reduceat(own.astype(np.int64), at) == 1
+    other = np.maximum.reduceat(np.where(own, next_, c), at)
+    return h[at], g[at], most, np.where(alone, other, most), np.maximum.reduceat(np.where(own, holder, 0), at)
+
+
+def held(texts: list[tuple[int, np.ndarray, np.ndarray]], seeds: list[tuple[int, int]], ranges: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(range of hashes, n, first id, packed lines) of a stretch of texts, whose ids follow on each other."""
+    lengths = np.array([len(a) for _, a, _ in texts])
+    row = np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
+    both = [np.concatenate([t[k] for t in texts]).astype(np.int64).view(np.uint64) for k in (1, 2)]
+    starts = [np.array([s[k] for s in seeds], np.int64).view(np.uint64)[row] for k in (0, 1)]
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(row))  # tokens from here to the text's end
+    for n in range(1, ORDERS + 1):
+        at = np.flatnonzero(left >= n)
+        if not len(at):
+            continue
+        h, g = (reduce(lambda v, k, x=x: mixed(v, x[at + k]), range(n), mixed(s[at], np.uint64(n))) for s, x in zip(starts, both))
+        g = (g >> np.uint64(32)).astype(np.uint32)
+        order = sorted_by(h, g)
+        h, g, r = h[order], g[order], row[at][order]
+        first = runs(h, g, r)  # rows stand in order within an n-gram
+        c = np.diff(np.append(first, len(h))).astype(np.uint32)
+        h, g, c, second, holder = tops(h[first], g[first], c, np.zeros(len(first), np.uint32), r[first])
+        part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        edges = runs(part)
+        for i, j in zip(edges, np.append(edges[1:], len(h))):
+            yield int(part[i]), n, texts[0][0], packed(np.diff(h[i:j], prepend=np.uint64(0)), g[i:j], c[i:j], second[i:j], holder[i:j])
+
+
+LINES = ("u8", "u4", "u4", "u4", "u4")
+
+
+def gathered(ranges: int):
+    """Texts as arrays of token hashes to packed lines of n-grams, a stretch of texts at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, seeds, tokens = [], [], 0
+        for batch in batches:
+            for t in batch.itertuples(index=False):
+                if texts and tokens + len(t.a) > TOKENS:
+                    yield pd.DataFrame(list(held(texts, seeds, ranges)), columns=["part", "n", "first", "data"])
+                    texts, seeds, tokens = [], [], 0
+                texts.append((t.id, np.asarray(t.a), np.asarray(t.b)))
+                seeds.append((t.ga, t.gb))
+                tokens += len(t.a)
+        if texts:
+            yield pd.DataFrame(list(held(texts, seeds, ranges)), columns=["part", "n", "first", "data"])
+
+    return run
+
+
+def exceeded(lines: pd.DataFrame) -> pd.DataFrame:
+    """By stretch, how far each text's counts of one range's n-grams of one length exceed those of all others."""
+    found = [unpacked(x, *LINES) for x in lines["data"]]
+    of = np.concatenate([np.full(len(f[0]), i, np.uint64) for i, f in enumerate(found)])
+    h, g, c, second, holder = (np.concatenate([np.cumsum(f[k], dtype=np.uint64) if k == 0 else f[k] for f in found]) for k in range(5))
+    order = sorted_by(h, g)
+    _, _, c, second, holder = tops(h[order], g[order], c[order], second[order], ((of << np.uint64(32)) | holder)[order])
+    over = c.astype(np.int64) - second
+    rows = []
+    stretch, text = (holder >> np.uint64(32)).astype(np.int64), (holder & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    for i, first in enumerate(lines["first"]):
+        at = (stretch == i) & (over > 0)
+        if at.any():
+            rows.append((first, lines["n"].iloc[0], packed(np.bincount(text[at], weights=over[at]).astype(np.uint64))))
+    return pd.DataFrame(rows, columns=["first", "n", "data"])
+
+
+def summed(parts: pd.DataFrame) -> pd.DataFrame:
+    """One line a text of a stretch: its sums by n."""
+    found = [(n, unpacked(x, "u8")[0]) for n, x in zip(parts["n"], parts["data"])]
+    out = np.zeros((max(len(x) for _, x in found), ORDERS), np.int64)
+    for n, x in found:
+        out[: len(x), n - 1] += x.astype(np.int64)
+    return pd.DataFrame({"_id": parts["first"].iloc[0] + np.arange(len(out)), **{f"_over{n}": out[:, n - 1] for n in range(1, ORDERS + 1)}})
+
+
+def excess(tokens: DataFrame, keys: list[str], ranges: int) -> DataFrame:
+    """By text and n, by how much counts of n-grams exceed the largest count of the same n-gram in any other text of the group.
+
+    A count is clipped only where it alone is the group's largest, and then to the second largest. So each stretch of
+    texts gives at most one line an n-gram, and an n-gram that every text has is no heavier than a rare one. Lines are
+    sorted by hash and packed, about 12 bytes each: 64 bits of the n-gram's hash as steps and 32 of another one.
     """
-    held = counts.groupBy(*keys, *GRAM, "c").agg(F.count("*").alias("m"), F.max(row).alias("holder"))
-    tops = held.groupBy(*keys, *GRAM).agg(F.sort_array(F.collect_list(F.struct("c", "m", "holder")), asc=False).alias("tops"))
-    first, second = F.element_at("tops", 1), F.coalesce(F.try_element_at("tops", F.lit(2))["c"], F.lit(0))
-    alone = tops.where(first["m"] == 1).select(*keys, first["holder"].alias(row), "n", (first["c"] - second).alias("over"))
-    return alone.groupBy(*keys, row, "n").agg(F.sum("over").alias("over"))
+    hashed = lambda *more: F.transform("tokens", lambda x: F.xxhash64(*more, x))
+    seed = lambda *more: F.xxhash64(*more, *[x for k in keys for x in (F.col(k).isNull(), F.col(k))])
+    texts = tokens.select(F.col("_id").alias("id"), seed(F.lit(0)).alias("ga"), seed(F.lit(1)).alias("gb"), hashed().alias("a"), hashed(F.lit(1)).alias("b"))
+    lines = texts.mapInPandas(gathered(ranges), "part int, n int, first long, data binary")
+    over = lines.groupBy("part", "n").applyInPandas(exceeded, "first long, n int, data binary")
+    return over.groupBy("first").applyInPandas(summed, "_id long, " + ", ".join(f"_over{n} long" for n in range(1, ORDERS + 1)))
 
 
 def nearest_lengths(sizes: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,13 +188,15 @@ def sentence_scores(rows: DataFrame, keys: list[str], row: str, text: str) -> Da
     session = rows.sparkSession
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)  # a number of its own: by the texts' size alone there would be too few
     # texts go by row, so that their n-grams, which are many times as long, are counted where they are
-    tokens = rows.select(*keys, F.col(row), F.col(text).alias("_text")).repartition(parts, *keys, row).select(*keys, row, international(F.col("_text")).alias("tokens"))
-    sizes = tokens.select(*keys, row, F.size("tokens").alias("size"))
-    each = tokens.select(*keys, row, F.explode(F.concat(*[grams(F.col("tokens"), n) for n in range(1, ORDERS + 1)])).alias("_run")).select(*keys, row, *[F.col(f"_run.{c}") for c in GRAM])
-    counts = each.groupBy(*keys, row, *GRAM).agg(F.count("*").alias("c"))
-    over = excess(counts, keys, row).groupBy(*keys, row).pivot("n", list(range(1, ORDERS + 1))).agg(F.first("over"))
-    joined = looked_up(looked_up(sizes, nearest_lengths(sizes, keys), [*keys, "size"]), over, [*keys, row])
-    joined = joined.select(*keys, row, "size", "reference", *[F.coalesce(F.col(str(n)), F.lit(0)).alias(f"over{n}") for n in range(1, ORDERS + 1)])
+    own = rows.select(*keys, F.col(row), F.col(text).alias("_text"))
+    characters = own.agg(F.sum(F.length("_text"))).first()[0] or 0
+    parts = max(parts, -(-characters // CHARACTERS))
+    spread = own.repartition(parts, *keys, row).sortWithinPartitions(*keys, row)  # sorted, so that ids are the same whenever they are worked out
+    tokens = spread.select(*keys, row, F.monotonically_increasing_id().alias("_id"), international(F.col("_text")).alias("tokens"))
+    sizes = tokens.select(*keys, row, "_id", F.size("tokens").alias("size"))
+    over = excess(tokens, keys, parts)
+    joined = looked_up(sizes, nearest_lengths(sizes, keys), [*keys, "size"]).join(over, "_id", "left")
+    joined = joined.select(*keys, row, "size", "reference", *[F.coalesce(F.col(f"_over{n}"), F.lit(0)).alias(f"over{n}") for n in range(1, ORDERS + 1)])
     total = {n: F.greatest(F.col("size") - n + 1, F.lit(0)) for n in range(1, ORDERS + 1)}
     matched = {n: total[n] - F.col(f"over{n}") for n in total}
     logs, halvings = F.lit(0.0), F.lit(0)

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 
@@ -64,3 +65,17 @@ def test_ngrams_are_counted_where_texts_are(spark):
     plan = diversity.sentence_scores(rows, ["g"], "k", "text")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
     assert not [line for line in plan.splitlines() if "hashpartitioning(g" in line and "gram" in line]
+
+
+def test_only_packed_lines_go_on(spark):
+    """Lines of n-grams are packed by range of hashes, not rows of their own; stretches of few tokens give the same scores."""
+    rng = random.Random(8)
+    rows = [(g, k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice((0, 1, 4, 40))))) for g, n in (("one", 1), ("two", 30), (None, 25)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, text string")
+    whole = {(r.g, r.k): r.bleu for r in diversity.sentence_scores(df, ["g"], "k", "text").collect()}
+    for n in (1, 7):
+        held = list(diversity.held([(i, np.array([5, 6, 5, 6]), np.array([1, 2, 1, 2])) for i in range(3)], [(1, 1), (1, 1), (2, 2)], n))
+        assert sum(len(diversity.unpacked(d, *diversity.LINES)[0]) for _, k, _, d in held if k == 1) == 4  # two n-grams in each of two groups
+    plan = diversity.sentence_scores(df, ["g"], "k", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "data#" in plan and "hashpartitioning(part#" in plan and not [line for line in plan.splitlines() if "hashpartitioning(g#" in line and ", n#" in line]
+    assert all(whole[g, k] == (None if g == "one" else pytest.approx(bleu(tokens_, [tokens_b for h, j, tokens_b in split if h == g and j != k]), abs=1e-9)) for split in [[(h, j, t.split()) for h, j, t in rows]] for g, k, tokens_ in split)
