@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = 4
-#: Tokens whose n-grams are sorted at a time, and characters of text to a range of hashes.
-TOKENS, CHARACTERS = 1_500_000, 8_000_000
+#: Characters of text whose n-grams are sorted at a time, and how far a hash is cut to ask whether other stretches have it.
+CHARACTERS, CUT = 8_000_000, np.uint64(28)
 
 
 def international(text: Column) -> Column:
@@ -76,8 +76,8 @@ def tops(h: np.ndarray, g: np.ndarray, c: np.ndarray, next_: np.ndarray, holder:
     return h[at], g[at], most, np.where(alone, other, most), np.maximum.reduceat(np.where(own, holder, 0), at)
 
 
-def held(texts: list[tuple[int, np.ndarray, np.ndarray]], seeds: list[tuple[int, int]], ranges: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(range of hashes, n, first id, packed lines) of a stretch of texts, whose ids follow on each other."""
+def counted(texts: list[tuple[int, np.ndarray, np.ndarray]], seeds: list[tuple[int, int]]) -> Iterator[tuple]:
+    """n, and by n-gram of a stretch of texts, sorted by hash: what tops() gives. A holder is the text's place."""
     lengths = np.array([len(a) for _, a, _ in texts])
     row = np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
     both = [np.concatenate([t[k] for t in texts]).astype(np.int64).view(np.uint64) for k in (1, 2)]
@@ -93,37 +93,77 @@ def held(texts: list[tuple[int, np.ndarray, np.ndarray]], seeds: list[tuple[int,
         h, g, r = h[order], g[order], row[at][order]
         first = runs(h, g, r)  # rows stand in order within an n-gram
         c = np.diff(np.append(first, len(h))).astype(np.uint32)
-        h, g, c, second, holder = tops(h[first], g[first], c, np.zeros(len(first), np.uint32), r[first])
-        part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        edges = runs(part)
-        for i, j in zip(edges, np.append(edges[1:], len(h))):
-            yield int(part[i]), n, texts[0][0], packed(np.diff(h[i:j], prepend=np.uint64(0)), g[i:j], c[i:j], second[i:j], holder[i:j])
+        yield n, *tops(h[first], g[first], c, np.zeros(len(first), np.uint32), r[first])
+
+
+def ranged(h: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """Ranges of sorted hashes that occur, and from where to where."""
+    part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    edges = runs(part)
+    return ((int(part[i]), i, j) for i, j in zip(edges, np.append(edges[1:], len(h))))
+
+
+def held(texts: list[tuple[int, np.ndarray, np.ndarray]], seeds: list[tuple[int, int]], ranges: int, shared: dict | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+    """(range of hashes, n, stretch, packed lines) of a stretch of texts. With what is shared, by n and range, only such n-grams; the rest is summed up where it is, in a range below 0."""
+    stretch = texts[0][0]
+    for n, h, g, c, second, holder in counted(texts, seeds):
+        if shared is not None:
+            cut = runs(h >> CUT)
+            flags = np.concatenate([shared[n, part] for part, _, _ in ranged(h[cut], ranges)])
+            own = ~np.repeat(flags, np.diff(np.append(cut, len(h))))
+            yield -1 - stretch, n, stretch, packed(np.bincount(holder[own], weights=(c.astype(np.int64) - second)[own], minlength=1).astype(np.uint64))
+            h, g, c, second, holder = (x[~own] for x in (h, g, c, second, holder))
+        for part, i, j in ranged(h, ranges):
+            yield part, n, stretch, packed(np.diff(h[i:j], prepend=np.uint64(0)), g[i:j], c[i:j], second[i:j], holder[i:j])
 
 
 LINES = ("u8", "u4", "u4", "u4", "u4")
 
 
+def stretched(t: pd.DataFrame) -> tuple[list, list]:
+    t = t.sort_values("i")
+    return [(int(p), np.asarray(a), np.asarray(b)) for p, a, b in zip(t["pid"], t["a"], t["b"])], list(zip(t["ga"], t["gb"]))
+
+
+def asked(ranges: int):
+    """Of a stretch, the hashes' first bits: all that is needed to tell which n-grams no other stretch has."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        texts, seeds = stretched(t)
+        out = []
+        for n, h, *_ in counted(texts, seeds):
+            h = h[runs(h >> CUT)]
+            out += [(part, n, texts[0][0], packed(np.diff(h[i:j] >> CUT, prepend=np.uint64(0)))) for part, i, j in ranged(h, ranges)]
+        return pd.DataFrame(out, columns=["part", "n", "pid", "data"])
+
+    return run
+
+
+def told(lines: pd.DataFrame) -> pd.DataFrame:
+    """By stretch a bit for each of its hashes: whether another stretch has it too."""
+    found = [np.cumsum(unpacked(x, "u8")[0], dtype=np.uint64) for x in lines["data"]]
+    _, back, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    flags = np.split(times[back] > 1, np.cumsum([len(f) for f in found])[:-1])
+    return lines[["part", "n", "pid"]].assign(data=[np.uint32(len(f)).tobytes() + zlib.compress(np.packbits(f).tobytes(), 1) for f in flags])
+
+
 def gathered(ranges: int):
-    """Texts as arrays of token hashes to packed lines of n-grams, a stretch of texts at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, seeds, tokens = [], [], 0
-        for batch in batches:
-            for t in batch.itertuples(index=False):
-                if texts and tokens + len(t.a) > TOKENS:
-                    yield pd.DataFrame(list(held(texts, seeds, ranges)), columns=["part", "n", "first", "data"])
-                    texts, seeds, tokens = [], [], 0
-                texts.append((t.id, np.asarray(t.a), np.asarray(t.b)))
-                seeds.append((t.ga, t.gb))
-                tokens += len(t.a)
-        if texts:
-            yield pd.DataFrame(list(held(texts, seeds, ranges)), columns=["part", "n", "first", "data"])
+    """Packed lines of a stretch's shared n-grams, and sums of the others."""
+
+    def run(t: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        if not len(t):
+            return pd.DataFrame([], columns=["part", "n", "pid", "data"])
+        bits = lambda x: np.unpackbits(np.frombuffer(zlib.decompress(x[4:]), np.uint8), count=int(np.frombuffer(x, np.uint32, 1)[0])).astype(bool)
+        shared = {(int(n), int(part)): bits(x) for part, n, x in zip(marks["part"], marks["n"], marks["data"])}
+        return pd.DataFrame(list(held(*stretched(t), ranges, shared)), columns=["part", "n", "pid", "data"])
 
     return run
 
 
 def exceeded(lines: pd.DataFrame) -> pd.DataFrame:
     """By stretch, how far each text's counts of one range's n-grams of one length exceed those of all others."""
+    if lines["part"].iloc[0] < 0:
+        return lines[["pid", "n", "data"]]
     found = [unpacked(x, *LINES) for x in lines["data"]]
     of = np.concatenate([np.full(len(f[0]), i, np.uint64) for i, f in enumerate(found)])
     h, g, c, second, holder = (np.concatenate([np.cumsum(f[k], dtype=np.uint64) if k == 0 else f[k] for f in found]) for k in range(5))
@@ -132,11 +172,11 @@ def exceeded(lines: pd.DataFrame) -> pd.DataFrame:
     over = c.astype(np.int64) - second
     rows = []
     stretch, text = (holder >> np.uint64(32)).astype(np.int64), (holder & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    for i, first in enumerate(lines["first"]):
+    for i, first in enumerate(lines["pid"]):
         at = (stretch == i) & (over > 0)
         if at.any():
             rows.append((first, lines["n"].iloc[0], packed(np.bincount(text[at], weights=over[at]).astype(np.uint64))))
-    return pd.DataFrame(rows, columns=["first", "n", "data"])
+    return pd.DataFrame(rows, columns=["pid", "n", "data"])
 
 
 def summed(parts: pd.DataFrame) -> pd.DataFrame:
@@ -145,22 +185,25 @@ def summed(parts: pd.DataFrame) -> pd.DataFrame:
     out = np.zeros((max(len(x) for _, x in found), ORDERS), np.int64)
     for n, x in found:
         out[: len(x), n - 1] += x.astype(np.int64)
-    return pd.DataFrame({"_id": parts["first"].iloc[0] + np.arange(len(out)), **{f"_over{n}": out[:, n - 1] for n in range(1, ORDERS + 1)}})
+    return pd.DataFrame({"_pid": parts["pid"].iloc[0], "_i": np.arange(len(out)), **{f"_over{n}": out[:, n - 1] for n in range(1, ORDERS + 1)}})
 
 
 def excess(tokens: DataFrame, keys: list[str], ranges: int) -> DataFrame:
     """By text and n, by how much counts of n-grams exceed the largest count of the same n-gram in any other text of the group.
 
     A count is clipped only where it alone is the group's largest, and then to the second largest. So each stretch of
-    texts gives at most one line an n-gram, and an n-gram that every text has is no heavier than a rare one. Lines are
+    texts gives at most one line an n-gram, and an n-gram that every text has is no heavier than a rare one. Stretches
+    first ask which n-grams others have, by 36 bits a hash in steps; chance agreement only sends a line in vain. Lines are
     sorted by hash and packed, about 12 bytes each: 64 bits of the n-gram's hash as steps and 32 of another one.
     """
     hashed = lambda *more: F.transform("tokens", lambda x: F.xxhash64(*more, x))
     seed = lambda *more: F.xxhash64(*more, *[x for k in keys for x in (F.col(k).isNull(), F.col(k))])
-    texts = tokens.select(F.col("_id").alias("id"), seed(F.lit(0)).alias("ga"), seed(F.lit(1)).alias("gb"), hashed().alias("a"), hashed(F.lit(1)).alias("b"))
-    lines = texts.mapInPandas(gathered(ranges), "part int, n int, first long, data binary")
-    over = lines.groupBy("part", "n").applyInPandas(exceeded, "first long, n int, data binary")
-    return over.groupBy("first").applyInPandas(summed, "_id long, " + ", ".join(f"_over{n} long" for n in range(1, ORDERS + 1)))
+    texts = tokens.select(F.col("_pid").alias("pid"), F.col("_i").alias("i"), seed(F.lit(0)).alias("ga"), seed(F.lit(1)).alias("gb"), hashed().alias("a"), hashed(F.lit(1)).alias("b"))
+    kind = "part int, n int, pid int, data binary"
+    marks = texts.groupBy("pid").applyInPandas(asked(ranges), kind).groupBy("part", "n").applyInPandas(told, kind)
+    lines = texts.groupBy("pid").cogroup(marks.groupBy("pid")).applyInPandas(gathered(ranges), kind)
+    over = lines.groupBy("part", "n").applyInPandas(exceeded, "pid int, n int, data binary")
+    return over.groupBy("pid").applyInPandas(summed, "_pid int, _i int, " + ", ".join(f"_over{n} long" for n in range(1, ORDERS + 1)))
 
 
 def nearest_lengths(sizes: DataFrame, keys: list[str]) -> DataFrame:
@@ -191,11 +234,13 @@ def sentence_scores(rows: DataFrame, keys: list[str], row: str, text: str) -> Da
     own = rows.select(*keys, F.col(row), F.col(text).alias("_text"))
     characters = own.agg(F.sum(F.length("_text"))).first()[0] or 0
     parts = max(parts, -(-characters // CHARACTERS))
-    spread = own.repartition(parts, *keys, row).sortWithinPartitions(*keys, row)  # sorted, so that ids are the same whenever they are worked out
-    tokens = spread.select(*keys, row, F.monotonically_increasing_id().alias("_id"), international(F.col("_text")).alias("tokens"))
-    sizes = tokens.select(*keys, row, "_id", F.size("tokens").alias("size"))
+    spread = own.withColumn("_pid", F.pmod(F.xxhash64(*keys, row), F.lit(parts)).cast("int")).repartition(parts, "_pid")
+    placed = spread.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys, row)) - 1)
+    tokens = placed.select(*keys, row, "_pid", "_i", international(F.col("_text")).alias("tokens"))
+    sizes = tokens.select(*keys, row, "_pid", "_i", F.size("tokens").alias("size"))
     over = excess(tokens, keys, parts)
-    joined = looked_up(sizes, nearest_lengths(sizes, keys), [*keys, "size"]).join(over, "_id", "left")
+    lengths = own.select(*keys, F.size(international(F.col("_text"))).alias("size"))  # where texts are read: they are not moved for it
+    joined = looked_up(sizes, nearest_lengths(lengths, keys), [*keys, "size"]).join(over, ["_pid", "_i"], "left")
     joined = joined.select(*keys, row, "size", "reference", *[F.coalesce(F.col(f"_over{n}"), F.lit(0)).alias(f"over{n}") for n in range(1, ORDERS + 1)])
     total = {n: F.greatest(F.col("size") - n + 1, F.lit(0)) for n in range(1, ORDERS + 1)}
     matched = {n: total[n] - F.col(f"over{n}") for n in total}
